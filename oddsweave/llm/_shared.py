@@ -37,10 +37,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, a lost executor loses nothing."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -110,17 +110,18 @@ class Words:
     """All words (runs of bytes other than \\x20 and \\x09-\\x0D) of a slab.
 
     ``data`` has one line feed more behind every document; ``first`` says at
-    which word each document starts (one entry more at the end).
+    which word each document starts (one entry more at the end).  ``space``
+    says which bytes part words; line feeds must.
     """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE):
         docs = len(at) - 1
         self.doc_at = at + np.arange(docs + 1)
         flat = np.full(len(data) + docs, 10, np.uint8)
         keep = np.ones(len(flat), bool)
         keep[self.doc_at[1:] - 1] = False
         flat[keep] = _LOWER[data] if lower else data
-        edge = np.diff(np.concatenate(([True], _SPACE[flat], [True])).view(np.int8))
+        edge = np.diff(np.concatenate(([True], space[flat], [True])).view(np.int8))
         self.data, self.starts, self.ends = flat, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         self.first = np.searchsorted(self.starts, self.doc_at)
         self.docs = docs
