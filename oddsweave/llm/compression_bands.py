@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from oddsweave.llm._shared import Words, mix, per_doc_sum, slabs, windows
 
 #: Bytes from which a band holds, the least and the largest ratio that pass.
-BANDS = ((0, 0.0, 9.0), (64, 0.30, 1.30), (128, 0.30, 1.05), (256, 0.30, 0.90), (512, 0.28, 0.85), (1024, 0.25, 0.80), (4096, 0.22, 0.78), (16384, 0.20, 0.76))
+BANDS = ((0, 0.0, 9.0), (64, 0.30, 1.30), (128, 0.30, 1.05), (256, 0.30, 0.90), (512, 0.28, 0.85), (1024, 0.25, 0.77), (4096, 0.22, 0.72), (16384, 0.20, 0.70))
 SYMBOLS = b"#*$%&|<>"
 
 SCHEMA = "row_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, ratio double, n_chunks long, n_chunks_low long, n_chunks_high long, band string"
@@ -31,7 +31,7 @@ class Rules:
     level: int = 3
     chunk: int = 4096
     chunk_low: float = 0.25
-    chunk_high: float = 0.78
+    chunk_high: float = 0.72
     chunk_share: float = 0.34
     min_words: int = 50
     max_repeat_percent: int = 50

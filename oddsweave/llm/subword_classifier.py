@@ -33,6 +33,7 @@ class Settings:
     dim: int = 10
     epochs: int = 6
     rate: float = 0.3
+    boost: float = 10.0
     sample: int = 4000
     seed: int = 7
 
@@ -45,13 +46,12 @@ def features(data: np.ndarray, at: np.ndarray, rows: int):
     yield doc, (h >> shift).astype(np.int64)
     two, start = windows(h, w.first, 2)
     yield doc[start], (two >> shift).astype(np.int64) + rows
-    letters = np.zeros(len(w.data), bool)
     edge = np.zeros(len(w.data) + 1, np.int8)
     edge[w.starts] += 1
     edge[w.ends] -= 1
-    letters = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
-    shown = np.where(letters, w.data, 32).astype(np.uint32)
-    owner = np.repeat(np.arange(w.docs), np.diff(w.doc_at))
+    letters = np.concatenate(([False], np.cumsum(edge[:-1], dtype=np.int8).view(bool)))
+    shown = np.where(letters, np.concatenate(([10], w.data)), 32).astype(np.uint32)  # a blank before all, so first words begin like others
+    owner = np.repeat(np.arange(w.docs), np.diff(w.doc_at))  # of a run: whose its second byte is
     for n in (3, 4):
         if len(shown) >= n:
             code = np.zeros(len(shown) - n + 1, np.uint32)
@@ -132,8 +132,8 @@ def descend(bags: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings)
             back = out.T @ p
             out -= rate * np.outer(p, hidden)
             bias -= 0.1 * rate * p
-            # an average moves each vector by its share only; the count of rows makes up for it
-            table[used] -= (rate * len(used)) ** 0.5 * rate * part[:, None] * back * 10
+            # An average moves each vector by its share only; the step grows with the number of rows to make up for it.
+            table[used] -= settings.boost * rate * (rate * len(used)) ** 0.5 * part[:, None] * back
     lift = out[1] - out[0]
     return Model((table @ lift).astype(np.float32), float(bias[1] - bias[0]), settings.rows)
 
