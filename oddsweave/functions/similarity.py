@@ -21,6 +21,7 @@ MISMATCH_CAP = 0.61
 ALIAS_GROUPS = (
     ("crb", "clube de regatas brasil"),
     ("kups", "kuopion palloseura", "kups kuopio"),
+    ("vardar skopje", "vardar", "fk vardar"),
     ("manchester united", "man utd"),
     ("usa", "united states", "estados unidos", "eua"),
     ("south korea", "korea republic", "coreia do sul"),
