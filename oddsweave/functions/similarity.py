@@ -55,16 +55,16 @@ def jaro_winkler(left: str, right: str) -> float:
     if a == b or not a or not b:
         return float(bool(a) and a == b)
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = [True] * len(b)
-    mine = []
+    left_over, mine, taken = b, [], []
     for i, c in enumerate(a):
-        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] and b[j] == c), None)
-        if j is not None:
-            free[j] = False
+        j = left_over.find(c, max(0, i - reach), i + reach + 1)
+        if j >= 0:
+            left_over = f"{left_over[:j]}\0{left_over[j + 1:]}"
             mine.append(c)
+            taken.append(j)
     if not mine:
         return 0.0
-    theirs = [c for c, open_ in zip(b, free) if not open_]
+    theirs = [b[j] for j in sorted(taken)]
     m, swaps = len(mine), sum(x != y for x, y in zip(mine, theirs))
     jaro = (m / len(a) + m / len(b) + (m - swaps / 2) / m) / 3
     prefix = 0
@@ -151,17 +151,27 @@ def team_scorer(groups=ALIAS_GROUPS):
     """A function of two names: the best score over their aliases, capped where something sets them apart."""
     index = alias_index(groups)
 
+    @lru_cache(REMEMBERED)
+    def forms(name: str | None) -> tuple:
+        out = []
+        for a in aliases(name, index):
+            parts = tokens(a)
+            named = list(dict.fromkeys(t for t in parts if len(t) > 1 or t in SAFE_SHORT_TOKENS))
+            out.append((a, parts, named, _keys(named)))
+        return tuple(out)
+
     @lru_cache(REMEMBERED)
     def score(left: str | None, right: str | None) -> float:
         best = 0.0
-        for a in aliases(left, index):
-            ta = tokens(a)
-            pa = list(dict.fromkeys(t for t in ta if len(t) > 1 or t in SAFE_SHORT_TOKENS))
-            for b in aliases(right, index):
-                tb = tokens(b)
-                pb = list(dict.fromkeys(t for t in tb if len(t) > 1 or t in SAFE_SHORT_TOKENS))
-                s = max(_identity(a, b, pa, pb), jaro_winkler(a, b), token_set(ta, tb), in_order(ta, tb))
-                best = max(best, min(s, MISMATCH_CAP) if _keys(pa) != _keys(pb) else s)
+        for a, ta, pa, ka in forms(left):
+            for b, tb, pb, kb in forms(right):
+                most = MISMATCH_CAP if ka != kb else 1.0
+                if best >= most:
+                    continue
+                s = max(_identity(a, b, pa, pb), token_set(ta, tb), in_order(ta, tb))
+                if s < most:
+                    s = max(s, jaro_winkler(a, b))
+                best = max(best, min(s, most))
         return best
 
     return score
@@ -179,6 +189,16 @@ def groups_overlap(left: list[list[str]], right: list[list[str]]) -> bool:
     return any(age(a) == age(b) and telling(a) & telling(b) for a in left for b in right)
 
 
+@lru_cache(REMEMBERED)
+def _tokens(value: str | None) -> tuple[str, ...]:
+    return tuple(tokens(value))
+
+
+@lru_cache(REMEMBERED)
+def _token_set(a: str | None, b: str | None) -> float:
+    return token_set(_tokens(a), _tokens(b))
+
+
 def jaro_winkler_udf():
     @F.pandas_udf("double")
     def jw(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -190,7 +210,7 @@ def jaro_winkler_udf():
 def token_set_udf():
     @F.pandas_udf("double")
     def ts(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([token_set(tokens(x), tokens(y)) for x, y in zip(a, b)])
+        return pd.Series([_token_set(x, y) for x, y in zip(a, b)])
 
     return ts
 
@@ -212,23 +232,40 @@ def _scorer(groups):
 
 
 def event_scores_udf(groups=ALIAS_GROUPS):
-    """Of canonical home and away and a feed's home and away: four name scores, and whether the events share a telling token."""
+    """Of canonical home and away and a feed's home and away: whether the events share a telling token, and four name scores.
+
+    Names are compared only for rows that share one or are ``sure`` for other reasons.
+    """
     groups = tuple(map(tuple, groups))
 
     @F.pandas_udf("home_home double, away_away double, home_away double, away_home double, shared boolean")
-    def scores(ch: pd.Series, ca: pd.Series, bh: pd.Series, ba: pd.Series) -> pd.DataFrame:
-        score, index = _scorer(groups), alias_index(groups)
+    def scores(ch: pd.Series, ca: pd.Series, bh: pd.Series, ba: pd.Series, go: pd.Series, sure: pd.Series) -> pd.DataFrame:
+        score, index = _scorer(groups), _index(groups)
+
+        @lru_cache(REMEMBERED)
+        def telling(a, b):
+            both = _tokens(f"{a or ''} {b or ''}")
+            return frozenset(t for t in both if len(t) > 2), "".join(both)
+
+        @lru_cache(REMEMBERED)
+        def sides(name):
+            return token_groups(name, index)
+
         rows = []
-        for a, b, c, d in zip(ch, ca, bh, ba):
-            left, right = tokens(f"{a or ''} {b or ''}"), tokens(f"{c or ''} {d or ''}")
-            shared = bool({t for t in left if len(t) > 2} & {t for t in right if len(t) > 2})
+        for a, b, c, d, wanted, known in zip(ch, ca, bh, ba, go, sure):
+            if not wanted:
+                rows.append((None, None, None, None, False))
+                continue
+            (left, x), (right, y) = telling(a, b), telling(c, d)
+            shared = not left.isdisjoint(right) or len(x) >= 5 and len(y) >= 5 and (x in y or y in x)
             if not shared:
-                x, y = "".join(left), "".join(right)
-                shared = len(x) >= 5 and len(y) >= 5 and (x in y or y in x)
-            if not shared:
-                ga, gb, gc, gd = (token_groups(v, index) for v in (a, b, c, d))
-                shared = groups_overlap(ga, gc) and groups_overlap(gb, gd) or groups_overlap(ga, gd) and groups_overlap(gb, gc)
-            rows.append((score(a, c), score(b, d), score(a, d), score(b, c), shared))
+                shared = groups_overlap(sides(a), sides(c)) and groups_overlap(sides(b), sides(d)) or groups_overlap(sides(a), sides(d)) and groups_overlap(sides(b), sides(c))
+            rows.append((score(a, c), score(b, d), score(a, d), score(b, c), shared) if shared or known else (None, None, None, None, False))
         return pd.DataFrame(rows, columns=["home_home", "away_away", "home_away", "away_home", "shared"])
 
     return scores
+
+
+@lru_cache(8)
+def _index(groups):
+    return alias_index(groups)
