@@ -177,16 +177,20 @@ def team_scorer(groups=ALIAS_GROUPS):
     return score
 
 
-def token_groups(value: str | None, index) -> list[list[str]]:
-    out = [[t for t in re.sub(r"\bsub\s*(\d{2})\b", r"u\1", a).split() if len(t) > 1 and t not in STOP_WORDS and not t.isdigit()] for a in aliases(value, index)]
-    return [g for g in out if g]
-
-
-def groups_overlap(left: list[list[str]], right: list[list[str]]) -> bool:
+def token_groups(value: str | None, index) -> list[tuple[str | None, frozenset[str]]]:
+    """Of each alias with tokens: its age category, and the tokens that tell it apart."""
+    out = []
+    for a in aliases(value, index):
+        parts = [t for t in re.sub(r"\bsub\s*(\d{2})\b", r"u\1", a).split() if len(t) > 1 and t not in STOP_WORDS and not t.isdigit()]
+        if parts:
+            age = next((t for t in parts if re.fullmatch(r"u\d{2}", t)), None)
+            out.append((age, frozenset(t for t in parts if len(t) > 2 or t in SAFE_SHORT_TOKENS)))
+    return out
+
+
+def groups_overlap(left, right) -> bool:
     """Two sides' token groups share a telling token, and their age categories agree."""
-    age = lambda g: next((t for t in g if re.fullmatch(r"u\d{2}", t)), None)
-    telling = lambda g: {t for t in g if len(t) > 2 or t in SAFE_SHORT_TOKENS}
-    return any(age(a) == age(b) and telling(a) & telling(b) for a in left for b in right)
+    return any(a == b and not x.isdisjoint(y) for a, x in left for b, y in right)
 
 
 @lru_cache(REMEMBERED)
