@@ -23,8 +23,8 @@ from oddsweave.llm._shared import Words, slabs, stored
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 GROUPS, WIDTH = 3, 2
-#: Pairs that are compared at once in a task.
-PAIRS = 4 << 20
+#: Pairs that are compared at once in a task; fingerprints at home in one cell above which it is split.
+PAIRS, CELL_ROWS = 4 << 20, 20_000
 
 
 def shingle_bytes(w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -172,11 +172,24 @@ def _meet(distance: int):
     return run
 
 
-def near_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a < b) of distinct fingerprints (column ``fp``) that differ in at most ``distance`` bits: a spanning forest of each cell's."""
+def near_links(distinct: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (a < b) of distinct fingerprints (column ``fp``) that differ in at most ``distance`` bits: a spanning forest of each cell's.
+
+    A cell where more than ``cell_rows`` are at home is dealt out in parts: a
+    fingerprint is at home in one part and visits all of them.
+    """
     groups = max(1, -(-(distance + 1) // 2))
     cells = distinct.select("fp").mapInArrow(_cells(groups, WIDTH), "cell long, fp long, home boolean")
-    return cells.repartition("cell").sortWithinPartitions("cell", F.col("home").desc()).mapInArrow(_meet(distance), "a long, b long").distinct()
+    hot = cells.filter("home").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows)
+    parts = F.ceil(F.col("n") / cell_rows).cast("int")
+    dealt = cells.join(hot, "cell", "left").withColumn("parts", F.coalesce(parts, F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    visits = F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))
+    placed = dealt.withColumn("own", own).select("cell", "fp", "home", "own", "parts", F.explode(visits).alias("part"))
+    # In a split cell the copy in its own part is at home; the others are visitors, as neighbours are in every part.
+    at_home = F.col("home") & ((F.col("parts") == 1) | (F.col("part") == F.col("own")))
+    rows = placed.select(F.when(F.col("parts") == 1, F.col("cell")).otherwise(F.xxhash64("cell", "part")).alias("cell"), "fp", at_home.alias("home"))
+    return rows.repartition("cell").sortWithinPartitions("cell", F.col("home").desc()).mapInArrow(_meet(distance), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

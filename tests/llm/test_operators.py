@@ -363,7 +363,8 @@ def test_simhash_groups(spark, docs, rows, empty):
     assert simhash_popcount.groups(empty).count() == 0
 
 
-def test_simhash_chain_of_near_prints(spark):
+@pytest.mark.parametrize("cell_rows", [20_000, 7])
+def test_simhash_chain_of_near_prints(spark, cell_rows):
     """Long chains and dense balls of fingerprints, links lost by none."""
     rng = random.Random(11)
     prints, at = [], rng.getrandbits(64)
@@ -383,7 +384,7 @@ def test_simhash_chain_of_near_prints(spark):
             break
         label = new
     frame = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long").distinct()
-    got = {r.node: r.label for r in simhash_popcount.components(simhash_popcount.near_links(frame)).collect()}
+    got = {r.node: r.label for r in simhash_popcount.components(simhash_popcount.near_links(frame, cell_rows=cell_rows)).collect()}
     groups = {}
     for x, k in zip(v.view(np.int64).tolist(), label.tolist()):
         groups.setdefault(k, set()).add(got.get(x, x))
