@@ -333,7 +333,7 @@ def test_encoder_agrees_with_library():
 
 
 def brute_fingerprint(t):
-    w = words((t or "").translate(LOWER))
+    w = words((t or "").lower())
     shingles = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
@@ -391,6 +391,38 @@ def test_simhash_chain_of_near_prints(spark, cell_rows):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+@pytest.mark.parametrize("cell_rows", [20_000, 9])
+def test_similar_groups(spark, docs, rows, empty, cell_rows):
+    """Families of edited copies, a chain of edits, and clean texts, against the similarities of all pairs."""
+    rng = random.Random(23)
+    vocabulary = [f"word{k}" for k in range(3000)]
+    made = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(60, 300))) for _ in range(40)]
+    for base in made[:8]:
+        for _ in range(12):  # one edit in about 80 words
+            w = base.split()
+            for _ in range(max(1, len(w) // 80)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            made.append(" ".join(w).title() if rng.random() < 0.3 else " ".join(w))
+    made += [made[0], "\n".join(made[0].split()), None, "", " ", "two words", "Two  words", "two", " ".join(made[20].split() + made[21].split())]
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)
+    got = {r.row_id: r.component_id for r in simhash_popcount.similar_groups(frame, cell_rows=cell_rows).collect()}
+    sets = []
+    for t in made:
+        w = words((t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    alike = [[len(a & b) / len(a | b) for b in sets] for a in sets]
+    for i, line in enumerate(alike):
+        for j, x in enumerate(line):
+            assert got[i] == got[j] or x < 0.8
+        assert got[i] == i or max(line[j] for j in range(len(sets)) if j != i and got[j] == got[i]) > 0.5
+    kept = simhash_popcount.keep_similar(frame).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(got.values()))
+    assert simhash_popcount.keep_similar(docs).columns == docs.columns
+    again = simhash_popcount.similar_groups(docs)
+    assert Counter(r.row_id for r in again.collect()) == Counter(i for i, _ in rows)
+    assert simhash_popcount.similar_groups(empty).count() == 0
+
+
 def test_queries_have_the_stated_columns(spark):
     first = {
         "op1": "doc_id held_out n_tokens n_known train_tokens base_score score",

@@ -23,7 +23,7 @@ def test_stages_keep_columns_and_clean_documents(spark):
     assert ids(kept["quality_rules"]) == ids(compression_bands.verdicts(docs).filter("kept"))
     lined = kept["line_dedup"]
     assert ids(lined) <= ids(kept["quality_rules"])
-    assert ids(kept["near_dedup"]) == {r.component_id for r in simhash_popcount.groups(lined).collect()}
+    assert ids(kept["near_dedup"]) == {r.component_id for r in simhash_popcount.similar_groups(lined).collect()}
     assert ids(kept["decontamination"]) == ids(kept["near_dedup"]) - {r.row_id for r in string_tiling.pairs(kept["near_dedup"], bench).collect()}
     packed = bin_completion.pack(kept["decontamination"])
     assert {r.row_id for r in packed.collect()} == ids(kept["decontamination"])
