@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddsweave.functions.rules import eligibility
+
 LEAST_PROBABILITY, MOST_PROBABILITY = 0.9, 1.35
 
 
@@ -136,6 +138,23 @@ def without_started(fixtures: DataFrame, as_of: Column, hours: int = 3) -> DataF
     return fixtures.filter(F.col("starts_at") > as_of - F.make_interval(hours=F.lit(hours)))
 
 
+def without_ineligible(rows: DataFrame, leagues: DataFrame, texts: list[str], on: str = "league_id") -> DataFrame:
+    """Fixtures or snapshots (columns ``texts``) without those that a league of senior teams doesn't admit; rows of unlisted leagues stay.
+
+    ``leagues``: ``on`` and ``senior_only``.  Without leagues, nothing goes.
+    """
+    rule = leagues.groupBy(on).agg(F.max("senior_only").alias("_senior"))
+    out = rows.join(rule, on, "left").filter(F.col("_senior").isNull() | eligibility(F.col("_senior"), *(F.col(c) for c in texts))["eligible"])
+    return out.select(*rows.columns)
+
+
+def listed_up_to(events: DataFrame, fixtures: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Of each page (``keys``) the first events in the order, as many as it has fixtures; none where it has none."""
+    many = fixtures.groupBy(*keys).agg(F.count(F.lit(1)).alias("_many"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return events.withColumn("_place", place).join(many, keys).filter("_place <= _many").select(*events.columns)
+
+
 def cascade(rows: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Rows whose fixture still exists."""
     return rows.join(fixtures.select("fixture_id").distinct(), "fixture_id", "left_semi")

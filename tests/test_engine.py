@@ -222,6 +222,21 @@ def test_streaming_sweep_and_sessions(spark, tmp_path):
     assert [(r.fixture_id, r.bookmaker) for r in seen] == [(1, "d")]
 
 
+def test_ineligible_fixtures_go_and_listings_are_cut(spark):
+    from pyspark.sql import functions as F
+
+    from oddsweave.operators import writepath
+
+    rows = spark.createDataFrame([(1, 10, "Brazil", "Chile"), (2, 10, "Brazil U20", "Chile U20"), (3, 11, "Ajax U20", None), (4, None, "Spain U20", "Italy")], "fixture_id long, league_id long, home_team string, away_team string")
+    leagues = spark.createDataFrame([(10, True), (11, False)], "league_id long, senior_only boolean")
+    left = writepath.without_ineligible(rows, leagues, ["home_team", "away_team"])
+    assert left.columns == rows.columns and sorted(r.fixture_id for r in left.collect()) == [1, 3, 4]
+    assert writepath.without_ineligible(rows, leagues.limit(0), ["home_team"]).count() == 4
+    events = spark.createDataFrame([("a", k) for k in range(4)] + [("b", 0)], "page string, nth int")
+    cut = writepath.listed_up_to(events, spark.createDataFrame([("a", 1), ("a", 2)], "page string, fixture_id long"), ["page"], F.col("nth"))
+    assert sorted(map(tuple, cut.collect())) == [("a", 0), ("a", 1)]
+
+
 def test_every_query_runs_and_has_stable_columns(spark):
     from oddsweave.plans.catalog import ORACLES, QUERIES
 
