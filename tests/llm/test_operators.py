@@ -441,3 +441,32 @@ def test_queries_have_the_stated_columns(spark):
         assert got.columns[: len(want)] == want
         if name.split("_")[0] not in ("op5", "op6"):
             assert got.count() == rows
+
+
+def test_similar_groups_are_exact_components(spark):
+    """Families of which pairs lie around 0.8: links are those of exact similarity, and chains of them."""
+    rng = random.Random(29)
+    vocabulary = [f"word{k}" for k in range(3000)]
+    made = []
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(80, 250))]
+        made.append(" ".join(base))
+        for _ in range(14):
+            w = base.copy()
+            for _ in range(max(1, round(len(w) * rng.choice([0.01, 0.015, 0.02, 0.03, 0.04])))):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            made.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in made]
+    want = list(range(len(made)))
+    near = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            x = len(a & b) / len(a | b)
+            near += 0.7 < x < 0.8
+            if x >= 0.8 and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if v == high else v for v in want]
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)
+    for cell_rows in (20_000, 9):
+        got = {r.row_id: r.component_id for r in simhash_popcount.similar_groups(frame, cell_rows=cell_rows).collect()}
+        assert near > 100 and [got[i] for i in range(len(made))] == want
