@@ -5,10 +5,12 @@ its leading tokens, tokens with a digit counting as a variable field.  In a
 leaf, templates generalise: a template is a line of which one of four segments
 behind the leading tokens is variable.  So two lines share a template if they
 have as many tokens, and agree but for masked fields and one segment.  Short
-lines have one template, themselves.
+lines have one template, themselves; in the shortest no field is masked.
 
-A template that occurs in ``min_docs`` documents or more recurs.  Lines under it
-are dropped everywhere but in the document of the smallest id that has it.
+A template that occurs in ``min_docs`` documents or more recurs; the shortest
+lines, which ordinary sentences may share, do from a share of all documents on.
+Lines under it are dropped everywhere but in the document of the smallest id
+that has it.
 
 A template is known by a 64-bit hash, computed from the line alone, so no leaf
 is ever collected: counting documents of a template is one aggregation with
@@ -31,17 +33,23 @@ _VARIABLE = np.uint64(0x2545F4914F6CDD1D)
 
 @dataclass(frozen=True)
 class Tree:
-    """``depth``: leading tokens that must agree; lines of fewer than ``min_tokens`` are never dropped, those of ``wild_tokens`` or more may vary in one of ``segments``."""
+    """``depth``: leading tokens that must agree; lines of ``wild_tokens`` or more may vary in one of ``segments``.
+
+    Lines of fewer than ``min_tokens`` recur in ``short_docs`` documents or more
+    that are ``short_share`` of all rows or more.
+    """
 
     depth: int = 3
     segments: int = 4
     min_tokens: int = 5
     wild_tokens: int = 12
     min_docs: int = 2
+    short_docs: int = 20
+    short_share: float = 0.005
 
 
 def lines_of(data: np.ndarray, at: np.ndarray, tree: Tree):
-    """Lines of a slab (first byte, end, document) and their templates: hashes, and the line of each."""
+    """Lines of a slab (first byte, end, document) and their templates: hashes (odd for the shortest lines), and the line of each."""
     w = Words(data, at)
     breaks = np.flatnonzero(w.data == 10)  # every document has one more, at its end
     begins, ends = np.concatenate(([0], breaks[:-1] + 1)), breaks
@@ -49,9 +57,10 @@ def lines_of(data: np.ndarray, at: np.ndarray, tree: Tree):
     first = np.searchsorted(w.starts, np.concatenate((begins, [len(w.data)])))
     tokens = np.diff(first)
     digits = np.concatenate(([0], np.cumsum((w.data >= 48) & (w.data <= 57))))
-    h = np.where(digits[w.ends] > digits[w.starts], _VARIABLE, w.hashes())
     line = np.repeat(np.arange(len(tokens)), tokens)
-    place = np.arange(len(h)) - first[line]
+    place = np.arange(len(line)) - first[line]
+    masked = (digits[w.ends] > digits[w.starts]) & (tokens[line] >= tree.min_tokens)
+    h = np.where(masked, _VARIABLE, w.hashes())
     h = mix(h + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h)))
     whole = total[first[1:]] - total[first[:-1]]
@@ -59,13 +68,15 @@ def lines_of(data: np.ndarray, at: np.ndarray, tree: Tree):
     leaf = mix((total[lead] - total[first[:-1]]) + tokens.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     short = np.flatnonzero((tokens >= tree.min_tokens) & (tokens < tree.wild_tokens))
     long = np.flatnonzero(tokens >= max(tree.wild_tokens, tree.min_tokens, tree.depth + tree.segments))
+    tiny = np.flatnonzero((tokens > 0) & (tokens < tree.min_tokens))
     hashes, owner = [mix(leaf[short] + whole[short])], [short]
     behind = tokens[long] - tree.depth
     for k in range(tree.segments):
         a, b = lead[long] + behind * k // tree.segments, lead[long] + behind * (k + 1) // tree.segments
         hashes.append(mix(leaf[long] + whole[long] - (total[b] - total[a]) + np.uint64(k + 1)))
         owner.append(long)
-    return w, begins, ends, doc, np.concatenate(hashes).view(np.int64), np.concatenate(owner)
+    even, odd = np.concatenate(hashes) & ~np.uint64(1), mix(leaf[tiny] + whole[tiny]) | np.uint64(1)
+    return w, begins, ends, doc, np.concatenate((even, odd)).view(np.int64), np.concatenate((*owner, tiny))
 
 
 def _templates(tree: Tree):
@@ -86,9 +97,13 @@ def templates(docs: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: s
     return rows.mapInArrow(_templates(tree), "template long, doc long")
 
 
-def recurring(found: DataFrame, tree: Tree = Tree()) -> DataFrame:
-    """Of ``templates``: those in enough documents, with the number of documents and the first."""
-    return found.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter((F.col("n_docs") >= tree.min_docs) & (F.col("first_doc") < F.col("last_doc"))).drop("last_doc")
+def recurring(found: DataFrame, docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
+    """Of ``templates`` of ``docs``: those in enough documents, with the number of documents and the first."""
+    counts = found.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
+    again = counts.filter((F.col("n_docs") >= tree.min_docs) & (F.col("first_doc") < F.col("last_doc"))).drop("last_doc")
+    of_all = F.greatest(F.lit(tree.short_docs), tree.short_share * F.col("_rows"))
+    least = F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, of_all).otherwise(F.lit(tree.min_docs))
+    return again.crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("_rows")))).filter(F.col("n_docs") >= least).drop("_rows")
 
 
 def _rewrite(tree: Tree, column: int):
@@ -131,7 +146,7 @@ def rewrite(docs: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: str
     """
     names = docs.columns
     found = stored(templates(docs, tree, key, text), "templates")
-    again = recurring(found, tree)
+    again = recurring(found, docs, tree)
     drops = found.join(again, "template").filter(F.col("doc") > F.col("first_doc")).groupBy("doc").agg(F.collect_set("template").alias("_drop"))
     keyed = docs.withColumn("_doc", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")))
     rows = keyed.join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*names, "_drop")

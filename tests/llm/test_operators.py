@@ -470,3 +470,17 @@ def test_similar_groups_are_exact_components(spark):
     for cell_rows in (20_000, 9):
         got = {r.row_id: r.component_id for r in simhash_popcount.similar_groups(frame, cell_rows=cell_rows).collect()}
         assert near > 100 and [got[i] for i in range(len(made))] == want
+
+
+def test_short_lines_recur_by_share_of_documents(spark):
+    """A notice of three words goes from all documents but the first; sentences as short that few documents share stay, also behind digits."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(6000):
+        lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(4)), f"Page {k}"]
+        lines += ["All rights reserved."] * (k % 100 == 7) + ["And so."] * (k % 300 == 9) + ["", "Yes."] * (k % 250 == 3)
+        rows.append((k, "\n".join(lines)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.text, r._dropped) for r in template_lines.rewrite(frame).collect()}
+    gone = {k for k in range(6000) if k % 100 == 7 and k != 7}
+    assert got == {k: (t.replace("\nAll rights reserved.", "") if k in gone else t, int(k in gone)) for k, t in rows}
