@@ -1,6 +1,6 @@
 """Quality rules by compression bands.
 
-A document is compressed whole, and in fixed chunks, with zstandard.  A ratio
+A document is compressed whole, and in chunks that cover all of it, with zstandard.  A ratio
 (compressed bytes over bytes) below the band says the text repeats itself, one
 above it says the text is noise.  What is usual depends on length, so the
 limits do too.  Beside the bands stands a plain base rule on word counts.
@@ -26,12 +26,20 @@ SCHEMA = "row_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 @dataclass(frozen=True)
 class Rules:
-    """``chunk``: bytes of a chunk; a document fails when over ``chunk_share`` of its whole chunks lie outside their band."""
+    """``chunk``: bytes of a chunk; a document fails when over ``chunk_share`` of its chunks lie outside their band.
+
+    The last chunk ends where the text ends, so it may overlap the one before it.
+    Texts shorter than a chunk have chunks of ``small`` bytes with limits of
+    their own; those shorter still are one chunk, the band of their length.
+    """
 
     level: int = 3
     chunk: int = 4096
     chunk_low: float = 0.25
     chunk_high: float = 0.72
+    small: int = 512
+    small_low: float = 0.28
+    small_high: float = 0.75
     chunk_share: float = 0.34
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -41,6 +49,16 @@ def band_of(n_bytes: int) -> tuple[int, float, float]:
     return next(b for b in reversed(BANDS) if n_bytes >= b[0])
 
 
+def chunk_ratios(body: bytes, rules: Rules, pack) -> tuple[list[float], float, float]:
+    """Ratios of the chunks that cover all of a text, and the least and the largest that pass."""
+    size = len(body)
+    step, low, high = (rules.chunk, rules.chunk_low, rules.chunk_high) if size >= rules.chunk else (rules.small, rules.small_low, rules.small_high)
+    if size < step:
+        return [len(pack(body)) / size] if size else [], *band_of(size)[1:]
+    starts = [*range(0, size - step, step), size - step]
+    return [len(pack(body[k : k + step])) / step for k in starts], low, high
+
+
 def _measure(rules: Rules):
     def run(batches):
         import zstandard
@@ -73,8 +91,8 @@ def _measure(rules: Rules):
                     lines = [x for x in body.split(b"\n") if x.strip(b" \t\r\x0b\x0c")]
                     size = len(body)
                     ratio = len(pack(body)) / size if size else 0.0
-                    chunks = [len(pack(body[k : k + rules.chunk])) / rules.chunk for k in range(0, size - rules.chunk + 1, rules.chunk)]
-                    low, high = sum(x < rules.chunk_low for x in chunks), sum(x > rules.chunk_high for x in chunks)
+                    chunks, chunk_low, chunk_high = chunk_ratios(body, rules, pack)
+                    low, high = sum(x < chunk_low for x in chunks), sum(x > chunk_high for x in chunks)
                     _, least, most = band_of(size)
                     verdict = "empty" if not size else "repetitive" if ratio < least else "noisy" if ratio > most else "chunks" if low + high > rules.chunk_share * len(chunks) else "ok"
                     out.append((len(lines) - len(set(lines)), size, ratio, len(chunks), low, high, verdict))

@@ -484,3 +484,15 @@ def test_short_lines_recur_by_share_of_documents(spark):
     got = {r.doc_id: (r.text, r._dropped) for r in template_lines.rewrite(frame).collect()}
     gone = {k for k in range(6000) if k % 100 == 7 and k != 7}
     assert got == {k: (t.replace("\nAll rights reserved.", "") if k in gone else t, int(k in gone)) for k, t in rows}
+
+
+@pytest.mark.parametrize("size", [4096, 1000])
+def test_bands_judge_all_of_a_text(spark, size):
+    """Noise is found wherever it stands, also behind the last whole chunk and in texts shorter than one."""
+    rng = random.Random(2)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(40)) for _ in range(100))
+    prose = " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.4 else "".join(rng.choice(["an", "er", "on", "th", "ing"]) for _ in range(3)) for _ in range(1500))
+    made = [prose[:size] + noise[: size - 6], noise[: size - 6] + prose[:size], prose[: 2 * size - 6]]
+    got = {r.doc_id: r for r in compression_bands.verdicts(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    assert [got[k].band for k in range(3)] == ["chunks", "chunks", "ok"]
+    assert {got[k].n_chunks for k in range(3)} == {-(-(2 * size - 6) // (4096 if size == 4096 else 512))}
