@@ -8,6 +8,7 @@ array operations and gives each a 64-bit hash that depends on its bytes alone.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 SLAB_BYTES = 2 << 20
 
@@ -29,11 +31,18 @@ _powers: list[np.ndarray] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new path in the folder that driver and executors share.
+
+    The session names it (``spark.checkpoint.dir``).  Where it doesn't, one
+    process alone may use a temporary folder of its own; a cluster may not.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="oddsweave-")
-        spark.sparkContext.setCheckpointDir(root)
+        context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,6 +53,22 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(docs: DataFrame, key: str) -> Column:
+    """The key column as a 64-bit number.  Keys are whole numbers (or null); any other type is refused before a job runs."""
+    kind = docs.schema[key].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"column {key} is of type {kind.simpleString()}; keys must be whole numbers")
+    return F.col(f"`{key}`").cast("long")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from all ``taken`` (letter case aside)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,6 +99,12 @@ def slabs(batch: pa.RecordBatch, column: str = "text", size: int = SLAB_BYTES):
         row = end
 
 
+def texts_of(data: np.ndarray, at: np.ndarray) -> list[str]:
+    """The texts of a slab."""
+    raw = data.tobytes()
+    return [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^64, and of its inverse."""
     if not _powers or len(_powers[0]) < n:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsweave.llm._shared import Words, mix, per_doc_sum, slabs, windows
+from oddsweave.llm._shared import Words, mix, per_doc_sum, row_key, slabs, windows
 
 #: Bytes from which a band holds, the least and the largest ratio that pass.
 BANDS = ((0, 0.0, 9.0), (64, 0.30, 1.30), (128, 0.30, 1.05), (256, 0.30, 0.90), (512, 0.28, 0.85), (1024, 0.25, 0.77), (4096, 0.22, 0.72), (16384, 0.20, 0.70))
@@ -111,7 +111,7 @@ def measure(docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id", text:
     Null or empty text: no words, ratio 0, verdict ``empty``.  Rows that repeat
     give rows that repeat.  Other columns are not read.  No shuffle.
     """
-    return docs.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).mapInArrow(_measure(rules), SCHEMA)
+    return docs.select(row_key(docs, key).alias("row_id"), F.col(text).alias("text")).mapInArrow(_measure(rules), SCHEMA)
 
 
 def verdicts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsweave.llm._shared import Words, mix, slabs, stored, windows
+from oddsweave.llm._shared import Words, mix, row_key, slabs, stored, windows
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 GROUPS, WIDTH = 3, 2
@@ -105,7 +105,7 @@ def _fingerprints(shingle: int, seed: int):
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key and the 64-bit fingerprint (as a signed number) of every row; zero for null and for texts without words."""
-    return docs.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).mapInArrow(_fingerprints(shingle, seed), "row_id long, fp long")
+    return docs.select(row_key(docs, key).alias("row_id"), F.col(text).alias("text")).mapInArrow(_fingerprints(shingle, seed), "row_id long, fp long")
 
 
 def places(fp: np.ndarray, groups: int = GROUPS, width: int = WIDTH):
@@ -510,7 +510,7 @@ def similar_groups(docs: DataFrame, rule: Similar = Similar(), cell_rows: int =
     shingle; null texts and texts without words are alike; repeated rows give
     repeated rows; null keys as in ``groups``; other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text"))
+    rows = docs.select(row_key(docs, key).alias("row_id"), F.col(text).alias("text"))
     schema = f"row_id long, fp long, {', '.join(f'{c} long' for c in _SKETCH)}, cells array<long>"
     prints = stored(rows.mapInArrow(_sketches(rule), schema), "sketches")
     same = [F.first(c).alias(c) for c in (*_SKETCH, "cells")]  # equal sets have equal sketches
