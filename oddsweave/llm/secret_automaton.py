@@ -9,8 +9,11 @@ The pass is data-parallel: texts are cut into lanes of equal length that advance
 together, one table look-up per byte and lane.  A lane that starts inside a text
 guesses the start state; lanes whose guess was wrong run again from the true
 state, until every lane starts where its left neighbour ended.  Only texts in
-which some rule fired are then walked, rule by rule, for the exact spans:
-leftmost, longest, not overlapping within a kind.
+which some rule fired are then walked, for the rules that fired, to give the
+exact spans: leftmost, longest, not overlapping within a kind.  An automaton of
+the reversed rule reads the text once from its end and marks where matches
+start; from a start the rule's own automaton finds the end.  So no place without
+a match is ever tried, and time grows with the text's length.
 """
 
 from __future__ import annotations
@@ -24,41 +27,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsweave.llm._shared import slabs
+from oddsweave.llm._shared import row_key, slabs
 
 LANE = 1024
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``least``: characters of the match (with ``value``: of what is assigned in it) below which it is dropped."""
+    """``least``: characters of the match (with ``value``: of what is assigned in it) below which it is dropped.
+
+    ``scan``: what the combined pass looks for instead; every match that is long
+    enough must hold it.  A counted run makes far fewer texts fire, and a part
+    without loops keeps the product with other rules' loops small.
+    """
 
     kind: str
     pattern: str
     least: int = 0
     value: bool = False
+    scan: str = ""
 
 
 #: The three base rules, in their order, as the contract states them, then those that the method adds.
 BASE = (
     Rule("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
-    Rule("hex", r"[0-9a-f]+", 24),
+    Rule("hex", r"[0-9a-f]+", 24, scan=r"[0-9a-f]{24}"),
 )
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("bearer", r"(?:ghp|gho|ghs|xoxb|xoxp|sk_live)[_-][A-Za-z0-9-]+", 24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", scan=r"PRIVATE KEY-----"),
+    Rule("bearer", r"(?:ghp|gho|ghs|ghu|xoxb|xoxp|xoxa|sk_live|rk_live)[_-][A-Za-z0-9-]+", 24, scan=r"(?:ghp|gho|ghs|ghu|xoxb|xoxp|xoxa|sk_live|rk_live)[_-][A-Za-z0-9-]"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, scan=r"\.eyJ"),
+    Rule("maps", r"AIza[A-Za-z0-9_-]+", 39, scan=r"AIza[A-Za-z0-9_-]"),
+    Rule("package", r"(?:npm_|pypi-|glpat-|github_pat_)[A-Za-z0-9_-]+", 26, scan=r"(?:npm_|pypi-|glpat-|github_pat_)[A-Za-z0-9_-]"),
+    Rule("login", r"[a-z]+://[A-Za-z0-9._-]+:[A-Za-z0-9._%!+-]+@[A-Za-z0-9]", scan=r"[A-Za-z0-9._%!+-]@[A-Za-z0-9]"),
 )
 RULES = BASE + ADDED
-#: Rules of one run of a class may be compiled with their least length: dropping a short run never frees another match.
-COUNTED = {"hex": r"[0-9a-f]{24}"}
+#: Bits of the word in which a state says which rules end in it.
+MOST_RULES = 64
 
 
 class _Nfa:
-    """Thompson's construction over the parse tree of a byte regex."""
+    """Thompson's construction over the parse tree of a byte regex; ``back``: of what it matches, read from the end."""
 
-    def __init__(self):
+    def __init__(self, back: bool = False):
+        self.back = back
         self.eps: list[list[int]] = []
         self.step: list[tuple[frozenset[int], int] | None] = []
 
@@ -69,7 +82,7 @@ class _Nfa:
 
     def add(self, tree, at: int) -> int:
         """Adds what ``tree`` matches behind state ``at``; the state where it ends."""
-        for op, arg in tree:
+        for op, arg in reversed(list(tree)) if self.back else tree:
             at = getattr(self, f"_{str(op).lower()}")(arg, at)
         return at
 
@@ -129,11 +142,13 @@ class Dfa:
     dead: int
 
 
-def compile_rules(patterns: tuple[str, ...], anywhere: bool) -> Dfa:
-    """One minimal automaton for all patterns; ``anywhere``: a match may begin at any byte."""
+def compile_rules(patterns: tuple[str, ...], anywhere: bool, back: bool = False) -> Dfa:
+    """One minimal automaton for all patterns; ``anywhere``: a match may begin at any byte; ``back``: texts are read from their end."""
     from re import _parser
 
-    nfa = _Nfa()
+    if len(patterns) > MOST_RULES:
+        raise ValueError(f"{len(patterns)} rules; one automaton tells {MOST_RULES} apart")
+    nfa = _Nfa(back)
     root = nfa.new()
     final: dict[int, int] = {}
     for bit, pattern in enumerate(patterns):
@@ -172,7 +187,7 @@ def compile_rules(patterns: tuple[str, ...], anywhere: bool) -> Dfa:
             row.append(index[to])
         move.append(row)
     table = np.array(move, np.int64)
-    accept = np.array([sum({final[x] for x in state if x in final}) for state in order], np.int64)
+    accept = np.array([sum({final[x] for x in state if x in final}) for state in order], np.uint64)
 
     part = np.unique(accept, return_inverse=True)[1].ravel()
     while True:  # refine until states of one part move to the same parts
@@ -186,14 +201,13 @@ def compile_rules(patterns: tuple[str, ...], anywhere: bool) -> Dfa:
     head = np.sort(head)
     small = rank[part[table[head]]]
     dead = next((s for s in range(len(head)) if not accept[head[s]] and (small[s] == s).all()), -1)
-    return Dfa(classes.astype(np.uint8), small.astype(np.uint16 if len(head) < 65536 else np.uint32), accept[head].astype(np.uint16), dead)
+    return Dfa(classes.astype(np.uint8), small.astype(np.uint16 if len(head) < 65536 else np.uint32), accept[head], dead)
 
 
 @lru_cache(8)
-def automata(rules: tuple[Rule, ...]) -> tuple[Dfa, tuple[Dfa, ...]]:
-    """The combined automaton that scans, and one of each rule that finds where a match ends."""
-    patterns = tuple(COUNTED.get(r.kind, r.pattern) for r in rules)
-    return compile_rules(patterns, True), tuple(compile_rules((r.pattern,), False) for r in rules)
+def automata(rules: tuple[Rule, ...]) -> tuple[Dfa, tuple[tuple[Dfa, Dfa], ...]]:
+    """The combined automaton that scans, and two of each rule: one that finds where a match ends, one that finds from behind where matches start."""
+    return compile_rules(tuple(r.scan or r.pattern for r in rules), True), tuple((compile_rules((r.pattern,), False), compile_rules((r.pattern,), True, True)) for r in rules)
 
 
 def fired(dfa: Dfa, data: np.ndarray, at: np.ndarray, lane: int = LANE) -> np.ndarray:
@@ -202,7 +216,7 @@ def fired(dfa: Dfa, data: np.ndarray, at: np.ndarray, lane: int = LANE) -> np.nd
     per = -(-sizes // lane)
     owner = np.repeat(np.arange(len(sizes)), per)
     if not len(owner):
-        return np.zeros(len(sizes), np.uint16)
+        return np.zeros(len(sizes), np.uint64)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     begin = at[owner] + nth * lane
     length = np.minimum(at[owner + 1] - begin, lane)
@@ -212,12 +226,12 @@ def fired(dfa: Dfa, data: np.ndarray, at: np.ndarray, lane: int = LANE) -> np.nd
     flat = dfa.move.ravel()
     state = np.zeros(len(owner), np.int64)  # the guess at each lane's start
     out = np.zeros(len(owner), np.int64)
-    bits = np.zeros(len(owner), np.uint16)
+    bits = np.zeros(len(owner), np.uint64)
     todo = np.arange(len(owner))
     while len(todo):
         by = todo[np.argsort(-length[todo], kind="stable")]
         size, where, now = length[by], begin[by], state[by].copy()
-        seen = np.zeros(len(by), np.uint16)
+        seen = np.zeros(len(by), np.uint64)
         active = len(by)
         for k in range(int(size[0])):
             while size[active - 1] <= k:
@@ -228,36 +242,45 @@ def fired(dfa: Dfa, data: np.ndarray, at: np.ndarray, lane: int = LANE) -> np.nd
         true = np.where(nth > 0, np.concatenate(([0], out[:-1])), 0)
         todo = np.flatnonzero(true != state)
         state = true
-    result = np.zeros(len(sizes), np.uint16)
+    result = np.zeros(len(sizes), np.uint64)
     np.bitwise_or.at(result, owner, bits)
     return result
 
 
-def matches(dfa: Dfa, body: bytes) -> list[tuple[int, int]]:
+def starts(back: Dfa, body: bytes) -> list[int]:
+    """Where matches of a rule start, ascending; ``back``: the automaton of the reversed rule."""
+    move, accept = back.move.tolist(), back.accept.tolist()
+    state, found = 0, []
+    for k, c in enumerate(back.classes[np.frombuffer(body, np.uint8)[::-1]].tolist()):
+        state = move[state][c]
+        if accept[state]:
+            found.append(len(body) - 1 - k)
+    return found[::-1]
+
+
+def matches(pair: tuple[Dfa, Dfa], body: bytes) -> list[tuple[int, int]]:
     """Byte spans of the leftmost, longest, not overlapping matches of one rule."""
+    dfa, back = pair
     move, accept = dfa.move.tolist(), dfa.accept.tolist()
-    cls = dfa.classes[np.frombuffer(body, np.uint8)]
-    heads = np.flatnonzero(dfa.move[0][cls] != dfa.dead).tolist() if dfa.dead >= 0 else range(len(body))
-    cls, found, free = cls.tolist(), [], 0
-    for start in heads:
+    cls, found, free = dfa.classes[np.frombuffer(body, np.uint8)].tolist(), [], 0
+    for start in starts(back, body):
         if start < free:
             continue
-        state, k, end = 0, start, -1
-        while k < len(cls):
+        state, end = 0, start
+        for k in range(start, len(cls)):
             state = move[state][cls[k]]
             if state == dfa.dead:
                 break
-            k += 1
             if accept[state]:
-                end = k
+                end = k + 1
         if end > start:
             found.append((start, end))
             free = end
     return found
 
 
-def spans(body: bytes, rules: tuple[Rule, ...], single: tuple[Dfa, ...], bits: int) -> list[tuple[int, int, int]]:
-    """(start, rule number, end) in code points, by start and then rule; ``single``: an automaton of each rule."""
+def spans(body: bytes, rules: tuple[Rule, ...], single: tuple[tuple[Dfa, Dfa], ...], bits: int) -> list[tuple[int, int, int]]:
+    """(start, rule number, end) in code points, by start and then rule; ``single``: the automata of each rule."""
     out = []
     chars = np.concatenate(([0], np.cumsum((np.frombuffer(body, np.uint8) & 0xC0) != 0x80)))
     for n, rule in enumerate(rules):
@@ -311,14 +334,19 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)
     """One row per input row: matches of each rule, a digest of the spans of the first ``base`` rules, all spans.
 
     Null or empty text has no spans (the digest is that of the empty string);
-    repeated rows give repeated rows; other columns are not read.  No shuffle.
+    repeated rows give repeated rows; keys are whole numbers or null; other
+    columns are not read; no rows give no rows.  No shuffle.
     """
     run, schema = _scan(rules, base)
-    return docs.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(row_key(docs, key).alias("row_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of their texts replaced by ``mark``; null stays null."""
+    """``docs`` with every span of their texts replaced by ``mark``.
+
+    Null stays null, spans that overlap share a mark, all other columns and the
+    number of rows stay as they are.
+    """
     dfa, single = automata(rules)
 
     def run(batches):
