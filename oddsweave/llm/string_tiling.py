@@ -2,20 +2,24 @@
 
 Benchmark items are tokenised (lower case, runs of letters, digits and bytes
 beyond ASCII) and every run of ``least`` tokens gets a running Karp-Rabin hash.
-Documents roll the same hash; what they share with items are seeds.  Seeds on one
-diagonal that touch are one match.  Greedy tiling then marks the longest match,
-cuts what overlaps it, and goes on until no match of ``least`` unmarked tokens is
-left.  An item whose tokens are tiled to a share of ``coverage`` or more
-contaminates the document, in whatever order its passages stand.
+Documents roll the same hash; what they share with items are seeds.  The places
+of an item that its seeds in a document reach bound what tiles can cover; pairs
+that can't reach ``coverage`` end there.
+
+For the others, greedy tiling marks the longest run of unmarked tokens that
+both have, then the next longest, until none of ``least`` tokens is left.  The
+longest length is found by bisection over running hashes of that length, so a
+pair needs memory for its tokens, however often they repeat.  An item whose
+tokens are tiled to a share of ``coverage`` or more contaminates the document,
+in whatever order its passages stand.
 
 The benchmark is a stated set of queries.  It goes to the tasks in blocks of at
 most ``BLOCK_BYTES`` of text, so what is broadcast has a bound; documents are
-scanned where they lie, without a shuffle.
+scanned where they lie, without a shuffle, once for each block.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsweave.llm._shared import Words, mix, slabs
+from oddsweave.llm._shared import Words, mix, row_key, slabs
 
 BLOCK_BYTES = 8 << 20
+#: Places of items that documents reach, compared at once in a task.
+REACHED = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -43,15 +49,18 @@ def tokens(data: np.ndarray, at: np.ndarray) -> Words:
     return Words(data, at, lower=True, space=_APART)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64, and of its inverse."""
+    return tuple(np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n - 1, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
 def karp_rabin(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Running hashes of all runs of ``n`` tokens inside one text, and where they start."""
     if len(h) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        up = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(h) - 1, _BASE, np.uint64))))
-        down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(h) - n, pow(_BASE, -1, 1 << 64), np.uint64))))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up)))
-        out = mix((total[n:] - total[:-n]) * down)
+    up, down = powers(len(h))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up)))
+    out = mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
     inside = np.ones(len(out), bool)
     for k in range(1, n):
         cut = first[1:-1] - k
@@ -67,82 +76,113 @@ class Items:
         raw = [(t or "").encode() for t in texts]
         at = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
         w = tokens(np.frombuffer(b"".join(raw), np.uint8), at)
-        seeds, start = karp_rabin(w.hashes(), w.first, rule.least)
+        self.words = w.hashes()
+        seeds, start = karp_rabin(self.words, w.first, rule.least)
         item = np.searchsorted(w.first, start, side="right") - 1
         order = np.argsort(seeds, kind="stable")
-        self.rule, self.ids, self.length = rule, ids, w.per_doc
+        self.rule, self.ids, self.length, self.first = rule, ids, w.per_doc, w.first
         self.seeds, self.item, self.place = seeds[order], item[order], (start - w.first[item])[order]
 
-    def matches(self, w: Words):
-        """Shared seeds: document, item, place in the item, place in the document."""
-        h, start = karp_rabin(w.hashes(), w.first, self.rule.least)
+    def reached(self, words: np.ndarray, first: np.ndarray):
+        """(document, item) of all pairs whose shared seeds reach ``coverage`` of the item's tokens; no tiling covers more."""
+        h, start = karp_rabin(words, first, self.rule.least)
         low = np.searchsorted(self.seeds, h)
         hit = np.flatnonzero(low < len(self.seeds))
         hit = hit[self.seeds[low[hit]] == h[hit]]
-        low, start = low[hit], start[hit]
-        many = np.searchsorted(self.seeds, h[hit], side="right") - low
-        k = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        start = np.repeat(start, many)
-        doc = np.searchsorted(w.first, start, side="right") - 1
-        return doc, self.item[k], self.place[k], start - w.first[doc]
+        doc = np.searchsorted(first, start[hit], side="right") - 1
+        seen = np.unique(doc * len(self.seeds) + low[hit])  # a seed counts once in a document, however often it repeats there
+        doc, low = seen // max(1, len(self.seeds)), seen % max(1, len(self.seeds))
+        many = np.searchsorted(self.seeds, self.seeds[low], side="right") - low
+        ends = np.append(np.flatnonzero(np.diff(doc)) + 1, len(doc)) if len(doc) else []
+        total = np.concatenate(([0], np.cumsum(many)))
+        a = 0
+        for b, end in zip(ends, [*ends[1:], None]):  # documents as they fit; one alone reaches each place once at most
+            if end is not None and total[end] - total[a] <= REACHED:
+                continue
+            k = np.repeat(low[a:b] - (total[a:b] - total[a]), many[a:b]) + np.arange(int(total[b] - total[a]))
+            owner, item, place = np.repeat(doc[a:b], many[a:b]), self.item[k], self.place[k]
+            order = np.lexsort((place, item, owner))
+            owner, item, place = owner[order], item[order], place[order]
+            pair = np.flatnonzero(np.concatenate(([True], (np.diff(owner) != 0) | (np.diff(item) != 0))))
+            step = np.append(np.diff(place), self.rule.least)
+            step[np.append(pair[1:], len(owner)) - 1] = self.rule.least
+            good = np.add.reduceat(np.minimum(step, self.rule.least), pair) >= self.rule.coverage * self.length[item[pair]]
+            yield from zip(owner[pair[good]].tolist(), item[pair[good]].tolist())
+            a = b
 
     def found(self, w: Words) -> list[tuple[int, int, float, int, int, str]]:
         """(document, item, coverage, tiles, longest tile, spans) of all pairs that reach the coverage."""
-        doc, item, place, start = self.matches(w)
-        if not len(doc):
-            return []
-        order = np.lexsort((place, item, doc))
-        doc, item, place, start = doc[order], item[order], place[order], start[order]
-        pair = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item) != 0))))
-        ends = np.append(pair[1:], len(doc))
-        # No tiling covers more of an item than all its seeds together do.
-        step = np.append(np.diff(place), self.rule.least)
-        step[ends - 1] = self.rule.least
-        bound = np.add.reduceat(np.minimum(step, self.rule.least), pair)
-        good = bound >= self.rule.coverage * self.length[item[pair]]
-        out = []
-        for a, b in zip(pair[good], ends[good]):
-            d, i = int(doc[a]), int(item[a])
-            tiles = tile(place[a:b], start[a:b], self.rule.least)
+        out, words = [], w.hashes()
+        for d, i in self.reached(words, w.first):
+            tiles = tile(self.words[self.first[i] : self.first[i + 1]], words[w.first[d] : w.first[d + 1]], self.rule.least)
             covered = sum(n for *_, n in tiles)
             if covered >= self.rule.coverage * self.length[i]:
                 out.append((d, i, covered / int(self.length[i]), len(tiles), max(n for *_, n in tiles), ",".join(f"{p}:{s}:{n}" for p, s, n in sorted(tiles))))
         return out
 
 
-def tile(place: np.ndarray, start: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in the item, place in the document, tokens) from all shared seeds of a pair."""
-    diagonal = start - place
-    order = np.lexsort((place, diagonal))
-    p, d = place[order], diagonal[order]
-    first = np.flatnonzero(np.concatenate(([True], (np.diff(d) != 0) | (np.diff(p) != 1))))
-    last = np.append(first[1:], len(p)) - 1
-    heap = [(-int(p[b] - p[a] + least), int(p[a]), int(p[a] + d[a])) for a, b in zip(first, last)]
-    heapq.heapify(heap)
-    used_item, used_doc, tiles = set(), set(), []
-    while heap:
-        n, a, s = heapq.heappop(heap)
-        free = [a + k not in used_item and s + k not in used_doc for k in range(-n)]
-        if all(free):
-            tiles.append((a, s, -n))
-            used_item.update(range(a, a - n))
-            used_doc.update(range(s, s - n))
-            continue
-        k = 0
-        while k < -n:
-            e = k
-            while e < -n and free[e]:
-                e += 1
-            if e - k >= least:
-                heapq.heappush(heap, (k - e, a + k, s + k))
-            k = e + 1
+class _Runs:
+    """Running hashes of all runs of unmarked tokens of one text, of whatever length is asked for."""
+
+    def __init__(self, words: np.ndarray):
+        up, self.down = powers(len(words) + 1)
+        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])))
+        self.marked = np.zeros(len(words), bool)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of ``n`` tokens without a mark, and where they start."""
+        marks = np.concatenate(([0], np.cumsum(self.marked)))
+        at = np.flatnonzero(marks[n:] == marks[:-n])
+        return mix((self.total[at + n] - self.total[at]) * self.down[at]), at
+
+
+def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in the item, place in the document, tokens) of two lists of token hashes.
+
+    The longest run of unmarked tokens that both have comes first; of equal
+    length, the one that stands first in the item, then in the document.
+    """
+    a, b = _Runs(item), _Runs(doc)
+    tiles, most = [], min(len(item), len(doc))
+    while most >= least:
+        low, high = least - 1, most  # runs of ``low`` tokens are shared (or too short to matter), longer than ``high`` none
+        while low < high:
+            n = (low + high + 1) // 2
+            if np.isin(a.of(n)[0], b.of(n)[0]).any():
+                low = n
+            else:
+                high = n - 1
+        if low < least:
+            break
+        (mine, at), (other, to) = a.of(low), b.of(low)
+        shared = np.isin(mine, other)
+        order = np.argsort(other, kind="stable")
+        other, to = other[order], to[order]
+        begin = np.searchsorted(other, mine[shared])
+        end = np.searchsorted(other, mine[shared], side="right").tolist()
+        tried: dict[int, int] = {}  # of each run: how many of its places in the document are behind
+        free = 0
+        for p, k, stop in zip(at[shared].tolist(), begin.tolist(), end):
+            if p < free:
+                continue
+            x = tried.get(k, k)
+            while x < stop and b.marked[to[x] : to[x] + low].any():
+                x += 1
+            tried[k] = x
+            if x < stop:
+                s = int(to[x])
+                tiles.append((p, s, low))
+                a.marked[p : p + low] = True
+                b.marked[s : s + low] = True
+                free = p + low
+        most = low - 1
     return tiles
 
 
 def blocks(benchmark: DataFrame, rule: Tiling, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> list:
     """The benchmark in broadcast blocks of about ``block_bytes`` of text."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text")).filter(F.length("text") > 0)
+    rows = benchmark.select(row_key(benchmark, key).alias("item"), F.col(text).alias("text")).filter(F.length("text") > 0)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     many = -(-size // block_bytes)
     out = []
@@ -171,10 +211,11 @@ def _search(items):
 def pairs(docs: DataFrame, benchmark: DataFrame, rule: Tiling = Tiling(), key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """One row per document row and item that contaminates it: coverage, tiles (item place:document place:tokens).
 
-    Null and empty texts and items find nothing; repeated rows on either side
-    give repeated rows; other columns are not read.
+    Null and empty texts and items, and items of fewer than ``least`` tokens,
+    find nothing; repeated rows on either side give repeated rows; an empty side
+    gives no rows; keys are whole numbers or null; other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text"))
+    rows = docs.select(row_key(docs, key).alias("row_id"), F.col(text).alias("text"))
     out = docs.sparkSession.createDataFrame([], _PAIRS)
     for k, block in enumerate(blocks(benchmark, rule, item, text)):
         part = rows.mapInArrow(_search(block), _PAIRS)
@@ -183,7 +224,11 @@ def pairs(docs: DataFrame, benchmark: DataFrame, rule: Tiling = Tiling(), key: s
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, rule: Tiling = Tiling(), text: str = "text", item: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, all columns as they were; no join, no shuffle."""
+    """The rows of ``docs`` that no item contaminates, all columns as they were; no join, no shuffle.
+
+    Null and empty texts stay, and so do all rows if there are no items; rows
+    that repeat stay or go together.
+    """
 
     def clean(items):
         def run(batches):
