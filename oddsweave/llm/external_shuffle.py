@@ -6,19 +6,24 @@ a seed of its own.  Buckets in order, and records in their order inside, are one
 uniformly random order of all records; shards are equal runs of it, so their row
 counts differ by one at most.
 
-A record's bucket depends on the seed and the record alone, so a lost executor's
-work is done again the same way.  Rows that are equal in every respect would all
-meet in one bucket; those that are that frequent are found first and salted.
+Records are written once with their hash before they are scattered, so counting
+and scattering see the same rows and a lost executor's work is done again the
+same way.  A record's bucket depends on the seed, its key and its text.  Rows
+equal in both would all meet in one bucket; those that are that frequent are
+found first and salted with their place in what was written.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from oddsweave.llm._shared import free_name, stored
+
 BUCKET_BYTES = 16 << 20
 SALTS = 256
 
@@ -31,7 +36,8 @@ def _fisher_yates(rows: int, seed: int, bucket: int) -> np.ndarray:
 def _shuffled(seed: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table["_bucket"][0].as_py()
-        table = table.sort_by([("_order", "ascending")])  # the order in which records arrive must not matter
+        # The order in which records arrive must not matter.
+        table = table.take(pc.sort_indices(table.select(["_order", "_place"]), sort_keys=[("_order", "ascending"), ("_place", "ascending")]))
         n = table.num_rows
         table = table.take(pa.array(_fisher_yates(n, seed, bucket)))
         return table.set_column(table.schema.get_field_index("_order"), "_order", pa.array(np.arange(n, dtype=np.int64)))
@@ -52,22 +58,22 @@ def _whole(a: Column, by: int) -> Column:
 def shuffle(docs: DataFrame, shards: int = 24, seed: int = 20240117, bucket_bytes: int = BUCKET_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with ``shard`` (0 to shards-1), ``slot`` (gapless from 0 in a shard) and ``bucket``.
 
-    Null keys and texts take part like others; repeated rows each get a slot;
-    an empty table gives no rows.  ``docs`` must give the same rows when it is
-    computed again.  Columns of these names in ``docs`` are replaced.
+    Null keys and texts take part like others, keys may be of any type; repeated
+    rows each get a slot; an empty table gives no rows.  Where ``docs`` has a
+    column of one of the three names, the new one has an underscore behind it.
+    Where buckets begin is a running sum over one row a bucket, in one task.
     """
-    spark = docs.sparkSession
-    plain = docs.drop("shard", "slot", "bucket", "_bucket", "_order", "_hash")
-    hashed = plain.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
-    counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"), F.sum(text_size(F.col(text))).alias("bytes"))
+    record = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record")
+    hashed = stored(docs.select(record, F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`")).alias("_hash"), text_size(F.col(f"`{text}`")).alias("_size"), F.monotonically_increasing_id().alias("_place")), "records")
+    counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("bytes"))
     rows, size = counts.agg(F.sum("n"), F.sum("bytes")).first()
     buckets = max(1, -(-(size or 0) // bucket_bytes))
     # Keys with more rows than a thousandth of all: under a thousand of them, whatever the data.
     hot = [r["_hash"] for r in counts.filter(F.col("n") > max(1000, (rows or 0) // 1000)).select("_hash").collect()]
-    salt = F.when(F.col("_hash").isin(hot), F.monotonically_increasing_id() % SALTS) if hot else F.lit(None).cast("long")
+    salt = F.when(F.col("_hash").isin(hot), F.col("_place") % SALTS) if hot else F.lit(None).cast("long")
     placed = hashed.withColumn("_order", F.xxhash64(F.lit(seed + 1), F.col("_hash"), salt)).withColumn("_bucket", F.pmod("_order", F.lit(buckets)))
-    scattered = placed.repartition(max(1, min(buckets, 100_000)), "_bucket").drop("_hash")
-    schema = StructType([*plain.schema.fields, StructField("_order", LongType()), StructField("_bucket", LongType())])
+    scattered = placed.repartition(max(1, min(buckets, 100_000)), "_bucket").select("record", "_order", "_place", "_bucket")
+    schema = StructType([hashed.schema["record"], *(StructField(c, LongType()) for c in ("_order", "_place", "_bucket"))])
     mixed = scattered.groupBy("_bucket").applyInArrow(_shuffled(seed), schema)
     # One row a bucket: where it begins in the order of all.
     per_bucket = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -79,10 +85,17 @@ def shuffle(docs: DataFrame, shards: int = 24, seed: int = 20240117, bucket_byte
     shorter = F.lit(more) + _whole(rank - cut, max(few, 1))
     shard = F.when(rank < cut, longer).otherwise(shorter)
     slot = F.when(rank < cut, rank - longer * (few + 1)).otherwise(rank - cut - (shorter - more) * max(few, 1))
-    return mixed.join(F.broadcast(begins) if buckets <= 100_000 else begins, "_bucket").select(*plain.columns, shard.cast("int").alias("shard"), slot.alias("slot"), F.col("_bucket").alias("bucket"))
+    own = [F.col("record").getField(c).alias(c) for c in docs.columns]
+    shard_as, slot_as, bucket_as = (free_name(c, docs.columns) for c in ("shard", "slot", "bucket"))
+    return mixed.join(F.broadcast(begins) if buckets <= 100_000 else begins, "_bucket").select(*own, shard.cast("int").alias(shard_as), slot.alias(slot_as), F.col("_bucket").alias(bucket_as))
 
 
 def write(docs: DataFrame, path: str, shards: int = 24, seed: int = 20240117) -> None:
-    """Shuffles ``docs`` and writes one folder per shard, its rows in slot order."""
+    """Shuffles ``docs`` and writes each bucket where it lies, into folders by shard; a file's rows are in slot order.
+
+    No second shuffle: a bucket is a run of the order of all, so a task adds a
+    file to few shards.  Null and repeated rows and clashing names as in ``shuffle``.
+    """
     out = shuffle(docs, shards, seed)
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shard, slot = free_name("shard", docs.columns), free_name("slot", docs.columns)
+    out.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
