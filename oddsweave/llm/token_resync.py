@@ -24,17 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsweave.llm._shared import row_key, slabs, texts_of
+
 CHUNK, OVERLAP = 16384, 512
 #: More characters than any added token of the vocabulary has.
 MARGIN = 32
+
+
 def _path(vocabulary: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(vocabulary)
 
 
-#: Beyond these letters the two libraries' character classes may be of different Unicode versions; longer texts could exhaust one's regex stack.
-_FAR, LONGEST = re.compile("[\u0250-\U0010ffff]"), 1 << 20
+#: Beyond these letters the two libraries' character classes may be of different Unicode versions.
+_FAR = re.compile("[\u0250-\U0010ffff]")
+#: A longer text could exhaust the stack of one library's regexes.
+LONGEST = 1 << 20
 
 
 class Encoder:
@@ -135,18 +141,16 @@ def _count(vocabulary: str, limit: int, chunk: int, overlap: int):
     def run(batches):
         enc = encoder(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo in range(0, len(texts), 1000):
-                part = texts[lo : lo + 1000]
+            for lo, hi, data, at in slabs(batch):
+                part = texts_of(data, at)
                 short = [k for k, t in enumerate(part) if len(t) <= chunk]
-                n, chunks = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+                n, widened = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
                 for k, ids in zip(short, enc.encode([part[k] for k in short])):
                     n[k] = len(ids)
                 for k, t in enumerate(part):
                     if len(t) > chunk:
-                        n[k], chunks[k] = resynchronised(enc.library, t, chunk, overlap)
-                size = [len(t.encode()) for t in part]
-                yield pa.record_batch([batch.column(0).slice(lo, len(part)), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit), pa.array(chunks)], names=["row_id", "n_bytes", "n_tokens", "over_limit", "n_widened"])
+                        n[k], widened[k] = resynchronised(enc.library, t, chunk, overlap)
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit), pa.array(widened)], names=["row_id", "n_bytes", "n_tokens", "over_limit", "n_widened"])
 
     return run
 
@@ -154,8 +158,9 @@ def _count(vocabulary: str, limit: int, chunk: int, overlap: int):
 def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: bytes, tokens as the library gives them, whether they are more than ``limit``.
 
-    Null or empty text has none; repeated rows give repeated rows; other
-    columns are not read.  No shuffle.
+    Null or empty text has none; repeated rows give repeated rows; keys are
+    whole numbers or null; other columns are not read; no rows give no rows.
+    ``n_widened``: how often an overlap had to be widened.  No shuffle.
     """
     schema = "row_id long, n_bytes long, n_tokens long, over_limit boolean, n_widened long"
-    return docs.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).mapInArrow(_count(vocabulary, limit, chunk, overlap), schema)
+    return docs.select(row_key(docs, key).alias("row_id"), F.col(text).alias("text")).mapInArrow(_count(vocabulary, limit, chunk, overlap), schema)
