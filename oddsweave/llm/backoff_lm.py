@@ -12,23 +12,31 @@ taken in blocks of a bounded number of bytes, written once as numbered tokens
 (``blocks``).  Each block asks for the counts of its own distinct n-grams, and
 brings what it has counted itself, in slices of the hash space; a slice adds up
 what all blocks brought and answers each block in the order of its question.  A
-block then holds exactly that part of the automaton which its texts can visit
-and walks each text once, from left to right, adding up log-probabilities.
+block then builds exactly that part of the automaton which its texts can visit:
+numbered states, arcs and failure arcs as arrays.
+
+One traversal from left to right carries the state and adds up the weights.  It
+runs in lanes that advance together, one token a step.  As a state is a run of at
+most ``order - 1`` tokens, a lane that begins inside a text starts that many
+tokens earlier and is in the true state when its own part begins.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsweave.llm._shared import Words, mix, per_doc_sum, remainder, slabs, stored
+from oddsweave.llm._shared import Words, mix, per_doc_sum, remainder, row_key, slabs, stored
 
 BLOCK_BYTES = 8 << 20
-#: Asked n-grams that one slice answers together, about.
-SLICE_ROWS = 1_500_000
-ORDER, MU, ADD = 2, 20.0, 0.1
+#: Asked n-grams that one slice answers together, about; tokens of a lane.
+SLICE_ROWS, LANE = 500_000, 512
+ORDER, MU, ADD = 3, 20.0, 0.1
 END = np.uint64(0x5BD1E995A3C59AC3)
 
 _BLOCKS = "block string, size long, tokens binary, words binary, ids binary, lengths binary, held binary"
@@ -37,14 +45,43 @@ _ANSWERS = "slice long, n int, block string, totals binary, distinct long, total
 _SCORES = "row_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _small(values: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs, behind one byte that says how many."""
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers that aren't negative, in as few bytes each as the largest needs, byte plane by byte plane, compressed."""
     kind = np.min_scalar_type(int(values.max(initial=0)))
-    return bytes([kind.itemsize]) + values.astype(f"<u{kind.itemsize}").tobytes()
+    planes = values.astype(f"<u{kind.itemsize}").view(np.uint8).reshape(-1, kind.itemsize).T
+    return bytes([kind.itemsize]) + _codec()[0](planes.tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(_codec()[1](blob[1:]), np.uint8).reshape(blob[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{blob[0]}").ravel().astype(np.int64)
+
+
+@lru_cache(1)
+def _codec():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
 
-def _large(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+def _sorted(values: np.ndarray, bits: int) -> bytes:
+    """Ascending 64-bit numbers that agree in the first ``bits`` bits: six bytes each, and how many share what stands before these."""
+    low = values & np.uint64((1 << 48) - 1)
+    high = np.bincount((values >> np.uint64(48)).astype(np.int64) & ((1 << max(0, 16 - bits)) - 1), minlength=1 << max(0, 16 - bits))
+    head = high.astype("<u4").tobytes() if bits < 16 else b""
+    return len(values).to_bytes(4, "little") + head + low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def _unsorted(blob: bytes, bits: int) -> np.ndarray:
+    """The numbers of ``_sorted`` without their first ``bits`` bits (of at most 16)."""
+    n, at = int.from_bytes(blob[:4], "little"), 4
+    if bits < 16:
+        many = np.frombuffer(blob, "<u4", 1 << (16 - bits), at)
+        high, at = np.repeat(np.arange(len(many), dtype=np.uint64), many), at + 4 * len(many)
+    else:
+        high = np.zeros(n, np.uint64)
+    low, more = np.frombuffer(blob, "<u4", n, at).astype(np.uint64), np.frombuffer(blob, "<u2", n, at + 4 * n).astype(np.uint64)
+    return high << np.uint64(48) | more << np.uint64(32) | low
 
 
 def _cut(block_bytes: int):
@@ -68,7 +105,7 @@ def _cut(block_bytes: int):
                 h[own], h[ends] = w.hashes(), END
                 words, tokens = np.unique(h, return_inverse=True)
                 key = np.where(null[lo:hi], np.iinfo(np.int64).min, ids[lo:hi]).astype("<i8")
-                row = [f"{task}-{serial}", len(h), tokens.astype("<u4").tobytes(), words.astype("<u8").tobytes(), key.tobytes(), sizes.astype("<i8").tobytes(), held[lo:hi].astype("u1").tobytes()]
+                row = [f"{task}-{serial}", len(h), _packed(tokens), _sorted(words, 0), key.tobytes(), _packed(sizes), held[lo:hi].astype("u1").tobytes()]
                 yield pa.record_batch([pa.array([x]) for x in row], names=[x.split()[0] for x in _BLOCKS.split(", ")])
                 serial += 1
 
@@ -77,8 +114,7 @@ def _cut(block_bytes: int):
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes, tokens of each document, ids, held-out flags of a block."""
-    words = np.frombuffer(row["words"], "<u8")
-    return words[np.frombuffer(row["tokens"], "<u4")], np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["held"], "u1").astype(bool)
+    return _unsorted(row["words"], 0)[_unpacked(row["tokens"])], _unpacked(row["lengths"]), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["held"], "u1").astype(bool)
 
 
 def grams(h: np.ndarray, lengths: np.ndarray, order: int):
@@ -109,8 +145,8 @@ def _ask(order: int, bits: int):
                             pa.array(part[first]),
                             pa.array(np.full(len(first), n, np.int32)),
                             pa.array([row["block"]] * len(first), pa.string()),
-                            pa.array([asked[a:b].astype("<u8").tobytes() for a, b in zip(first, last)], pa.binary()),
-                            pa.array([_small(count[a:b]) for a, b in zip(first, last)], pa.binary()),
+                            pa.array([_sorted(asked[a:b], min(bits, 16)) for a, b in zip(first, last)], pa.binary()),
+                            pa.array([_packed(count[a:b]) for a, b in zip(first, last)], pa.binary()),
                         ],
                         names=[x.split()[0] for x in _ASKED.split(", ")],
                     )
@@ -118,52 +154,126 @@ def _ask(order: int, bits: int):
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Adds up one slice and answers every block that asked; the first answer also has the slice's distinct and all training n-grams."""
-    hashes = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
-    _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([_large(x) for x in table["counts"].to_pylist()])).astype(np.int64)
-    ends = np.cumsum([len(x) for x in hashes])
-    first = np.arange(len(hashes)) == 0
-    return pa.table(
-        {
-            "slice": table["slice"],
-            "n": table["n"],
-            "block": table["block"],
-            "totals": pa.array([_small(total[inverse[b - len(x) : b]]) for x, b in zip(hashes, ends)], pa.binary()),
-            "distinct": pa.array(np.where(first, (total > 0).sum(), 0)),
-            "total": pa.array(np.where(first, total.sum(), 0)),
-        }
-    )
+def _answer(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Adds up one slice and answers every block that asked; the first answer also has the slice's distinct and all training n-grams."""
+        hashes = [_unsorted(x, bits) for x in table["hashes"].to_pylist()]
+        _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([_unpacked(x) for x in table["counts"].to_pylist()])).astype(np.int64)
+        ends = np.cumsum([len(x) for x in hashes])
+        first = np.arange(len(hashes)) == 0
+        return pa.table(
+            {
+                "slice": table["slice"],
+                "n": table["n"],
+                "block": table["block"],
+                "totals": pa.array([_packed(total[inverse[b - len(x) : b]]) for x, b in zip(hashes, ends)], pa.binary()),
+                "distinct": pa.array(np.where(first, (total > 0).sum(), 0)),
+                "total": pa.array(np.where(first, total.sum(), 0)),
+            }
+        )
+
+    return run
+
+
+@dataclass(frozen=True)
+class Gram:
+    """Distinct n-grams of one length in a block: training counts, and for each its last word, its history and itself without its oldest word (numbers of n-1-grams)."""
+
+    count: np.ndarray
+    word: np.ndarray
+    history: np.ndarray
+    suffix: np.ndarray
 
 
 class Automaton:
-    """The part of the automaton that a block's texts can visit, laid out along their tokens.
+    """The part of the automaton that a block's texts can visit.
 
-    ``count[n]`` has the training count of the n-gram that ends at each token
-    (0 where there is none), ``starts`` where texts begin.  The state before a
-    token is the longest run of tokens before it that training has seen; its
-    arc for the token exists if training has seen the two together.
+    State 0 is the empty one; each n-gram shorter than the order that training
+    has seen is a state.  ``fail`` and ``fail_weight``: a state's failure arc.
+    Arcs are sorted by state and word: ``keys``, and ``to`` and ``weight`` of each.
+    The empty state has an arc for every word of the block.
     """
 
-    def __init__(self, count: dict[int, np.ndarray], starts: np.ndarray, tokens: int, words: int, mu: float = MU, add: float = ADD):
-        self.order = max(count)
-        self.empty = (count[1] + add) / (tokens + add * (words + 1))
-        p = self.empty
-        self.has_arc, self.arc, self.fail = {}, {1: np.log10(p)}, {}
-        for n in range(2, self.order + 1):
-            seen = np.concatenate(([0], count[n - 1][:-1]))
-            seen[starts] = 0  # a text begins in the empty state
-            self.fail[n] = np.log10(mu / (seen + mu))  # 0 for a history that is no state
-            p = (count[n] + mu * p) / (seen + mu)
-            self.has_arc[n], self.arc[n] = count[n] > 0, np.log10(p)
-
-    def walk(self) -> np.ndarray:
-        """log10 probability of each token: the arc's weight if its state has one, else that of the failure arc and of the way on from there."""
-        weight = self.arc[1]
-        for n in range(2, self.order + 1):
-            weight = np.where(self.has_arc[n], self.arc[n], self.fail[n] + weight)
-        return weight
+    def __init__(self, grams: dict[int, Gram], tokens: int, words: int, mu: float = MU, add: float = ADD):
+        order = max(grams)
+        self.order, self.words = order, len(grams[1].count)
+        p = {1: (grams[1].count + add) / (tokens + add * (words + 1))}
+        state, fail, fail_weight, states = {}, [np.zeros(1, np.int64)], [np.zeros(1)], 1
+        for n in range(1, order):  # number the states, length by length
+            seen = grams[n].count > 0
+            state[n] = np.where(seen, states + np.cumsum(seen) - 1, 0)
+            fail.append(state[n - 1][grams[n].suffix[seen]] if n > 1 else np.zeros(int(seen.sum()), np.int64))
+            fail_weight.append(np.log10(mu / (grams[n].count[seen] + mu)))
+            states += int(seen.sum())
+        self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
+        keys, to, weight = [], [], []
+        for n in range(1, order + 1):
+            g = grams[n]
+            if n > 1:  # of every n-gram, as longer ones go on from it; only those that training has seen are arcs
+                p[n] = (g.count + mu * p[n - 1][g.suffix]) / (grams[n - 1].count[g.history] + mu)
+            arc = np.flatnonzero(g.count > 0) if n > 1 else np.arange(self.words)
+            keys.append((state[n - 1][g.history[arc]] if n > 1 else 0) * self.words + g.word[arc])
+            to.append(state[n][arc] if n < order else state[n - 1][g.suffix[arc]] if n > 1 else np.zeros(len(arc), np.int64))
+            weight.append(np.log10(p[n][arc]))
+        keys, to, weight = (np.concatenate(x) for x in (keys, to, weight))
+        by = np.argsort(keys)
+        self.keys, self.to, self.weight = keys[by], to[by], weight[by]
+        self.empty = np.log10(p[1])
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states behind a word each, and the weights of the way there: failure arcs until a state has an arc for the word."""
+        state, total, todo = state.copy(), np.zeros(len(state)), np.arange(len(state))
+        while len(todo):
+            key = state[todo] * self.words + word[todo]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            has = self.keys[at] == key
+            there, at = todo[has], at[has]
+            total[there] += self.weight[at]
+            state[there] = self.to[at]
+            todo = todo[~has]
+            total[todo] += self.fail_weight[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return state, total
+
+    def walk(self, tokens: np.ndarray, lengths: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """Weight of each token on the way through its text."""
+        per = -(-lengths // lane)
+        owner = np.repeat(np.arange(len(lengths)), per)
+        first = np.cumsum(lengths) - lengths
+        begin = first[owner] + lane * (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per))
+        end = np.minimum(begin + lane, (first + lengths)[owner])
+        at = np.maximum(begin - (self.order - 1), first[owner])  # tokens that lead into a lane's first state
+        by = np.argsort(at - end, kind="stable")  # long ways first
+        begin, end, at = begin[by], end[by], at[by]
+        state, out = np.zeros(len(by), np.int64), np.zeros(len(tokens))
+        active, size = len(by), end - at
+        for k in range(int(size.max(initial=0))):
+            while size[active - 1] <= k:
+                active -= 1
+            here = at[:active] + k
+            state[:active], weight = self.step(state[:active], tokens[here])
+            own = here >= begin[:active]
+            out[here[own]] = weight[own]
+        return out
+
+
+def counted(h: np.ndarray, lengths: np.ndarray, order: int, totals) -> tuple[dict[int, Gram], np.ndarray]:
+    """The n-grams of a block with the counts that ``totals(n)`` gives in the order of their hashes, and each token's word."""
+    out, before, words = {}, None, None
+    for n, at, hashed in grams(h, lengths, order):
+        distinct, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        total = totals(n)
+        if len(total) != len(distinct):
+            raise ValueError(f"asked for {len(distinct)} {n}-grams and got {len(total)}")
+        number = np.zeros(len(h), np.int64)  # of the n-gram that ends at each token
+        number[at] = inverse
+        words = number if n == 1 else words
+        end = at[where]
+        none = np.zeros(len(distinct), np.int64)
+        out[n] = Gram(total, words[end], before[end - 1] if n > 1 else none, before[end] if n > 1 else none)
+        before = number
+    return out, words
 
 
 def _score(order: int, tokens: int, words: int, mu: float, add: float):
@@ -173,18 +283,11 @@ def _score(order: int, tokens: int, words: int, mu: float, add: float):
         kinds, blobs = got["n"].to_numpy(), got["totals"].to_pylist()
         for row in block.to_pylist():
             h, lengths, ids, held = _unpack(row)
-            count = {}
-            for n, at, hashed in grams(h, lengths, order):
-                asked, inverse = np.unique(hashed, return_inverse=True)
-                total = np.concatenate([np.zeros(0, np.int64), *(_large(blobs[k]) for k in np.flatnonzero(kinds == n))])
-                if len(total) != len(asked):
-                    raise ValueError(f"block {row['block']} asked for {len(asked)} {n}-grams and got {len(total)}")
-                count[n] = np.zeros(len(h), np.int64)
-                count[n][at] = total[inverse]
+            model_of, words_of = counted(h, lengths, order, lambda n: np.concatenate([np.zeros(0, np.int64), *(_unpacked(blobs[k]) for k in np.flatnonzero(kinds == n))]))
+            model = Automaton(model_of, tokens, words, mu, add)
             ends = np.concatenate(([0], np.cumsum(lengths)))
-            model = Automaton(count, ends[:-1], tokens, words, mu, add)
-            known = per_doc_sum((count[1] > 0).view(np.int8), ends)
-            base, score = np.add.reduceat(model.arc[1], ends[:-1]), np.add.reduceat(model.walk(), ends[:-1])
+            known = per_doc_sum((model_of[1].count[words_of] > 0).view(np.int8), ends)
+            base, score = np.add.reduceat(model.empty[words_of], ends[:-1]), np.add.reduceat(model.walk(words_of, lengths), ends[:-1])
             null = ids == np.iinfo(np.int64).min
             out.append(pa.table([pa.array(ids, pa.int64(), mask=null), pa.array(held), pa.array(lengths, pa.int64()), pa.array(known), pa.array(np.full(len(ids), tokens)), pa.array(base), pa.array(score)], names=[x.split()[0] for x in _SCORES.split(", ")]))
         return pa.concat_tables(out) if out else pa.Table.from_pylist([], schema=pa.schema([("row_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
@@ -197,17 +300,18 @@ def score(docs: DataFrame, held_out=None, order: int = ORDER, mu: float = MU, ad
 
     ``held_out``: a boolean column of rows that the model doesn't learn from
     (default: crc32 of the key as text is divisible by 10).  Null or empty
-    text is one end token; a null key stays null; repeated rows count each
-    time; other columns are not read.  No rows in, no rows out.
+    text is one end token; keys are whole numbers or null, and null stays null;
+    repeated rows count each time; other columns are not read.  No rows in, no
+    rows out.
     """
     spark = docs.sparkSession
     held = F.coalesce(remainder(F.col(key), 10) == 0 if held_out is None else held_out, F.lit(False))
-    rows = docs.select(F.col(key).cast("long").alias("row_id"), held.alias("held"), F.col(text).alias("text"))
+    rows = docs.select(row_key(docs, key).alias("row_id"), held.alias("held"), F.col(text).alias("text"))
     blocks = stored(rows.mapInArrow(_cut(block_bytes), _BLOCKS), "lm-blocks", compression="zstd")
     size = blocks.agg(F.sum("size")).first()[0] or 0
     bits = max(0, int(size * order // slice_rows)).bit_length()
     asked = blocks.select("block", "tokens", "words", "ids", "lengths", "held").mapInArrow(_ask(order, bits), _ASKED)
-    answers = stored(asked.groupBy("n", "slice").applyInArrow(_answer, _ANSWERS), "lm-answers", compression="zstd")
+    answers = stored(asked.groupBy("n", "slice").applyInArrow(_answer(min(bits, 16)), _ANSWERS), "lm-answers", compression="zstd")
     seen = answers.filter("n = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     scorer = _score(order, int(seen[1]), int(seen[0]), mu, add)
     return blocks.groupBy("block").cogroup(answers.select("block", "n", "slice", "totals").groupBy("block")).applyInArrow(scorer, _SCORES)
