@@ -59,34 +59,77 @@ def same(got, want):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-def test_lm_scores(docs, rows, empty):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(docs, rows, empty, order):
+    """Against the formula of every order, token by token."""
     tokens = [[*words((t or "").translate(LOWER)), None] for _, t in rows]
-    one, two = Counter(), Counter()
+    count = Counter()
     for (i, _), v in zip(rows, tokens):
         if not held(i, 10):
-            one.update(v)
-            two.update(zip(v, v[1:]))
-    n, v_size = sum(one.values()), len(one)
+            count.update(tuple(v[k : k + n]) for n in range(1, order + 1) for k in range(len(v) - n + 1))
+    n, v_size = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (count[gram] + 0.1) / (n + 0.1 * (v_size + 1))
+        return (count[gram] + 20 * p(gram[1:])) / (count[gram[:-1]] + 20)
+
     want = {}
     for (i, _), v in zip(rows, tokens):
-        p = [(one[w] + 0.1) / (n + 0.1 * (v_size + 1)) for w in v]
-        s = math.log10(p[0]) + sum(math.log10((two[a, b] + 20 * p[k + 1]) / (one[a] + 20)) for k, (a, b) in enumerate(zip(v, v[1:])))
-        want.setdefault((i, len(v)), (held(i, 10), sum(one[w] > 0 for w in v), n, sum(map(math.log10, p)), s))
-    got = backoff_lm.score(docs, block_bytes=4000, slice_rows=500).collect()
+        base = sum(math.log10(p((w,))) for w in v)
+        s = sum(math.log10(p(tuple(v[max(0, k - order + 1) : k + 1]))) for k in range(len(v)))
+        want.setdefault((i, len(v)), (held(i, 10), sum(count[(w,)] > 0 for w in v), n, base, s))
+    got = backoff_lm.score(docs, order=order, block_bytes=4000, slice_rows=500).collect()
     assert len(got) == len(rows)
     for r in got:
         h, known, total, base, s = want[r.row_id, r.n_tokens]
         assert (r.held_out, r.n_known, r.train_tokens) == (h, known, total)
         assert r.base_score == pytest.approx(base, abs=1e-8) and r.score == pytest.approx(s, abs=1e-8)
-    assert backoff_lm.score(empty).count() == 0
-
-
-def test_lm_state_sums_to_one():
-    count, n, v = {"a": 5, "b": 3, "c": 0}, 8, 2
-    p = {w: (c + 0.1) / (n + 0.1 * (v + 1)) for w, c in count.items()}
-    behind = {"a": 2, "b": 3}
-    total = sum((behind.get(w, 0) + 20 * p[w]) / (5 + 20) for w in p)
-    assert sum(p.values()) == pytest.approx(1) and total == pytest.approx(1)
+    assert backoff_lm.score(empty, order=order).count() == 0
+
+
+def lm_of(texts, order):
+    """The automaton of texts that are all learned, its tokens and lengths."""
+    numbers = {w: k + 1 for k, w in enumerate(sorted({w for t in texts for w in t}))}
+    h = np.array([numbers[w] * 0x9E3779B97F4A7C15 % (1 << 64) for t in texts for w in t], np.uint64)
+    lengths = np.array([len(t) for t in texts])
+    totals = {n: np.unique(hashed, return_counts=True)[1] for n, _, hashed in backoff_lm.grams(h, lengths, order)}
+    grams, tokens = backoff_lm.counted(h, lengths, order, totals.get)
+    return backoff_lm.Automaton(grams, len(h), len(numbers)), tokens, lengths
+
+
+def test_lm_states_sum_to_one_and_lanes_carry_state():
+    rng = random.Random(12)
+    texts = [[rng.choice("abcdefg") for _ in range(rng.randint(1, 90))] + ["$"] for _ in range(30)]
+    model, tokens, lengths = lm_of(texts, 3)
+    unseen = 0.1 / (len(tokens) + 0.1 * (model.words + 1))
+    every = np.arange(model.words)
+    for state in range(len(model.fail)):
+        _, weight = model.step(np.full(model.words, state), every)
+        out, at = unseen, state  # a word that training never saw takes every failure arc
+        while at:
+            out, at = out * 10 ** model.fail_weight[at], model.fail[at]
+        ends_text = any(model.to[k] == state for k in np.flatnonzero(model.keys % model.words == tokens[-1]))
+        assert ends_text or (10**weight).sum() + out == pytest.approx(1)
+    whole = model.walk(tokens, lengths, lane=1 << 20)
+    for lane in (1, 2, 7, 50):
+        assert np.allclose(model.walk(tokens, lengths, lane=lane), whole, atol=1e-12)
+    assert len(model.fail) > model.words + 1  # states of two words, too
+
+
+def test_lm_numbers_are_packed_whole():
+    rng = np.random.default_rng(3)
+    for bits in (0, 5, 16, 21):
+        v = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        v = v >> np.uint64(bits) | np.uint64(0x5A5A5A5A5A5A5A5A) << np.uint64(64 - bits) if bits else v
+        v = np.sort(v)
+        cut = min(bits, 16)
+        back = backoff_lm._unsorted(backoff_lm._sorted(v, cut), cut)
+        assert (back == v & np.uint64((1 << 64 - cut) - 1)).all()
+    for top in (0, 1, 255, 256, 70_000, 1 << 40):
+        v = rng.integers(0, top + 1, 50)
+        assert (backoff_lm._unpacked(backoff_lm._packed(v)) == v).all()
+    assert len(backoff_lm._unpacked(backoff_lm._packed(np.zeros(0, np.int64)))) == 0
 
 
 def test_bands_base_counts(docs, rows, empty):
@@ -246,31 +289,62 @@ def test_tiling_finds_reordered_passages(spark, empty):
     assert string_tiling.keep(docs, bench.limit(0)).count() == len(rows)
 
 
-def test_tiles_against_plain_search():
+def greedy_tiles(a, b, least):
     """Greedy tiling by its definition: longest common run of unmarked tokens, again and again."""
+    used_a, used_b, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        if best[0] < least:
+            return out
+        n, i, j = best[0], -best[1], -best[2]
+        used_a |= set(range(i, i + n))
+        used_b |= set(range(j, j + n))
+        out.append((i, j, n))
+
+
+def test_tiles_against_plain_search():
     rng = random.Random(8)
-    for _ in range(30):
+    hashed = {c: np.uint64(rng.getrandbits(64)) for c in "abc"}
+    for _ in range(60):
         a, b = [rng.choice("abc") for _ in range(25)], [rng.choice("abc") for _ in range(40)]
-        used_a, used_b, want = set(), set(), 0
-        while True:
-            best = (0, 0, 0)
-            for i in range(len(a)):
-                for j in range(len(b)):
-                    n = 0
-                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
-                        n += 1
-                    best = max(best, (n, -i, -j))
-            if best[0] < 3:
-                break
-            n, i, j = best[0], -best[1], -best[2]
-            used_a |= set(range(i, i + n))
-            used_b |= set(range(j, j + n))
-            want += n
-        seeds = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
-        tiles = string_tiling.tile(np.array([x[0] for x in seeds], int), np.array([x[1] for x in seeds], int), 3)
-        for i, j, n in tiles:
-            assert a[i : i + n] == b[j : j + n]
-        assert sum(n for *_, n in tiles) == want
+        assert string_tiling.tile(np.array([hashed[x] for x in a]), np.array([hashed[x] for x in b]), 3) == greedy_tiles(a, b, 3)
+
+
+def test_pairs_against_plain_tiling(spark):
+    """Every document against every item: passages in any order, torn, with repeats, or missing."""
+    rng = random.Random(31)
+    items = [[f"v{rng.randrange(30)}" for _ in range(rng.randint(4, 40))] for _ in range(12)]
+    made = []
+    for k in range(60):
+        w = [f"v{rng.randrange(30)}" for _ in range(20)]
+        for item in rng.sample(items, 2):
+            cut = rng.randrange(len(item))
+            for part in rng.sample([item[:cut], item[cut:]], 2):
+                w += part + [f"u{k}"] * rng.randint(0, 3)
+        made.append(w)
+    rule = string_tiling.Tiling(least=4, coverage=0.6)
+    want = {}
+    for d, w in enumerate(made):
+        for i, item in enumerate(items):
+            tiles = greedy_tiles(item, w, 4)
+            if tiles and sum(n for *_, n in tiles) >= 0.6 * len(item):
+                want[d, i] = ",".join(f"{p}:{s}:{n}" for p, s, n in sorted(tiles))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(made)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r.row_id, r.item_id): r.tiles for r in string_tiling.pairs(docs, bench, rule).collect()} == want and len(want) > 60
+
+
+def test_tiling_of_long_repeats(spark):
+    """A text of a million equal words against an item of a thousand takes the memory of the two."""
+    docs = spark.createDataFrame([(1, "a " * 500_000), (2, "b " * 500_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a " * 1000)], "item_id long, text string")
+    assert [(r.row_id, r.item_id, r.coverage, r.n_tiles) for r in string_tiling.pairs(docs, bench).collect()] == [(1, 7, 1.0, 1)]
 
 
 def test_classifier_learns(spark, empty):
