@@ -46,11 +46,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark drops the shuffle files of a finished query where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, a lost executor loses nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, a lost executor loses nothing.
+
+    What was shuffled to make it isn't needed again, so its files go at once.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` wrote, once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(docs: DataFrame, key: str) -> Column:

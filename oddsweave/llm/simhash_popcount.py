@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsweave.llm._shared import Words, mix, row_key, slabs, stored, windows
+from oddsweave.llm._shared import Words, mix, removed, row_key, slabs, stored, windows
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 GROUPS, WIDTH = 3, 2
@@ -483,7 +483,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = least(large)
         joined = large.join(low, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "edges")
+        edges, last = stored(small, "edges"), edges
+        removed(last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break
