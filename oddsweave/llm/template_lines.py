@@ -2,9 +2,10 @@
 
 A line goes down a tree of fixed depth: first by its number of tokens, then by
 its leading tokens, tokens with a digit counting as a variable field.  In a
-leaf, templates generalise: a template is a line of which one of four segments
-behind the leading tokens is variable.  So two lines share a template if they
-have as many tokens, and agree but for masked fields and one segment.  Short
+leaf, templates generalise: what stands behind the leading tokens is cut into
+four segments, and a template holds two of them fast and lets the others vary.
+So lines of a leaf that agree, masked fields aside, but for fields in any two
+segments have a template in common, whatever their order and number.  Short
 lines have one template, themselves; in the shortest no field is masked.
 
 A template that occurs in ``min_docs`` documents or more recurs; the shortest
@@ -20,20 +21,22 @@ partial sums, however large the leaf or common the line.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from oddsweave.llm._shared import Words, mix, slabs, stored
+from oddsweave.llm._shared import Words, free_name, mix, row_key, slabs, stored
 
 _VARIABLE = np.uint64(0x2545F4914F6CDD1D)
 
 
 @dataclass(frozen=True)
 class Tree:
-    """``depth``: leading tokens that must agree; lines of ``wild_tokens`` or more may vary in one of ``segments``.
+    """``depth``: leading tokens that must agree; lines of ``wild_tokens`` or more may vary in ``wild`` of ``segments``.
 
     Lines of fewer than ``min_tokens`` recur in ``short_docs`` documents or more
     that are ``short_share`` of all rows or more.
@@ -41,6 +44,7 @@ class Tree:
 
     depth: int = 3
     segments: int = 4
+    wild: int = 2
     min_tokens: int = 5
     wild_tokens: int = 12
     min_docs: int = 2
@@ -71,9 +75,12 @@ def lines_of(data: np.ndarray, at: np.ndarray, tree: Tree):
     tiny = np.flatnonzero((tokens > 0) & (tokens < tree.min_tokens))
     hashes, owner = [mix(leaf[short] + whole[short])], [short]
     behind = tokens[long] - tree.depth
-    for k in range(tree.segments):
-        a, b = lead[long] + behind * k // tree.segments, lead[long] + behind * (k + 1) // tree.segments
-        hashes.append(mix(leaf[long] + whole[long] - (total[b] - total[a]) + np.uint64(k + 1)))
+    edge = [total[lead[long] + behind * k // tree.segments] for k in range(tree.segments + 1)]
+    for nth, loose in enumerate(combinations(range(tree.segments), tree.wild), 1):
+        held = leaf[long] + whole[long]
+        for k in loose:
+            held = held - (edge[k + 1] - edge[k])
+        hashes.append(mix(held + np.uint64(nth)))
         owner.append(long)
     even, odd = np.concatenate(hashes) & ~np.uint64(1), mix(leaf[tiny] + whole[tiny]) | np.uint64(1)
     return w, begins, ends, doc, np.concatenate((even, odd)).view(np.int64), np.concatenate((*owner, tiny))
@@ -91,9 +98,15 @@ def _templates(tree: Tree):
     return run
 
 
+def _document(docs: DataFrame, key: str, text: str) -> Column:
+    """What a row counts as: its key; without one, a number far below zero that its text gives."""
+    nameless = F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 2) + F.lit(-(1 << 63))
+    return F.coalesce(row_key(docs, key), nameless)
+
+
 def templates(docs: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document and template in it.  A null key counts as the smallest number."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.col(text).alias("text"))
+    """One row per document and template in it."""
+    rows = docs.select(_document(docs, key, text).alias("doc"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(_templates(tree), "template long, doc long")
 
 
@@ -106,14 +119,13 @@ def recurring(found: DataFrame, docs: DataFrame, tree: Tree = Tree()) -> DataFra
     return again.crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("_rows")))).filter(F.col("n_docs") >= least).drop("_rows")
 
 
-def _rewrite(tree: Tree, column: int):
+def _rewrite(tree: Tree):
     def run(batches):
         for batch in batches:
-            drop = batch.column(batch.num_columns - 1)
-            new = batch.column(column).to_pylist()
+            new = batch.column(1).to_pylist()
+            drop = batch.column(2)
             n_lines, n_dropped = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-            only = pa.record_batch([batch.column(column)], names=["text"])
-            for lo, hi, data, at in slabs(only):
+            for lo, hi, data, at in slabs(batch):
                 w, begins, ends, doc, hashes, owner = lines_of(data, at, tree)
                 n_lines[lo:hi] = np.bincount(doc, minlength=hi - lo)
                 part = drop.slice(lo, hi - lo)
@@ -130,34 +142,53 @@ def _rewrite(tree: Tree, column: int):
                 for i in np.flatnonzero(n_dropped[lo:hi]):
                     a, b = np.searchsorted(doc, (i, i + 1))
                     new[lo + i] = b"\n".join(body[begins[k] : ends[k]] for k in range(a, b) if not gone[k]).decode()
-            columns = batch.columns[:-1]
-            columns[column] = pa.array(new, columns[column].type)
-            yield pa.record_batch([*columns, pa.array(n_lines), pa.array(n_dropped)], names=[*batch.schema.names[:-1], "_lines", "_dropped"])
+            yield pa.record_batch([batch.column(0), pa.array(new, pa.string()), pa.array(n_lines), pa.array(n_dropped)], names=["record", "text", "lines", "dropped"])
 
     return run
 
 
+def _drops(found: DataFrame, again: DataFrame) -> DataFrame:
+    """doc and templates: which of its recurring templates each document loses."""
+    again = stored(again, "recurring")
+    rows = again.agg(F.sum("n_docs")).first()[0] or 0
+    # Of all rows of ``found`` with a recurring template, those of templates that hold a 5000th of them each: under 5000 templates, whatever the data.
+    hot = again.filter(F.col("n_docs") > max(10_000, rows // 5000))
+    often = found.join(F.broadcast(hot.select("template", "first_doc")), "template")
+    others = found.join(F.broadcast(hot.select("template")), "template", "left_anti")
+    rare = others.join(again.join(F.broadcast(hot.select("template")), "template", "left_anti").select("template", "first_doc"), "template")
+    lost = often.unionByName(rare).filter(F.col("doc") > F.col("first_doc"))
+    return lost.groupBy("doc").agg(F.collect_set("template").alias("templates"))
+
+
 def rewrite(docs: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with recurring lines taken out of their texts, and two more columns: ``_lines`` before, ``_dropped``.
 
-    Every row is returned.  A null or empty text has one empty line and stays
-    as it is.  Rows with equal keys count as one document when it is asked
-    where a template comes first: all keep the line.  Other columns pass by.
+    Every row is returned, no rows give no rows.  A null or empty text has one
+    empty line and stays as it is.  Keys are whole numbers or null.  Rows with
+    equal keys count as one document when it is asked where a template comes
+    first: all keep the line; so do rows without a key that have equal texts,
+    and these come before all others.  Other columns pass by; where one has the
+    name of a new column, the new one has an underscore more behind it.
     """
-    names = docs.columns
     found = stored(templates(docs, tree, key, text), "templates")
-    again = recurring(found, docs, tree)
-    drops = found.join(again, "template").filter(F.col("doc") > F.col("first_doc")).groupBy("doc").agg(F.collect_set("template").alias("_drop"))
-    keyed = docs.withColumn("_doc", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")))
-    rows = keyed.join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*names, "_drop")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, _lines long, _dropped long"
-    return rows.mapInArrow(_rewrite(tree, names.index(text)), schema)
+    drops = _drops(found, recurring(found, docs, tree))
+    record = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(record.alias("record"), _document(docs, key, text).alias("doc")).join(drops, "doc", "left")
+    rows = rows.select("record", F.col("record").getField(text).alias("text"), "templates")
+    schema = StructType([rows.schema["record"], StructField("text", StringType()), StructField("lines", LongType()), StructField("dropped", LongType())])
+    new = rows.mapInArrow(_rewrite(tree), schema)
+    own = [F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text else F.col("record").getField(c).alias(c) for c in docs.columns]
+    return new.select(*own, F.col("lines").alias(free_name("_lines", docs.columns)), F.col("dropped").alias(free_name("_dropped", docs.columns)))
 
 
 def keep(docs: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` rewritten; rows that had words and are left without any are dropped; ``n_chars``, if there is one, is counted anew."""
-    out = rewrite(docs, tree, key, text).filter((F.col("_dropped") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    """``docs`` rewritten; rows that had words and are left without any are dropped; ``n_chars``, if there is one, is counted anew.
+
+    Nulls, empty and repeated rows, keys and clashing names as in ``rewrite``.
+    """
+    dropped = F.col(free_name("_dropped", docs.columns))
+    out = rewrite(docs, tree, key, text).filter((dropped == 0) | F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length(text).cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(dropped > 0, F.length(f"`{text}`").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*(f"`{c}`" for c in docs.columns))

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -178,6 +179,11 @@ def test_shuffle_salts_repeated_rows(spark):
     assert [r["count"] for r in got.groupBy("shard").count().collect()] == [1500] * 4
 
 
+def document(i, t):
+    """A row's document: its key; rows without one are as old as their text, and older than others."""
+    return i if i is not None else -(1 << 63) + zlib.crc32((t or "").encode())
+
+
 def brute_templates(rows, tree):
     """Documents of every template, by tokens."""
     found, lines = {}, []
@@ -189,12 +195,13 @@ def brute_templates(rows, tree):
                 keys = [tuple(w)]
             elif len(w) >= tree.wild_tokens:
                 behind = len(w) - tree.depth
-                for k in range(tree.segments):
-                    a, b = tree.depth + behind * k // tree.segments, tree.depth + behind * (k + 1) // tree.segments
-                    keys.append((k, len(w), *w[:a], None, *w[b:]))
+                edge = [tree.depth + behind * k // tree.segments for k in range(tree.segments + 1)]
+                for loose in combinations(range(tree.segments), tree.wild):
+                    held = [x for k in range(tree.segments) if k not in loose for x in w[edge[k] : edge[k + 1]]]
+                    keys.append((loose, len(w), *w[: tree.depth], *held))
             lines.append((n, line, keys))
             for key in keys:
-                found.setdefault(key, set()).add(-(1 << 63) if i is None else i)
+                found.setdefault(key, set()).add(document(i, t))
     return found, lines
 
 
@@ -208,7 +215,7 @@ def test_template_lines(spark, empty):
     found, lines = brute_templates(rows, tree)
     want = []
     for n, (i, t) in enumerate(rows):
-        key = -(1 << 63) if i is None else i
+        key = document(i, t)
         own = [x for x in lines if x[0] == n]
         kept = [line for _, line, keys in own if not any(len(found[k]) > 1 and key > min(found[k]) for k in keys)]
         want.append((i, "\n".join(kept) if t is not None else None, len(own), len(own) - len(kept)))
@@ -220,6 +227,26 @@ def test_template_lines(spark, empty):
     assert template_lines.keep(empty).count() == 0
 
 
+def test_templates_vary_in_two_fields_and_hot_ones_drop(spark):
+    """Words that vary in two places of a long line, one of them at the end; a line of every document; clashing, wide and nested columns; no keys."""
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    common = "every single document has this one line of some ten words"
+    rows = [(k, f"{name()} {name()} own line {name()}\nreport of the day was written by {name()} for the board and signed in {name()}\n{common}") for k in range(300)]
+    rows += [(None, common), (None, common), (None, f"{common}\n{name()} alone"), (None, None)]
+    many = ", ".join(f"F.lit({k}).alias('column_with_a_long_name_{k}')" for k in range(60))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS _doc", "1 AS _lines", "2 AS _dropped", "array(3) AS _drop", "named_struct('a', 4) AS record")
+    frame = frame.select("*", *eval(f"[{many}]")).repartition(6)
+    got = template_lines.rewrite(frame).collect()
+    assert got[0].asDict().keys() == {*frame.columns, "_lines_", "_dropped_"}
+    assert Counter(r._dropped_ for r in got if r.doc_id) == {2: 299} and all((r._doc, r._lines, r._dropped, r._drop, r.record.a) == (0, 1, 2, [3], 4) for r in got)
+    # The oldest rows are those without keys: one text keeps the line, in all rows that have it.
+    without = sorted((r.text or "", r._dropped_) for r in got if r.doc_id is None)
+    assert sum(common in t for t, _ in without) in (1, 2) and len(without) == 4
+    kept = template_lines.keep(frame)
+    assert kept.columns == frame.columns and kept.filter("doc_id IS NOT NULL").count() == 300
+
+
 def test_packing(docs, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
