@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from oddsweave.llm._shared import Words, mix, per_doc_sum, remainder, row_key, slabs, stored
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Asked n-grams that one slice answers together, about; tokens of a lane.
-SLICE_ROWS, LANE = 500_000, 512
+SLICE_ROWS, LANE = 1_000_000, 512
 ORDER, MU, ADD = 3, 20.0, 0.1
 END = np.uint64(0x5BD1E995A3C59AC3)
 
@@ -64,24 +64,25 @@ def _codec():
     return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
 
-def _sorted(values: np.ndarray, bits: int) -> bytes:
-    """Ascending 64-bit numbers that agree in the first ``bits`` bits: six bytes each, and how many share what stands before these."""
-    low = values & np.uint64((1 << 48) - 1)
-    high = np.bincount((values >> np.uint64(48)).astype(np.int64) & ((1 << max(0, 16 - bits)) - 1), minlength=1 << max(0, 16 - bits))
-    head = high.astype("<u4").tobytes() if bits < 16 else b""
-    return len(values).to_bytes(4, "little") + head + low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype("<u2").tobytes()
+def _sorted(values: np.ndarray, bits: int, drop: int = 0) -> bytes:
+    """Ascending 64-bit numbers that agree in the first ``bits`` bits (16 at most) and of which the last ``drop`` (0 or 8) are zero.
+
+    The bytes of each below the first 16 bits, plane by plane, behind how many share what these 16 bits are.
+    """
+    high = np.bincount((values >> np.uint64(48)).astype(np.int64) & ((1 << (16 - bits)) - 1), minlength=1 << (16 - bits))
+    kind = np.min_scalar_type(int(high.max(initial=0)))
+    planes = (values >> np.uint64(drop)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 6 - drop // 8]
+    return bytes([kind.itemsize]) + high.astype(f"<u{kind.itemsize}").tobytes() + planes.T.tobytes()
 
 
-def _unsorted(blob: bytes, bits: int) -> np.ndarray:
-    """The numbers of ``_sorted`` without their first ``bits`` bits (of at most 16)."""
-    n, at = int.from_bytes(blob[:4], "little"), 4
-    if bits < 16:
-        many = np.frombuffer(blob, "<u4", 1 << (16 - bits), at)
-        high, at = np.repeat(np.arange(len(many), dtype=np.uint64), many), at + 4 * len(many)
-    else:
-        high = np.zeros(n, np.uint64)
-    low, more = np.frombuffer(blob, "<u4", n, at).astype(np.uint64), np.frombuffer(blob, "<u2", n, at + 4 * n).astype(np.uint64)
-    return high << np.uint64(48) | more << np.uint64(32) | low
+def _unsorted(blob: bytes, bits: int, drop: int = 0) -> np.ndarray:
+    """The numbers of ``_sorted`` without their first ``bits`` bits."""
+    size = blob[0] << (16 - bits)
+    many = np.frombuffer(blob, f"<u{blob[0]}", 1 << (16 - bits), 1)
+    planes = np.frombuffer(blob, np.uint8, offset=1 + size).reshape(6 - drop // 8, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, drop // 8 : 6] = planes.T
+    return out.view("<u8").ravel() | np.repeat(np.arange(len(many), dtype=np.uint64) << np.uint64(48), many)
 
 
 def _cut(block_bytes: int):
@@ -118,14 +119,18 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def grams(h: np.ndarray, lengths: np.ndarray, order: int):
-    """For each n up to ``order``: hashes of the n-grams that end at tokens with n-1 tokens before them in their document, and those tokens."""
+    """For each n up to ``order``: hashes of the n-grams that end at tokens with n-1 tokens before them in their document, and those tokens.
+
+    Words have 64 bits, longer n-grams 56: of ten billion different ones, one in
+    seven million shares its count with another.
+    """
     nth = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     hashed = h
     for n in range(1, order + 1):
         at = np.flatnonzero(nth >= n - 1)
         if n > 1:  # of the history's hash one token back, and the token
             hashed = np.concatenate((hashed[:1], mix(hashed[:-1] * np.uint64(0x9FB21C651E98DF25) + h[1:] + np.uint64(n))))
-        yield n, at, hashed[at]
+        yield n, at, hashed[at] if n == 1 else hashed[at] & ~np.uint64(255)
 
 
 def _ask(order: int, bits: int):
@@ -145,7 +150,7 @@ def _ask(order: int, bits: int):
                             pa.array(part[first]),
                             pa.array(np.full(len(first), n, np.int32)),
                             pa.array([row["block"]] * len(first), pa.string()),
-                            pa.array([_sorted(asked[a:b], min(bits, 16)) for a, b in zip(first, last)], pa.binary()),
+                            pa.array([_sorted(asked[a:b], min(bits, 16), 8 * (n > 1)) for a, b in zip(first, last)], pa.binary()),
                             pa.array([_packed(count[a:b]) for a, b in zip(first, last)], pa.binary()),
                         ],
                         names=[x.split()[0] for x in _ASKED.split(", ")],
@@ -157,7 +162,8 @@ def _ask(order: int, bits: int):
 def _answer(bits: int):
     def run(table: pa.Table) -> pa.Table:
         """Adds up one slice and answers every block that asked; the first answer also has the slice's distinct and all training n-grams."""
-        hashes = [_unsorted(x, bits) for x in table["hashes"].to_pylist()]
+        drop = 8 * (table["n"][0].as_py() > 1)
+        hashes = [_unsorted(x, bits, drop) for x in table["hashes"].to_pylist()]
         _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([_unpacked(x) for x in table["counts"].to_pylist()])).astype(np.int64)
         ends = np.cumsum([len(x) for x in hashes])
@@ -199,11 +205,11 @@ class Automaton:
         order = max(grams)
         self.order, self.words = order, len(grams[1].count)
         p = {1: (grams[1].count + add) / (tokens + add * (words + 1))}
-        state, fail, fail_weight, states = {}, [np.zeros(1, np.int64)], [np.zeros(1)], 1
+        state, fail, fail_weight, states = {}, [np.zeros(1, np.int32)], [np.zeros(1)], 1
         for n in range(1, order):  # number the states, length by length
             seen = grams[n].count > 0
-            state[n] = np.where(seen, states + np.cumsum(seen) - 1, 0)
-            fail.append(state[n - 1][grams[n].suffix[seen]] if n > 1 else np.zeros(int(seen.sum()), np.int64))
+            state[n] = np.where(seen, states + np.cumsum(seen) - 1, 0).astype(np.int32)
+            fail.append(state[n - 1][grams[n].suffix[seen]] if n > 1 else np.zeros(int(seen.sum()), np.int32))
             fail_weight.append(np.log10(mu / (grams[n].count[seen] + mu)))
             states += int(seen.sum())
         self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
@@ -213,19 +219,18 @@ class Automaton:
             if n > 1:  # of every n-gram, as longer ones go on from it; only those that training has seen are arcs
                 p[n] = (g.count + mu * p[n - 1][g.suffix]) / (grams[n - 1].count[g.history] + mu)
             arc = np.flatnonzero(g.count > 0) if n > 1 else np.arange(self.words)
-            keys.append((state[n - 1][g.history[arc]] if n > 1 else 0) * self.words + g.word[arc])
-            to.append(state[n][arc] if n < order else state[n - 1][g.suffix[arc]] if n > 1 else np.zeros(len(arc), np.int64))
+            keys.append((state[n - 1][g.history[arc]].astype(np.int64) if n > 1 else 0) * self.words + g.word[arc])
+            to.append(state[n][arc] if n < order else state[n - 1][g.suffix[arc]] if n > 1 else np.zeros(len(arc), np.int32))
             weight.append(np.log10(p[n][arc]))
-        keys, to, weight = (np.concatenate(x) for x in (keys, to, weight))
-        by = np.argsort(keys)
-        self.keys, self.to, self.weight = keys[by], to[by], weight[by]
+        by = np.argsort(np.concatenate(keys))
+        self.keys, self.to, self.weight = (np.concatenate(x)[by] for x in (keys, to, weight))
         self.empty = np.log10(p[1])
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states behind a word each, and the weights of the way there: failure arcs until a state has an arc for the word."""
         state, total, todo = state.copy(), np.zeros(len(state)), np.arange(len(state))
         while len(todo):
-            key = state[todo] * self.words + word[todo]
+            key = state[todo].astype(np.int64) * self.words + word[todo]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             has = self.keys[at] == key
             there, at = todo[has], at[has]
@@ -246,7 +251,7 @@ class Automaton:
         at = np.maximum(begin - (self.order - 1), first[owner])  # tokens that lead into a lane's first state
         by = np.argsort(at - end, kind="stable")  # long ways first
         begin, end, at = begin[by], end[by], at[by]
-        state, out = np.zeros(len(by), np.int64), np.zeros(len(tokens))
+        state, out = np.zeros(len(by), np.int32), np.zeros(len(tokens))
         active, size = len(by), end - at
         for k in range(int(size.max(initial=0))):
             while size[active - 1] <= k:
@@ -266,11 +271,11 @@ def counted(h: np.ndarray, lengths: np.ndarray, order: int, totals) -> tuple[dic
         total = totals(n)
         if len(total) != len(distinct):
             raise ValueError(f"asked for {len(distinct)} {n}-grams and got {len(total)}")
-        number = np.zeros(len(h), np.int64)  # of the n-gram that ends at each token
+        number = np.zeros(len(h), np.int32)  # of the n-gram that ends at each token
         number[at] = inverse
         words = number if n == 1 else words
         end = at[where]
-        none = np.zeros(len(distinct), np.int64)
+        none = np.zeros(len(distinct), np.int32)
         out[n] = Gram(total, words[end], before[end - 1] if n > 1 else none, before[end] if n > 1 else none)
         before = number
     return out, words
