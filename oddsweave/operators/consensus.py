@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MARKET = "1X2"
 MIN_BOOKMAKERS = 4
 MAX_DEVIATION_PP = 20.0
 MAX_ATTEMPTS = 3
 
 
 def implied(prices: DataFrame) -> DataFrame:
-    """The best price's probability per fixture, category, selection and bookmaker; only finite prices above 1."""
-    good = prices.filter((F.col("price") > 1) & (F.col("price") < float("inf")))
+    """The best price's probability per fixture, category, selection and bookmaker; only finite prices above 1 of the result market."""
+    good = prices.filter((F.col("market_code") == MARKET) & (F.col("price") > 1) & (F.col("price") < float("inf")))
     return good.groupBy("fixture_id", "pa_category", "selection", "bookmaker").agg(F.min(1 / F.col("price")).alias("implied"))
 
 
@@ -36,10 +37,9 @@ def _without(values: Column, at: Column) -> Column:
 
 def leave_one_out(groups: DataFrame) -> DataFrame:
     """Each bookmaker's probability, the median of the others' and the deviation in points; groups of enough bookmakers only."""
-    gate = enough_bookmakers(groups).select("fixture_id")
+    # A selection with so many bookmakers has a fixture with as many: the fixture's own gate lets all of these through.
     sets = groups.groupBy("fixture_id", "pa_category", "selection").agg(F.array_sort(F.collect_list(F.struct("implied", "bookmaker"))).alias("all"))
-    sets = sets.filter(F.size("all") >= MIN_BOOKMAKERS).join(gate, "fixture_id", "left_semi")
-    values = sets.withColumn("values", F.col("all.implied"))
+    values = sets.filter(F.size("all") >= MIN_BOOKMAKERS).withColumn("values", F.col("all.implied"))
     each = values.select("fixture_id", "pa_category", "selection", "values", F.posexplode("all").alias("at", "own"))
     others = _without(F.col("values"), F.col("at"))
     return each.select(
@@ -65,8 +65,9 @@ def mismatches(prices: DataFrame, max_deviation: float = MAX_DEVIATION_PP) -> Da
     else every deviating category is reported by itself.
     """
     off = F.col("deviation_pp") > max_deviation
+    # Best prices are few for each fixture, and all below is grouped within fixtures: one exchange of them serves all of it.
     by_pa = (
-        leave_one_out(implied(prices))
+        leave_one_out(implied(prices).repartition("fixture_id"))
         .groupBy("fixture_id", "bookmaker", "pa_category")
         .agg(F.count(F.lit(1)).alias("evaluated"), F.count_if(off).alias("deviating"), F.max(F.when(off, F.col("deviation_pp"))).alias("worst"))
     )
@@ -88,7 +89,8 @@ def mismatches(prices: DataFrame, max_deviation: float = MAX_DEVIATION_PP) -> Da
 
 
 def changed_fixtures(prices: DataFrame, since, column: str = "updated_at") -> DataFrame:
-    """Fixtures with a price newer than the watermark; all of them on the first run (``since`` is None)."""
+    """Fixtures with a result price newer than the watermark; all of them on the first run (``since`` is None)."""
+    prices = prices.filter(F.col("market_code") == MARKET)
     rows = prices if since is None else prices.filter(F.col(column) > F.lit(since))
     return rows.select("fixture_id").distinct()
 
@@ -122,10 +124,17 @@ def next_blocks(found: DataFrame, blocks: DataFrame, links: DataFrame) -> DataFr
 
 
 def surviving_prices(prices: DataFrame, found: DataFrame) -> DataFrame:
-    """Prices after a sweep: those of wrong events go, and those of wrong categories."""
+    """Prices after a sweep: all those of wrong events go, and the result prices of wrong categories."""
     out = prices.join(found.filter("scope = 'EVENTO'").select("fixture_id", "bookmaker").distinct(), ["fixture_id", "bookmaker"], "left_anti")
     key = ["fixture_id", "bookmaker", "pa_category"]
-    return out.join(found.filter("scope = 'PARCIAL'").select(*key).distinct(), key, "left_anti")
+    parts = found.filter("scope = 'PARCIAL'").select(*key, F.lit(MARKET).alias("market_code")).distinct()
+    return out.join(parts, [*key, "market_code"], "left_anti")
+
+
+def surviving_links(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Links after a sweep: those of wrong events go, so that the next collection links anew."""
+    key = ["fixture_id", "bookmaker"]
+    return links.join(found.filter("scope = 'EVENTO'").select(*key).distinct(), key, "left_anti").select(*links.columns)
 
 
 def summary(found: DataFrame) -> DataFrame:

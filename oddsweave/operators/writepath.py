@@ -6,12 +6,15 @@ its rows and the incoming rows to its next rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsweave.functions.rules import eligibility
 
 LEAST_PROBABILITY, MOST_PROBABILITY = 0.9, 1.35
+MONEYLINE, SIDES = "1X2", ("HOME", "DRAW", "AWAY")
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -20,35 +23,54 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+GROUP = ["fixture_id", "bookmaker", "market_code", "pa_category"]
+
+
+def moneyline(prices: DataFrame) -> DataFrame:
+    """Prices of the full-time result market, the only one that is grouped and compared."""
+    return prices.filter(F.col("market_code") == MONEYLINE)
+
+
 def best_price(prices: DataFrame, order: str = "source_odd_id") -> DataFrame:
-    """The highest price per fixture, bookmaker, category and selection; on a tie the first by ``order``."""
-    keys = ["fixture_id", "bookmaker", "pa_category", "selection"]
+    """The highest price per fixture, bookmaker, market, category and selection; on a tie the first by ``order``."""
+    keys = [*GROUP, "selection"]
     rest = [c for c in prices.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(F.col("price"), -F.col(order)))
     return prices.groupBy(*keys).agg(best.alias("row")).select(*keys, *(F.col(f"row.{c}").alias(c) for c in rest))
 
 
+def _groups(prices: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per group of result prices: the best price of each side (with ``order``: its row), what else there is, and the verdict's parts."""
+    rows = []
+    at = lambda s: F.col("selection") == s
+    if order:
+        kept = F.struct(*(c for c in prices.columns if c not in GROUP))
+        rows = [F.max_by(F.when(at(s), kept), F.when(at(s), F.struct(F.col("price"), -F.col(order)))).alias(f"row_{s}") for s in SIDES]
+    sides = [F.max(F.when(at(s), F.col("price"))).alias(s) for s in SIDES]
+    got = moneyline(prices).groupBy(*GROUP).agg(*sides, F.bool_or(~F.col("selection").isin(*SIDES)).alias("odd"), *rows)
+    home, draw, away = (F.col(s).isNotNull() for s in SIDES)
+    probability = sum((F.coalesce(1 / F.col(s), F.lit(0.0)) for s in SIDES), F.lit(0.0))
+    complete = home & draw & away & ~F.col("odd")
+    two_way = (F.col("pa_category") == "COM_PA") & home & away & ~draw & ~F.col("odd")
+    out = got.select("*", complete.alias("complete"), two_way.alias("two_way"), probability.alias("probability"))
+    return out.withColumn("valid", (F.col("complete") & F.col("probability").between(LEAST_PROBABILITY, MOST_PROBABILITY)) | F.col("two_way"))
+
+
 def group_verdicts(prices: DataFrame) -> DataFrame:
-    """One row per fixture, bookmaker and category of a full-time result market: complete, two_way, probability, valid.
+    """One row per fixture, bookmaker, market and category of the result market: complete, two_way, probability, valid.
 
     Complete groups have all three selections and a sum of probabilities within
     bounds; early-payout groups may be home and away alone, without a check.
+    Other markets have no verdict.
     """
-    has = lambda s: F.bool_or(F.col("selection") == s)
-    best = prices.groupBy("fixture_id", "bookmaker", "pa_category", "selection").agg(F.max("price").alias("price"))
-    got = best.groupBy("fixture_id", "bookmaker", "pa_category").agg(
-        has("HOME").alias("home"), has("DRAW").alias("draw"), has("AWAY").alias("away"), F.bool_or(~F.col("selection").isin("HOME", "DRAW", "AWAY")).alias("odd"), F.sum(1 / F.col("price")).alias("probability")
-    )
-    complete = F.col("home") & F.col("draw") & F.col("away") & ~F.col("odd")
-    two_way = (F.col("pa_category") == "COM_PA") & F.col("home") & F.col("away") & ~F.col("draw") & ~F.col("odd")
-    fair = F.col("probability").between(LEAST_PROBABILITY, MOST_PROBABILITY)
-    return got.select("fixture_id", "bookmaker", "pa_category", complete.alias("complete"), two_way.alias("two_way"), "probability", ((complete & fair) | two_way).alias("valid"))
+    return _groups(prices).select(*GROUP, "complete", "two_way", "probability", "valid")
 
 
-def valid_prices(prices: DataFrame) -> DataFrame:
-    """Best prices of valid groups."""
-    good = group_verdicts(prices).filter("valid").select("fixture_id", "bookmaker", "pa_category")
-    return best_price(prices).join(good, ["fixture_id", "bookmaker", "pa_category"], "left_semi")
+def valid_prices(prices: DataFrame, order: str = "source_odd_id") -> DataFrame:
+    """Best prices of valid groups of the result market, and all prices of other markets."""
+    good = _groups(prices, order).filter("valid").select(*GROUP, F.explode(F.array(*(f"row_{s}" for s in SIDES))).alias("row")).filter("row IS NOT NULL")
+    best = good.select(*(c if c in GROUP else F.col(f"row.{c}").alias(c) for c in prices.columns))
+    return best.unionByName(prices.filter(F.col("market_code") != MONEYLINE))
 
 
 def conflicts(links: DataFrame) -> DataFrame:
@@ -56,18 +78,49 @@ def conflicts(links: DataFrame) -> DataFrame:
     return links.groupBy("bookmaker", "fixture_id").agg(F.count_distinct("external_event_id").alias("n_events")).filter("n_events > 1")
 
 
+def _stops(blocks: DataFrame) -> DataFrame:
+    """Per fixture and bookmaker: whether its event is exhausted, else the rejected event ids, and the categories that are stopped, exhausted or not."""
+    event = F.col("scope") == "EVENTO"
+    return blocks.groupBy("fixture_id", "bookmaker").agg(
+        F.bool_or(event & F.col("blocked")).alias("_exhausted"),
+        F.flatten(F.collect_list(F.when(event & ~F.col("blocked"), F.col("rejected_event_ids")))).alias("_rejected"),
+        F.collect_set(F.when(F.col("scope") == "PARCIAL", F.col("pa_category"))).alias("_parts"),
+    )
+
+
+def _judged_links(links: DataFrame, stops: DataFrame) -> DataFrame:
+    """Links with ``_gone``: those of exhausted events, and those to events that were rejected."""
+    event = F.col("external_event_id").cast("string")
+    gone = F.coalesce("_exhausted", F.lit(False)) | F.coalesce(F.array_contains("_rejected", event), F.lit(False))
+    return links.join(stops.drop("_parts"), ["fixture_id", "bookmaker"], "left").withColumn("_gone", gone).drop("_exhausted", "_rejected")
+
+
+def open_links(links: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Links that no block stops."""
+    return _judged_links(links, _stops(blocks)).filter(~F.col("_gone")).drop("_gone")
+
+
 def apply_blocks(prices: DataFrame, blocks: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """Prices that no block stops: exhausted events by fixture and bookmaker, rejected events by their id, categories by themselves."""
-    stop = blocks.filter("blocked")
-    out = prices.join(stop.filter("scope = 'EVENTO'").select("fixture_id", "bookmaker").distinct(), ["fixture_id", "bookmaker"], "left_anti")
-    parts = stop.filter("scope = 'PARCIAL'").select("fixture_id", "bookmaker", "pa_category").distinct()
-    out = out.join(parts, ["fixture_id", "bookmaker", "pa_category"], "left_anti")
-    if links is not None:
-        rejected = blocks.filter("scope = 'EVENTO'").select("fixture_id", "bookmaker", F.explode("rejected_event_ids").alias("event")).distinct()
-        linked = links.select("fixture_id", "bookmaker", F.col("external_event_id").cast("string").alias("event"))
-        gone = linked.join(rejected, ["fixture_id", "bookmaker", "event"], "left_semi").select("fixture_id", "bookmaker").distinct()
-        out = out.join(gone, ["fixture_id", "bookmaker"], "left_anti")
-    return out
+    """Prices that no block stops.
+
+    An exhausted event stops all of a fixture and bookmaker, a link to a rejected
+    event too; a category is stopped by its block, whether or not that says blocked.
+    """
+    return _open_prices(prices, _stops(blocks), None if links is None else _judged_links(links, _stops(blocks)))
+
+
+def _open_prices(prices: DataFrame, stops: DataFrame, judged: DataFrame | None, conflicting: bool = False) -> DataFrame:
+    """Prices that ``stops``, dropped links and (``conflicting``) links to several events leave: two joins, on one partitioning."""
+    key = ["fixture_id", "bookmaker"]
+    out = prices.join(stops.drop("_rejected"), key, "left")
+    stop = F.coalesce("_exhausted", F.lit(False)) | F.coalesce(F.array_contains("_parts", F.col("pa_category")), F.lit(False))
+    if judged is not None:
+        kept = F.when(~F.col("_gone"), F.col("external_event_id"))
+        out = out.join(judged.groupBy(*key).agg(F.bool_or("_gone").alias("_lost"), (F.count_distinct(kept) > 1).alias("_several")), key, "left")
+        stop = stop | F.coalesce("_lost", F.lit(False))
+        if conflicting:
+            stop = stop | F.coalesce("_several", F.lit(False))
+    return out.filter(~stop).select(*prices.columns)
 
 
 def diff(current: DataFrame, incoming: DataFrame, keys: list[str], values: dict[str, int | None], scope: DataFrame | None = None) -> DataFrame:
@@ -93,37 +146,100 @@ def diff(current: DataFrame, incoming: DataFrame, keys: list[str], values: dict[
     return out
 
 
-def merged(current: DataFrame, incoming: DataFrame, keys: list[str], values: dict[str, int | None], as_of: Column) -> DataFrame:
-    """Next rows in merge mode: new and changed rows from ``incoming``, unchanged ones seen again, stale ones gone.
+def _named(rows: DataFrame, markets: tuple[str, ...]) -> Column:
+    """Whether a row is of one of the markets; rows of a table without markets are."""
+    return F.col("market_code").isin(*markets) if "market_code" in rows.columns else F.lit(True)
+
 
+def merged(current: DataFrame, incoming: DataFrame, keys: list[str], values: dict[str, int | None], as_of: Column, scope: DataFrame | None = None, markets: tuple[str, ...] = (MONEYLINE,)) -> DataFrame:
+    """Next rows in merge mode: new and changed rows from ``incoming``, unchanged ones seen again, stale ones gone, all others as they were.
+
+    ``scope``: the fixtures and bookmakers of which rows may be stale (default:
+    those of ``incoming``), and ``markets`` of which.  Keys compare null to null.
     ``updated_at`` moves only where a compared value did; ``last_seen_at`` always.
     """
-    old = current.select(*keys, *(F.col(v).alias(f"old_{v}") for v in values), F.col("updated_at").alias("old_updated_at"))
-    rows = incoming.join(old, keys, "left")
+    on = [c for c in ("fixture_id", "bookmaker") if c in current.columns]
+    inside = (incoming if scope is None else scope).select(*on).distinct().withColumn("_inside", F.lit(True))
+    old = current.join(inside, on, "left").select(F.struct(*current.columns).alias("_old"), (F.coalesce("_inside", F.lit(False)) & F.coalesce(_named(current, markets), F.lit(False))).alias("_stale"))
+    new = incoming.select(F.struct(*incoming.columns).alias("_new"))
+    both = old.join(new, [F.col(f"_old.{k}").eqNullSafe(F.col(f"_new.{k}")) for k in keys], "full_outer")
     rounded = lambda c, d: F.col(c) if d is None else F.round(F.col(c), d)
-    same = F.col("old_updated_at").isNotNull()
+    same = F.col("_old").isNotNull()
     for v, d in values.items():
-        same = same & rounded(f"old_{v}", d).eqNullSafe(rounded(v, d))
-    stamped = rows.withColumn("updated_at", F.when(same, F.col("old_updated_at")).otherwise(as_of)).withColumn("last_seen_at", as_of)
-    return stamped.drop(*(f"old_{v}" for v in values), "old_updated_at")
+        same = same & rounded(f"_old.{v}", d).eqNullSafe(rounded(f"_new.{v}", d))
+    fresh = F.col("_new").isNotNull()
+
+    def column(name: str) -> Column:
+        was = F.col(f"_old.{name}") if name in current.columns else F.lit(None)
+        if name == "updated_at":
+            return F.when(fresh & ~same, as_of).otherwise(was)
+        if name == "last_seen_at":
+            return F.when(fresh, as_of).otherwise(was)
+        return F.when(fresh, F.col(f"_new.{name}")).otherwise(was) if name in incoming.columns else was
+
+    names = [*incoming.columns, *(c for c in (*current.columns, "updated_at", "last_seen_at") if c not in incoming.columns)]
+    return both.filter(fresh | ~F.col("_stale")).select(*(column(c).alias(c) for c in dict.fromkeys(names)))
+
+
+def replaced(current: DataFrame, incoming: DataFrame, scope: DataFrame, on: list[str], markets: tuple[str, ...] = (MONEYLINE,)) -> DataFrame:
+    """Next rows in replace mode: all rows of ``markets`` whose ``on`` columns are in ``scope`` give way to ``incoming``.
+
+    A fixture in ``scope`` that was dropped from ``incoming`` loses these rows.
+    """
+    inside = scope.select(*on).distinct().withColumn("_inside", F.lit(True))
+    kept = current.join(inside, on, "left").filter(F.col("_inside").isNull() | ~F.coalesce(_named(current, markets), F.lit(False))).select(*current.columns)
+    return kept.unionByName(incoming, allowMissingColumns=True)
+
+
+def moved_links(current: DataFrame, links: DataFrame) -> DataFrame:
+    """Fixtures (with bookmaker) that a stored link leaves, as its event is linked to another one now."""
+    now = links.select("bookmaker", F.col("external_event_id").cast("string").alias("_event"), F.col("fixture_id").alias("_to")).distinct()
+    was = current.withColumn("_event", F.col("external_event_id").cast("string"))
+    return was.join(now, ["bookmaker", "_event"]).filter("fixture_id <> _to").select("fixture_id", "bookmaker").distinct()
+
+
+def next_links(current: DataFrame, links: DataFrame, scope: DataFrame) -> DataFrame:
+    """Links after a batch: one per bookmaker and event; the batch's come in, other links of fixtures in ``scope`` go, the rest stays."""
+    event = lambda df: df.withColumn("_event", F.col("external_event_id").cast("string"))
+    inside = scope.select("fixture_id", "bookmaker").distinct()
+    old = event(current.join(inside, ["fixture_id", "bookmaker"], "left_anti"))
+    kept = old.join(event(links).select("bookmaker", "_event").distinct(), ["bookmaker", "_event"], "left_anti").select(*current.columns)
+    return kept.unionByName(links.select(*current.columns))
+
+
+@dataclass(frozen=True)
+class Saved:
+    """``prices`` and ``links`` after a batch, and its ``scope`` (fixture_id, bookmaker)."""
+
+    prices: DataFrame
+    links: DataFrame
+    scope: DataFrame
 
 
-def replaced(current: DataFrame, incoming: DataFrame, scope: DataFrame, on: list[str]) -> DataFrame:
-    """Next rows in replace mode: all rows whose ``on`` columns are in ``scope`` give way to ``incoming``.
+def save(current: DataFrame, incoming: DataFrame, links: DataFrame, blocks: DataFrame, stored_links: DataFrame, markets: tuple[str, ...] = (MONEYLINE,)) -> Saved:
+    """The full replace-mode write of a batch: blocks, conflicts, validation, then the next prices and links.
 
-    A fixture in ``scope`` that was dropped from ``incoming`` loses its rows.
+    In scope are the fixtures of links and prices that no block stops, and those
+    that a moved link leaves; of these, stored rows of ``markets`` give way.  A
+    fixture that a block stops keeps what is stored; one whose links are in
+    conflict loses it.
     """
-    return current.join(scope.select(*on).distinct(), on, "left_anti").unionByName(incoming, allowMissingColumns=True)
+    key, stops = ["fixture_id", "bookmaker"], _stops(blocks)
+    judged = _judged_links(links, stops)
+    open_ = judged.filter(~F.col("_gone")).drop("_gone")
+    clean_links = open_.join(conflicts(open_).select(*key), key, "left_anti")
+    clean = _open_prices(incoming, stops, judged, conflicting=True)
+    scope = open_.select(*key).union(clean.select(*key)).union(moved_links(stored_links, clean_links)).distinct()
+    prices = replaced(current, valid_prices(clean).select(*current.columns), scope, key, markets)
+    return Saved(prices, next_links(stored_links, clean_links, scope), scope)
 
 
-def save_all(current: DataFrame, incoming: DataFrame, links: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The full replace-mode write of a batch: blocks, conflicts, validation, then the next prices."""
-    open_ = apply_blocks(incoming, blocks, links)
-    clean = open_.join(conflicts(links).select("fixture_id", "bookmaker"), ["fixture_id", "bookmaker"], "left_anti")
-    return replaced(current, valid_prices(clean).select(*current.columns), incoming, ["fixture_id", "bookmaker"])
+def save_all(current: DataFrame, incoming: DataFrame, links: DataFrame, blocks: DataFrame, stored_links: DataFrame | None = None) -> DataFrame:
+    """The prices of ``save``; without ``stored_links`` no link moves."""
+    return save(current, incoming, links, blocks, links.limit(0) if stored_links is None else stored_links).prices
 
 
-def unseen(rows: DataFrame, as_of: Column, hours: int = 2, column: str = "last_seen_at") -> DataFrame:
+def within_ttl(rows: DataFrame, as_of: Column, hours: int = 2, column: str = "last_seen_at") -> DataFrame:
     """Rows within their time to live."""
     return rows.filter(F.col(column) >= as_of - F.make_interval(hours=F.lit(hours)))
 

@@ -9,7 +9,7 @@ from oddsweave.plans.catalog import query
 from oddsweave.sources.tables import AS_OF, table, with_views
 
 ODDS = with_views("odds")
-_IMPLIED = ODDS + """, implied AS (SELECT fixture_id, pa_category, selection, bookmaker, min(1 / price) AS p FROM odds WHERE price > 1 GROUP BY ALL),
+_IMPLIED = ODDS + """, implied AS (SELECT fixture_id, pa_category, selection, bookmaker, min(1 / price) AS p FROM odds WHERE market_code = '1X2' AND price > 1 GROUP BY ALL),
     gate AS (SELECT fixture_id FROM implied GROUP BY 1 HAVING count(DISTINCT bookmaker) >= 4),
     sized AS (SELECT *, count(*) OVER (PARTITION BY fixture_id, pa_category, selection) AS n FROM implied WHERE fixture_id IN (SELECT fixture_id FROM gate)),
     loo AS (SELECT a.fixture_id, a.bookmaker, a.pa_category, a.selection, a.p, median(b.p) AS med, abs(a.p - median(b.p)) * 100 AS dev
@@ -34,7 +34,7 @@ def c01_detect_mismatches(spark, d):
     return consensus.mismatches(_odds(spark, d)).withColumn("worst_pp", F.round("worst_pp", 6)).drop("reason")
 
 
-@query(ODDS + " SELECT DISTINCT fixture_id FROM odds WHERE updated_at > DATE '2001-06-01'")
+@query(ODDS + " SELECT DISTINCT fixture_id FROM odds WHERE market_code = '1X2' AND updated_at > DATE '2001-06-01'")
 def c02_changed_fixtures(spark, d):
     return consensus.changed_fixtures(_odds(spark, d), "2001-06-01")
 
@@ -56,13 +56,21 @@ def c03_next_blocks(spark, d):
 @query(
     _FOUND
     + """ SELECT fixture_id, count(*) AS n_prices, round(sum(price), 6) AS total FROM odds o
-    WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.fixture_id = o.fixture_id AND f.bookmaker = o.bookmaker AND (f.scope = 'EVENTO' OR f.pa_category = o.pa_category)) GROUP BY 1"""
+    WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.fixture_id = o.fixture_id AND f.bookmaker = o.bookmaker AND (f.scope = 'EVENTO' OR (f.pa_category = o.pa_category AND o.market_code = '1X2'))) GROUP BY 1"""
 )
 def c03_surviving_prices(spark, d):
     odds = _odds(spark, d)
     return consensus.surviving_prices(odds, consensus.mismatches(odds)).groupBy("fixture_id").agg(F.count(F.lit(1)).alias("n_prices"), F.round(F.sum("price"), 6).alias("total"))
 
 
+@query(
+    _FOUND.replace("WITH odds", with_views("links") + ", odds")
+    + " SELECT fixture_id, bookmaker, external_event_id FROM links l WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.scope = 'EVENTO' AND f.fixture_id = l.fixture_id AND f.bookmaker = l.bookmaker)"
+)
+def c03_surviving_links(spark, d):
+    return consensus.surviving_links(table(spark, d, "links"), consensus.mismatches(_odds(spark, d))).select("fixture_id", "bookmaker", "external_event_id")
+
+
 @query(_FOUND + " SELECT count(*) AS mismatches, count(*) FILTER (scope = 'EVENTO') AS event_mismatches, count(*) FILTER (scope = 'PARCIAL') AS partial_mismatches, count(DISTINCT fixture_id) AS fixtures FROM found")
 def c04_summary(spark, d):
     return consensus.summary(consensus.mismatches(_odds(spark, d)))
@@ -73,18 +81,20 @@ def c05_fetch_blocks(spark, d):
     return table(spark, d, "blocks").filter("blocked").select("fixture_id", "bookmaker", "scope", "attempts")
 
 
-@query(ODDS + " SELECT fixture_id, bookmaker, pa_category, selection, max(price) AS price FROM odds GROUP BY ALL")
+@query(ODDS + " SELECT fixture_id, bookmaker, market_code, pa_category, selection, max(price) AS price, arg_min(source_odd_id, (-price, source_odd_id)) AS source_odd_id FROM odds GROUP BY 1, 2, 3, 4, 5")
 def g01_best_price(spark, d):
-    return writepath.best_price(_odds(spark, d)).select("fixture_id", "bookmaker", "pa_category", "selection", "price")
+    return writepath.best_price(_odds(spark, d)).select("fixture_id", "bookmaker", "market_code", "pa_category", "selection", "price", "source_odd_id")
 
 
-@query(
-    ODDS
-    + """, best AS (SELECT fixture_id, bookmaker, pa_category, selection, max(price) AS price FROM odds GROUP BY ALL),
-    g AS (SELECT fixture_id, bookmaker, pa_category, bool_or(selection = 'HOME') AS h, bool_or(selection = 'DRAW') AS x, bool_or(selection = 'AWAY') AS a, sum(1 / price) AS p FROM best GROUP BY 1, 2, 3)
-    SELECT fixture_id, bookmaker, pa_category, h AND x AND a AS complete, pa_category = 'COM_PA' AND h AND a AND NOT x AS two_way, round(p, 6) AS probability,
-        (h AND x AND a AND p BETWEEN 0.9 AND 1.35) OR (pa_category = 'COM_PA' AND h AND a AND NOT x) AS valid FROM g"""
-)
+#: Groups of the result market by the rule of the write path: only 1X2 rows form groups.
+_GROUPS = """best AS (SELECT fixture_id, bookmaker, pa_category, selection, max(price) AS price FROM {rows} WHERE market_code = '1X2' GROUP BY ALL),
+    g AS (SELECT fixture_id, bookmaker, pa_category, bool_or(selection = 'HOME') AS h, bool_or(selection = 'DRAW') AS x, bool_or(selection = 'AWAY') AS a,
+        bool_or(selection NOT IN ('HOME', 'DRAW', 'AWAY')) AS odd, sum(1 / price) FILTER (selection IN ('HOME', 'DRAW', 'AWAY')) AS p FROM best GROUP BY 1, 2, 3),
+    v AS (SELECT *, h AND x AND a AND NOT odd AS complete, pa_category = 'COM_PA' AND h AND a AND NOT x AND NOT odd AS two_way FROM g),
+    ok AS (SELECT *, (complete AND p BETWEEN 0.9 AND 1.35) OR two_way AS valid FROM v)"""
+
+
+@query(ODDS + ", " + _GROUPS.format(rows="odds") + " SELECT fixture_id, bookmaker, '1X2' AS market_code, pa_category, complete, two_way, round(p, 6) AS probability, valid FROM ok")
 def g02_moneyline_validation(spark, d):
     return writepath.group_verdicts(_odds(spark, d)).withColumn("probability", F.round("probability", 6))
 
@@ -113,7 +123,7 @@ def g07_conflicts(spark, d):
 @query(
     with_views("odds", "blocks")
     + """ SELECT bookmaker, pa_category, count(*) AS n_prices, round(sum(price), 6) AS total FROM odds o
-    WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.blocked AND b.fixture_id = o.fixture_id AND b.bookmaker = o.bookmaker AND (b.scope = 'EVENTO' OR b.pa_category = o.pa_category)) GROUP BY 1, 2"""
+    WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.fixture_id = o.fixture_id AND b.bookmaker = o.bookmaker AND ((b.scope = 'EVENTO' AND b.blocked) OR (b.scope = 'PARCIAL' AND b.pa_category = o.pa_category))) GROUP BY 1, 2"""
 )
 def f08_apply_blocks(spark, d):
     return writepath.apply_blocks(_odds(spark, d), _blocks(spark, d)).groupBy("bookmaker", "pa_category").agg(F.count(F.lit(1)).alias("n_prices"), F.round(F.sum("price"), 6).alias("total"))
@@ -139,40 +149,74 @@ def j08_diff_actions(spark, d):
     return writepath.diff(*_halves(spark, d), _KEYS, {"price": 4})
 
 
+_MERGE = ODDS + f""", old AS (SELECT fixture_id, bookmaker, market_code, pa_category, selection, max(price) AS price FROM odds WHERE source_odd_id % 3 <> 0 GROUP BY ALL),
+    new AS (SELECT fixture_id, bookmaker, market_code, pa_category, selection, max(price) AS price FROM odds WHERE source_odd_id % 3 <> 1 AND fixture_id % 2 = 0 GROUP BY ALL)"""
+
+
 @query(
-    _HALVES
-    + f""" SELECT fixture_id, bookmaker, pa_category, selection, n.price, CASE WHEN round(o.price, 4) = round(n.price, 4) THEN '1999-01-01' ELSE '{AS_OF}' END AS updated_at, '{AS_OF}' AS last_seen_at
-    FROM new n LEFT JOIN old o USING (fixture_id, bookmaker, pa_category, selection)"""
+    _MERGE
+    + f""" SELECT fixture_id, bookmaker, market_code, pa_category, selection, n.price, CASE WHEN round(o.price, 4) = round(n.price, 4) THEN '1999-01-01' ELSE '{AS_OF}' END AS updated_at, '{AS_OF}' AS last_seen_at
+        FROM new n LEFT JOIN old o USING (fixture_id, bookmaker, market_code, pa_category, selection)
+    UNION ALL SELECT fixture_id, bookmaker, market_code, pa_category, selection, price, '1999-01-01', '1999-01-01' FROM old o
+        WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.fixture_id = o.fixture_id AND n.bookmaker = o.bookmaker AND n.market_code = o.market_code AND n.pa_category = o.pa_category AND n.selection = o.selection)
+        AND (market_code <> '1X2' OR NOT EXISTS (SELECT 1 FROM new n WHERE n.fixture_id = o.fixture_id AND n.bookmaker = o.bookmaker))"""
 )
 def u02_merge(spark, d):
-    old, new = _halves(spark, d)
-    out = writepath.merged(old.withColumn("updated_at", F.lit("1999-01-01").cast("date")), new, _KEYS, {"price": 4}, F.lit(AS_OF).cast("date"))
+    """A batch of half the fixtures merged into all stored prices: other fixtures and other markets stay."""
+    keys = ["fixture_id", "bookmaker", "market_code", "pa_category", "selection"]
+    best = lambda rows: rows.groupBy(*keys).agg(F.max("price").alias("price"))
+    first = F.lit("1999-01-01").cast("date")
+    old = best(_odds(spark, d).filter("source_odd_id % 3 <> 0")).withColumn("updated_at", first).withColumn("last_seen_at", first)
+    out = writepath.merged(old, best(_odds(spark, d).filter("source_odd_id % 3 <> 1 AND fixture_id % 2 = 0")), keys, {"price": 4}, F.lit(AS_OF).cast("date"))
     return out.withColumns({c: F.col(c).cast("string") for c in ("updated_at", "last_seen_at")})
 
 
+#: A batch (even price ids, links to two thirds of the events under other fixtures for some) over what is stored.
+_BATCH = with_views("odds", "links", "blocks") + """, inc AS (SELECT * FROM odds WHERE source_odd_id % 2 = 0), cur AS (SELECT * FROM odds WHERE source_odd_id % 2 = 1),
+    was AS (SELECT DISTINCT fixture_id, bookmaker, external_event_id FROM links),
+    batch AS (SELECT DISTINCT CASE WHEN external_event_id % 5 = 0 THEN fixture_id + 1 ELSE fixture_id END AS fixture_id, bookmaker, external_event_id FROM links WHERE external_event_id % 3 <> 0),
+    judged AS (SELECT l.*, EXISTS (SELECT 1 FROM blocks b WHERE b.scope = 'EVENTO' AND b.fixture_id = l.fixture_id AND b.bookmaker = l.bookmaker AND (b.blocked OR b.rejected = CAST(l.external_event_id AS VARCHAR))) AS gone FROM batch l),
+    open AS (SELECT * FROM judged WHERE NOT gone),
+    several AS (SELECT fixture_id, bookmaker FROM open GROUP BY 1, 2 HAVING count(DISTINCT external_event_id) > 1),
+    clean_links AS (SELECT fixture_id, bookmaker, external_event_id FROM open o WHERE NOT EXISTS (SELECT 1 FROM several s WHERE s.fixture_id = o.fixture_id AND s.bookmaker = o.bookmaker)),
+    clean AS (SELECT * FROM inc i WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.fixture_id = i.fixture_id AND b.bookmaker = i.bookmaker AND ((b.scope = 'EVENTO' AND b.blocked) OR (b.scope = 'PARCIAL' AND b.pa_category = i.pa_category)))
+        AND NOT EXISTS (SELECT 1 FROM judged j WHERE j.gone AND j.fixture_id = i.fixture_id AND j.bookmaker = i.bookmaker)
+        AND NOT EXISTS (SELECT 1 FROM several s WHERE s.fixture_id = i.fixture_id AND s.bookmaker = i.bookmaker)),
+    moved AS (SELECT w.fixture_id, w.bookmaker FROM was w JOIN clean_links c ON c.bookmaker = w.bookmaker AND c.external_event_id = w.external_event_id AND c.fixture_id <> w.fixture_id),
+    area AS (SELECT fixture_id, bookmaker FROM open UNION SELECT fixture_id, bookmaker FROM clean UNION SELECT fixture_id, bookmaker FROM moved), """ + _GROUPS.format(rows="clean")
+
+
 @query(
-    with_views("odds", "links", "blocks")
-    + """, inc AS (SELECT * FROM odds WHERE source_odd_id % 2 = 0), cur AS (SELECT * FROM odds WHERE source_odd_id % 2 = 1),
-    gone AS (SELECT DISTINCT l.fixture_id, l.bookmaker FROM links l JOIN blocks b ON b.scope = 'EVENTO' AND b.fixture_id = l.fixture_id AND b.bookmaker = l.bookmaker AND b.rejected = CAST(l.external_event_id AS VARCHAR)),
-    conflict AS (SELECT fixture_id, bookmaker FROM links GROUP BY 1, 2 HAVING count(DISTINCT external_event_id) > 1),
-    clean AS (SELECT * FROM inc i WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.blocked AND b.fixture_id = i.fixture_id AND b.bookmaker = i.bookmaker AND (b.scope = 'EVENTO' OR b.pa_category = i.pa_category))
-        AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.fixture_id = i.fixture_id AND g.bookmaker = i.bookmaker) AND NOT EXISTS (SELECT 1 FROM conflict c WHERE c.fixture_id = i.fixture_id AND c.bookmaker = i.bookmaker)),
-    best AS (SELECT fixture_id, bookmaker, pa_category, selection, max(price) AS price FROM clean GROUP BY ALL),
-    ok AS (SELECT fixture_id, bookmaker, pa_category FROM best GROUP BY 1, 2, 3 HAVING (bool_or(selection = 'HOME') AND bool_or(selection = 'DRAW') AND bool_or(selection = 'AWAY') AND sum(1 / price) BETWEEN 0.9 AND 1.35)
-        OR (pa_category = 'COM_PA' AND bool_or(selection = 'HOME') AND bool_or(selection = 'AWAY') AND NOT bool_or(selection = 'DRAW'))),
-    nxt AS (SELECT fixture_id, bookmaker, price FROM cur c WHERE NOT EXISTS (SELECT 1 FROM inc i WHERE i.fixture_id = c.fixture_id AND i.bookmaker = c.bookmaker)
-        UNION ALL SELECT fixture_id, bookmaker, price FROM best JOIN ok USING (fixture_id, bookmaker, pa_category))
-    SELECT fixture_id, bookmaker, count(*) AS n_prices, round(sum(price), 6) AS total FROM nxt GROUP BY 1, 2"""
+    _BATCH
+    + """, nxt AS (SELECT fixture_id, bookmaker, market_code, price FROM cur c WHERE market_code <> '1X2' OR NOT EXISTS (SELECT 1 FROM area i WHERE i.fixture_id = c.fixture_id AND i.bookmaker = c.bookmaker)
+        UNION ALL SELECT fixture_id, bookmaker, '1X2', price FROM best JOIN ok USING (fixture_id, bookmaker, pa_category) WHERE valid
+        UNION ALL SELECT fixture_id, bookmaker, market_code, price FROM clean WHERE market_code <> '1X2')
+    SELECT fixture_id, bookmaker, market_code, count(*) AS n_prices, round(sum(price), 6) AS total FROM nxt GROUP BY 1, 2, 3"""
 )
 def u01_save_all(spark, d):
-    odds = _odds(spark, d)
-    out = writepath.save_all(odds.filter("source_odd_id % 2 = 1"), odds.filter("source_odd_id % 2 = 0"), table(spark, d, "links"), _blocks(spark, d))
-    return out.groupBy("fixture_id", "bookmaker").agg(F.count(F.lit(1)).alias("n_prices"), F.round(F.sum("price"), 6).alias("total"))
+    return _saved(spark, d).prices.groupBy("fixture_id", "bookmaker", "market_code").agg(F.count(F.lit(1)).alias("n_prices"), F.round(F.sum("price"), 6).alias("total"))
+
+
+@query(
+    _BATCH
+    + """ SELECT fixture_id, bookmaker, external_event_id FROM was w WHERE NOT EXISTS (SELECT 1 FROM area a WHERE a.fixture_id = w.fixture_id AND a.bookmaker = w.bookmaker)
+        AND NOT EXISTS (SELECT 1 FROM clean_links c WHERE c.bookmaker = w.bookmaker AND c.external_event_id = w.external_event_id) UNION ALL SELECT * FROM clean_links"""
+)
+def u01_saved_links(spark, d):
+    """Links after the same batch: moved ones under their new fixture, others of its fixtures gone."""
+    return _saved(spark, d).links
+
+
+def _saved(spark, d):
+    odds, links = _odds(spark, d), table(spark, d, "links").select("fixture_id", "bookmaker", "external_event_id").distinct()
+    moved = F.when(F.col("external_event_id") % 5 == 0, F.col("fixture_id") + 1).otherwise(F.col("fixture_id"))
+    batch = links.filter("external_event_id % 3 <> 0").withColumn("fixture_id", moved)
+    return writepath.save(odds.filter("source_odd_id % 2 = 1"), odds.filter("source_odd_id % 2 = 0"), batch, _blocks(spark, d), links)
 
 
 @query(ODDS + " SELECT bookmaker, count(*) AS kept FROM odds WHERE CAST(last_seen_at AS TIMESTAMP) >= TIMESTAMP '2000-02-01' - INTERVAL 2 HOUR GROUP BY 1")
 def u04_ttl(spark, d):
-    return writepath.unseen(_odds(spark, d), F.to_timestamp(F.lit(AS_OF))).groupBy("bookmaker").agg(F.count(F.lit(1)).alias("kept"))
+    return writepath.within_ttl(_odds(spark, d), F.to_timestamp(F.lit(AS_OF))).groupBy("bookmaker").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query(with_views("odds", "fixtures") + " SELECT bookmaker, count(*) AS kept FROM odds WHERE last_seen_at >= DATE '2000-02-01' OR fixture_id NOT IN (SELECT fixture_id FROM fixtures WHERE status = 'Brand#1') GROUP BY 1")

@@ -103,7 +103,7 @@ def test_native_and_python_scores_agree(spark):
 
 
 def odds(spark, rows):
-    return spark.createDataFrame(rows, "fixture_id long, bookmaker string, pa_category string, selection string, price double")
+    return spark.createDataFrame(rows, "fixture_id long, bookmaker string, pa_category string, selection string, price double").withColumn("market_code", F.lit("1X2"))
 
 
 def test_consensus_boundaries(spark):
@@ -147,10 +147,48 @@ def test_two_way_groups_and_unknown_selections(spark):
 
 
 def test_best_price_takes_the_first_on_a_tie(spark):
-    rows = spark.createDataFrame([(1, "a", "S", "HOME", 2.0, 5), (1, "a", "S", "HOME", 2.0, 3), (1, "a", "S", "HOME", 1.9, 1)], "fixture_id long, bookmaker string, pa_category string, selection string, price double, source_odd_id long")
+    rows = spark.createDataFrame([(1, "a", "S", "HOME", 2.0, 5), (1, "a", "S", "HOME", 2.0, 3), (1, "a", "S", "HOME", 1.9, 1)], "fixture_id long, bookmaker string, pa_category string, selection string, price double, source_odd_id long").withColumn("market_code", F.lit("1X2"))
     assert writepath.best_price(rows).first().source_odd_id == 3
 
 
+PRICES = "fixture_id long, bookmaker string, market_code string, pa_category string, selection string, price double, source_odd_id long"
+
+
+def test_other_markets_neither_spoil_groups_nor_get_lost(spark):
+    group = [(1, "a", "1X2", "SEM_PA", s, 3.0, k) for k, s in enumerate(("HOME", "DRAW", "AWAY"))]
+    over = [(1, "a", "OU", "SEM_PA", "OVER", 1.9, 7), (1, "a", "OU", "SEM_PA", "OVER", 1.8, 8)]
+    got = writepath.valid_prices(spark.createDataFrame([*group, *over], PRICES))
+    assert sorted(tuple(r) for r in got.select(*[c.split()[0] for c in PRICES.split(", ")]).collect()) == sorted([*group, *over])
+    assert writepath.group_verdicts(spark.createDataFrame([*group, *over], PRICES)).count() == 1
+
+
+def test_merge_keeps_what_is_out_of_scope(spark):
+    old = spark.createDataFrame([(1, "a", "1X2", "S", "HOME", 2.0, 1), (1, "a", "1X2", "S", "AWAY", 2.0, 2), (1, "a", "OU", "S", "OVER", 2.0, 3), (2, "a", "1X2", "S", "HOME", 2.0, 4), (1, "b", "1X2", "S", "HOME", 2.0, 5), (1, "a", "1X2", None, "HOME", 2.5, 6)], PRICES)
+    old = old.withColumn("updated_at", F.lit("1999-01-01").cast("date")).withColumn("last_seen_at", F.col("updated_at"))
+    new = spark.createDataFrame([(1, "a", "1X2", "S", "HOME", 2.00001, 1), (1, "a", "1X2", None, "HOME", 3.0, 6)], PRICES)
+    keys = ["fixture_id", "bookmaker", "market_code", "pa_category", "selection"]
+    got = {r.source_odd_id: (r.price, str(r.updated_at), str(r.last_seen_at)) for r in writepath.merged(old, new, keys, {"price": 4}, F.lit("2000-01-01").cast("date")).collect()}
+    first, now = "1999-01-01", "2000-01-01"
+    assert got == {1: (2.00001, first, now), 3: (2.0, first, first), 4: (2.0, first, first), 5: (2.0, first, first), 6: (3.0, now, now)}
+
+
+def test_save_scope_blocks_conflicts_and_moved_links(spark):
+    group = lambda f, price: [(f, "a", "1X2", "S", s, price, f * 10 + k) for k, s in enumerate(("HOME", "DRAW", "AWAY"))]
+    stored = spark.createDataFrame([r for f in range(1, 7) for r in group(f, 2.9)] + [(4, "a", "OU", "S", "OVER", 1.5, 49)], PRICES)
+    incoming = spark.createDataFrame([r for f in (1, 2, 3, 4) for r in group(f, 3.0)], PRICES)
+    link = "fixture_id long, bookmaker string, external_event_id long"
+    links = spark.createDataFrame([(1, "a", 100), (2, "a", 200), (3, "a", 300), (3, "a", 301), (4, "a", 500)], link)
+    before = spark.createDataFrame([(1, "a", 100), (2, "a", 200), (3, "a", 300), (5, "a", 500), (6, "a", 600)], link)
+    blocks = spark.createDataFrame([(1, "a", "EVENTO", "", True, []), (2, "a", "EVENTO", "", False, ["200"]), (9, "a", "PARCIAL", "S", False, None)], "fixture_id long, bookmaker string, scope string, pa_category string, blocked boolean, rejected_event_ids array<string>")
+    got = writepath.save(stored, incoming, links, blocks, before)
+    prices = {(r.fixture_id, r.market_code): r.price for r in got.prices.collect()}
+    # 1: exhausted and 2: rejected, so both keep what is stored; 3: in conflict, loses it; 4: replaced, its other market stays; 5: its link moved away; 6: not in the batch.
+    assert prices == {(1, "1X2"): 2.9, (2, "1X2"): 2.9, (4, "1X2"): 3.0, (4, "OU"): 1.5, (6, "1X2"): 2.9}
+    assert {(r.fixture_id, r.external_event_id) for r in got.links.collect()} == {(1, 100), (2, 200), (4, 500), (6, 600)}
+    parts = spark.createDataFrame([(1, "a", "PARCIAL", "S", False, None)], blocks.schema)
+    assert writepath.apply_blocks(incoming, parts).filter("fixture_id = 1").count() == 0
+
+
 def test_diff_compares_null_keys_and_rounds(spark):
     schema = "k long, s string, price double"
     old = spark.createDataFrame([(1, None, 2.00001), (2, "x", 3.0), (3, "y", 1.5)], schema)
