@@ -121,17 +121,21 @@ def civil_date(ts: Column, zone: str = CIVIL_ZONE) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, zone))
 
 
-def event_timing(label: Column, clock: Column, today: Column) -> Column:
-    """Start from a label (``hoje``, ``amanha`` or dd.mm) and a clock of UTC-3; other labels mean today."""
+def event_timing(label: Column, clock: Column, today: Column, allowed: Column) -> Column:
+    """date_key and starts_at of an event page's label and clock (UTC-3); null on a day that isn't allowed.
+
+    ``allowed``: an array of date keys.  The label is today's, tomorrow's or a day
+    and month of an allowed key; any other one means the first allowed key.
+    """
     text = F.trim(fold(label))
-    day = F.regexp_extract(text, r"(\d{2})\.(\d{2})", 1)
-    month = F.regexp_extract(text, r"(\d{2})\.(\d{2})", 2)
-    date = (
-        F.when(text.startswith("amanha"), F.date_add(today, 1))
-        .when(day != "", F.make_date(F.year(today), F.nullif(month, F.lit("")).cast("int"), F.nullif(day, F.lit("")).cast("int")))
-        .otherwise(today)
-    )
-    return F.to_timestamp(F.concat_ws(" ", date.cast("string"), clock)) + F.make_interval(hours=F.lit(3))
+    day_month = r"^(\d{1,2})[./-](\d{1,2})$"
+    part = lambda k: F.lpad(F.nullif(F.regexp_extract(text, day_month, k), F.lit("")).cast("int").cast("string"), 2, "0")
+    found = F.when(text.rlike(day_month), F.get(F.filter(allowed, lambda key: F.substring(key, 6, 5) == F.concat_ws("-", part(2), part(1))), 0))
+    key = F.when(text == "hoje", today.cast("string")).when(text == "amanha", F.date_add(today, 1).cast("string")).otherwise(found)
+    key = F.coalesce(key, F.get(allowed, 0))
+    time = F.when(clock.rlike(r"^\d{1,2}:\d{2}$"), F.lpad(clock, 5, "0"))
+    starts = F.concat_ws(" ", key, time).try_cast("timestamp") + F.make_interval(hours=F.lit(3))
+    return F.when(F.array_contains(allowed, key), F.struct(key.alias("date_key"), F.when(time.isNotNull(), starts).alias("starts_at")))
 
 
 def slug(text: Column) -> Column:

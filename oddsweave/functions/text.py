@@ -141,3 +141,18 @@ def search_keywords(name: Column, most: int = 3) -> Column:
     parts = F.split(core, " ")
     heads = [F.array_join(F.slice(parts, 1, k), " ") for k in range(most, 0, -1)]
     return F.filter(F.array_distinct(F.array(core, *heads)), lambda t: t != "")
+
+
+# Letters and their accented forms that a search takes as equal.
+ACCENTS = {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõöø", "u": "ùúûü", "y": "ýÿ"}
+#: Between the letters of a short name a search lets a few other signs stand.
+BETWEEN = r"[^A-Za-z0-9\u00C0-\u024F]{0,3}"
+
+
+def search_pattern(token: Column) -> Column:
+    """A regex that finds a token whatever its accents and case; the letters of a short one may stand apart."""
+    group = F.create_map(*(F.lit(x) for k, forms in ACCENTS.items() for x in (k, "[" + "".join(c + c.upper() for c in k + forms if c != "ÿ") + ("ÿ" if "ÿ" in forms else "") + "]")))
+    letter = lambda c: F.coalesce(group[F.lower(c)], F.when(c.rlike("[A-Za-z0-9]"), c).otherwise(F.concat(F.lit("\\"), c)))
+    letters = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), letter)
+    short = token.rlike("^[a-z]{2,4}$") & ((F.length(token) <= 3) | token.isin(*SAFE_SHORT_TOKENS))
+    return F.when(short, F.array_join(letters, BETWEEN)).otherwise(F.array_join(letters, ""))

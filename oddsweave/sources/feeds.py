@@ -200,6 +200,15 @@ LOCALISED = Adapter(
     label=lambda e, m, s: s["Name"],
     similar=(0.75, True),
 )
+
+
+def _last_by_id(items: Column, name) -> Column:
+    """Items that have a name, of those that share one the last, where the first stood."""
+    named = F.filter(items, lambda m: name(m).isNotNull())
+    last = lambda m: F.element_at(F.filter(named, lambda o: name(o) == name(m)), -1)
+    return F.transform(F.filter(named, lambda m, i: ~F.exists(F.slice(named, 1, i), lambda o: name(o) == name(m))), last)
+
+
 OFFERS_BY_MARKET = Adapter(
     "betano",
     "data struct<event:struct<id:string, name:string, startTime:bigint, leagueName:string, participants:array<struct<name:string>>>, markets:array<struct<id:string, uniqueId:string, name:string, type:string, selections:array<struct<id:string, name:string, price:double>>>>, marketOffersData:struct<marketOffers:map<string, array<struct<offerTypeId:int, text:string, description:string>>>>>",
@@ -210,7 +219,7 @@ OFFERS_BY_MARKET = Adapter(
         "starts": lambda e: F.timestamp_millis(e["data"]["event"]["startTime"]),
         "league": lambda e: e["data"]["event"]["leagueName"],
     },
-    markets=lambda e: F.array_distinct(e["data"]["markets"]),
+    markets=lambda e: _last_by_id(e["data"]["markets"], lambda m: F.coalesce(F.nullif(m["id"], F.lit("")), F.nullif(m["uniqueId"], F.lit("")))),
     market_ok=lambda e, m: F.forall(F.array(F.lit("1"), F.lit("X"), F.lit("2")), lambda c: F.array_contains(F.transform(m["selections"]["name"], F.upper), c)) & (m["type"].isin("MRES", "MR12") | norm(m["name"]).contains("resultado final")),
     selections=lambda e, m: m["selections"],
     side=lambda e, m, s: side_by(F.upper(s["name"]), ("1",), ("X",), ("2",)),
@@ -261,6 +270,14 @@ MARKET_MAPS = Adapter(
     market_name=lambda e, m: F.when(m["key"] == "448", "Resultado da Partida").otherwise("Vence ao Abrir 2 Gols"),
     label=lambda e, m, s: s["value"]["pos"].cast("string"),
 )
+
+
+def _letters(name: Column) -> Column:
+    """Sum of the code points of a name; none for null."""
+    chars = F.filter(F.split(F.coalesce(name, F.lit("")), ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda n, c: n + F.ascii(c))
+
+
 THREE_WAY = Adapter(
     "betmgm",
     "id bigint, name string, eventName string, leagueName string, startTime string, participants array<struct<name:string, position:string>>, markets array<struct<id:string, type:string, name:string, betMarketStatus:string, metadata:map<string,string>, outcomes:array<struct<id:string, name:string, odds:string, formatDecimal:string>>>>",
@@ -279,7 +296,7 @@ THREE_WAY = Adapter(
     selections=lambda e, m: m["outcomes"],
     side=lambda e, m, s: _by_name(s["name"]),
     price=lambda e, m, s: F.coalesce(s["formatDecimal"], s["odds"]),
-    odd_id=lambda e, m, s: _ids(F.coalesce(s["id"], m["id"])),
+    odd_id=lambda e, m, s: F.coalesce(_ids(F.coalesce(s["id"], m["id"])), F.substring(F.concat(e["id"].cast("string"), _letters(s["name"]).cast("string")), 1, 15).cast("long")),
     pa=lambda e, m: payout((m["type"] == "standard-3-way-early-payout") | (F.coalesce(m["metadata"]["earlyPayout"], F.lit("")) == "true") | norm(text(m["type"], m["name"])).rlike("pagamento antecipado|early payout"), 0.99),
     similar=(0.75, True),
 )

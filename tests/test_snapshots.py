@@ -43,8 +43,9 @@ def test_tournaments_and_mentions(spark):
 
 
 def test_feed_clock_and_keywords(spark):
-    rows = spark.createDataFrame([("Hoje", "19:00"), ("Amanhã", "19:00"), ("06.08", "22:30"), ("?", "01:00")], "label string, clock string")
-    got = [r.v.isoformat() for r in rows.select(rules.event_timing(F.col("label"), F.col("clock"), F.to_date(F.lit("2026-08-05"))).alias("v")).collect()]
-    assert got == ["2026-08-05T22:00:00", "2026-08-06T22:00:00", "2026-08-07T01:30:00", "2026-08-05T04:00:00"]
+    rows = spark.createDataFrame([("Hoje", "19:00"), ("Amanhã", "9:05"), ("06.8", "22:30"), ("?", "01:00"), ("07/08", "x")], "label string, clock string")
+    timing = lambda keys: [(r.v.date_key, r.v.starts_at and r.v.starts_at.isoformat()) if r.v else None for r in rows.select(rules.event_timing(F.col("label"), F.col("clock"), F.to_date(F.lit("2026-08-05")), F.array(*map(F.lit, keys))).alias("v")).collect()]
+    assert timing(["2026-08-05", "2026-08-06"]) == [("2026-08-05", "2026-08-05T22:00:00"), ("2026-08-06", "2026-08-06T12:05:00"), ("2026-08-06", "2026-08-07T01:30:00"), ("2026-08-05", "2026-08-05T04:00:00"), ("2026-08-05", None)]
+    assert timing(["2026-08-06"])[:2] == [None, ("2026-08-06", "2026-08-06T12:05:00")]  # today isn't allowed
     name = spark.createDataFrame([("FC São Paulo (BRA) Futebol Clube",)], "n string")
     assert name.select(text.search_keywords(F.col("n")).alias("v")).first().v == ["sao paulo futebol clube", "sao paulo futebol", "sao paulo", "sao"]
