@@ -60,15 +60,9 @@ def normalize_price_text(text: Column) -> Column:
 
 def matching_tokens(text: Column) -> Column:
     """Tokens: ``sub 20`` is ``u20``, runs of single letters are one token, stop words go."""
-    parts = F.split(F.regexp_replace(normalize_for_matching(text), r"\bsub\s*(\d{2})\b", "u$1"), " ")
-    # A letter behind a letter is glued by a mark that no token has.
-    single = lambda t: t.rlike("^[a-z]$")
-    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("open"))
-    step = lambda s, t: F.struct(
-        F.concat(s["out"], F.when(s["open"] & single(t), F.lit("")).otherwise(F.lit(" ")), t).alias("out"),
-        single(t).alias("open"),
-    )
-    merged = F.split(F.trim(F.aggregate(parts, start, step, lambda s: s["out"])), " ")
+    ages = F.regexp_replace(normalize_for_matching(text), r"\bsub\s*(\d{2})\b", "u$1")
+    # A blank between two letters that stand alone goes.
+    merged = F.split(F.regexp_replace(ages, "(?<=(?:^| )[a-z]) (?=[a-z](?: |$))", ""), " ")
     return F.filter(merged, lambda t: (F.length(t) > 0) & ~t.isin(*STOP_WORDS))
 
 

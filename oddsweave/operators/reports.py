@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,8 +28,18 @@ def status(prices: DataFrame, fixtures: DataFrame) -> DataFrame:
 
 
 def node_summary(nodes: DataFrame, kind: str, value: str, most: int = 25) -> DataFrame:
-    """Per kind of node: how many, and the first ``most`` distinct values in order."""
-    return nodes.groupBy(kind).agg(F.count(F.lit(1)).alias("n_nodes"), F.slice(F.array_sort(F.collect_set(value)), 1, most).alias("values"))
+    """Per kind of node: how many, and the first ``most`` distinct values in order (none but nulls: an empty list).
+
+    Values are made distinct by a shuffle and ranked there, each task cutting its
+    own rows to the first ``most`` before they meet.
+    """
+    each = nodes.groupBy(kind, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = each.groupBy(kind).agg(F.sum("_n").alias("n_nodes"))
+    rank = F.row_number().over(Window.partitionBy(kind).orderBy(value))
+    first = each.filter(F.col(value).isNotNull()).withColumn("_r", rank).filter(F.col("_r") <= most)
+    lists = first.groupBy(kind).agg(F.array_sort(F.collect_list(value)).alias("values"))
+    empty = F.array().cast(lists.schema["values"].dataType)
+    return counts.join(lists, counts[kind].eqNullSafe(lists[kind]), "left").select(counts[kind], "n_nodes", F.coalesce("values", empty).alias("values"))
 
 
 def league_counts(fixtures: DataFrame, supported: DataFrame) -> DataFrame:

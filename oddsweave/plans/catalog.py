@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from oddsweave.plans import control, feeds, prices, resolution, rules, serving  # noqa: E402, F401
+from oddsweave.plans import control, discovery, feeds, prices, resolution, rules, serving  # noqa: E402, F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddsweave.operators import consensus, dedupe, writepath
+from oddsweave.operators import consensus, dedupe, targets, writepath
 from oddsweave.plans.catalog import query
 from oddsweave.sources.tables import AS_OF, table, with_views
 
@@ -78,7 +78,7 @@ def c04_summary(spark, d):
 
 @query(with_views("blocks") + " SELECT fixture_id, bookmaker, scope, attempts FROM blocks WHERE blocked")
 def c05_fetch_blocks(spark, d):
-    return table(spark, d, "blocks").filter("blocked").select("fixture_id", "bookmaker", "scope", "attempts")
+    return targets.fetch_blocks(table(spark, d, "blocks"))
 
 
 @query(ODDS + " SELECT fixture_id, bookmaker, market_code, pa_category, selection, max(price) AS price, arg_min(source_odd_id, (-price, source_odd_id)) AS source_odd_id FROM odds GROUP BY 1, 2, 3, 4, 5")
@@ -307,12 +307,10 @@ _PRIORITY = ODDS + """, g AS (SELECT fixture_id, pa_category, source_odd_id % 4
 @query(_PRIORITY + " SELECT fixture_id, pa_category, pr AS priority, top FROM r WHERE k = 1")
 def g14_best_priority(spark, d):
     """Of complete groups the one of the best priority per category."""
-    groups = _odds(spark, d).groupBy("fixture_id", "pa_category", (F.col("source_odd_id") % 4).alias("priority")).agg(F.count_distinct("selection").alias("n"), F.max("price").alias("top"))
-    return writepath.first_by(groups.filter("n = 3").drop("n"), ["fixture_id", "pa_category"], F.col("priority").desc())
+    return targets.best_priority(_odds(spark, d).withColumn("priority", F.col("source_odd_id") % 4))
 
 
 @query(ODDS + " SELECT source_odd_id, arg_min(fixture_id, (bookmaker, selection, price, fixture_id)) AS fixture_id, count(*) AS n_prices, array_to_string(list_sort(list(DISTINCT selection)), ',') AS selections FROM odds GROUP BY 1")
 def g13_group_odds(spark, d):
     """Flat prices to events: the first row gives the attributes."""
-    out = _odds(spark, d).groupBy("source_odd_id").agg(F.min_by("fixture_id", F.struct("bookmaker", "selection", "price", "fixture_id")).alias("fixture_id"), F.count(F.lit(1)).alias("n_prices"), F.array_join(F.array_sort(F.collect_set("selection")), ",").alias("selections"))
-    return out
+    return targets.group_prices(_odds(spark, d)).withColumn("selections", F.array_join("selections", ","))
\ No newline at end of file

@@ -42,23 +42,24 @@ def n03_normalize_price_text(spark, d):
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
-@query(
-    f"""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g')), ' ') AS parts FROM documents)
-    SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(parts, lambda x: length(x) > 2 AND x NOT IN ({_STOP})))), ' ') AS tokens FROM t
-    WHERE NOT regexp_matches(array_to_string(parts, ' '), '(^| )[a-z] [a-z]( |$)|(^| )sub ?[0-9][0-9]( |$)')"""
+#: Tokens of documents: ages written as one, letters that stand alone glued (a mark behind each tells which), stop words gone.
+_TOKENS = (
+    f"""WITH p AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g')), '\\bsub\\s*(\\d{{2}})\\b', 'u\\1', 'g'), ' ') AS parts FROM documents),
+    m AS (SELECT doc_id, list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '^[a-z]$') THEN x || chr(1) ELSE x END) AS parts FROM p),
+    g AS (SELECT doc_id, list_reduce(parts, lambda a, x: CASE WHEN ends_with(a, chr(1)) AND ends_with(x, chr(1)) THEN left(a, length(a) - 1) || x ELSE a || ' ' || x END) AS joined FROM m),
+    t AS (SELECT doc_id, list_filter(string_split(replace(joined, chr(1), ''), ' '), lambda x: x <> '' AND x NOT IN ({_STOP})) AS tokens FROM g)"""
 )
-def n05_significant_tokens(spark, d):
-    """Documents without runs of single letters, whose merging plain SQL can't follow; a unit test covers those."""
-    plain = text.normalize_for_matching(F.col("text"))
-    docs = table(spark, d, "documents").filter(~plain.rlike("(^| )[a-z] [a-z]( |$)|(^| )sub ?[0-9][0-9]( |$)"))
-    return docs.select("doc_id", F.array_join(F.array_sort(text.significant_tokens(F.col("text"))), " ").alias("tokens"))
 
 
-def n04_matching_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(text.matching_tokens(F.col("text"))).alias("n_tokens"))
+@query(_TOKENS + " SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(tokens, lambda x: length(x) > 2))), ' ') AS tokens FROM t")
+def n05_significant_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.significant_tokens(F.col("text"))), " ").alias("tokens"))
 
 
-query()(n04_matching_tokens)
+@query(_TOKENS + " SELECT doc_id, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM t")
+def n04_matching_tokens(spark, d):
+    tokens = text.matching_tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(tokens).cast("bigint").alias("n_tokens"), F.md5(F.array_join(tokens, " ").cast("binary")).alias("tokens_md5"))
 
 
 @query(

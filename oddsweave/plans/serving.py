@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from oddsweave.operators import matching, reports, serving, writepath
+from oddsweave.operators import matching, reports, serving, targets, writepath
 from oddsweave.plans.catalog import query
 from oddsweave.sources.tables import AS_OF, table, with_views
 
@@ -65,7 +66,7 @@ def v04_feed(spark, d):
 
 @query("SELECT p_partkey AS fixture_id, string_split(p_name, ' ')[1] AS token FROM part WHERE list_contains(string_split(p_name, ' '), 'ring') ")
 def v05_token_search(spark, d):
-    return table(spark, d, "part").filter(F.array_contains(F.split("p_name", " "), "ring")).select(F.col("p_partkey").alias("fixture_id"), F.split("p_name", " ")[0].alias("token"))
+    return targets.having_tokens(table(spark, d, "part"), "p_name", "ring").select(F.col("p_partkey").alias("fixture_id"), F.split("p_name", " ")[0].alias("token"))
 
 
 @query(GAMES + " SELECT fixture_id, bookmaker, selection, pa_category, price FROM odds WHERE fixture_id IN (SELECT fixture_id FROM up)")
@@ -76,14 +77,12 @@ def f10_public_prices(spark, d):
 
 @query(with_views("fixtures", "leagues") + " SELECT f.fixture_id, f.league_id, l.enabled FROM fixtures f LEFT JOIN leagues l USING (league_id)")
 def j01_fixture_league(spark, d):
-    fixtures, leagues = _views(spark, d, "fixtures", "leagues")
-    return fixtures.join(leagues.select("league_id", "enabled"), "league_id", "left").select("fixture_id", "league_id", "enabled")
+    return targets.with_league(*_views(spark, d, "fixtures", "leagues")).select("fixture_id", "league_id", "enabled")
 
 
 @query(with_views("odds", "fixtures", "leagues", "bookmakers") + " SELECT b.name, l.league_id, count(*) AS n_prices, round(sum(o.price), 4) AS total FROM odds o JOIN fixtures f USING (fixture_id) JOIN leagues l ON l.league_id = f.league_id JOIN bookmakers b ON b.bookmaker = o.bookmaker WHERE l.enabled GROUP BY 1, 2")
 def j02_multiway(spark, d):
-    odds, fixtures, leagues, bookmakers = _views(spark, d, "odds", "fixtures", "leagues", "bookmakers")
-    rows = odds.join(fixtures.select("fixture_id", "league_id"), "fixture_id").join(leagues.filter("enabled").select("league_id"), "league_id").join(bookmakers, "bookmaker")
+    rows = targets.enabled_prices(*_views(spark, d, "odds", "fixtures", "leagues", "bookmakers"))
     return rows.groupBy("name", "league_id").agg(F.count(F.lit(1)).alias("n_prices"), F.round(F.sum("price"), 4).alias("total"))
 
 
@@ -121,9 +120,7 @@ def j10_remembered_link(spark, d):
     """The remembered link by event id, or else by address."""
     links = table(spark, d, "links")
     known = links.filter("external_event_id % 2 = 0").groupBy("fixture_id").agg(F.min("external_event_id").alias("id"), F.min("source_url").alias("url"))
-    by_id = known.select(F.col("id").alias("external_event_id"), F.col("id").alias("_a"))
-    by_url = known.filter("url IS NOT NULL").groupBy(F.col("url").alias("source_url")).agg(F.min("id").alias("_b"))
-    return links.join(by_id, "external_event_id", "left").join(by_url, "source_url", "left").select("external_event_id", F.coalesce("_a", "_b", F.lit(-1).cast("bigint")).alias("remembered"))
+    return targets.remembered_links(links, known).select("external_event_id", F.coalesce("remembered", F.lit(-1).cast("bigint")).alias("remembered"))
 
 
 @query("SELECT lower(p_name || p_brand) AS alias, min(p_partkey) AS team_id FROM part GROUP BY 1 HAVING count(DISTINCT p_size) = 1")
@@ -142,35 +139,31 @@ def j12_unordered_pair(spark, d):
 @query(with_views("odds", "fixtures") + " SELECT fixture_id FROM fixtures WHERE fixture_id NOT IN (SELECT fixture_id FROM odds WHERE pa_category = 'COM_PA' AND price < 1.5)")
 def j16_not_collected(spark, d):
     fixtures, odds = _views(spark, d, "fixtures", "odds")
-    return fixtures.join(odds.filter("pa_category = 'COM_PA' AND price < 1.5").select("fixture_id"), "fixture_id", "left_anti").select("fixture_id")
+    return targets.not_collected(fixtures, odds.filter("pa_category = 'COM_PA' AND price < 1.5")).select("fixture_id")
 
 
 @query(with_views("links") + " SELECT fixture_id, arg_max(external_event_id, (updated_at, external_event_id)) AS external_event_id FROM links GROUP BY 1")
 def w03_latest_link_per_fixture(spark, d):
-    return table(spark, d, "links").groupBy("fixture_id").agg(F.max_by("external_event_id", F.struct("updated_at", "external_event_id")).alias("external_event_id"))
+    return targets.latest_link(table(spark, d, "links"))
 
 
 @query(with_views("fixtures") + " SELECT fixture_id, league_id FROM (SELECT *, row_number() OVER (PARTITION BY league_id ORDER BY fixture_id DESC) AS k FROM fixtures) WHERE k <= 3")
 def w05_top3_per_league(spark, d):
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("league_id").orderBy(F.col("fixture_id").desc()))
-    return table(spark, d, "fixtures").withColumn("k", k).filter("k <= 3").select("fixture_id", "league_id")
+    return targets.top_of(table(spark, d, "fixtures"), ["league_id"], 3, F.col("fixture_id").desc()).select("fixture_id", "league_id")
 
 
 @query(_STREAM + " SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY lane ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase, lead(event_type, 2) OVER (PARTITION BY lane ORDER BY ts, event_id) AS second_next FROM stream")
 def w07_forward_fill(spark, d):
     """State carried forward over ordered rows, and what stands two rows on."""
-    from pyspark.sql import Window
-
+    stream = table(spark, d, "stream")
+    out = targets.carried(stream, ["lane"], ["ts", "event_id"], last_purchase=F.when(F.col("event_type") == "purchase", F.col("value")))
     by = Window.partitionBy("lane").orderBy("ts", "event_id")
-    carried = F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, d, "stream").select("event_id", carried.alias("last_purchase"), F.lead("event_type", 2).over(by).alias("second_next"))
+    return out.select("event_id", "last_purchase", F.lead("event_type", 2).over(by).alias("second_next"))
 
 
 @query(with_views("links") + " SELECT external_event_id, fixture_id FROM links ORDER BY updated_at DESC, external_event_id LIMIT 500")
 def w11_latest_500(spark, d):
-    return table(spark, d, "links").orderBy(F.col("updated_at").desc(), "external_event_id").limit(500).select("external_event_id", "fixture_id")
+    return targets.latest(table(spark, d, "links"), 500, F.col("updated_at").desc(), F.col("external_event_id")).select("external_event_id", "fixture_id")
 
 
 @query(with_views("odds", "fixtures") + ", spine AS (SELECT d.date_key, b.bookmaker FROM (SELECT DISTINCT date_key FROM fixtures WHERE date_key < DATE '2000-01-11') d, (SELECT unnest(range(12)) AS bookmaker) b) SELECT CAST(s.date_key AS VARCHAR) AS date_key, s.bookmaker, count(o.fixture_id) AS odds, count(DISTINCT o.fixture_id) AS games FROM spine s LEFT JOIN (SELECT f.date_key, o.bookmaker, o.fixture_id FROM odds o JOIN fixtures f USING (fixture_id)) o ON o.date_key = s.date_key AND o.bookmaker = s.bookmaker GROUP BY 1, 2")
@@ -206,51 +199,44 @@ def g16_catalog(spark, d):
 
 @query(with_views("fixtures") + " SELECT league_id, count(*) FILTER (starts_at >= DATE '2000-02-01') AS targeted, count(*) FILTER (NOT starts_at >= DATE '2000-02-01') AS skipped, count(*) AS available FROM fixtures GROUP BY 1")
 def f01_prematch_counts(spark, d):
-    ahead = F.col("starts_at") >= _now()
-    return table(spark, d, "fixtures").groupBy("league_id").agg(F.count_if(ahead).alias("targeted"), F.count_if(~ahead).alias("skipped"), F.count(F.lit(1)).alias("available"))
+    return targets.prematch_counts(table(spark, d, "fixtures"), _now())
 
 
 @query(with_views("fixtures") + " SELECT fixture_id FROM fixtures WHERE starts_at > DATE '2000-02-01' AND starts_at < DATE '2000-02-03'")
 def f02_canonical_window(spark, d):
-    return table(spark, d, "fixtures").filter((F.col("starts_at") > _now()) & (F.col("starts_at") < F.date_add(_now(), 2))).select("fixture_id")
+    return targets.canonical_window(table(spark, d, "fixtures"), _now()).select("fixture_id")
 
 
 @query(with_views("fixtures") + " SELECT fixture_id FROM fixtures WHERE date_key IN (DATE '2000-01-31', DATE '2000-02-01', DATE '2000-02-02')")
 def f03_date_keys(spark, d):
-    return table(spark, d, "fixtures").filter(F.col("date_key").isin("2000-01-31", "2000-02-01", "2000-02-02")).select("fixture_id")
+    return targets.around_dates(table(spark, d, "fixtures"), _now()).select("fixture_id")
 
 
 @query(with_views("fixtures") + " SELECT fixture_id FROM fixtures WHERE status NOT IN ('Brand#1', 'Brand#2', 'Brand#3') AND league_id IN (SELECT league_id FROM fixtures WHERE league_id < 25)")
 def f06_active_target_fixtures(spark, d):
     """Finished states go (F06), only target leagues stay."""
-    targets = table(spark, d, "leagues").filter("league_id < 25").select("league_id")
-    return table(spark, d, "fixtures").filter(~F.col("status").isin("Brand#1", "Brand#2", "Brand#3")).join(targets, "league_id", "left_semi").select("fixture_id")
+    fixtures, leagues = _views(spark, d, "fixtures", "leagues")
+    return targets.active_targets(fixtures, leagues.filter("league_id < 25"), ("Brand#1", "Brand#2", "Brand#3")).select("fixture_id")
 
 
 @query(with_views("links", "odds", "fixtures") + " SELECT l.external_event_id FROM links l WHERE l.source_url IS NULL OR l.fixture_id NOT IN (SELECT fixture_id FROM fixtures) OR (l.external_event_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM odds o WHERE o.fixture_id = l.fixture_id AND o.bookmaker = l.bookmaker))")
 def f11_snapshot_work(spark, d):
     """Work left: no link, its fixture gone, or no prices and another signature."""
-    links, odds, fixtures = _views(spark, d, "links", "odds", "fixtures")
-    rows = links.join(fixtures.select("fixture_id", F.lit(True).alias("_f")), "fixture_id", "left").join(odds.select("fixture_id", "bookmaker", F.lit(True).alias("_o")).distinct(), ["fixture_id", "bookmaker"], "left")
-    changed = F.col("external_event_id") % 3 != 0
-    return rows.filter(F.col("source_url").isNull() | F.col("_f").isNull() | (F.col("_o").isNull() & changed)).select("external_event_id")
+    links, fixtures, odds = _views(spark, d, "links", "fixtures", "odds")
+    return targets.work_left(links, fixtures, odds, F.col("external_event_id") % 3 != 0).select("external_event_id")
 
 
 @query(with_views("fixtures") + " SELECT league_id, CAST(min(starts_at) - INTERVAL 1 HOUR AS VARCHAR) AS opens, CAST(max(starts_at) + INTERVAL 1 HOUR AS VARCHAR) AS closes, count(DISTINCT date_key) AS days FROM fixtures GROUP BY 1")
 def f14_collection_window(spark, d):
-    hour = F.make_interval(hours=F.lit(1))
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    ts = F.col("starts_at").cast("timestamp")
-    return table(spark, d, "fixtures").groupBy("league_id").agg(stamp(F.min(ts) - hour).alias("opens"), stamp(F.max(ts) + hour).alias("closes"), F.count_distinct("date_key").alias("days"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return targets.collection_window(table(spark, d, "fixtures")).select("league_id", stamp("opens"), stamp("closes"), "days")
 
 
 @query("SELECT DISTINCT ON (url) url, priority FROM (SELECT url, 1 AS priority FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 2 FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT url, 3 FROM pages) ORDER BY url, priority")
 def f17_url_candidates(spark, d):
     """Addresses of several origins, each once, under its best origin."""
     pages = table(spark, d, "pages")
-    origin = lambda df, k: df.select("url", F.lit(k).alias("priority"))
-    rows = origin(pages.filter("page_id % 2 = 0"), 1).unionByName(origin(pages.filter("page_id % 3 = 0"), 2)).unionByName(origin(pages, 3))
-    return rows.groupBy("url").agg(F.min("priority").alias("priority"))
+    return targets.best_origin(pages.filter("page_id % 2 = 0"), pages.filter("page_id % 3 = 0"), pages)
 
 
 @query(GAMES + " SELECT fixture_id, bookmaker, pa_category, price FROM (SELECT *, row_number() OVER (PARTITION BY fixture_id, bookmaker ORDER BY price DESC, pa_category, source_odd_id) AS k FROM odds) WHERE k = 1")
