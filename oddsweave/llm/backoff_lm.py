@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from oddsweave.llm._shared import Words, mix, per_doc_sum, remainder, row_key, slabs, stored
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: Asked n-grams that one slice answers together, about; tokens of a lane.
-SLICE_ROWS, LANE = 1_000_000, 512
+SLICE_ROWS, LANE = 2_000_000, 512
 ORDER, MU, ADD = 3, 20.0, 0.1
 END = np.uint64(0x5BD1E995A3C59AC3)
 
@@ -61,7 +61,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 def _codec():
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+    return zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
 
 
 def _sorted(values: np.ndarray, bits: int, drop: int = 0) -> bytes:
