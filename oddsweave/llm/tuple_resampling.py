@@ -75,10 +75,7 @@ class Tuples:
         words = Words(data, at, lower=True, space=_APART)
         count = len(words.starts)
         lengths = words.ends - words.starts
-        inside = np.zeros(len(words.data) + 1, np.int8)
-        np.add.at(inside, words.starts, 1)
-        np.subtract.at(inside, words.ends, 1)
-        raw = words.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+        raw = words.data[~_APART[words.data]]
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
         spelled = pa.Array.from_buffers(pa.large_binary(), count, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
         ids = spelled.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -97,7 +94,7 @@ class Tuples:
             keys = number[ends - 1] * np.int64(max(1, len(names))) + ids[ends]
             distinct, inverse = np.unique(keys, return_inverse=True)
             before, last = np.divmod(distinct, max(1, len(names)))
-            hashes = np.fromiter((crc32(later[w], c) for w, c in zip(last.tolist(), hashes[before].tolist())), np.uint32, len(distinct))
+            hashes = np.fromiter(map(crc32, map(later.__getitem__, last.tolist()), hashes[before].tolist()), np.uint32, len(distinct))
             number = np.zeros(count, np.int64)
             number[ends] = inverse
             use = fresh[ends]
@@ -139,9 +136,7 @@ def _weights(gain: np.ndarray):
                 found = Tuples(data, at, context)
                 words[row] += found.words
                 for owner, inverse, hashes in found.orders:
-                    here = np.zeros(len(row), np.int64)
-                    np.add.at(here, owner, gain[hashes % len(gain)][inverse])
-                    weight[row] += here
+                    weight[row] += np.bincount(owner, gain[hashes % len(gain)][inverse], len(row)).astype(np.int64)
                     features[row] += np.bincount(owner, minlength=len(row))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (words, features, weight))], ["row_id", "n_words", "n_features", "weight"])
 
