@@ -76,18 +76,24 @@ def decimal_price(text: Column) -> Column:
     return F.coalesce(F.when(F.size(parts) == 2, ratio).when(F.size(parts) == 1, number(plain)), F.lit(0.0))
 
 
+def code_units(text: Column) -> Column:
+    """UTF-16 units of a text: a character beyond the basic plane has two."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
+    pair = lambda c: F.array(F.lit(0xD800) + F.shiftright(c - 0x10000, 10), F.lit(0xDC00) + (c - 0x10000).bitwiseAND(0x3FF))
+    return F.flatten(F.transform(codes, lambda c: F.when(c > 0xFFFF, pair(c)).otherwise(F.array(c))))
+
+
 def _fold_codes(text: Column, start: int, step, wide: str = "bigint") -> Column:
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(chars, F.lit(start).cast(wide), lambda h, c: step(h, F.ascii(c).cast(wide)).cast(wide))
+    return F.aggregate(code_units(text), F.lit(start).cast(wide), lambda h, c: step(h, c.cast(wide)).cast(wide))
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a over code units, 32 bits; the prime is applied in two parts so that no product leaves 64 bits."""
+    """FNV-1a over UTF-16 units, 32 bits; a product of a 32-bit hash and the prime fits in 64 bits."""
     return _fold_codes(text, 2166136261, lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(1 << 32)))
 
 
 def polynomial_id(text: Column, modulus: int = 9_000_000_000_000_000) -> Column:
-    """31-polynomial of the code units, modulo a number below 2^53."""
+    """31-polynomial of the UTF-16 units, modulo a number below 2^53."""
     return _fold_codes(text, 0, lambda h, c: F.pmod(h * F.lit(31) + c, F.lit(modulus).cast("bigint")))
 
 

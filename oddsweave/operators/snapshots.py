@@ -23,15 +23,19 @@ def valid_markets(snapshots: DataFrame, column: str = "markets") -> DataFrame:
 
 
 def merged_raw(raw: Column, **fields: Column) -> Column:
-    """A JSON object of plain values with some fields set anew; what isn't an object starts empty."""
-    old = F.coalesce(F.from_json(raw, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """A JSON object with some fields set anew (null as JSON null); all others keep their types and what is nested in them.
+
+    What isn't an object starts empty.
+    """
+    empty = F.create_map().cast("map<string,variant>")
+    old = F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>"), empty)
     kept = F.map_filter(old, lambda k, _: ~k.isin(*fields))
-    return F.to_json(F.map_concat(kept, F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))))))
+    return F.to_json(F.map_concat(kept, F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v.cast("variant"))))))
 
 
 def counted_failure(raw: Column, failed: Column) -> Column:
     """One more failure in the raw JSON, or none again after a success."""
-    before = F.coalesce(F.get_json_object(raw, "$.failCount").cast("int"), F.lit(0))
+    before = F.coalesce(F.get_json_object(raw, "$.failCount").try_cast("int"), F.lit(0))
     return merged_raw(raw, failCount=F.when(failed, before + 1).otherwise(0))
 
 

@@ -7,12 +7,15 @@ A payload is one feed message, so what a row holds is bounded.
 from __future__ import annotations
 
 import json
+import lzma
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddsweave.functions.rules import polynomial_id
+
 DEPTH, CHILD_BYTES = 8, 250_000
 FIELDS = "source string, path string, field int, wire int, number double, text string"
 CELLS = "source string, table string, row int, name string, value string"
@@ -117,8 +120,8 @@ def columnar_cells(data: bytes):
 
 
 def columnar_tables(df: DataFrame, key: str = "path", column: str = "content") -> DataFrame:
-    """Cells of columnar slices; a table of one comes back by pivoting its names."""
-    return _each(df, key, column, lambda v: columnar_cells(bytes(v)), CELLS)
+    """Cells of columnar slices, plain or in LZMA; a table of one comes back by pivoting its names."""
+    return _each(df, key, column, lambda v: columnar_cells(unpacked(bytes(v))), CELLS)
 
 
 def table_of(cells: DataFrame, table: str, names: list[str]) -> DataFrame:
@@ -172,27 +175,189 @@ def three_runners(rows: DataFrame) -> DataFrame:
 
 
 def delta_market(rows: DataFrame) -> DataFrame:
-    """Delta events as a market of three rows; early payout as the event's configuration says."""
+    """Delta events as a market of three rows, under hashes of their texts; early payout as the event's configuration says.
+
+    Events without a name, a time or one of three prices above 0 give none; of
+    events of one id the last (by column ``seen``, where there is one) counts.
+    """
     o = "odds.full_time"
-    flat = rows.select(
-        F.col("_id").alias("event_id"),
-        F.col("home_team"),
-        F.col("away_team"),
+    odd = lambda k: F.col(f"{o}.{k}")
+    priced = [F.coalesce((odd(k)["value"].cast("double") > 0) & (odd(k)["value"].cast("double") < float("inf")), F.lit(False)) for k in ("home", "draw", "away")]
+    named = [F.coalesce(F.col(c) != "", F.lit(False)) for c in ("_id", "home_team", "away_team")]
+    starts = F.coalesce(*(F.col(c).try_cast("timestamp") for c in ("start_date", "date") if c in rows.columns))
+    good = rows.withColumn("starts_at", starts).filter(starts.isNotNull())
+    for x in (*priced, *named):
+        good = good.filter(x)
+    if "seen" in rows.columns:
+        last = good.groupBy("_id").agg(F.max_by(F.struct(*good.columns), "seen").alias("r"))
+        good = last.select("r.*")
+    sides = F.array(*(F.struct(F.lit(side).alias("selection"), odd(k)["value"].cast("double").alias("price"), F.coalesce(odd(k)["enable"], F.lit(True)).alias("enabled"), polynomial_id(F.concat("_id", F.lit(f":{k}"))).cast("bigint").alias("source_odd_id")) for side, k in (("HOME", "home"), ("DRAW", "draw"), ("AWAY", "away"))))
+    flat = good.select(
+        polynomial_id(F.col("_id")).cast("bigint").alias("event_id"),
+        "starts_at",
+        "home_team",
+        "away_team",
         F.when(F.coalesce("market_config.has_early_payout", F.lit(False)), "COM_PA").otherwise("SEM_PA").alias("pa_category"),
-        F.expr(f"stack(3, 'HOME', {o}.home.value, coalesce({o}.home.enable, true), 'DRAW', {o}.draw.value, coalesce({o}.draw.enable, true), 'AWAY', {o}.away.value, coalesce({o}.away.enable, true)) AS (selection, price, enabled)"),
+        F.inline(sides),
     )
-    return flat.filter("enabled AND price > 0").drop("enabled")
+    return flat.filter("enabled").drop("enabled")
+
 
+def request_path(payload: Column) -> Column:
+    """A request's body as the text that its address carries."""
+    return F.base64(F.encode(F.to_json(payload), "UTF-8"))
 
-def tree_leaves(rows: DataFrame, node: str, children: str, levels: int = 6) -> DataFrame:
-    """All nodes of nested groups down to ``levels``, one row each: an explode per level that still has children."""
+
+def tree_leaves(rows: DataFrame, node: str, children: str) -> DataFrame:
+    """All nodes of nested groups, as deep as the column's type goes, one row each: an explode per level that still has children."""
     field = rows.schema[node].dataType
     out, current, kind = None, rows.select(F.explode(node).alias("n")), field.elementType
-    for _ in range(levels):
+    while True:
         flat = current.select(*(F.col(f"n.{f.name}").alias(f.name) for f in kind.fields if f.name != children))
         out = flat if out is None else out.unionByName(flat, allowMissingColumns=True)
         nested = next((f for f in kind.fields if f.name == children), None)
         if nested is None:
-            break
+            return out
         current, kind = current.select(F.explode(f"n.{children}").alias("n")), nested.dataType.elementType
-    return out
+
+
+TREE = "source string, path string, parent string, depth int, node string"
+
+
+def _roots(value, keys: tuple[str, ...], path: str = ""):
+    """What lies under the keys, through the arrays on the way."""
+    if isinstance(value, list):
+        for n, item in enumerate(value):
+            yield from _roots(item, keys, f"{path}/{n}")
+    elif not keys:
+        yield path, value
+    elif isinstance(value, dict):
+        yield from _roots(value.get(keys[0]), keys[1:], f"{path}/{keys[0]}")
+
+
+def _nodes(value, roots: tuple[str, ...], children: str):
+    waiting = [(path, None, 1, node) for path, node in _roots(value, roots)]
+    while waiting:
+        path, parent, depth, node = waiting.pop()
+        if not isinstance(node, dict):
+            continue
+        below = node.get(children)
+        yield path, parent, depth, json.dumps({k: v for k, v in node.items() if k != children}, ensure_ascii=False)
+        for n, child in enumerate(below if isinstance(below, list) else ()):
+            waiting.append((f"{path}/{children}/{n}", path, depth + 1, child))
+
+
+def tree_nodes(df: DataFrame, children: str, roots: tuple[str, ...] = (), key: str = "path", column: str = "value") -> DataFrame:
+    """Every node of the trees in JSON payloads, however deep, with its path, its parent's path (null at a root), its depth and its JSON without children.
+
+    ``roots``: keys that lead to the roots, through arrays.  A payload that is
+    no JSON, or deeper than a JSON parser goes (some thousand levels), has none.
+    """
+
+    def decode(v):
+        try:
+            return list(_nodes(json.loads(v), roots, children))
+        except (ValueError, RecursionError):
+            return ()
+
+    return _each(df, key, column, decode, TREE)
+
+
+def season_fixtures(df: DataFrame, sport: str = "Futebol", key: str = "path", column: str = "value") -> DataFrame:
+    """Fixtures of all seasons of a sport, however deep a season lies in others: source, season and league names, and the fixture as JSON."""
+    one = df.select(F.col(key).alias("_key"), F.posexplode(F.from_json(F.get_json_object(column, "$.data"), "array<string>")).alias("_n", "_sport"))
+    own = one.filter(F.get_json_object("_sport", "$.stN") == sport).select(F.concat_ws("#", F.col("_key").cast("string"), "_n").alias("_key"), "_sport")
+    seasons = tree_nodes(own, "sns", ("cs", "sns"), "_key", "_sport")
+    name = F.concat_ws(" ", *(F.nullif(F.get_json_object("node", f"$.{k}"), F.lit("")) for k in ("pseaN", "seaN")))
+    return seasons.select(
+        F.split_part("source", F.lit("#"), F.lit(1)).alias("source"),
+        F.get_json_object("node", "$.sId").cast("bigint").alias("season_id"),
+        name.alias("season_name"),
+        F.get_json_object("node", "$.lName").alias("league_name"),
+        F.explode(F.from_json(F.get_json_object("node", "$.fs"), "array<string>")).alias("value"),
+    )
+
+
+def _parent(path: Column) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def message_events(fields: DataFrame) -> DataFrame:
+    """Events with their odds, rebuilt from the flat fields of ``protobuf_fields``: one row each, ``e`` as ``feeds.GROUPED_ODDS`` reads it.
+
+    A message is what shares a parent path; of a field that repeats the first
+    counts.  An event is a message whose first field 1 is a match (with id, time
+    and two named teams) and whose fields 2 are odds; without odds it is none.
+    """
+    place = F.split_part(F.element_at(F.split("path", "/"), -1), F.lit(":"), F.lit(1)).cast("int")
+    own = fields.filter(F.col("field").isin(1, 2, 3, 4, 5, 6, 7, 10, 13, 14, 16, 18)).select("source", "path", _parent(F.col("path")).alias("parent"), "field", "number", F.when(F.col("wire") == 2, F.col("text")).alias("text"), place.alias("place"))
+
+    def first(k: int, what: str) -> Column:
+        return F.min_by(F.struct(what), F.when(F.col("field") == k, F.col("place")))[what]
+
+    # The numbers of a team's, a match's and an odd's fields.
+    messages = own.groupBy("source", "parent").agg(
+        first(1, "number").alias("n1"), first(2, "number").alias("n2"), first(7, "number").alias("n7"), first(10, "number").alias("n10"),
+        first(1, "text").alias("t1"), first(3, "text").alias("t3"), first(4, "text").alias("t4"), first(5, "text").alias("t5"), first(6, "text").alias("t6"),
+        first(13, "text").alias("t13"), first(14, "text").alias("t14"), first(18, "text").alias("t18"),
+        first(1, "path").alias("p1"), first(3, "path").alias("p3"), first(16, "path").alias("p16"),
+    )
+    name = messages.select("source", F.col("parent").alias("_team"), F.coalesce("t3", "t4").alias("_name")).filter("_name <> ''")
+    teams = messages.select("source", F.col("parent").alias("_teams"), F.col("p1").alias("_home"), F.col("p3").alias("_away"))
+    matches = messages.filter("n1 IS NOT NULL AND n1 <> 0 AND t13 <> '' AND p16 IS NOT NULL").select("source", F.col("parent").alias("_match"), F.col("n1").cast("bigint").alias("id"), F.col("t13").alias("startsAt"), F.col("p16").alias("_teams"))
+    for side, column in (("_home", "homeTeam"), ("_away", "awayTeam")):
+        teams = teams.join(name.select("source", F.col("_team").alias(side), F.col("_name").alias(column)), ["source", side])
+    matches = matches.join(teams.select("source", "_teams", "homeTeam", "awayTeam"), ["source", "_teams"])
+    groups = messages.select("source", F.col("parent").alias("_group"), F.col("p1").alias("_match"))
+    odds = messages.filter("t1 <> '' AND n2 IS NOT NULL AND n10 IS NOT NULL").join(own.filter("field = 2").select("source", F.col("path").alias("parent"), F.col("parent").alias("_group"), "place"), ["source", "parent"])
+    odd = F.struct(F.col("place").alias("place"), F.col("t1").alias("id"), F.col("t5").alias("name"), F.col("t6").alias("shortName"), F.col("n7").cast("int").alias("side"), F.col("n10").alias("price"), F.col("t14").alias("marketName"), F.col("t18").alias("groupName"))
+    collected = odds.groupBy("source", "_group").agg(F.array_sort(F.collect_list(odd)).alias("odds"))  # as many as one message holds
+    events = matches.join(groups, ["source", "_match"]).join(collected, ["source", "_group"])
+    return events.select("source", F.struct("id", "startsAt", "homeTeam", "awayTeam", F.lit(None).cast("string").alias("tournamentName"), "odds").alias("e"))
+
+
+def unpacked(data: bytes) -> bytes:
+    """A slice as it is, or out of its LZMA envelope."""
+    return data if data[:1] == bytes(SLICE[:1]) else lzma.decompress(data)
+
+
+def slice_events(cells: DataFrame, feed: str = "feed") -> DataFrame:
+    """Events with markets and results, joined from the tables of decoded slices: one row each, ``e`` as ``feeds.DECODED_RESULTS`` reads it.
+
+    ``cells`` (of ``columnar_tables``) with a column ``feed``: slices of one feed
+    share their dictionary, odd map, keys and structure; of rows of one id the
+    last, by slice and row, counts.  Prices are thousandths by the odd map.
+    """
+
+    def rows(name: str, *columns: str) -> DataFrame:
+        own = cells.filter(F.col("table") == name).groupBy(feed, "source", "row")
+        return own.agg(*(F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in columns))
+
+    def lookup(name: str, key: str, value: str, as_key: str, as_value: str) -> DataFrame:
+        last = rows(name, key, value).filter(F.col(key).isNotNull()).groupBy(feed, F.col(key).alias(as_key)).agg(F.max_by(F.struct(value), F.struct("source", "row"))[value].alias(as_value))
+        return last
+
+    def named(df: DataFrame, key: str, value: str) -> DataFrame:
+        return df.join(lookup("DictionaryEntry", "id", "value", key, value), [feed, key], "left")
+
+    shown = lambda df: df.filter("is_active IN ('true', '1') AND is_displayed IN ('true', '1')")
+    price = F.col("_dec").cast("double") / 1000
+    results = rows("Result", "parent_node_id", "node_id", "dictionary_id", "odd_map_id").dropna(subset=["parent_node_id", "node_id", "dictionary_id", "odd_map_id"])
+    results = named(results, "dictionary_id", "_name").join(lookup("OddMap", "id", "dec", "odd_map_id", "_dec"), [feed, "odd_map_id"], "left")
+    result = F.struct("source", "row", F.col("node_id").cast("bigint").alias("id"), F.coalesce("_name", F.lit("")).alias("name"), price.alias("price"))
+    bare = lambda c: F.transform(F.array_sort(c), lambda x: x.dropFields("source", "row"))
+    by_market = results.groupBy(feed, F.col("parent_node_id").alias("node_id")).agg(bare(F.collect_list(result)).alias("results"))  # a market's results
+    values = rows("AdditionalValue", "node_id", "key_id", "dictionary_id").dropna(subset=["node_id", "key_id", "dictionary_id"])
+    values = named(values, "dictionary_id", "_value").join(lookup("AdditionalValueKey", "key_id", "key", "key_id", "_key"), [feed, "key_id"], "left")
+    value = F.struct("source", "row", F.coalesce("_key", "key_id").alias("key"), F.coalesce("_value", F.lit("")).alias("value"))
+    by_node = values.groupBy(feed, "node_id").agg(bare(F.collect_list(value)).alias("additional"))
+    markets = shown(rows("Market", "node_id", "parent_node_id", "market_type_id", "dictionary_id", "is_active", "is_displayed")).dropna(subset=["node_id", "market_type_id", "dictionary_id"])
+    markets = named(markets, "dictionary_id", "_name").join(by_market, [feed, "node_id"], "left").join(by_node, [feed, "node_id"], "left")
+    market = F.struct("source", "row", F.col("node_id").cast("bigint").alias("id"), F.coalesce("_name", F.lit("")).alias("name"), "additional", F.coalesce("results", F.array().cast("array<struct<id:bigint,name:string,price:double>>")).alias("results"))
+    by_event = markets.groupBy(feed, F.col("parent_node_id").alias("node_id")).agg(bare(F.collect_list(market)).alias("markets"))
+    events = shown(rows("Event", "node_id", "start_date", "is_active", "is_displayed", "participant_home_dictionary_id", "participant_away_dictionary_id", "parent_node_id")).dropna(subset=["node_id", "start_date"])
+    events = named(named(events, "participant_home_dictionary_id", "homeTeam"), "participant_away_dictionary_id", "awayTeam").filter("homeTeam <> '' AND awayTeam <> ''")
+    parents = named(lookup("Structure", "node_id", "dictionary_id", "parent_node_id", "dictionary_id"), "dictionary_id", "leagueName")
+    events = events.join(parents.drop("dictionary_id"), [feed, "parent_node_id"], "left").join(by_event, [feed, "node_id"])
+    starts = F.date_format(F.timestamp_seconds(F.col("start_date").cast("bigint")), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return events.select(feed, F.struct(F.col("node_id").cast("bigint").alias("id"), F.lit(None).cast("string").alias("name"), starts.alias("startsAt"), "leagueName", "homeTeam", "awayTeam", "markets").alias("e"))

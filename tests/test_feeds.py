@@ -1,5 +1,6 @@
 """Feeds on small payloads of our own: three prices of one event each, closed ones left out."""
 
+import base64
 import json
 import struct
 
@@ -25,7 +26,7 @@ PAYLOADS = {
     "betano": ({"data": {"event": {"id": "5", "name": f"{H} - {A}", "startTime": MS}, "markets": [{"id": "m1", "name": "Resultado Final", "type": "MRES", "selections": [{"id": str(k), "name": n, "price": p} for k, (n, p) in enumerate((("1", 2.0), ("X", 3.0), ("2", 4.0)))]}], "marketOffersData": {"marketOffers": {"m1": [{"offerTypeId": 2}]}}}}, "COM_PA"),
     "betboom": ({"id": 5, "startsAt": WHEN, "homeTeam": H, "awayTeam": A, "odds": [{"id": str(k), "shortName": n, "price": p, "marketName": "Vencedor", "groupName": "Resultado"} for k, (n, p) in enumerate((("1", 2.0), ("X", 3.0), ("2", 4.0)), 1)]}, "SEM_PA"),
     "betesporte": ({"id": 5, "homeTeamName": H, "awayTeamName": A, "date": WHEN, "markets": [{"id": 1, "name": "1x2", "type": 1601, "options": [{"id": k, "odd": p, "externalId": str(k)} for k, p in ((1, 2.0), (2, 3.0), (3, 4.0))] + [{"id": 4, "odd": 9.0, "externalId": "1", "locked": True}]}]}, "COM_PA"),
-    "betfair": ({"url": "/e/123", "sportevent": {"name": f"{H} x {A}", "openDate": WHEN}, "markets": [{"groupTitle": "2 Gols de Vantagem", "market": {"urn": "m:77", "liveData": {"sportsbookMarketStatus": "OPEN", "runners": [{"selectionId": k, "runnerStatus": "ACTIVE", "displayOdds": {"decimal": p}} for k, p in ((1, 2.0), (2, 3.0), (3, 4.0))]}, "runners": [{"name": n, "selectionId": k, "resultType": n} for k, n in ((1, "HOME"), (2, "DRAW"), (3, "AWAY"))]}}]}, "COM_PA"),
+    "betfair": ({"urn": "ppb:event:123", "sportevent": {"name": f"{H} x {A}", "openDate": WHEN}, "markets": [{"groupTitle": "2 Gols de Vantagem", "market": {"urn": "m:77", "liveData": {"sportsbookMarketStatus": "OPEN", "runners": [{"selectionId": k, "runnerStatus": "ACTIVE", "displayOdds": {"decimal": p}} for k, p in ((1, 2.0), (2, 3.0), (3, 4.0))]}, "runners": [{"name": n, "selectionId": k, "resultType": n} for k, n in ((1, "HOME"), (2, "DRAW"), (3, "AWAY"))]}}]}, "COM_PA"),
     "betfast": ({"id": 5, "homeTeam": H, "awayTeam": A, "startsAt": WHEN, "ev": {"27072": {"501": {"pos": 133827, "coef": 2.0, "p1": 2}, "502": {"pos": 133828, "coef": 3.0, "p1": 2}, "503": {"pos": 133829, "coef": 4.0, "p1": 2}, "504": {"pos": 133827, "coef": 9.0, "p1": 1}}, "9": {"1": {"pos": 1, "coef": 7.0}}}}, "COM_PA"),
     "betmgm": ({"id": 5, "startTime": WHEN, "participants": [{"name": H, "position": "HOME"}, {"name": A, "position": "AWAY"}], "markets": [{"id": "1", "type": "standard-3-way", "name": "Resultado Final", "betMarketStatus": "OPEN", "outcomes": [{"id": f"o{k}", **o} for k, o in enumerate(named("name", "formatDecimal"))]}]}, "SEM_PA"),
     "betnacional": ({"event_id": 5, "home": H, "away": A, "date_start": "2026-08-05 16:00:00", "odds": [{"id": f"{m}{k}", "market_id": m, "odd": str(p + x), "outcome_id": str(k), "market_name": "Resultado Final", "market_code": "r"} for m, x in ((999133, 0), (7, 1)) for k, p in ((1, 2.0), (2, 3.0), (3, 4.0))]}, "SEM_PA"),
@@ -36,9 +37,9 @@ PAYLOADS = {
     "sportingbet": ({"id": "2:5", "startDate": WHEN, "participants": [{"name": {"value": H}}, {"name": {"value": A}}], "optionMarkets": [{"id": 1, "status": "Visible", "parameters": [{"key": "MarketType", "value": "3way"}, {"key": "Period", "value": "RegularTime"}, {"key": "MarketSubType", "value": "2Up"}], "options": [{"id": k, "name": {"value": n}, "status": "Visible", "price": {"odds": p}} for k, (n, p) in enumerate(((H, 2.0), ("X", 3.0), (A, 4.0)))]}]}, "COM_PA"),
     "sportybet": ({"eventId": "sr:match:5", "estimateStartTime": MS, "homeTeamName": H, "awayTeamName": A, "markets": [{"id": "60100", "status": 0, "outcomes": [{"id": str(k), "odds": str(p), "isActive": 1} for k, p in ((1, 2.0), (2, 3.0), (3, 4.0))]}]}, "COM_PA"),
     "superbet": ({"eventId": 5, "matchName": f"{H}·{A}", "utcDate": WHEN, "superAdvantage": "SA_PREMATCH", "odds": [{"uuid": f"u{k}", "marketId": 547, "price": p, "status": "active", "code": c, "marketName": "Resultado Final"} for k, (c, p) in enumerate((("1", 2.0), ("0", 3.0), ("2", 4.0)), 1)]}, "COM_PA"),
-    "tradeball": ({"id": "5", "start": WHEN, "rawDball": "{}", "event-participants": [{"participant-name": H}, {"participant-name": A}], "markets": [{"id": "1", "name": "Match Odds", "status": "open", "market-type": "one_x_two", "runners": [{"id": str(k), "name": n, "prices": [{"decimal-odds": 99.0, "side": "lay"}, {"decimal-odds": p, "side": "back"}]} for k, (n, p) in enumerate(((H, 2.0), ("Draw", 3.0), (A, 4.0)))]}]}, "SEM_PA"),
+    "tradeball": ({"id": "5", "start": WHEN, "rawDball": "{}", "event-participants": [{"participant-name": H}, {"participant-name": A}], "markets": [{"id": "1", "name": "Match Odds", "status": "open", "market-type": "one_x_two", "runners": [{"id": str(k), "name": n, "status": "open", "prices": [{"decimal-odds": 99.0, "side": "lay"}, {"decimal-odds": p, "side": "back"}]} for k, (n, p) in enumerate(((H, 2.0), ("Draw", 3.0), (A, 4.0)))]}]}, "SEM_PA"),
     "vaidebet": ({"fId": "5", "fsd": MS, "hcN": H, "acN": A, "btgs": [{"btgId": "7988", "btgN": "Resultado 1X2 (2UP)", "fos": [{"foId": str(k), "hO": p, "pSh": s, "hSh": n} for k, (s, n, p) in enumerate((("", H, 2.0), ("Empate", "", 3.0), ("Fora", "", 4.0)))]}]}, "COM_PA"),
-    "versusbet": ({"id": 5, "startsAt": WHEN, "homeTeam": H, "awayTeam": A, "markets": [{"id": 1, "name": "Resultado Final", "results": [{"id": k, "name": n, "code": c, "price": p} for k, (n, c, p) in enumerate(((H, "a||1|", 2.0), ("Empate", "", 3.0), (A, "", 4.0)))]}]}, "SEM_PA"),
+    "versusbet": ({"id": 5, "startsAt": WHEN, "homeTeam": H, "awayTeam": A, "markets": [{"id": 1, "name": "Resultado Final", "results": [{"id": k, "name": n, "price": p} for k, (n, p) in enumerate((("a||1|", 2.0), ("Empate", 3.0), (A, 4.0)))]}]}, "SEM_PA"),
 }
 
 
@@ -128,11 +129,38 @@ def test_json_trees(spark):
     assert sorted((r.path, json.loads(r.node)["marketId"]) for r in got) == [("/a/0", 1), ("/a/1/b/c", 2)]
 
 
-def test_stacked_prices_and_trees(spark):
+def test_stacked_prices(spark):
     row = spark.createDataFrame([("1", "2026-08-05 20:00:00", H, A, "2.0", "3.0", "0")], "ceId string, dg string, cthName string, ctaName string, wldHm string, wldDm string, wldAm string")
     got = wire.three_runners(row).collect()
     assert {(r.selection, r.price) for r in got} == {("HOME", 2.0), ("DRAW", 3.0)} and got[0].starts_at.hour == 19
-    delta = spark.read.json(spark.sparkContext.parallelize([json.dumps({"_id": "d", "home_team": H, "away_team": A, "market_config": {"has_early_payout": True}, "odds": {"full_time": {"home": {"value": 2.0, "enable": True}, "draw": {"value": 3.0, "enable": False}, "away": {"value": 4.0, "enable": True}}}})]))
-    assert {(r.selection, r.pa_category) for r in wire.delta_market(delta).collect()} == {("HOME", "COM_PA"), ("AWAY", "COM_PA")}
+    event = {"_id": "d", "home_team": H, "away_team": A, "start_date": WHEN, "seen": 1, "market_config": {"has_early_payout": True}, "odds": {"full_time": {"home": {"value": 2.0, "enable": True}, "draw": {"value": 3.0, "enable": False}, "away": {"value": 4.0, "enable": True}}}}
+    unpriced = event | {"_id": "e", "odds": {"full_time": event["odds"]["full_time"] | {"draw": {"value": 0.0, "enable": False}}}}
+    later = event | {"seen": 2, "market_config": {"has_early_payout": False}}
+    delta = spark.read.json(spark.sparkContext.parallelize([json.dumps(x) for x in (event, unpriced, later, event | {"_id": "f", "start_date": "?"})]))
+    assert {(r.event_id, r.selection, r.pa_category, r.source_odd_id) for r in wire.delta_market(delta).collect()} == {(100, side, "SEM_PA", number(f"d:{side.lower()}")) for side in ("HOME", "AWAY")}
+
+
+def number(text):
+    out = 0
+    for c in text:
+        out = (out * 31 + ord(c)) % 9_000_000_000_000_000
+    return out
+
+
+def test_trees(spark):
     tree = spark.createDataFrame([([(1, [(2, None), (3, [(4,)])])],)], "groups array<struct<id:int, groups:array<struct<id:int, groups:array<struct<id:int>>>>>>")
     assert sorted(r.id for r in wire.tree_leaves(tree, "groups", "groups").collect()) == [1, 2, 3, 4]
+    deep = {"id": 300}
+    for k in range(299, 0, -1):
+        deep = {"id": k, "groups": [deep, None, 5]}
+    rows = spark.createDataFrame([("a", json.dumps({"data": [deep, {"id": 0, "groups": {}}]})), ("b", "no"), ("c", "[]"), ("d", None), ("e", "[" * 100_000)], "path string, value string")
+    got = wire.tree_nodes(rows, "groups", ("data",)).collect()
+    assert sorted((json.loads(r.node)["id"], r.depth) for r in got) == [(0, 1)] + [(k, k) for k in range(1, 301)]
+    assert {r.parent is None for r in got if r.depth == 1} == {True} and all(r.path.startswith(r.parent) for r in got if r.parent)
+    season = lambda k, *below, **more: {"sId": k, "seaN": f"s{k}", "fs": [{"fId": k * 10}], "sns": list(below)} | more
+    body = {"data": [{"stN": "Futebol", "cs": [{"sns": [season(1, season(2, season(3, pseaN="p", lName="L")))]}, {"sns": [season(4, fs=None)]}]}, {"stN": "Basquete", "cs": [{"sns": [season(9)]}]}]}
+    got = wire.season_fixtures(spark.createDataFrame([("x", json.dumps(body))], "path string, value string")).collect()
+    assert sorted((r.source, r.season_id, r.season_name, r.league_name, json.loads(r.value)["fId"]) for r in got if r.season_id < 3) == [("x", 1, "s1", None, 10), ("x", 2, "s2", None, 20)]
+    assert [(r.season_name, r.league_name) for r in got if r.season_id == 3] == [("p s3", "L")] and len(got) == 3
+    asked = spark.range(1).select(wire.request_path(F.struct(F.struct(F.array(F.lit(5), F.lit(6)).alias("seasonIds")).alias("requestBody"))).alias("v")).first().v
+    assert json.loads(base64.b64decode(asked)) == {"requestBody": {"seasonIds": [5, 6]}}

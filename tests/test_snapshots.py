@@ -20,7 +20,10 @@ def test_valid_markets(spark):
 def test_raw_json(spark):
     rows = spark.createDataFrame([('{"a": "1", "failCount": 2}', True), ("{}", True), (None, False), ("no", True)], "raw string, failed boolean")
     got = [json.loads(r.v) for r in rows.select(snapshots.counted_failure(F.col("raw"), F.col("failed")).alias("v")).collect()]
-    assert got == [{"a": "1", "failCount": "3"}, {"failCount": "1"}, {"failCount": "0"}, {"failCount": "1"}]
+    assert got == [{"a": "1", "failCount": 3}, {"failCount": 1}, {"failCount": 0}, {"failCount": 1}]
+    nested = spark.createDataFrame([('{"a":{"b":[1,{"c":null}]},"n":3,"x":1.5,"t":"3","z":null,"stage":"new"}',), ("[1]",), ('"s"',)], "raw string")
+    got = [json.loads(r.v) for r in nested.select(snapshots.merged_raw(F.col("raw"), stage=F.lit("matched"), score=F.lit(0.5), other=F.lit(None).cast("string")).alias("v")).collect()]
+    assert got == [{"a": {"b": [1, {"c": None}]}, "n": 3, "x": 1.5, "t": "3", "z": None, "stage": "matched", "score": 0.5, "other": None}] + [{"stage": "matched", "score": 0.5, "other": None}] * 2
     links = spark.createDataFrame([("https://x/E12/F", '{"failCount": 2}'), ("https://x/12", '{"failCount": 3}'), ("https://x/", None)], "source_url string, raw string")
     assert snapshots.usable_links(links).count() == 1
 
