@@ -361,3 +361,47 @@ def slice_events(cells: DataFrame, feed: str = "feed") -> DataFrame:
     events = events.join(parents.drop("dictionary_id"), [feed, "parent_node_id"], "left").join(by_event, [feed, "node_id"])
     starts = F.date_format(F.timestamp_seconds(F.col("start_date").cast("bigint")), "yyyy-MM-dd'T'HH:mm:ssXXX")
     return events.select(feed, F.struct(F.col("node_id").cast("bigint").alias("id"), F.lit(None).cast("string").alias("name"), starts.alias("startsAt"), "leagueName", "homeTeam", "awayTeam", "markets").alias("e"))
+
+
+def opened(value: Column, depth: int = 3) -> Column:
+    """A variant out of the JSON texts that it stands in, up to ``depth`` deep."""
+    for _ in range(depth):
+        value = F.when(F.schema_of_variant(value) == "STRING", F.try_parse_json(F.try_variant_get(value, "$", "string"))).otherwise(value)
+    return value
+
+
+def path_items(df: DataFrame, levels: list[tuple[str, dict[str, str]]], key: str = "path", column: str = "value") -> DataFrame:
+    """Items at the end of a way through arrays and objects of JSON payloads, all on the JVM.
+
+    ``levels``: the path that leads on from each item, and the fields (name and
+    path) of the items there that what lies in them carries along as texts.  An array or
+    object at a key is taken item by item, JSON kept as text is opened.  Gives
+    source, those fields, ``order`` (places on the way, comparable in a source)
+    and ``value``; malformed payloads and missing keys give no rows.
+    """
+    current = df.select(F.col(key).cast("string").alias("source"), F.array().cast("array<int>").alias("order"), opened(F.try_parse_json(F.col(column).cast("string"))).alias("_v"))
+    carried: list[str] = []
+    for name, fields in levels:
+        below = opened(F.try_variant_get("_v", name, "variant"))
+        items = F.coalesce(F.try_variant_get(below, "$", "array<variant>"), F.map_values(F.try_variant_get(below, "$", "map<string,variant>")))
+        step = current.select("source", *carried, "order", F.posexplode(items).alias("_n", "_v"))
+        new = [F.try_variant_get("_v", path, "string").alias(c) for c, path in fields.items()]
+        current = step.select("source", *carried, F.concat("order", F.array("_n")).alias("order"), opened(F.col("_v")).alias("_v"), *new)
+        carried += fields
+    return current.select("source", *carried, "order", F.to_json("_v").alias("value"))
+
+
+def one_per_id(items: DataFrame, item: str, order: tuple[str, ...] = ("source", "order"), last: bool = True) -> DataFrame:
+    """Of rows that share an id the last (or first) by ``order``; rows without an id go.  An aggregation, so a common id is combined before it is shuffled."""
+    pick = F.max_by if last else F.min_by
+    kept = items.filter(F.col(item).isNotNull()).groupBy(F.col(item).alias("_id")).agg(pick(F.struct(*items.columns), F.struct(*order)).alias("r"))
+    return kept.select("r.*")
+
+
+def fixture_candidates(df: DataFrame, key: str = "path", column: str = "value") -> DataFrame:
+    """Objects anywhere in JSON payloads that look like fixtures: an id, a start as text, and markets, participants or a name that is an object; with path and id."""
+    found = json_nodes(df, ["id", "startDate"], key, column).withColumn("_v", F.parse_json("node"))
+    kind = lambda c: F.schema_of_variant(F.try_variant_get("_v", f"$.{c}", "variant"))
+    is_ = lambda c, *starts: F.coalesce(F.greatest(*(kind(c).startswith(x) for x in starts)) if len(starts) > 1 else kind(c).startswith(starts[0]), F.lit(False))
+    like = is_("id", "STRING", "BIGINT") & is_("startDate", "STRING") & (is_("optionMarkets", "ARRAY") | is_("participants", "ARRAY") | is_("name", "OBJECT"))
+    return found.filter(like).select("source", "path", F.try_variant_get("_v", "$.id", "string").alias("id"), F.col("node").alias("value"))
