@@ -1,7 +1,7 @@
 """Similarity of team names: Jaro-Winkler and scores on tokens, as Arrow-fed UDFs over name pairs.
 
-Spark has no Jaro-Winkler.  A worker remembers a bounded number of pairs, so a
-name pair that many events share is compared once.
+Spark has no Jaro-Winkler.  A batch's distinct name pairs are compared together,
+all their token pairs at once with array operations.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from oddsweave.functions.text import SAFE_SHORT_TOKENS, SPACING_DIACRITICS, STOP_WORDS
+from oddsweave.functions.text import ALIAS_STOP_WORDS, SAFE_SHORT_ALIAS_TOKENS, SAFE_SHORT_TOKENS, SPACING_DIACRITICS, STOP_WORDS, TELLING_WORDS
 
 REMEMBERED = 1 << 17
 MISMATCH_CAP = 0.61
@@ -73,6 +74,69 @@ def jaro_winkler(left: str, right: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+def jaro_winkler_many(left: list[str], right: list[str], cells: int = 1 << 21) -> np.ndarray:
+    """``jaro_winkler`` of pairs of ASCII texts without blanks, as array operations over blocks of pairs of similar length."""
+    out = np.zeros(len(left))
+    size = np.fromiter(map(max, map(len, left), map(len, right)), np.int64, len(left))
+    width = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        step = max(1, cells // w)
+        for at in range(0, len(own), step):
+            block = own[at : at + step]
+            out[block] = _jaro_block([left[k] for k in block], [right[k] for k in block])
+    return out
+
+
+def _codes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("ascii"), np.uint8).reshape(len(texts), width)
+    return flat, np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _jaro_block(left: list[str], right: list[str]) -> np.ndarray:
+    width = max(1, *map(len, left), *map(len, right))
+    (a, la), (b, lb) = _codes(left, width), _codes(right, width)
+    rows, reach = np.arange(len(left)), np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    free = np.arange(width) < lb[:, None]
+    place = np.arange(width)
+    mine = np.zeros((len(left), width), bool)
+    for i in range(int(la.max(initial=0))):
+        near = np.abs(place - i) <= reach[:, None]
+        fits = free & near & (b == a[:, i : i + 1]) & (i < la)[:, None]
+        j = fits.argmax(1)
+        hit = fits[rows, j]
+        free[rows[hit], j[hit]] = False
+        mine[hit, i] = True
+    theirs = (np.arange(width) < lb[:, None]) & ~free
+    matches = mine.sum(1)
+    # The k-th matched letter of either side: a stable sort puts matched places first, in order.
+    x, y = (np.take_along_axis(c, np.argsort(~m, axis=1, kind="stable"), 1) for c, m in ((a, mine), (b, theirs)))
+    swaps = ((x != y) & (np.arange(width) < matches[:, None])).sum(1)
+    m = np.maximum(matches, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = (matches / la + matches / lb + (matches - swaps / 2) / m) / 3
+    head = min(4, width)
+    prefix = np.cumprod((a[:, :head] == b[:, :head]) & (np.arange(head) < np.minimum(la, lb)[:, None]), axis=1).sum(1)
+    score = np.where(matches > 0, jaro + prefix * 0.1 * (1 - jaro), 0.0)
+    same = np.fromiter((s == t and s != "" for s, t in zip(left, right)), bool, len(left))
+    return np.where(same, 1.0, score)
+
+
+class Grid:
+    """Jaro-Winkler of many pairs of texts without blanks: asked for first, worked out together, then read."""
+
+    def __init__(self):
+        self.numbers: dict[tuple[str, str], int] = {}
+        self.scores = np.zeros(0)
+
+    def ask(self, a: str, b: str) -> int:
+        return self.numbers.setdefault((a, b), len(self.numbers))
+
+    def work(self) -> None:
+        pairs = list(self.numbers)
+        self.scores = jaro_winkler_many([a for a, _ in pairs], [b for _, b in pairs]).tolist() if pairs else []
+
+
 @lru_cache(REMEMBERED)
 def _token_pair(a: str, b: str) -> float:
     return jaro_winkler(a, b)
@@ -118,21 +182,13 @@ def aliases(value: str | None, index: dict[str, frozenset[str]]) -> list[str]:
     return list(dict.fromkeys([name, *known]))
 
 
-def _keys(parts: list[str]) -> set[str]:
+def _keys(parts: list[str]) -> frozenset[str]:
     """The Python twin of ``text.distinguishing_keys``."""
     have = set(parts)
-    families = {
-        "direction:north": {"dpr", "north", "norte"},
-        "direction:south": {"south", "sul"} | ({"republic"} if "korea" in have else set()),
-        "state:democratic-republic": {"dr", "rd", "democratic", "democratica", "democratico", "kinshasa"},
-        "state:republic": {"brazzaville"},
-        "direction:east": {"east", "oriental"},
-        "direction:west": {"west", "oeste"},
-        "gender:women": {"w", "women", "woman", "f", "fem", "feminino", "feminina"},
-    }
+    out = {k for k, words in TELLING_WORDS.items() if not have.isdisjoint(words)}
+    out |= {"direction:south"} if {"korea", "republic"} <= have else set()
     squads = have & {"b", "ii", "iii", "iv", "reserve", "reserves", "reserva"}
-    ages = {t for t in have if re.fullmatch(r"u\d{2}", t)}
-    return {k for k, words in families.items() if words & have} | squads | ages
+    return frozenset(out | squads | {t for t in have if re.fullmatch(r"u\d{2}", t)})
 
 
 def _identity(left: str, right: str, a: list[str], b: list[str]) -> float:
@@ -147,44 +203,79 @@ def _identity(left: str, right: str, a: list[str], b: list[str]) -> float:
     return 0.94 if len(a) > 1 and set(a) <= set(b) or len(b) > 1 and set(b) <= set(a) else 0.0
 
 
+@lru_cache(REMEMBERED)
+def _form(alias: str) -> tuple:
+    """An alias' parts: itself, tokens, telling tokens, keys."""
+    parts = tokens(alias)
+    named = list(dict.fromkeys(t for t in parts if len(t) > 1 or t in SAFE_SHORT_TOKENS))
+    return alias, parts, named, _keys(named)
+
+
+def with_age(name: str, known) -> list[str]:
+    """The name and its aliases; an age category is carried over to each."""
+    age = re.search(r"\bu(\d{2})\b", name) or re.search(r"\bsub\s*(\d{2})\b", name)
+    if age:
+        known = [f"{a} {form}{age[1]}" for a in known for form in ("u", "sub ")]
+    return list(dict.fromkeys([name, *known]))
+
+
+@lru_cache(REMEMBERED)
+def _listed_forms(name: str | None, groups) -> tuple:
+    return tuple(_form(a) for a in aliases(name, _index(groups)))
+
+
+def forms_of(name: str | None, known, groups) -> tuple:
+    """A name's aliases with their parts."""
+    if known and name in known and normalized(name):
+        return tuple(_form(a) for a in with_age(normalized(name), known[name]))
+    return _listed_forms(name, groups)
+
+
+def team_scores(pairs: list[tuple[str | None, str | None]], known=None, groups=ALIAS_GROUPS) -> list[float]:
+    """Of each pair of names the best score over their aliases, capped where something sets them apart.
+
+    ``known``: of a name its aliases, where a table of them was joined; else ``groups``.
+    """
+    grid, jobs = Grid(), []
+    forms = {n: forms_of(n, known, groups) for n in {n for pair in pairs for n in pair}}
+    for left, right in pairs:
+        for a, ta, pa, ka in forms[left]:
+            for b, tb, pb, kb in forms[right]:
+                most, sure = MISMATCH_CAP if ka != kb else 1.0, _identity(a, b, pa, pb)
+                asked = None if sure >= most else (grid.ask(a.replace(" ", ""), b.replace(" ", "")), [[grid.ask(x, y) for y in tb] for x in ta])
+                jobs.append((most, sure, asked))
+        jobs.append(None)
+    grid.work()
+    read, out, best = grid.scores, [], 0.0
+    for job in jobs:
+        if job is None:
+            out.append(best)
+            best = 0.0
+            continue
+        most, score, asked = job
+        if asked is not None:
+            whole, cells = asked
+            score = max(score, read[whole])
+            if cells and cells[0]:
+                table = [[read[k] for k in row] for row in cells]
+                score = max(score, (sum(map(max, table)) / len(table) + sum(map(max, zip(*table))) / len(table[0])) / 2, sum(row[k] for k, row in enumerate(table) if k < len(row)) / max(len(table), len(table[0])))
+        best = max(best, min(score, most))
+    return out
+
+
 def team_scorer(groups=ALIAS_GROUPS):
-    """A function of two names: the best score over their aliases, capped where something sets them apart."""
-    index = alias_index(groups)
-
-    @lru_cache(REMEMBERED)
-    def forms(name: str | None) -> tuple:
-        out = []
-        for a in aliases(name, index):
-            parts = tokens(a)
-            named = list(dict.fromkeys(t for t in parts if len(t) > 1 or t in SAFE_SHORT_TOKENS))
-            out.append((a, parts, named, _keys(named)))
-        return tuple(out)
-
-    @lru_cache(REMEMBERED)
-    def score(left: str | None, right: str | None) -> float:
-        best = 0.0
-        for a, ta, pa, ka in forms(left):
-            for b, tb, pb, kb in forms(right):
-                most = MISMATCH_CAP if ka != kb else 1.0
-                if best >= most:
-                    continue
-                s = max(_identity(a, b, pa, pb), token_set(ta, tb), in_order(ta, tb))
-                if s < most:
-                    s = max(s, jaro_winkler(a, b))
-                best = max(best, min(s, most))
-        return best
-
-    return score
-
-
-def token_groups(value: str | None, index) -> list[tuple[str | None, frozenset[str]]]:
+    """A function of two names, see ``team_scores``."""
+    return lambda left, right: team_scores([(left, right)], groups=tuple(map(tuple, groups)))[0]
+
+
+def token_groups(names) -> list[tuple[str | None, frozenset[str]]]:
     """Of each alias with tokens: its age category, and the tokens that tell it apart."""
     out = []
-    for a in aliases(value, index):
-        parts = [t for t in re.sub(r"\bsub\s*(\d{2})\b", r"u\1", a).split() if len(t) > 1 and t not in STOP_WORDS and not t.isdigit()]
+    for a in names:
+        parts = [t for t in re.sub(r"\bsub\s*(\d{2})\b", r"u\1", a).split() if len(t) > 1 and t not in ALIAS_STOP_WORDS and not t.isdigit()]
         if parts:
             age = next((t for t in parts if re.fullmatch(r"u\d{2}", t)), None)
-            out.append((age, frozenset(t for t in parts if len(t) > 2 or t in SAFE_SHORT_TOKENS)))
+            out.append((age, frozenset(t for t in parts if len(t) > 2 or t in SAFE_SHORT_ALIAS_TOKENS)))
     return out
 
 
@@ -219,52 +310,139 @@ def token_set_udf():
     return ts
 
 
+def in_order_udf():
+    @F.pandas_udf("double")
+    def io(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([in_order(list(_tokens(x)), list(_tokens(y))) for x, y in zip(a, b)])
+
+    return io
+
+
 def team_score_udf(groups=ALIAS_GROUPS):
+    """Score of two names; distinct pairs of a batch are compared once."""
     groups = tuple(map(tuple, groups))
 
     @F.pandas_udf("double")
     def team(a: pd.Series, b: pd.Series) -> pd.Series:
-        score = _scorer(groups)
-        return pd.Series([score(x, y) for x, y in zip(a, b)])
+        rows = list(zip(a, b))
+        distinct = list(dict.fromkeys(rows))
+        found = dict(zip(distinct, team_scores(distinct, groups=groups)))
+        return pd.Series([found[r] for r in rows], dtype="float64")
 
     return team
 
 
-@lru_cache(8)
-def _scorer(groups):
-    return team_scorer(groups)
+@lru_cache(REMEMBERED)
+def _telling(home: str | None, away: str | None) -> tuple[frozenset[str], str]:
+    both = tokens(f"{home or ''} {away or ''}")
+    return frozenset(t for t in both if len(t) > 2), "".join(both)
 
 
-def event_scores_udf(groups=ALIAS_GROUPS):
+@lru_cache(REMEMBERED)
+def _groups_of(names: tuple[str, ...]):
+    return token_groups(names)
+
+
+@lru_cache(REMEMBERED)
+def _listed_groups(name: str | None, groups):
+    return token_groups(aliases(name, _index(groups)))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: Names of more tokens get no bound.
+_MOST_TOKENS = 5
+
+
+class Bounds:
+    """Upper bounds of team scores from the letters that names and tokens have in common, by array operations over many pairs."""
+
+    def __init__(self, forms: list[tuple]):
+        self.free = np.array([len(f) != 1 or len(f[0][1]) > _MOST_TOKENS for f in forms], bool)
+        self.keys = np.array([hash(f[0][3]) if len(f) == 1 else 0 for f in forms], np.int64)
+        whole, tokens_ = [], []
+        for f, free in zip(forms, self.free):
+            whole.append("" if free else f[0][0].replace(" ", ""))
+            tokens_.extend(([] if free else list(f[0][1])) + [""] * (_MOST_TOKENS - (0 if free else len(f[0][1]))))
+        self.whole, self.length = self._counts(whole)
+        parts, lengths = self._counts(tokens_)
+        self.parts, self.lengths = parts.reshape(len(forms), _MOST_TOKENS, -1), lengths.reshape(len(forms), _MOST_TOKENS)
+
+    @staticmethod
+    def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of each text, at most 255 of a kind counted (a longer text's bound stays one: its length counts whole)."""
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = np.frombuffer("".join(texts).encode("ascii"), np.uint8)
+        kind = np.where(codes < 97, codes - 22, codes - 97).astype(np.int64)
+        at = np.repeat(np.arange(len(texts)), length) * len(_LETTERS) + kind
+        return np.bincount(at, minlength=len(texts) * len(_LETTERS)).reshape(len(texts), -1).astype(np.int32), length
+
+    @staticmethod
+    def _most(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = (common / a + common / b + 1) / 3
+        return np.where(common > 0, np.minimum(0.6 * jaro + 0.4, 1.0), 0.0)
+
+    def of(self, left: np.ndarray, right: np.ndarray, step: int = 4096) -> np.ndarray:
+        out = np.ones(len(left))
+        for at in range(0, len(left), step):
+            a, b = left[at : at + step], right[at : at + step]
+            whole = self._most(np.minimum(self.whole[a], self.whole[b]).sum(1), self.length[a], self.length[b])
+            la, lb = self.lengths[a], self.lengths[b]
+            grid = self._most(np.minimum(self.parts[a][:, :, None], self.parts[b][:, None]).sum(3), la[:, :, None], lb[:, None])
+            na, nb = np.maximum((la > 0).sum(1), 1), np.maximum((lb > 0).sum(1), 1)
+            rows, columns = grid.max(2), grid.max(1)
+            sets = (rows.sum(1) / na + columns.sum(1) / nb) / 2
+            order = np.trace(grid, axis1=1, axis2=2) / np.maximum(na, nb)
+            # One name's tokens may all be the other's: identity may be more than these bounds.
+            inside = ((rows >= 1) | (la == 0)).all(1) | ((columns >= 1) | (lb == 0)).all(1)
+            most = np.where(inside, 1.0, np.maximum(whole, np.maximum(sets, order)))
+            most = np.where(self.keys[a] != self.keys[b], np.minimum(most, MISMATCH_CAP), most)
+            out[at : at + step] = np.where(self.free[a] | self.free[b], 1.0, most)
+        return out + 1e-9
+
+
+def event_scores_udf(groups=ALIAS_GROUPS, least: float | None = None):
     """Of canonical home and away and a feed's home and away: whether the events share a telling token, and four name scores.
 
-    Names are compared only for rows that share one or are ``sure`` for other reasons.
+    The four names' aliases follow (null: by ``groups``).  Names are compared
+    only for rows that share a token or are ``sure`` for other reasons; with
+    ``least`` only where, by their letters, both sides can reach it one way round.
     """
     groups = tuple(map(tuple, groups))
 
     @F.pandas_udf("home_home double, away_away double, home_away double, away_home double, shared boolean")
-    def scores(ch: pd.Series, ca: pd.Series, bh: pd.Series, ba: pd.Series, go: pd.Series, sure: pd.Series) -> pd.DataFrame:
-        score, index = _scorer(groups), _index(groups)
-
-        @lru_cache(REMEMBERED)
-        def telling(a, b):
-            both = _tokens(f"{a or ''} {b or ''}")
-            return frozenset(t for t in both if len(t) > 2), "".join(both)
+    def scores(ch: pd.Series, ca: pd.Series, bh: pd.Series, ba: pd.Series, cha: pd.Series, caa: pd.Series, bha: pd.Series, baa: pd.Series, go: pd.Series, sure: pd.Series) -> pd.DataFrame:
+        known = {n: tuple(x) for names, more in ((ch, cha), (ca, caa), (bh, bha), (ba, baa)) for n, x in zip(names, more) if x is not None}
 
-        @lru_cache(REMEMBERED)
         def sides(name):
-            return token_groups(name, index)
-
-        rows = []
-        for a, b, c, d, wanted, known in zip(ch, ca, bh, ba, go, sure):
-            if not wanted:
-                rows.append((None, None, None, None, False))
-                continue
-            (left, x), (right, y) = telling(a, b), telling(c, d)
-            shared = not left.isdisjoint(right) or len(x) >= 5 and len(y) >= 5 and (x in y or y in x)
-            if not shared:
-                shared = groups_overlap(sides(a), sides(c)) and groups_overlap(sides(b), sides(d)) or groups_overlap(sides(a), sides(d)) and groups_overlap(sides(b), sides(c))
-            rows.append((score(a, c), score(b, d), score(a, d), score(b, c), shared) if shared or known else (None, None, None, None, False))
+            own = normalized(name) if name in known else ""
+            return _groups_of(tuple(with_age(own, known[name]))) if own else _listed_groups(name, groups)
+
+        flags, compared = [], []
+        for k, (a, b, c, d, wanted, certain) in enumerate(zip(ch, ca, bh, ba, go, sure)):
+            shared = False
+            if wanted:
+                (left, x), (right, y) = _telling(a, b), _telling(c, d)
+                shared = not left.isdisjoint(right) or len(x) >= 5 and len(y) >= 5 and (x in y or y in x)
+                if not shared:
+                    shared = groups_overlap(sides(a), sides(c)) and groups_overlap(sides(b), sides(d)) or groups_overlap(sides(a), sides(d)) and groups_overlap(sides(b), sides(c))
+            flags.append(shared)
+            if wanted and (shared or certain):
+                compared.append((k, a, b, c, d))
+        if least is not None and compared:
+            names = list(dict.fromkeys(n for row in compared for n in row[1:]))
+            at = {n: k for k, n in enumerate(names)}
+            bounds = Bounds([forms_of(n, known, groups) for n in names])
+            a, b, c, d = (np.fromiter((at[row[k]] for row in compared), np.int64, len(compared)) for k in range(1, 5))
+            may = np.minimum(bounds.of(a, c), bounds.of(b, d)) >= least
+            rest = np.flatnonzero(~may)
+            may[rest] = np.minimum(bounds.of(a[rest], d[rest]), bounds.of(b[rest], c[rest])) >= least
+            compared = [row for row, go_on in zip(compared, may.tolist()) if go_on]
+        pairs = list(dict.fromkeys(p for _, a, b, c, d in compared for p in ((a, c), (b, d), (a, d), (b, c))))
+        found = dict(zip(pairs, team_scores(pairs, known, groups)))
+        rows = [(None, None, None, None, shared) for shared in flags]
+        for k, a, b, c, d in compared:
+            rows[k] = (found[a, c], found[b, d], found[a, d], found[b, c], flags[k])
         return pd.DataFrame(rows, columns=["home_home", "away_away", "home_away", "away_home", "shared"])
 
     return scores

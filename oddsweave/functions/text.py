@@ -12,8 +12,22 @@ from pyspark.sql import functions as F
 NAME_STOP_WORDS = ("fc", "cf", "sc", "ec", "ac", "ca", "cd", "sd", "ud", "club", "clube", "de", "do", "da", "the")
 STOP_WORDS = ("fc", "cf", "sc", "ec", "ac", "ca", "cd", "sd", "ud", "club", "clube", "de", "do", "da", "of", "the", "and", "e")
 SAFE_SHORT_TOKENS = ("u17", "u18", "u19", "u20", "u21", "u22", "u23", "usa", "eua", "uae", "dr", "rd", "us")
+# Words and short tokens of aliases, the former ignored, the latter kept.
+ALIAS_STOP_WORDS = ("fc", "cf", "sc", "ec", "ac", "ca", "cd", "sd", "ud", "club", "clube", "de", "do", "da", "dos", "das", "of", "and", "e", "the", "real", "new", "united", "city", "sub")
+SAFE_SHORT_ALIAS_TOKENS = ("u17", "u18", "u19", "u20", "u21", "u22", "u23", "usa", "eua", "uae")
+# Words that set teams of one name apart (Korea and republic together: south).
+TELLING_WORDS = {
+    "direction:north": ("dpr", "north", "norte"),
+    "direction:south": ("south", "sul"),
+    "state:democratic-republic": ("dr", "rd", "democratic", "democratica", "democratico", "kinshasa"),
+    "state:republic": ("brazzaville",),
+    "direction:east": ("east", "oriental"),
+    "direction:west": ("west", "oeste"),
+    "gender:women": ("w", "women", "woman", "f", "fem", "feminino", "feminina"),
+}
 # Spacing characters that have the Unicode property Diacritic without being marks.
 SPACING_DIACRITICS = "^`¨¯´·¸"
+# Simulated events, and qualifiers in brackets that real teams have.
 VIRTUAL = r"\b(?:e\s*soccer|esoccer|virtual|fantasy|simulado|simulacao|srl|cyber|pes|ebasket|basketball\s*cyber|kings\s*league)\b"
 SAFE_QUALIFIER = r"^(?:w|women|woman|f|fem|feminino|feminina|u\d{2}|sub\s*\d{2}|reserve|reserves|reserva|b|ii|iii|iv)$"
 
@@ -74,6 +88,18 @@ def profile_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(matching_tokens(text), lambda t: (F.length(t) >= 2) | t.isin(*SAFE_SHORT_TOKENS)))
 
 
+def alias_tokens(text: Column) -> Column:
+    """Tokens of an alias by which two names may meet."""
+    ages = F.regexp_replace(normalize_for_matching(text), r"\bsub\s*(\d{2})\b", "u$1")
+    usual = F.filter(F.split(ages, " "), lambda t: (F.length(t) >= 2) & ~t.isin(*ALIAS_STOP_WORDS) & ~t.rlike(r"^\d+$"))
+    return F.filter(usual, lambda t: (F.length(t) >= 3) | t.isin(*SAFE_SHORT_ALIAS_TOKENS))
+
+
+def without_age(text: Column) -> Column:
+    """A normal form without its age category."""
+    return F.trim(F.regexp_replace(F.regexp_replace(normalize_for_matching(text), r"\bu\d{2}\b", ""), r"\bsub\s*\d{2}\b", ""))
+
+
 def profile(text: Column) -> Column:
     """normalized, tokens, token_key (tokens in order), compact (tokens without blanks)."""
     tokens = profile_tokens(text)
@@ -102,16 +128,9 @@ def identity_score(left: Column, right: Column) -> Column:
 def distinguishing_keys(tokens: Column) -> Column:
     """What sets teams of one name apart: age, direction, state, gender, squad."""
     has = lambda *words: F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
-    flag = lambda when, key: F.when(when, F.lit(key))
-    fixed = F.array(
-        flag(has("dpr", "north", "norte"), "direction:north"),
-        flag(has("south", "sul") | (has("korea") & has("republic")), "direction:south"),
-        flag(has("dr", "rd", "democratic", "democratica", "democratico", "kinshasa"), "state:democratic-republic"),
-        flag(has("brazzaville"), "state:republic"),
-        flag(has("east", "oriental"), "direction:east"),
-        flag(has("west", "oeste"), "direction:west"),
-        flag(has("w", "women", "woman", "f", "fem", "feminino", "feminina"), "gender:women"),
-    )
+    told = {key: has(*words) for key, words in TELLING_WORDS.items()}
+    told["direction:south"] |= has("korea") & has("republic")
+    fixed = F.array(*(F.when(when, F.lit(key)) for key, when in told.items()))
     squad = F.transform(F.filter(tokens, lambda t: t.isin("b", "ii", "iii", "iv", "reserve", "reserves", "reserva")), lambda t: F.concat(F.lit("squad:"), t))
     age = F.transform(F.filter(tokens, lambda t: t.rlike(r"^u\d{2}$")), lambda t: F.concat(F.lit("age:"), t))
     return F.array_sort(F.array_distinct(F.concat(F.array_compact(fixed), squad, age)))

@@ -21,7 +21,7 @@ _TREE = """SELECT p_partkey AS k, list_reduce(list_prepend('{"id": 0}', list_tra
 
 @query(
     f"""WITH RECURSIVE t AS ({_TREE}), n(k, depth, parent, node) AS (
-      SELECT k, 1, NULL, CAST(j AS JSON) FROM t
+      SELECT k, 1, CAST(NULL AS VARCHAR), CAST(j AS JSON) FROM t
       UNION ALL SELECT k, depth + 1, node->>'$.id', unnest(CAST(node->'$.groups' AS JSON[])) FROM n WHERE (node->'$.groups') IS NOT NULL)
     SELECT CAST(k AS VARCHAR) AS source, CAST(depth AS INTEGER) AS depth, parent, node->>'$.id' AS id FROM n"""
 )
