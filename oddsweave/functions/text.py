@@ -88,11 +88,36 @@ def profile_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(matching_tokens(text), lambda t: (F.length(t) >= 2) | t.isin(*SAFE_SHORT_TOKENS)))
 
 
+def alias_parts(text: Column) -> Column:
+    """Tokens of an alias: two letters or more, no club words, no numbers; ``sub 20`` is ``u20``."""
+    ages = F.regexp_replace(normalize_for_matching(text), r"\bsub\s*(\d{2})\b", "u$1")
+    return F.filter(F.split(ages, " "), lambda t: (F.length(t) >= 2) & ~t.isin(*ALIAS_STOP_WORDS) & ~t.rlike(r"^\d+$"))
+
+
 def alias_tokens(text: Column) -> Column:
     """Tokens of an alias by which two names may meet."""
-    ages = F.regexp_replace(normalize_for_matching(text), r"\bsub\s*(\d{2})\b", "u$1")
-    usual = F.filter(F.split(ages, " "), lambda t: (F.length(t) >= 2) & ~t.isin(*ALIAS_STOP_WORDS) & ~t.rlike(r"^\d+$"))
-    return F.filter(usual, lambda t: (F.length(t) >= 3) | t.isin(*SAFE_SHORT_ALIAS_TOKENS))
+    return F.filter(alias_parts(text), lambda t: (F.length(t) >= 3) | t.isin(*SAFE_SHORT_ALIAS_TOKENS))
+
+
+def _age(parts: Column) -> Column:
+    return F.get(F.filter(parts, lambda t: t.rlike(r"^u\d{2}$")), 0)
+
+
+def groups_overlap(left: Column, right: Column) -> Column:
+    """Two sides' aliases (arrays of names) share a telling token where their age categories agree."""
+    meets = lambda a, b: _age(alias_parts(a)).eqNullSafe(_age(alias_parts(b))) & F.arrays_overlap(alias_tokens(a), alias_tokens(b))
+    return F.coalesce(F.exists(left, lambda a: F.exists(right, lambda b: meets(a, b))), F.lit(False))
+
+
+def mentions(page: Column, names: Column) -> Column:
+    """A page's text has, of one of the names (an array of aliases), the age category and the first four telling tokens."""
+    words = F.split(F.regexp_replace(normalize_for_matching(page), r"\bsub\s*(\d{2})\b", "u$1"), " ")
+
+    def there(name: Column) -> Column:
+        wanted, age = F.slice(alias_tokens(name), 1, 4), _age(alias_parts(name))
+        return (F.size(wanted) > 0) & (age.isNull() | F.array_contains(words, age)) & F.forall(wanted, lambda t: F.array_contains(words, t))
+
+    return F.coalesce(F.exists(names, there), F.lit(False))
 
 
 def without_age(text: Column) -> Column:

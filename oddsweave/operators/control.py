@@ -40,3 +40,27 @@ def restart_budget(restarts: DataFrame, lane: str, ts: str, minutes: int = RESTA
 
 def cooldown(n: Column) -> Column:
     return 5 * F.least(n, F.lit(6))
+
+
+#: Seconds that a cycle may take, by lane; lanes that aren't named take the first.
+CYCLE_SECONDS = {"fast": 25 * 60, "meridianbet": 45 * 60, "bet365": 45 * 60}
+
+
+def watchdog(events: DataFrame, as_of: Column, pauses: DataFrame | None = None, limits: dict[str, int] = CYCLE_SECONDS, stale: int = STALE_SECONDS) -> DataFrame:
+    """Per lane whether it is paused, silent, stuck in a cycle, or well, as of a time.
+
+    ``events``: lane, type (cycle-start, cycle-end, heartbeat and others), at;
+    every event is a sign of life.  A cycle is open if the latest start has no
+    end after it.  ``pauses`` (lane, until): a paused lane isn't judged until then.
+    """
+    seconds = lambda c: (F.unix_micros(as_of) - F.unix_micros(c)) / 1e6
+    at = lambda kind: F.max(F.when(F.col("type") == kind, F.col("at")))
+    lanes = events.filter(F.col("at") <= as_of).groupBy("lane").agg(F.max("at").alias("last_at"), at("cycle-start").alias("began_at"), at("cycle-end").alias("ended_at"))
+    if pauses is None:
+        lanes = lanes.withColumn("until", F.lit(None).cast("timestamp"))
+    else:
+        lanes = lanes.join(pauses.groupBy("lane").agg(F.max("until").alias("until")), "lane", "left")
+    limit = F.coalesce(F.create_map(*(x for k, v in limits.items() for x in (F.lit(k), F.lit(v))))[F.col("lane").cast("string")], F.lit(next(iter(limits.values()))))
+    open_ = F.col("began_at").isNotNull() & (F.col("ended_at").isNull() | (F.col("ended_at") < F.col("began_at")))
+    state = F.when(F.col("until") > as_of, "paused").when(seconds(F.col("last_at")) > stale, "silent").when(open_ & (seconds(F.col("began_at")) > limit), "stuck").otherwise("well")
+    return lanes.select("lane", state.alias("state"), "last_at", F.when(open_, F.col("began_at")).alias("cycle_began_at"))

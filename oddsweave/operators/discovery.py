@@ -107,6 +107,37 @@ def selected_leagues(leagues: DataFrame, listed: DataFrame, countries: DataFrame
     return out.groupBy("league_id", "url").agg(F.min(F.when(F.col("score") == 0.5, 0.5)).alias("_region"), F.max("score").alias("score")).select("league_id", "url", F.coalesce("_region", "score").alias("score"))
 
 
+def weighted_tournaments(leagues: DataFrame, tournaments: DataFrame, countries: DataFrame, k: int = 3, blocks: int = 16, name_weight: float = 0.78, least_name: float = 0.72, least_country: float = 0.65) -> DataFrame:
+    """Per league the ``k`` tournaments of the best weighted score of name and country, behind a gate for each.
+
+    ``leagues``: league_id, league_name, country; ``tournaments``: tournament_id,
+    tournament_name, season_name, path (an array of texts, the country among
+    them); ``countries``: country and alias (a country without aliases is its
+    own).  Both are dimensions; every league is asked against all tournaments, in
+    blocks.  A league without a country scores half a country.
+    """
+    alike = similarity.token_set_udf()
+    spread = F.pmod(F.xxhash64("tournament_id"), F.lit(blocks)).cast("int")
+    listed = tournaments.select("tournament_id", F.concat(F.array("tournament_name", "season_name"), F.array(F.array_join("path", " "))).alias("_names"), normalize_for_matching(F.array_join("path", " ")).alias("_path"), spread.alias("_block"))
+    aliases = countries.select(normalize_for_matching(F.col("country")).alias("_c"), normalize_for_matching(F.col("alias")).alias("_a")).distinct().groupBy("_c").agg(F.array_sort(F.collect_set("_a")).alias("_known"))
+    own = leagues.select("league_id", "league_name", normalize_for_matching(F.col("country")).alias("_c")).join(aliases, "_c", "left")
+    own = own.withColumn("_known", F.when(F.col("_c") != "", F.coalesce("_known", F.array("_c")))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = own.join(listed, "_block").drop("_block", "_c")
+    x, names = _compact(F.col("league_name")), F.filter("_names", lambda n: F.coalesce(n, F.lit("")) != "")
+    within = F.exists(names, lambda n: (_compact(n) != "") & (x != "") & (F.contains(_compact(n), x) | F.contains(x, _compact(n))))
+    # Names and countries that letters settle aren't compared.
+    known = F.exists(F.coalesce("_known", F.array().cast("array<string>")), lambda a: F.contains(F.col("_path"), a))
+    judged = pairs.select("league_id", "tournament_id", "league_name", "_path", "_known", names.alias("_names"), within.alias("_within"), known.alias("_there"))
+    open_ = lambda when, c: F.explode_outer(F.when(when, F.col(c)))
+    named = judged.withColumn("_n", open_(~F.col("_within"), "_names")).withColumn("_s", F.when(F.col("_within"), 1.0).otherwise(F.coalesce(alike("league_name", "_n"), F.lit(0.0))))
+    name_score = named.groupBy("league_id", "tournament_id", "_path", "_known", "_there").agg(F.max("_s").alias("name_score")).filter(F.col("name_score") >= least_name)
+    placed = name_score.withColumn("_a", open_(~F.col("_there"), "_known")).withColumn("_s", F.when(F.col("_known").isNull(), 0.5).when(F.col("_there"), 1.0).otherwise(F.coalesce(alike("_a", "_path"), F.lit(0.0))))
+    scored = placed.groupBy("league_id", "tournament_id", "name_score").agg(F.max("_s").alias("country_score")).filter(F.col("country_score") >= least_country)
+    score = F.col("name_score") * name_weight + F.col("country_score") * (1 - name_weight)
+    by = Window.partitionBy("league_id").orderBy(F.col("score").desc(), "tournament_id")
+    return scored.withColumn("score", score).withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
+
+
 def cached_links(fixtures: DataFrame, links: DataFrame, snapshots: DataFrame, page: str = r"/E?\d+(?:/F|/?$)") -> DataFrame:
     """A link to open for each fixture: the latest stored one, else that of the latest snapshot that names the fixture.
 
@@ -123,11 +154,21 @@ def cached_links(fixtures: DataFrame, links: DataFrame, snapshots: DataFrame, pa
     return rows.groupBy("fixture_id").agg(best.alias("r")).select("fixture_id", "r.*")
 
 
-def merged_listing(first: DataFrame, more: DataFrame, page: str = "page_id") -> DataFrame:
-    """Events of a league's page and of its second listing: of the second, those of pairs of teams that the first hasn't; once each."""
+def merged_listing(first: DataFrame, more: DataFrame, page: str = "page_id", refreshed: DataFrame | None = None) -> DataFrame:
+    """Events of a league's page and of its second listing: of the second, those of pairs of teams that the first hasn't; once each.
+
+    ``refreshed`` (event_id, home_team, away_team): what has been collected anew
+    already, by id or by its teams' normal forms, isn't listed again.
+    """
     key = [page, "home_team", "away_team"]
     new = more.join(first.select(*key).distinct(), key, "left_anti").dropDuplicates(key)
-    return first.unionByName(new.select(*first.columns))
+    out = first.unionByName(new.select(*first.columns))
+    if refreshed is None:
+        return out
+    pair = team_pair(F.col("home_team"), F.col("away_team"))
+    ids = refreshed.select("event_id").filter("event_id IS NOT NULL").distinct()
+    pairs = refreshed.select(pair.alias("_pair")).distinct()
+    return out.join(ids, "event_id", "left_anti").withColumn("_pair", pair).join(pairs, "_pair", "left_anti").drop("_pair")
 
 
 def first_hit(found: DataFrame) -> DataFrame:
@@ -148,6 +189,12 @@ def fallback_tournaments(events: DataFrame, missing: DataFrame, least: float = 0
     return pairs.filter(similarity.token_set_udf()("league_name", "tournament_name") >= least).select("tournament_id").distinct()
 
 
+def cached_ids(missing: DataFrame, cached: DataFrame, seen: DataFrame) -> DataFrame:
+    """Event ids to fetch for fixtures that are still without an event: those that a link remembers and that the listing hasn't given already."""
+    wanted = cached.join(missing.select("fixture_id").distinct(), "fixture_id", "left_semi").filter("event_id IS NOT NULL")
+    return wanted.select("fixture_id", "event_id").distinct().join(seen.select("event_id").distinct(), "event_id", "left_anti")
+
+
 def listed_events(fixtures: DataFrame, events: DataFrame, least: float = 0.6) -> DataFrame:
     """Events of a league's page with the fixture both of whose sides they resemble, by page and day, the first by id."""
     score = similarity.team_score_udf()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsweave.functions import similarity
-from oddsweave.functions.text import normalize_for_matching, significant_tokens
+from oddsweave.functions.text import mentions
 
 
 def valid_market(market: Column) -> Column:
@@ -59,20 +59,41 @@ def right_event(rows: DataFrame, least: float = 0.4) -> DataFrame:
     return rows.filter(side("expected_home") & side("expected_away"))
 
 
-def top_tournaments(leagues: DataFrame, tournaments: DataFrame, k: int = 3, least: float = 0.62) -> DataFrame:
-    """Per league the ``k`` tournaments of the most similar names.
+def page_evidence(pages: DataFrame, zone: str = "America/Sao_Paulo") -> DataFrame:
+    """``pages`` (text, home_names, away_names: arrays of aliases, starts_at) with what speaks for the fixture: either side's names, its local time."""
+    label = F.date_format(F.from_utc_timestamp("starts_at", zone), "HH:mm")
+    home, away = mentions(F.col("text"), F.col("home_names")), mentions(F.col("text"), F.col("away_names"))
+    return pages.select("*", home.alias("has_home"), away.alias("has_away"), (home & away).alias("has_both"), F.coalesce(F.contains(F.col("text"), label), F.lit(False)).alias("has_time"))
 
-    Both are dimensions; they meet through shared telling tokens, not all pairs.
+
+def completeness(market: Column) -> Column:
+    """How whole a captured market is: a point for each side, for the result's name, for boosted prices or early payout in its text."""
+    sides = market["selections"]
+    told = lambda pattern: F.coalesce(market["raw_text"].rlike(f"(?i){pattern}"), F.lit(False)).cast("int")
+    has = sum((F.coalesce(F.array_contains(sides, side), F.lit(False)).cast("int") for side in ("HOME", "DRAW", "AWAY")), F.lit(0))
+    # What a result's name and an extra look like in a market's text.
+    return has + told("full time result|resultado final") + told("enhanced prices|precos ajustados|pagamento antecipado|early payout")
+
+
+def merged_markets(markets: DataFrame) -> DataFrame:
+    """Of an event's visible and payload markets one per category.
+
+    ``markets``: event_id, visible, place, pa_category, selections, raw_text and
+    any more.  Of equally whole visible markets the last counts; a payload's must
+    be strictly better, of these the first.  An event without visible markets
+    keeps all of its payload's.  ``position``: visible categories in the order
+    they came, then those of the payload alone.
     """
-    token = lambda df, c: df.withColumn("_t", F.explode(significant_tokens(F.col(c))))
-    pairs = token(leagues, "league_name").join(token(tournaments, "tournament_name"), "_t").drop("_t").dropDuplicates(["league_id", "tournament_id"])
-    scored = pairs.withColumn("score", similarity.token_set_udf()("league_name", "tournament_name")).filter(F.col("score") >= least)
-    by = Window.partitionBy("league_id").orderBy(F.col("score").desc(), "tournament_id")
-    return scored.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
-
-
-def mentions(page: Column, name: Column) -> Column:
-    """A page's text has the first four telling tokens of a name."""
-    words = F.split(normalize_for_matching(page), " ")
-    wanted = F.slice(significant_tokens(name), 1, 4)
-    return (F.size(wanted) > 0) & F.forall(wanted, lambda t: F.array_contains(words, t))
+    key = ["event_id", "pa_category"]
+    scored = markets.withColumn("score", completeness(F.struct("selections", "raw_text")))
+    row = F.struct(*scored.columns)
+    pick = lambda visible, order: F.max_by(F.when(F.col("visible") == visible, row), F.when(F.col("visible") == visible, order))
+    both = scored.groupBy(*key).agg(pick(True, F.struct("score", "place")).alias("v"), pick(False, F.struct("score", -F.col("place"))).alias("p"), F.min(F.when(F.col("visible"), F.col("place"))).alias("_v"), F.min(F.when(~F.col("visible"), F.col("place"))).alias("_p"))
+    better = F.col("v").isNull() | (F.col("p.score") > F.col("v.score"))
+    seen = F.bool_or(F.col("v").isNotNull()).over(Window.partitionBy("event_id"))
+    chosen = both.withColumn("_seen", seen).filter("_seen").select(F.when(F.coalesce(better, F.lit(False)), F.col("p")).otherwise(F.col("v")).alias("m"), F.struct(F.col("_v").isNull(), F.coalesce("_v", "_p")).alias("_at"))
+    alone = both.withColumn("_seen", seen).filter("NOT _seen").select("event_id").distinct()
+    rest = scored.join(alone, "event_id", "left_semi").select(row.alias("m"), F.struct(F.lit(True), F.col("place")).alias("_at"))
+    out = chosen.unionByName(rest.select("m", rest["_at"].cast(chosen.schema["_at"].dataType).alias("_at")))
+    place = F.row_number().over(Window.partitionBy("m.event_id").orderBy("_at")) - 1
+    return out.select("m.*", place.alias("position"))

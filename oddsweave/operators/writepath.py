@@ -146,6 +146,16 @@ def diff(current: DataFrame, incoming: DataFrame, keys: list[str], values: dict[
     return out
 
 
+#: What a link's change is judged by, with the decimals that numbers are compared at.
+LINK_VALUES = {"fixture_id": None, "event_name": None, "home_team": None, "away_team": None, "starts_at": None, "confidence": 3, "source_url": None, "raw": None}
+
+
+def changed_links(current: DataFrame, incoming: DataFrame, keys: list[str] = ["bookmaker", "external_event_id"], values: dict[str, int | None] = LINK_VALUES) -> DataFrame:
+    """``diff`` of links: names and addresses as they are, times by instant, confidence to three decimals, raw JSON by content (not by blanks or the order of keys)."""
+    plain = lambda df: df.withColumns({v: F.to_json(F.parse_json(v)) for v in values if v == "raw"})
+    return diff(plain(current), plain(incoming), keys, values)
+
+
 def _named(rows: DataFrame, markets: tuple[str, ...]) -> Column:
     """Whether a row is of one of the markets; rows of a table without markets are."""
     return F.col("market_code").isin(*markets) if "market_code" in rows.columns else F.lit(True)
@@ -306,3 +316,25 @@ def synced_fixtures(api: DataFrame, existing: DataFrame, leagues: DataFrame, fin
     wanted = api.join(leagues.select("league_id").distinct(), "league_id", "left_semi")
     alive = wanted.filter(~F.col("status").isin(*finished))
     return existing.join(wanted.select("fixture_id").distinct(), "fixture_id", "left_anti").unionByName(alive, allowMissingColumns=True)
+
+
+def sync_due(dates: DataFrame, state: DataFrame, leagues: DataFrame, as_of: Column, minutes: int = 720) -> DataFrame:
+    """Dates (date_key) to fetch again: never synced, synced longer ago than ``minutes``, or for other leagues than those enabled now.
+
+    ``state``: date_key, synced_at, league_hash.  The hash to store comes along.
+    """
+    ids = F.array_join(F.transform(F.array_sort(F.collect_set("league_id")), lambda i: i.cast("string")), ",")
+    now = leagues.filter("enabled").agg(F.sha2(ids, 256).alias("league_hash"))
+    known = state.select("date_key", "synced_at", F.col("league_hash").alias("_hash"))
+    old = F.col("synced_at").isNull() | (F.col("synced_at") < as_of - F.make_interval(mins=F.lit(minutes)))
+    out = dates.select("date_key").distinct().join(known, "date_key", "left").join(F.broadcast(now))  # one row
+    return out.filter(old | ~F.col("_hash").eqNullSafe(F.col("league_hash"))).select("date_key", "league_hash")
+
+
+def synced_dimensions(api: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leagues and teams of fetched fixtures, one row per id, named as in the latest fixture that names them."""
+    last = lambda id_, name, order: api.filter(F.col(id_).isNotNull()).groupBy(F.col(id_)).agg(F.max_by(name, order).alias(name))
+    leagues = last("league_id", "league_name", F.struct("starts_at", "fixture_id"))
+    sides = api.select(F.col("home_team_id").alias("team_id"), F.col("home_team").alias("team"), "starts_at", "fixture_id").unionByName(api.select(F.col("away_team_id").alias("team_id"), F.col("away_team").alias("team"), "starts_at", "fixture_id"))
+    teams = sides.filter("team_id IS NOT NULL").groupBy("team_id").agg(F.max_by("team", F.struct("starts_at", "fixture_id", "team")).alias("team"))
+    return leagues, teams

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from oddsweave.plans import adapters, control, discovery, feeds, prices, resolution, rules, serving, wires  # noqa: E402, F401
+from oddsweave.plans import adapters, control, discovery, feeds, guards, prices, resolution, rules, serving, wires  # noqa: E402, F401

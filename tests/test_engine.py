@@ -1,13 +1,14 @@
 """Behaviour and boundaries of the price engine."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from oddsweave.functions import rules, similarity, text
-from oddsweave.operators import consensus, control, dedupe, matching, reports, targets, writepath
+from oddsweave.operators import consensus, control, dedupe, matching, reports, state, targets, writepath
 
 START = datetime(2026, 7, 14, 18, 45)
 PAIR = "starts_at timestamp, home_team string, away_team string, league_name string, b_starts_at timestamp, b_home_team string, b_away_team string, b_league_name string"
@@ -224,8 +225,50 @@ def test_unique_aliases_and_learning(spark):
 
 def test_pair_alias_fallback(spark):
     known = spark.createDataFrame([("alpha", "first"), ("beta", "second")], "name_a string, name_b string").withColumn("same_team", F.lit(True))
-    got = matching.pair_alias_fallback(pairs(spark, [("Alpha", "Beta", "First", "Second"), ("Alpha", "Beta", "Second", "First"), ("Alpha", "Gamma", "First", "Second")], "Cup"), known)
-    assert sorted(r.orientation for r in got.collect()) == ["INVERTED", "NORMAL"]
+    rows = pairs(spark, [("Alpha", "Beta", "First", "Second"), ("Alpha", "Beta", "Second", "First"), ("Alpha", "Gamma", "First", "Second")], "Cup")
+    rows = rows.withColumn("event_id", F.monotonically_increasing_id()).withColumn("fixture_id", F.col("event_id"))
+    assert sorted(r.orientation for r in matching.pair_alias_fallback(rows, known).collect()) == ["INVERTED", "NORMAL"]
+    crowded = rows.withColumn("event_id", F.lit(1))
+    assert matching.pair_alias_fallback(crowded, known, most=3).count() == 2 and matching.pair_alias_fallback(crowded, known, most=2).count() == 0
+    late = rows.withColumn("b_starts_at", F.col("starts_at") + F.expr("INTERVAL 21 MINUTES"))
+    assert matching.pair_alias_fallback(late, known).count() == 0 and matching.pair_alias_fallback(rows.withColumn("b_starts_at", F.lit(None).cast("timestamp")), known).count() == 2
+
+
+def test_watchdog(spark):
+    at = lambda m: START + timedelta(minutes=m)
+    events = [("fast", "cycle-start", at(0)), ("fast", "heartbeat", at(26)), ("bet365", "cycle-start", at(0)), ("bet365", "heartbeat", at(26)), ("meridianbet", "cycle-start", at(0)), ("meridianbet", "cycle-end", at(20)), ("x", "cycle-start", at(1)), ("x", "heartbeat", at(26)), ("late", "heartbeat", at(30))]
+    pauses = spark.createDataFrame([("x", at(27)), ("x", at(5))], "lane string, until timestamp")
+    got = control.watchdog(spark.createDataFrame(events, "lane string, type string, at timestamp"), F.lit(at(26)), pauses).collect()
+    assert {r.lane: r.state for r in got} == {"fast": "stuck", "bet365": "well", "meridianbet": "silent", "x": "paused"}
+
+
+def test_lease_and_watermark_by_compare_and_set(spark, tmp_path):
+    folder, now = f"file://{tmp_path}", datetime(2026, 8, 5, 12)
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: state.acquire(state.Versions(spark, folder, "lease"), f"w{k}", now), range(8)))
+    assert sum(won) == 1
+    lease = state.Versions(spark, folder, "lease")
+    owner = f"w{won.index(True)}"
+    assert not state.acquire(lease, "other", now + timedelta(minutes=30)) and not state.release(lease, "other")
+    assert state.release(lease, owner) and state.acquire(lease, "other", now) and state.acquire(lease, "third", now + timedelta(hours=1))
+
+    marks, written = state.Versions(spark, folder, "sweep"), []
+    prices = [(f, b, s, "SEM_PA", p, "1X2", datetime(2026, 8, 5, h)) for f, h in ((1, 9), (2, 11)) for b in range(5) for s, p in zip(("HOME", "DRAW", "AWAY"), (2.0, 3.4, 4.0) if b else (1.2, 3.4, 9.0))]
+    rows = spark.createDataFrame(prices, "fixture_id long, bookmaker long, selection string, pa_category string, price double, market_code string, updated_at timestamp")
+    upcoming = spark.createDataFrame([(1,), (2,)], "fixture_id long")
+    write = lambda found: written.append(sorted({r.fixture_id for r in found.collect()}))
+
+    def failing(found):
+        raise RuntimeError("store is down")
+
+    with pytest.raises(RuntimeError):
+        state.swept(marks, lambda: rows, upcoming, failing, now)
+    assert marks.latest() == (0, None)
+    assert not state.swept(marks, lambda: rows, upcoming.limit(0), write, now) and marks.latest() == (0, None)
+    assert state.swept(marks, lambda: rows, upcoming, write, datetime(2026, 8, 5, 10)) and written == [[1, 2]]
+    # What came in during the first sweep, after it began, is judged by the next.
+    assert state.swept(marks, lambda: rows, upcoming, write, now) and written[1] == [2]
+    assert state.swept(marks, lambda: rows, upcoming, write, now) and written[2] == []
 
 
 def test_last_and_first_win(spark):
@@ -284,7 +327,7 @@ def test_cascade_stages(spark):
     )
     event = "event_id long, b_starts_at timestamp, b_home_team string, b_away_team string, b_league_name string, league_id long"
     events = spark.createDataFrame(
-        [(11, at(5), "x", "y", "L", 1), (12, at(0), "Delta City", "Gamma Town", "L", 1), (13, at(0), "Epsilon Rovers", "Zeta United", "L", 1), (14, at(0), "Northwich Athletic", "Southport Wanderers", "L", None), (15, at(1), "Foo", "Bar", "L", 3), (16, at(0), "Sigma Vale", "Rho Park", "L", 4), (17, at(0), "nobody", "nowhere", "L", 9)],
+        [(11, at(5), "x", "y", "L", 1), (12, at(0), "Delta City", "Gamma Town", "L", 1), (13, at(0), "Epsilon Rovers", "Zeta United", "L", 1), (14, at(0), "Northwich Athletic", "Southport Wanderers", "L", None), (15, at(0.25), "Foo", "Bar", "L", 3), (16, at(0), "Sigma Vale", "Rho Park", "L", 4), (17, at(0), "nobody", "nowhere", "L", 9)],
         event,
     )
     remembered = spark.createDataFrame([(11, 1, "INVERTED")], "event_id long, fixture_id long, orientation string")

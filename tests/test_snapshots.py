@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from oddsweave.functions import rules, text
-from oddsweave.operators import snapshots
+from oddsweave.operators import discovery, snapshots
 
 MARKETS = "id long, markets array<struct<paCategory string, selections array<struct<selection string, price double>>>>"
 
@@ -36,13 +36,32 @@ def test_guards(spark):
     assert snapshots.right_event(pages).count() == 1
 
 
-def test_tournaments_and_mentions(spark):
-    leagues = spark.createDataFrame([(1, "Brasileirao Serie A"), (2, "Premier League")], "league_id long, league_name string")
-    tournaments = spark.createDataFrame([(5, "Brasileirao Serie A"), (6, "Brasileirao Serie B"), (7, "English Premier League"), (8, "La Liga")], "tournament_id long, tournament_name string")
-    got = {(r.league_id, r.tournament_id) for r in snapshots.top_tournaments(leagues, tournaments, k=1).collect()}
-    assert got == {(1, 5), (2, 7)}
-    page = spark.createDataFrame([("Hoje: São Paulo x Santos", "Sao Paulo FC"), ("Hoje: Santos", "Sao Paulo"), ("x", None)], "p string, n string")
-    assert [r.v for r in page.select(snapshots.mentions(F.col("p"), F.col("n")).alias("v")).collect()] == [True, False, False]
+def test_mentions(spark):
+    page = spark.createDataFrame([("Hoje: São Paulo x Santos", ["Sao Paulo FC"]), ("Hoje: Santos", ["Sao Paulo"]), ("x", None), ("Brasil Sub 20 x Chile", ["brazil u20", "brasil u20"]), ("Brasil x Chile", ["brasil u20"]), ("the city", ["City"])], "p string, n array<string>")
+    assert [r.v for r in page.select(text.mentions(F.col("p"), F.col("n")).alias("v")).collect()] == [True, False, False, True, False, False]
+    rows = spark.createDataFrame([("19:30 Sao Paulo - Santos", ["sao paulo"], ["santos"], "2026-08-05 22:30:00"), ("Santos", ["sao paulo"], ["santos"], None)], "text string, home_names array<string>, away_names array<string>, at string")
+    got = snapshots.page_evidence(rows.withColumn("starts_at", F.col("at").cast("timestamp"))).collect()
+    assert [(r.has_home, r.has_away, r.has_both, r.has_time) for r in got] == [(True, True, True, True), (False, True, False, False)]
+
+
+def test_merged_markets(spark):
+    three = ["HOME", "DRAW", "AWAY"]
+    rows = [
+        (1, True, 0, "SEM_PA", three, "Full Time Result"), (1, True, 1, "SEM_PA", three, "Resultado Final"), (1, False, 0, "SEM_PA", three, "resultado final"), (1, False, 1, "COM_PA", three, "x"), (1, True, 2, "COM_PA", three[:2], "y"),
+        (2, False, 0, "SEM_PA", three, "a"), (2, False, 1, "SEM_PA", three, "b"),
+        (3, True, 5, "COM_PA", three, "z"), (3, False, 0, "SEM_PA", three, None), (3, False, 1, "SEM_PA", three, "w"),
+    ]
+    got = snapshots.merged_markets(spark.createDataFrame(rows, "event_id long, visible boolean, place int, pa_category string, selections array<string>, raw_text string")).collect()
+    assert sorted((r.event_id, r.position, r.pa_category, r.visible, r.place) for r in got) == [(1, 0, "SEM_PA", True, 1), (1, 1, "COM_PA", False, 1), (2, 0, "SEM_PA", False, 0), (2, 1, "SEM_PA", False, 1), (3, 0, "COM_PA", True, 5), (3, 1, "SEM_PA", False, 0)]
+
+
+def test_weighted_tournaments(spark):
+    leagues = spark.createDataFrame([(1, "Serie A", "Brazil"), (2, "Serie A", "Italy"), (3, "Premier League", None), (4, "Eredivisie", "Netherlands")], "league_id long, league_name string, country string")
+    tournaments = spark.createDataFrame([("a", "Brasileirao Serie A", "2026", ["Futebol", "Brasil"]), ("b", "Serie A", None, ["Italia"]), ("c", "Premier League", None, ["Inglaterra"]), ("d", "Serie B", None, ["Brasil"])], "tournament_id string, tournament_name string, season_name string, path array<string>")
+    countries = spark.createDataFrame([("brazil", "brasil"), ("brazil", "bra"), ("italy", "italia")], "country string, alias string")
+    got = discovery.weighted_tournaments(leagues, tournaments, countries).collect()
+    assert {(r.league_id, r.tournament_id): round(r.score, 6) for r in got if r.tournament_id in "ab"} == {(1, "a"): 1.0, (2, "b"): 1.0}
+    assert not [r for r in got if r.league_id in (3, 4)]  # half a country is below its gate
 
 
 def test_feed_clock_and_keywords(spark):
