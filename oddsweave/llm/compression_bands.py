@@ -137,5 +137,9 @@ def _passes(rules: Rules):
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that pass, all columns as they were; judged in place, so no join and no shuffle."""
+    """The rows of ``docs`` that pass, all columns as they were, whatever they are called; judged in place, so no join and no shuffle.
+
+    Null and empty texts have no words and go; repeated rows are judged alike;
+    an empty table gives no rows.
+    """
     return docs.mapInArrow(_passes(rules), docs.schema)

@@ -9,8 +9,9 @@ counts differ by one at most.
 Records are written once with their hash before they are scattered, so counting
 and scattering see the same rows and a lost executor's work is done again the
 same way.  A record's bucket depends on the seed, its key and its text.  Rows
-equal in both would all meet in one bucket; those that are that frequent are
-found first and salted with their place in what was written.
+equal in both would all meet in one bucket; where they would fill more than a
+sixteenth of one, they are dealt out by their place in what was written, in
+pieces of that size, however many rows they are.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from oddsweave.llm._shared import free_name, stored
 
 BUCKET_BYTES = 16 << 20
-SALTS = 256
+#: Equal rows are dealt out in pieces of a bucket's bytes by this.
+PIECES = 16
+#: So many buckets at most have their sizes and their hot hashes (at most ``PIECES`` each) broadcast.
+BROADCAST_BUCKETS = 20_000
 
 
 def _fisher_yates(rows: int, seed: int, bucket: int) -> np.ndarray:
@@ -68,10 +72,11 @@ def shuffle(docs: DataFrame, shards: int = 24, seed: int = 20240117, bucket_byte
     counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("bytes"))
     rows, size = counts.agg(F.sum("n"), F.sum("bytes")).first()
     buckets = max(1, -(-(size or 0) // bucket_bytes))
-    # Keys with more rows than a thousandth of all: under a thousand of them, whatever the data.
-    hot = [r["_hash"] for r in counts.filter(F.col("n") > max(1000, (rows or 0) // 1000)).select("_hash").collect()]
-    salt = F.when(F.col("_hash").isin(hot), F.col("_place") % SALTS) if hot else F.lit(None).cast("long")
-    placed = hashed.withColumn("_order", F.xxhash64(F.lit(seed + 1), F.col("_hash"), salt)).withColumn("_bucket", F.pmod("_order", F.lit(buckets)))
+    small = lambda df: F.broadcast(df) if buckets <= BROADCAST_BUCKETS else df
+    hot = counts.filter(F.col("bytes") * PIECES > bucket_bytes).select("_hash", F.ceil(F.col("bytes") * PIECES / bucket_bytes).alias("_salts"))
+    salted = hashed.join(small(hot), "_hash", "left")
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod("_place", "_salts"))
+    placed = salted.withColumn("_order", F.xxhash64(F.lit(seed + 1), F.col("_hash"), salt)).withColumn("_bucket", F.pmod("_order", F.lit(buckets)))
     scattered = placed.repartition(max(1, min(buckets, 100_000)), "_bucket").select("record", "_order", "_place", "_bucket")
     schema = StructType([hashed.schema["record"], *(StructField(c, LongType()) for c in ("_order", "_place", "_bucket"))])
     mixed = scattered.groupBy("_bucket").applyInArrow(_shuffled(seed), schema)
@@ -87,7 +92,7 @@ def shuffle(docs: DataFrame, shards: int = 24, seed: int = 20240117, bucket_byte
     slot = F.when(rank < cut, rank - longer * (few + 1)).otherwise(rank - cut - (shorter - more) * max(few, 1))
     own = [F.col("record").getField(c).alias(c) for c in docs.columns]
     shard_as, slot_as, bucket_as = (free_name(c, docs.columns) for c in ("shard", "slot", "bucket"))
-    return mixed.join(F.broadcast(begins) if buckets <= 100_000 else begins, "_bucket").select(*own, shard.cast("int").alias(shard_as), slot.alias(slot_as), F.col("_bucket").alias(bucket_as))
+    return mixed.join(small(begins), "_bucket").select(*own, shard.cast("int").alias(shard_as), slot.alias(slot_as), F.col("_bucket").alias(bucket_as))
 
 
 def write(docs: DataFrame, path: str, shards: int = 24, seed: int = 20240117) -> None:

@@ -314,3 +314,9 @@ def test_keys_must_be_whole_numbers(spark):
     assert external_shuffle.shuffle(docs, 2).count() == 1  # any key will do here
     small = spark.createDataFrame([(1, "some text")], "doc_id int, text string")
     assert compression_bands.verdicts(small).first().doc_id == 1
+
+
+def test_equal_long_rows_are_dealt_out_by_their_bytes(spark):
+    rows = spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 4000).alias("text")).unionByName(spark.range(300).select("id", F.concat(F.lit("t"), "id")).toDF("doc_id", "text"))
+    got = external_shuffle.shuffle(rows, 3, bucket_bytes=100_000).groupBy("bucket").agg(F.sum(F.length("text")).alias("n")).collect()
+    assert sum(r.n for r in got) == 1_200_000 + 300 + 10 + 180 + 600 and max(r.n for r in got) < 300_000

@@ -32,3 +32,26 @@ def test_stages_keep_columns_and_clean_documents(spark):
 def test_run_packs_what_is_left(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, ties, repeated rows, an empty benchmark, clashing columns, and no rows at all."""
+    words = max((r.text for r in compression_bands.keep(table(spark, SF, "documents")).limit(20).collect()), key=len)
+    rows = [(1, words, "x", None), (2, words, None, 1.5), (2, words, None, 1.5), (None, words + " and a little more of it", "y", None), (3, None, None, None), (4, "", "z", 0.0), (5, "short", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string, kept double")
+    folder = str(tmp_path)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for start in (docs, docs.limit(0)):
+        before = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, before, folder)
+            assert after.columns == docs.columns
+            before = spark.createDataFrame(after.collect(), docs.schema)
+            if name == "quality_rules":
+                assert before.filter("text IS NULL OR text IN ('', 'short')").count() == 0
+        packed = corpus_pipeline.STAGES[-1][1](spark, before, folder).collect()
+        assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+        assert len(packed) >= before.count() and (start is docs) == bool(packed)
+    # Of equal and near texts one row stays, whichever keys tie; a null and an empty text are copies.
+    near = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, folder).collect()
+    assert sum(r.text is not None and len(r.text) > 100 for r in near) == 1 and len(near) == 3
