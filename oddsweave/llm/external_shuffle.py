@@ -11,7 +11,8 @@ and scattering see the same rows and a lost executor's work is done again the
 same way.  A record's bucket depends on the seed, its key and its text.  Rows
 equal in both would all meet in one bucket; where they would fill more than a
 sixteenth of one, they are dealt out by their place in what was written, in
-pieces of that size, however many rows they are.
+pieces of that size.  Fewer than sixteen equal rows stay together, so where they
+go doesn't depend on how the input is partitioned.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from oddsweave.llm._shared import free_name, stored
 BUCKET_BYTES = 16 << 20
 #: Equal rows are dealt out in pieces of a bucket's bytes by this.
 PIECES = 16
+TOGETHER = 16
 #: So many buckets at most have their sizes and their hot hashes (at most ``PIECES`` each) broadcast.
 BROADCAST_BUCKETS = 20_000
 
@@ -73,7 +75,7 @@ def shuffle(docs: DataFrame, shards: int = 24, seed: int = 20240117, bucket_byte
     rows, size = counts.agg(F.sum("n"), F.sum("bytes")).first()
     buckets = max(1, -(-(size or 0) // bucket_bytes))
     small = lambda df: F.broadcast(df) if buckets <= BROADCAST_BUCKETS else df
-    hot = counts.filter(F.col("bytes") * PIECES > bucket_bytes).select("_hash", F.ceil(F.col("bytes") * PIECES / bucket_bytes).alias("_salts"))
+    hot = counts.filter((F.col("n") >= TOGETHER) & (F.col("bytes") * PIECES > bucket_bytes)).select("_hash", F.ceil(F.col("bytes") * PIECES / bucket_bytes).alias("_salts"))
     salted = hashed.join(small(hot), "_hash", "left")
     salt = F.when(F.col("_salts").isNotNull(), F.pmod("_place", "_salts"))
     placed = salted.withColumn("_order", F.xxhash64(F.lit(seed + 1), F.col("_hash"), salt)).withColumn("_bucket", F.pmod("_order", F.lit(buckets)))
