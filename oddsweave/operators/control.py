@@ -23,19 +23,33 @@ def lane_state(events: DataFrame, lane: str, ts: str, order: str) -> DataFrame:
     return events.groupBy(lane).agg(F.max(ts).alias("last_at"), F.max_by("event_type", key).alias("last_type"), F.count(F.lit(1)).alias("n_events"))
 
 
-def stale_gaps(events: DataFrame, lane: str, ts: str, order: str, seconds: int = STALE_SECONDS) -> DataFrame:
-    """Per lane how often it was silent for longer than allowed, and the longest silence."""
-    before = F.lag(ts).over(Window.partitionBy(lane).orderBy(ts, order))
+def stale_gaps(events: DataFrame, lane: str, ts: str, order: str, seconds: int = STALE_SECONDS, hours: int = 24) -> DataFrame:
+    """Per lane how often it was silent for longer than allowed, and the longest silence.
+
+    A lane's history is taken in buckets of ``hours``, so it isn't one task's;
+    the last time of the bucket before is carried in by one row a bucket.
+    """
+    rows = events.withColumn("_bucket", F.floor(F.unix_micros(F.col(ts)) / (hours * 3_600_000_000)))
+    ends = rows.groupBy(lane, "_bucket").agg(F.max(ts).alias("_end"))
+    edges = ends.withColumn("_edge", F.lag("_end").over(Window.partitionBy(lane).orderBy("_bucket"))).drop("_end")
+    before = F.coalesce(F.lag(ts).over(Window.partitionBy(lane, "_bucket").orderBy(ts, order)), F.col("_edge"))
     gap = (F.unix_micros(F.col(ts)) - F.unix_micros(before)) / 1e6
-    return events.withColumn("_gap", gap).groupBy(lane).agg(F.count_if(F.col("_gap") > seconds).alias("n_stale"), F.max("_gap").alias("longest_gap"))
+    return rows.join(edges, [lane, "_bucket"]).withColumn("_gap", gap).groupBy(lane).agg(F.count_if(F.col("_gap") > seconds).alias("n_stale"), F.max("_gap").alias("longest_gap"))
 
 
 def restart_budget(restarts: DataFrame, lane: str, ts: str, minutes: int = RESTART_MINUTES, most: int = RESTARTS) -> DataFrame:
-    """``restarts`` with the number of restarts of the lane in the window up to each, whether it is within budget, and the cooldown."""
+    """``restarts`` with the number of restarts of the lane in the window up to each, whether it is within budget, and the cooldown.
+
+    A window lies in its end's bucket and the one before, so each row goes to its
+    own and the next bucket, and a lane's history is not one task's.
+    """
+    width = minutes * 60 * 1_000_000
     micros = F.unix_micros(F.col(ts))
-    window = Window.partitionBy(lane).orderBy(micros).rangeBetween(-minutes * 60 * 1_000_000, Window.currentRow)
-    n = F.count(F.lit(1)).over(window)
-    return restarts.withColumn("in_window", n).withColumn("allowed", F.col("in_window") <= most).withColumn("cooldown_s", cooldown(F.col("in_window")))
+    own = F.floor(micros / width)
+    spread = restarts.withColumn("_next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_bucket", own + F.col("_next"))
+    window = Window.partitionBy(lane, "_bucket").orderBy(micros).rangeBetween(-width, Window.currentRow)
+    counted = spread.withColumn("in_window", F.count(F.lit(1)).over(window)).filter("_next = 0").drop("_next", "_bucket")
+    return counted.withColumn("allowed", F.col("in_window") <= most).withColumn("cooldown_s", cooldown(F.col("in_window")))
 
 
 def cooldown(n: Column) -> Column:

@@ -36,13 +36,10 @@ def latest_links(links: DataFrame) -> DataFrame:
     return newest.select("fixture_id", "bookmaker", clean_source_url(F.col("bookmaker").cast("string"), F.col("source_url")).alias("source_url"))
 
 
-def snapshot(fixtures: DataFrame, leagues: DataFrame, prices: DataFrame, bookmakers: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
-    """Per fixture all its prices as one JSON array in a fixed order.
-
-    ``bookmakers``: bookmaker, name, home_url (used where no link is known).
-    """
-    games = upcoming(fixtures, leagues, as_of).select("fixture_id")
-    rows = prices.join(games, "fixture_id", "left_semi").join(bookmakers, "bookmaker").join(latest_links(links), ["fixture_id", "bookmaker"], "left")
+def _collected(rows: DataFrame, bookmakers: DataFrame, links: DataFrame, *more: Column) -> DataFrame:
+    """Per fixture all prices of known bookmakers as one JSON array in a fixed order, and what ``more`` gathers from all its rows."""
+    known = bookmakers.withColumn("_known", F.lit(True))
+    rows = rows.join(known, "bookmaker", "left").join(latest_links(links), ["fixture_id", "bookmaker"], "left")
     item = F.struct(
         F.col("bookmaker").alias("bookmaker_slug"),
         F.col("name").alias("bookmaker_name"),
@@ -57,16 +54,37 @@ def snapshot(fixtures: DataFrame, leagues: DataFrame, prices: DataFrame, bookmak
         F.col("last_seen_at").alias("odd_last_seen_at"),
     )
     keyed = F.struct("bookmaker", "market_code", "pa_category", "selection", "source_odd_id", item.alias("item"))
-    return rows.groupBy("fixture_id").agg(
-        F.max("updated_at").alias("latest_odd_updated_at"),
-        F.max("last_seen_at").alias("latest_odd_seen_at"),
-        F.to_json(F.transform(F.array_sort(F.collect_list(keyed)), lambda r: r["item"]), {"ignoreNullFields": "false"}).alias("prices"),
+    of_known = lambda c: F.when(F.col("_known"), c)
+    return (
+        rows.groupBy("fixture_id")
+        .agg(
+            F.max(of_known(F.col("updated_at"))).alias("latest_odd_updated_at"),
+            F.max(of_known(F.col("last_seen_at"))).alias("latest_odd_seen_at"),
+            F.to_json(F.transform(F.array_sort(F.collect_list(of_known(keyed))), lambda r: r["item"]), {"ignoreNullFields": "false"}).alias("prices"),
+            F.bool_or(F.coalesce("_known", F.lit(False))).alias("_any"),
+            *more,
+        )
+        .filter("_any")
+        .drop("_any")
     )
 
 
-def feed(fixtures: DataFrame, leagues: DataFrame, prices: DataFrame, bookmakers: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
-    games = with_prices(upcoming(fixtures, leagues, as_of), prices)
-    return games.join(snapshot(fixtures, leagues, prices, bookmakers, links, as_of).select("fixture_id", "prices"), "fixture_id")
+def snapshot(fixtures: DataFrame, leagues: DataFrame, prices: DataFrame, bookmakers: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
+    """Per fixture all its prices as one JSON array in a fixed order.
+
+    ``bookmakers``: bookmaker, name, home_url (used where no link is known).
+    """
+    games = upcoming(fixtures, leagues, as_of).select("fixture_id")
+    return _collected(prices.join(games, "fixture_id", "left_semi"), bookmakers, links)
+
+
+def feed(fixtures: DataFrame, leagues: DataFrame, prices: DataFrame, bookmakers: DataFrame, links: DataFrame, as_of: Column, market: str = "1X2") -> DataFrame:
+    """Upcoming fixtures that have a price of the market, with all their prices as in ``snapshot``; every table is read once."""
+    games = upcoming(fixtures, leagues, as_of)
+    columns = [c for c in games.columns if c != "fixture_id"]
+    rows = prices.join(games.select("fixture_id", F.struct(*columns).alias("_game")), "fixture_id")
+    out = _collected(rows, bookmakers, links, F.any_value("_game").alias("_game"), F.bool_or(F.col("market_code") == market).alias("_priced"))
+    return out.filter("_priced").select("fixture_id", *(F.col(f"_game.{c}").alias(c) for c in columns), "prices")
 
 
 def public(rows: DataFrame, games: DataFrame, columns: list[str]) -> DataFrame:

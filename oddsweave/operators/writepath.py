@@ -39,15 +39,16 @@ def best_price(prices: DataFrame, order: str = "source_odd_id") -> DataFrame:
     return prices.groupBy(*keys).agg(best.alias("row")).select(*keys, *(F.col(f"row.{c}").alias(c) for c in rest))
 
 
-def _groups(prices: DataFrame, order: str | None = None) -> DataFrame:
-    """One row per group of result prices: the best price of each side (with ``order``: its row), what else there is, and the verdict's parts."""
+def _groups(prices: DataFrame, order: str | None = None, *more: Column) -> DataFrame:
+    """One row per group of result prices (of all, where there is ``more`` to gather): the best price of each side (with ``order``: its row), what else there is, and the verdict's parts."""
     rows = []
     at = lambda s: F.col("selection") == s
     if order:
         kept = F.struct(*(c for c in prices.columns if c not in GROUP))
         rows = [F.max_by(F.when(at(s), kept), F.when(at(s), F.struct(F.col("price"), -F.col(order)))).alias(f"row_{s}") for s in SIDES]
     sides = [F.max(F.when(at(s), F.col("price"))).alias(s) for s in SIDES]
-    got = moneyline(prices).groupBy(*GROUP).agg(*sides, F.bool_or(~F.col("selection").isin(*SIDES)).alias("odd"), *rows)
+    grouped = (prices if more else moneyline(prices)).groupBy(*GROUP)
+    got = grouped.agg(*sides, F.bool_or(~F.col("selection").isin(*SIDES)).alias("odd"), *rows, *more)
     home, draw, away = (F.col(s).isNotNull() for s in SIDES)
     probability = sum((F.coalesce(1 / F.col(s), F.lit(0.0)) for s in SIDES), F.lit(0.0))
     complete = home & draw & away & ~F.col("odd")
@@ -67,10 +68,13 @@ def group_verdicts(prices: DataFrame) -> DataFrame:
 
 
 def valid_prices(prices: DataFrame, order: str = "source_odd_id") -> DataFrame:
-    """Best prices of valid groups of the result market, and all prices of other markets."""
-    good = _groups(prices, order).filter("valid").select(*GROUP, F.explode(F.array(*(f"row_{s}" for s in SIDES))).alias("row")).filter("row IS NOT NULL")
-    best = good.select(*(c if c in GROUP else F.col(f"row.{c}").alias(c) for c in prices.columns))
-    return best.unionByName(prices.filter(F.col("market_code") != MONEYLINE))
+    """Best prices of valid groups of the result market, and all prices of other markets; one grouping, one pass."""
+    kept = [c for c in prices.columns if c not in GROUP]
+    other = F.collect_list(F.when(F.col("market_code") != MONEYLINE, F.struct(*kept)))
+    groups = _groups(prices, order, other.alias("_other"))
+    sides = F.array_compact(F.array(*(f"row_{s}" for s in SIDES)))
+    rows = F.when(F.col("market_code") != MONEYLINE, F.col("_other")).when(F.col("valid"), sides)
+    return groups.select(*GROUP, F.explode(rows).alias("row")).select(*(c if c in GROUP else F.col(f"row.`{c}`").alias(c) for c in prices.columns))
 
 
 def conflicts(links: DataFrame) -> DataFrame:
@@ -234,16 +238,43 @@ def save(current: DataFrame, incoming: DataFrame, links: DataFrame, blocks: Data
     fixture that a block stops keeps what is stored; one whose links are in
     conflict loses it.
     """
-    key, stops = ["fixture_id", "bookmaker"], _stops(blocks)
-    judged = _judged_links(links, stops)
-    open_ = judged.filter(~F.col("_gone")).drop("_gone")
-    clean_links = open_.join(conflicts(open_).select(*key), key, "left_anti")
-    clean = _open_prices(incoming, stops, judged, conflicting=True)
-    scope = open_.select(*key).union(clean.select(*key)).union(moved_links(stored_links, clean_links)).distinct()
+    key = ["fixture_id", "bookmaker"]
+    pairs = _batch_pairs(incoming, links, blocks)
+    clean = _unpacked(pairs.select(F.explode("_clean").alias("row")), incoming.columns)
+    clean_links = _unpacked(pairs.filter("_clean_links").select(F.explode("_open").alias("row")), links.columns)
+    touched = pairs.filter((F.size("_open") > 0) | (F.size("_clean") > 0)).select(*key)
+    scope = touched.union(moved_links(stored_links, clean_links)).distinct()
     prices = replaced(current, valid_prices(clean).select(*current.columns), scope, key, markets)
     return Saved(prices, next_links(stored_links, clean_links, scope), scope)
 
 
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
+
+
+def _batch_pairs(incoming: DataFrame, links: DataFrame, blocks: DataFrame) -> DataFrame:
+    """A batch by fixture and bookmaker: ``_open`` links, whether they are clean (of one event), and ``_clean`` prices.
+
+    Prices, links and blocks are partitioned once, by that pair; what a pair
+    holds is a bookmaker's prices of one fixture.  Rows without a fixture or a
+    bookmaker are a pair of their own that nothing blocks.
+    """
+    key = ["fixture_id", "bookmaker"]
+    packed = lambda df, name: df.groupBy(*key).agg(F.collect_list(F.struct(*df.columns)).alias(name))
+    priced, linked, stops = packed(incoming, "_prices"), packed(links, "_links"), _stops(blocks)
+    # Null keys match nothing in a join, as before: they stay as they are on either side.
+    both = priced.join(linked, key, "full_outer").join(stops, key, "left")
+    exhausted = F.coalesce("_exhausted", F.lit(False))
+    rejected = lambda link: F.coalesce(F.array_contains(F.col("_rejected"), link["external_event_id"].cast("string")), F.lit(False))
+    none = lambda name: F.array().cast(both.schema[name].dataType)
+    open_ = both.withColumn("_links", F.coalesce("_links", none("_links"))).withColumn("_open", F.filter("_links", lambda x: ~exhausted & ~rejected(x)))
+    events = F.array_compact(F.array_distinct(F.transform("_open", lambda x: x["external_event_id"])))
+    stopped = exhausted | (F.size("_open") < F.size("_links")) | (F.size(events) > 1)
+    parted = lambda price: F.coalesce(F.array_contains(F.col("_parts"), price["pa_category"]), F.lit(False))
+    left = F.filter(F.coalesce("_prices", none("_prices")), lambda x: ~parted(x))
+    return open_.select(*key, "_open", (F.size(events) <= 1).alias("_clean_links"), F.when(stopped, none("_prices")).otherwise(left).alias("_clean"))
+
+
 def save_all(current: DataFrame, incoming: DataFrame, links: DataFrame, blocks: DataFrame, stored_links: DataFrame | None = None) -> DataFrame:
     """The prices of ``save``; without ``stored_links`` no link moves."""
     return save(current, incoming, links, blocks, links.limit(0) if stored_links is None else stored_links).prices
