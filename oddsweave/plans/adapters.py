@@ -1,77 +1,23 @@
 """Queries of feed adapters over payloads with open, closed, live, half-time, incomplete and repeated markets.
 
-A query gives each part one of its adapter's payload templates, with the part's
-key, teams and prices in it.  The SQL takes the same texts apart with JSON
-functions and states the feed's rules once more over them.
-
-In a template ``#1`` to ``#3`` are the three prices (``#M1``: in thousandths) as
-numbers, ``@1`` to ``@3`` as texts, ``@K`` the key, ``@H`` and ``@A`` the teams.
+The SQL takes the same texts apart with JSON functions and states the feed's
+rules once more over them.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsweave.plans.catalog import query
+from oddsweave.plans.payloads import payloads, rule_sql
 from oddsweave.sources import feeds
-from oddsweave.sources.tables import table
-
-#: What stands for a token, in Spark and DuckDB alike; longer tokens come first.
-_TOKENS = {
-    **{f"@M{k}": f"CAST(({k} * 10 + p_size) * 100 AS {{text}})" for k in (1, 2, 3)},
-    **{f"@{k}": f"concat(CAST(CAST(floor(({k} * 10 + p_size) / 10) AS BIGINT) AS {{text}}), '.', CAST((({k} * 10 + p_size) % 10) AS {{text}}))" for k in (1, 2, 3)},
-    "@K": "CAST(p_partkey AS {text})",
-    "@H": "split_part(p_name, ' ', 1)",
-    "@A": "concat(split_part(p_name, ' ', 2), 'ense')",
-}
-
-
-def _texts(templates: list[dict]) -> list[str]:
-    out = []
-    for t in templates:
-        text = json.dumps(t, ensure_ascii=False)
-        for k in ("M1", "M2", "M3", "1", "2", "3", "K"):
-            text = text.replace(f'"#{k}"', f"@{k}")
-        out.append(text)
-    return out
-
-
-def payloads(spark, d, templates: list[dict]) -> DataFrame:
-    """One payload per part, as ``value``; the part's key is ``key``."""
-    texts = _texts(templates)
-    value: Column = F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % len(texts) + 1).cast("int"))
-    for token, sql in _TOKENS.items():
-        value = F.replace(value, F.lit(token), F.expr(sql.format(text="STRING")))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("key"), value.alias("value"))
 
 
 def _priced(rows: DataFrame, adapter: feeds.Adapter) -> DataFrame:
     return feeds.prices(rows, adapter).select("event_id", "selection", F.round("price", 6).alias("price"), "pa_category", "confidence_score", "source_odd_id")
 
 
-def _sql(templates: list[dict], rules: str, result: str = "SELECT CAST(k AS VARCHAR) AS event_id, selection, round(price, 6) AS price, pa_category, CASE WHEN pa_category = 'COM_PA' THEN early ELSE 1.0 END AS confidence_score, odd_id AS source_odd_id FROM r WHERE selection IS NOT NULL AND price > 0") -> str:
-    """``rules`` are common table expressions from ``p`` (k, home, away, e) to ``r``; ``norm`` is the feeds' normal form."""
-    value = "j"
-    for token, sql in _TOKENS.items():
-        value = f"replace({value}, '{token}', {sql.format(text='VARCHAR')})"
-    texts = ", ".join("({}, '{}')".format(n, t.replace("'", "''")) for n, t in enumerate(_texts(templates)))
-    head = f"""WITH t(v, j) AS (VALUES {texts}),
-p AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS home, concat(split_part(p_name, ' ', 2), 'ense') AS away, CAST({value} AS JSON) AS e FROM part JOIN t ON t.v = p_partkey % {len(templates)}),
-"""
-    out = head + rules.strip() + "\n" + result
-    while "norm(" in out:  # the innermost first
-        at = out.rindex("norm(")
-        end, depth = at + 5, 1
-        while depth:
-            depth += {"(": 1, ")": -1}.get(out[end], 0)
-            end += 1
-        out = f"{out[:at]}trim(regexp_replace(lower(strip_accents(coalesce({out[at + 5 : end - 1]}, ''))), '[^a-z0-9]+', ' ', 'g')){out[end:]}"
-    return out
-
-
 def _three(make) -> list:
     return [make(k) for k in (1, 2, 3)]
 
@@ -112,7 +58,7 @@ r AS (SELECT k, CASE WHEN s->>'$.outcomeId' = '1' THEN 'HOME' WHEN s->>'$.outcom
 """
 
 
-@query(_sql(A02, _A02_SQL))
+@query(rule_sql(A02, _A02_SQL))
 def a02_tournament_tree(spark, d):
     """Early payout by event or by a table of tournaments; names translated first; sides by code, word or similar name."""
     early = spark.createDataFrame([("t1",), ("t2",), ("t1",), (None,)], "tournamentId string")
@@ -161,7 +107,7 @@ r AS (SELECT k, CASE WHEN s->>'$.Side' = '1' OR norm(s->>'$.OutcomeType') = 'cas
 """
 
 
-@query(_sql(A03, _A03_SQL))
+@query(rule_sql(A03, _A03_SQL))
 def a03_localised(spark, d):
     """Standard and boosted markets, early payout by text or by the event's setting."""
     return _priced(payloads(spark, d, A03), feeds.LOCALISED)
@@ -204,7 +150,7 @@ r AS (SELECT k, CASE s->>'$.name' WHEN '1' THEN 'HOME' WHEN 'X' THEN 'DRAW' WHEN
 """
 
 
-@query(_sql(A04, _A04_SQL))
+@query(rule_sql(A04, _A04_SQL))
 def a04_offers_by_market(spark, d):
     """Offers under either id of a market; of markets that share an id the last."""
     return _priced(payloads(spark, d, A04), feeds.OFFERS_BY_MARKET)
@@ -235,7 +181,7 @@ r AS (SELECT k, CASE WHEN norm(s->>'$.shortName') = '1' OR s->>'$.side' = '1' TH
 """
 
 
-@query(_sql(A05, _A05_SQL))
+@query(rule_sql(A05, _A05_SQL))
 def a05_grouped_odds(spark, d):
     """The whole market and group names decide; early payout in any of three names, odd by odd."""
     return _priced(payloads(spark, d, A05), feeds.GROUPED_ODDS)
@@ -274,7 +220,7 @@ r AS (SELECT k, CASE WHEN s->>'$.externalId' = '1' OR s->>'$.name' = 'Casa' THEN
 """
 
 
-@query(_sql(A06, _A06_SQL))
+@query(rule_sql(A06, _A06_SQL))
 def a06_external_ids(spark, d):
     """Whole market names, all three sides, of markets that share an id the last."""
     return _priced(payloads(spark, d, A06), feeds.EXTERNAL_IDS)
@@ -309,7 +255,7 @@ r AS (SELECT s.k, CASE WHEN s->>'$.resultType' IN ('HOME', 'DRAW', 'AWAY') THEN
 """
 
 
-@query(_sql(A07, _A07_SQL))
+@query(rule_sql(A07, _A07_SQL))
 def a07_live_runners(spark, d):
     """Runners and their live data by id, of equal ids the last; ids of the market's digits and the selection's last six."""
     return _priced(payloads(spark, d, A07), feeds.LIVE_RUNNERS)
@@ -347,7 +293,7 @@ r AS (SELECT k, CASE WHEN n IN ('1', 'casa', 'home') THEN 'HOME' WHEN n IN ('2',
 """
 
 
-@query(_sql(A09, _A09_SQL))
+@query(rule_sql(A09, _A09_SQL))
 def a09_three_way(spark, d):
     """Types and names of three-way markets; ids from digits, else from the name's letters."""
     return _priced(payloads(spark, d, A09), feeds.THREE_WAY)
@@ -397,7 +343,7 @@ r AS (SELECT k, selection, price, CASE WHEN priority = 100 THEN 'COM_PA' ELSE 'S
 """
 
 
-@query(_sql(A10, _A10_SQL))
+@query(rule_sql(A10, _A10_SQL))
 def a10_flat_odds(spark, d):
     """Flat odds by market; of the complete ones the best of either category."""
     return _priced(payloads(spark, d, A10), feeds.FLAT_ODDS)
@@ -431,7 +377,7 @@ r AS (SELECT k, CASE WHEN s->>'$.externalId' = '1' THEN 'HOME' WHEN s->>'$.exter
 """
 
 
-@query(_sql(A11, _A11_SQL))
+@query(rule_sql(A11, _A11_SQL))
 def a11_market_types(spark, d):
     """Markets by type and beginning of their name; a draw's name comes before the away code."""
     return _priced(payloads(spark, d, A11), feeds.MARKET_TYPES)
@@ -469,7 +415,7 @@ r AS (SELECT k, CASE WHEN s->>'$.type' = 'OT_ONE' OR s->>'$.label' = '1' THEN 'H
 """
 
 
-@query(_sql(A12, _A12_SQL))
+@query(rule_sql(A12, _A12_SQL))
 def a12_criteria(spark, d):
     """Offers by criterion id or text, exactly three outcomes, sides by type, label, word or similar name."""
     return _priced(payloads(spark, d, A12), feeds.MILLI_ODDS)
@@ -505,7 +451,7 @@ r AS (SELECT s.k, CASE s->>'$.code' WHEN '1' THEN 'HOME' WHEN 'X' THEN 'DRAW' WH
 """
 
 
-@query(_sql(A13, _A13_SQL))
+@query(rule_sql(A13, _A13_SQL))
 def a13_tagged_markets(spark, d):
     """Early payout by a tag of the market, else by its texts."""
     return _priced(payloads(spark, d, A13), feeds.TAGGED_MARKETS)
@@ -539,7 +485,7 @@ r AS (SELECT k, CASE WHEN regexp_matches(s->>'$.name.value', '(?i)^x$|empate') T
 """
 
 
-@query(_sql(A15, _A15_SQL))
+@query(rule_sql(A15, _A15_SQL))
 def a15_parameters(spark, d):
     """Markets by their parameters, the first of a key; sides by similar names."""
     return _priced(payloads(spark, d, A15), feeds.PARAMETERS)
@@ -577,7 +523,7 @@ r AS (SELECT k, CASE WHEN norm(s->>'$.name') IN ('draw', 'empate') THEN 'DRAW' W
 """
 
 
-@query(_sql(A18, _A18_SQL, "SELECT CAST(k AS VARCHAR) AS event_id, bookmaker, selection, round(price, 6) AS price, pa_category, odd_id AS source_odd_id FROM r WHERE selection IS NOT NULL AND price > 0"))
+@query(rule_sql(A18, _A18_SQL, "SELECT CAST(k AS VARCHAR) AS event_id, bookmaker, selection, round(price, 6) AS price, pa_category, odd_id AS source_odd_id FROM r WHERE selection IS NOT NULL AND price > 0"))
 def a18_exchange(spark, d):
     """The first price to back, else the first; two bookmakers by the event's source."""
     got = feeds.prices(payloads(spark, d, A18), feeds.EXCHANGE)
@@ -612,7 +558,7 @@ r AS (SELECT k, CASE WHEN regexp_matches(side, '(?i)empate|draw') THEN 'DRAW' WH
 """
 
 
-@query(_sql(A19, _A19_SQL))
+@query(rule_sql(A19, _A19_SQL))
 def a19_side_labels(spark, d):
     """Sides by a label, else by the better of two names."""
     return _priced(payloads(spark, d, A19), feeds.SIDE_LABELS)
@@ -647,7 +593,7 @@ r AS (SELECT k, CASE WHEN regexp_matches(raw, '(?i)\\|\\|x\\|') OR n = 'empate'
 """
 
 
-@query(_sql(A20, _A20_SQL))
+@query(rule_sql(A20, _A20_SQL))
 def a20_decoded_results(spark, d):
     """Four market names, three results, sides by code, place or similar name."""
     return _priced(payloads(spark, d, A20), feeds.DECODED_RESULTS)

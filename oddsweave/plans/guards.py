@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from oddsweave.functions import text
 from oddsweave.operators import control, discovery, matching, snapshots, writepath
-from oddsweave.plans.adapters import _sql, payloads
 from oddsweave.plans.catalog import query
+from oddsweave.plans.payloads import payloads, rule_sql
 from oddsweave.sources import pages
 from oddsweave.sources.tables import table, with_views
 
@@ -117,7 +117,7 @@ F13 = [
 
 
 @query(
-    _sql(
+    rule_sql(
         F13,
         """m AS (SELECT k, unnest(CAST(e->'$.markets' AS JSON[])) AS m FROM p WHERE json_type(e->'$.markets') = 'ARRAY'),
 r AS (SELECT k, count(*) AS n FROM m WHERE m->>'$.paCategory' IN ('COM_PA', 'SEM_PA') AND len(list_filter(CAST(m->'$.selections' AS JSON[]), lambda s: s->>'$.selection' NOT IN ('HOME', 'DRAW', 'AWAY') OR CAST(s->>'$.price' AS DOUBLE) <= 1)) = 0
@@ -247,7 +247,7 @@ def e15_cached_ids(spark, d):
     t AS (SELECT p_partkey AS tournament_id, concat('liga', CAST(p_size AS VARCHAR)) AS name, CASE p_partkey % 4 WHEN 0 THEN 'Brasil' WHEN 1 THEN 'Chile' WHEN 2 THEN 'bra' ELSE 'Zzz' END AS place FROM part),
     s AS (SELECT league_id, tournament_id, row_number() OVER (PARTITION BY league_id ORDER BY tournament_id) AS r FROM l JOIN t ON contains(t.name, replace(lower(l.league_name), ' ', '')) OR contains(replace(lower(l.league_name), ' ', ''), t.name)
           WHERE (country = 'brazil' AND place IN ('Brasil', 'bra')) OR (country = 'chile' AND place = 'Chile'))
-    SELECT league_id, tournament_id, 1.0 AS score FROM s WHERE r <= 3"""
+    SELECT league_id, tournament_id, CAST(1 AS DOUBLE) AS score FROM s WHERE r <= 3"""
 )
 def j14_weighted_tournaments(spark, d):
     """Tournaments of a league by name and country, each behind a gate, the best three; here letters settle both."""

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from oddsweave.operators import snapshots
-from oddsweave.plans.adapters import _sql, payloads
 from oddsweave.plans.catalog import query
+from oddsweave.plans.payloads import binary, message_of_part, payloads, rule_sql, slice_of_part
 from oddsweave.sources import feeds, wire
 from oddsweave.sources.tables import table
 
@@ -44,7 +41,7 @@ S22 = [
 
 
 @query(
-    _sql(
+    rule_sql(
         S22,
         """sports AS (SELECT k, unnest(CAST(e->'$.data' AS JSON[])) AS s FROM p WHERE json_type(e->'$.data') = 'ARRAY'),
 countries AS (SELECT k, unnest(CAST(s->'$.cs' AS JSON[])) AS c FROM sports WHERE s->>'$.stN' = 'Futebol'),
@@ -69,7 +66,7 @@ _HASH = "CAST(list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string
 
 
 @query(
-    _sql(
+    rule_sql(
         S22_DELTA,
         f"""q AS (SELECT k, e, e->>'$._id' AS id FROM p WHERE coalesce(e->>'$._id', '') <> '' AND coalesce(e->>'$.home_team', '') <> '' AND coalesce(e->>'$.away_team', '') <> ''
   AND try_cast(coalesce(e->>'$.start_date', e->>'$.date') AS TIMESTAMPTZ) IS NOT NULL
@@ -92,7 +89,7 @@ S08 = [{"data": {"countries": [{"id": 1, "name": "BR", "tournaments": [{"id": 11
 
 
 @query(
-    _sql(
+    rule_sql(
         S08,
         """c AS (SELECT k, unnest(CAST(e->'$.data.countries' AS JSON[])) AS c FROM p WHERE json_type(e->'$.data.countries') = 'ARRAY'),
 t2 AS (SELECT k, c, unnest(CAST(c->'$.tournaments' AS JSON[])) AS t FROM c WHERE json_type(c->'$.tournaments') = 'ARRAY'),
@@ -115,7 +112,7 @@ S10 = [
 
 
 @query(
-    _sql(
+    rule_sql(
         S10,
         """o AS (SELECT k, CASE WHEN json_type(e->'$.BR') = 'VARCHAR' THEN CAST(e->>'$.BR' AS JSON) ELSE e->'$.BR' END AS b FROM p),
 r1 AS (SELECT k, x.value AS r FROM o, json_each(b, '$.Sports.1.Regions') x),
@@ -140,7 +137,7 @@ S13 = [_page(1), _page(2), {"items": None}, {"items": [{"id": 100001, "n": 5}]}]
 
 
 @query(
-    _sql(
+    rule_sql(
         S13,
         "r AS (SELECT k, CAST(x.key AS INT) AS n, x.value AS i FROM p, json_each(e, '$.items') x)",
         "SELECT i->>'$.id' AS game_id, arg_max(i->>'$.n', k * 1000 + n) AS n FROM r WHERE i->>'$.id' IS NOT NULL GROUP BY 1",
@@ -161,7 +158,7 @@ S16 = [
 
 
 @query(
-    _sql(
+    rule_sql(
         S16,
         """c AS (SELECT k, s.value AS s FROM p, json_each(e, '$.data.sport') s), r2 AS (SELECT k, x.value AS r FROM c, json_each(s, '$.region') x), q AS (SELECT k, x.value AS c FROM r2, json_each(r, '$.competition') x),
 g AS (SELECT k, c->>'$.name' AS league, x.value AS g FROM q, json_each(c, '$.game') x),
@@ -188,7 +185,7 @@ S17 = [
 
 
 @query(
-    _sql(
+    rule_sql(
         S17,
         """n AS (SELECT k, e AS n FROM p UNION ALL SELECT k, x.value FROM n, json_each(n) x WHERE json_type(n) IN ('OBJECT', 'ARRAY')),
 r AS (SELECT k, n->>'$.id' AS id FROM n WHERE json_type(n) = 'OBJECT' AND json_type(n->'$.id') IN ('VARCHAR', 'UBIGINT', 'BIGINT') AND json_type(n->'$.startDate') = 'VARCHAR'
@@ -213,7 +210,7 @@ U10 = [
 
 
 @query(
-    _sql(
+    rule_sql(
         U10,
         "r AS (SELECT k, e, CASE WHEN k % 2 = 0 THEN 0 ELSE coalesce(try_cast(e->>'$.failCount' AS INTEGER), 0) + 1 END AS fails FROM p)",
         """SELECT k AS event_id, CAST(fails AS VARCHAR) AS fail_count, 'number' AS fail_kind, e->>'$.n' AS n, CASE WHEN json_type(e->'$.n') LIKE '%BIGINT' THEN 'number' END AS n_kind, CASE WHEN json_type(e->'$.t') = 'VARCHAR' THEN 'text' END AS t_kind,
@@ -236,48 +233,6 @@ def u10_merged_raw(spark, d):
 # --- binary messages and slices, down to prices
 
 
-def _varint(n: int) -> bytes:
-    out = b""
-    while n > 127:
-        out, n = out + bytes([n & 127 | 128]), n >> 7
-    return out + bytes([n])
-
-
-def message(*fields: tuple) -> bytes:
-    """A wire message: whole numbers as varints, floats as doubles, texts and messages by length."""
-    out = b""
-    for k, v in fields:
-        if isinstance(v, int):
-            out += _varint(k << 3) + _varint(v)
-        elif isinstance(v, float):
-            out += _varint(k << 3 | 1) + struct.pack("<d", v)
-        else:
-            raw = v.encode() if isinstance(v, str) else v
-            out += _varint(k << 3 | 2) + _varint(len(raw)) + raw
-    return out
-
-
-def _message(key: int, home: str, away: str, size: int) -> bytes:
-    team = lambda n, *name: message((1, n), *name)
-    teams = message((1, team(1, (3, home))), (2, "x"), (3, team(2, (4, away))))
-    match = message((1, key), (9, 3), (10, 77), (13, "2026-08-05T19:00:00Z"), (16, teams))
-    early = ((5, "Pagamento Antecipado"),) if key % 2 == 0 else ()
-    odds = [message((1, f"{key}{k}"), (2, key), *early, (6, short), (10, k + size / 10), (14, "Vencedor"), (18, "Resultado")) for k, short in ((1, "1"), (2, "X"), (3, "2"))]
-    odds.append(message((1, f"{key}9"), (2, key), (6, "1"), (10, 9.5), (14, "Vencedor do 1o tempo"), (18, "Resultado")))
-    odds.append(message((1, f"{key}8"), (2, key), (6, "1"), (14, "Vencedor"), (18, "Resultado")))  # no price
-    group = message((1, match), *((2, o) for o in odds))
-    empty = message((1, match))  # no odds
-    return message((1, "envelope"), (7, message((2, message((4, group), (4, empty))))))
-
-
-def _binary(spark, d, encode):
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"path": f["p_partkey"].astype(str), "content": [encode(int(k), *n.split(" ", 1), int(s)) for k, n, s in zip(f["p_partkey"], f["p_name"], f["p_size"])]})
-
-    return table(spark, d, "part").select("p_partkey", "p_name", "p_size").mapInPandas(run, "path string, content binary")
-
-
 _ROWS = """SELECT CAST(p_partkey AS VARCHAR) AS event_id, s.selection, round(s.k + p_size / 10.0, 6) AS price, CASE WHEN p_partkey % 2 = 0 THEN 'COM_PA' ELSE 'SEM_PA' END AS pa_category,
     split_part(p_name, ' ', 1) AS home_team FROM part, (VALUES ('HOME', 1), ('DRAW', 2), ('AWAY', 3)) s(selection, k)"""
 
@@ -289,67 +244,12 @@ def _rows(rows):
 @query(_ROWS + " WHERE p_partkey <> 0")
 def s07_message_prices(spark, d):
     """Bytes of nested wire messages to events, odds and prices; an event of id 0 is none."""
-    events = wire.message_events(wire.protobuf_fields(_binary(spark, d, _message)))
+    events = wire.message_events(wire.protobuf_fields(binary(spark, d, message_of_part)))
     return _rows(feeds.prices(events, feeds.GROUPED_ODDS, "e"))
 
 
-def slice_bytes(tables: dict[str, dict[str, tuple[int, list]]]) -> bytes:
-    """A columnar slice: tables of columns of a type (1 bits, 4 whole numbers, 10 texts)."""
-    text = lambda s: struct.pack("<H", len(s.encode())) + s.encode()
-    out = bytearray(18 + 4 * len(tables))
-    out[0], out[17] = wire.SLICE
-    struct.pack_into("<H", out, 11, len(tables))
-    for n, (name, columns) in enumerate(tables.items()):
-        table_at = len(out)
-        struct.pack_into("<i", out, 18 + 4 * n, table_at)
-        head = bytearray(10 + 4 * len(columns))
-        head[0], head[9] = wire.TABLE
-        struct.pack_into("<H", head, 7, len(columns))
-        out += head + text(name)
-        for c, (column, (kind, values)) in enumerate(columns.items()):
-            at = len(out)
-            struct.pack_into("<i", out, table_at + 10 + 4 * c, at)
-            own = bytearray(21) + text(column)
-            own[0], own[20] = wire.COLUMN
-            own[15] = kind
-            struct.pack_into("<H", own, 5, len(own))
-            struct.pack_into("<i", own, 11, len(values))
-            if kind == 1:
-                items = bytearray((len(values) + 7) // 8)
-                for k, v in enumerate(values):
-                    items[k // 8] |= v << k % 8
-            elif kind == 4:
-                items = b"".join(struct.pack("<i", v) for v in values)
-            else:
-                base, items, strings = at + len(own) + 4 * len(values), b"", b""
-                for v in values:
-                    items += struct.pack("<i", base + len(strings))
-                    strings += text(v)
-                items += strings
-            out += own + items
-    return bytes(out)
-
-
-def _slice(key: int, home: str, away: str, size: int) -> bytes:
-    words = [home, away, "Resultado Final", "Empate", "Liga", "Total", "antecipado", "velha"]
-    results = [(1, 1, 1), (2, 4, 2), (3, 2, 3)]
-    tables = {
-        # The dictionary names key 3 twice; the last counts.
-        "DictionaryEntry": {"id": (4, [3, *range(1, len(words) + 1)]), "value": (10, ["falsa", *words])},
-        "OddMap": {"id": (4, [1, 2, 3, 9]), "dec": (4, [1000 + size * 100, 2000 + size * 100, 3000 + size * 100, 5])},
-        "Structure": {"node_id": (4, [50]), "dictionary_id": (4, [5])},
-        "Event": {"node_id": (4, [key, key + 900_000]), "start_date": (4, [1786042800] * 2), "is_active": (1, [1, 1]), "is_displayed": (1, [1, 0]), "participant_home_dictionary_id": (4, [1, 1]), "participant_away_dictionary_id": (4, [2, 2]), "parent_node_id": (4, [50, 50])},
-        "Market": {"node_id": (4, [70, 71, 72]), "parent_node_id": (4, [key, key, key]), "market_type_id": (4, [1, 1, 1]), "dictionary_id": (4, [3, 6, 3]), "is_active": (1, [1, 1, 0]), "is_displayed": (1, [1, 1, 1])},
-        "Result": {"parent_node_id": (4, [m for m in (70, 71, 72) for _ in results]), "node_id": (4, [m * 10 + r[0] for m in (70, 71, 72) for r in results]), "dictionary_id": (4, [r[1] for _ in range(3) for r in results]), "odd_map_id": (4, [r[2] for _ in range(3) for r in results])},
-        "AdditionalValueKey": {"key_id": (4, [4]), "key": (10, ["pagamento"])},
-        "AdditionalValue": {"node_id": (4, [70 if key % 2 == 0 else 71]), "key_id": (4, [4]), "dictionary_id": (4, [7])},
-    }
-    plain = slice_bytes(tables)
-    return wire.lzma.compress(plain, format=wire.lzma.FORMAT_ALONE) if key % 3 == 0 else plain
-
-
 @query(_ROWS)
 def s21_slice_prices(spark, d):
     """Bytes of columnar slices, some in LZMA, to tables, joins and prices."""
-    cells = wire.columnar_tables(_binary(spark, d, _slice)).withColumn("feed", F.col("source"))
+    cells = wire.columnar_tables(binary(spark, d, slice_of_part)).withColumn("feed", F.col("source"))
     return _rows(feeds.prices(wire.slice_events(cells), feeds.DECODED_RESULTS, "e"))
