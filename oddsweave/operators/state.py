@@ -1,13 +1,17 @@
 """Small state in a shared folder, changed by compare-and-set: a lease, a watermark.
 
-Each version is a file named by its number, and a file system creates a file
-only once, so of two writers of one version one wins.  What is kept here is one
-row a name; tables stay tables.
+Each version is a file named by its number.  A writer drafts it under a name of
+its own and then gives it the number in one step that fails if the number is
+taken: a rename on HDFS, a hard link on a local file system (whose ``create``
+looks first and writes later).  So of two writers of one version one wins, and a
+version is whole or not there.  An object store without such a step won't do.
+What is kept here is one row a name; tables stay tables.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -40,18 +44,29 @@ class Versions:
 
     def commit(self, version: int, value: dict) -> bool:
         """Writes ``value`` as the version after ``version``; false if somebody else has."""
-        path = self.jvm.org.apache.hadoop.fs.Path(self.path, str(version + 1))
-        try:
-            stream = self.fs.create(path, False)
-        except Exception as error:
-            if self.fs.exists(path):
-                return False
-            raise error
+        of = self.jvm.org.apache.hadoop.fs.Path
+        draft, target = of(self.path, f"draft-{uuid.uuid4().hex}"), of(self.path, str(version + 1))
+        stream = self.fs.create(draft, False)
         try:
             stream.write(bytearray((json.dumps(value) + "\n").encode()))
         finally:
             stream.close()
-        return True
+        try:
+            return self._numbered(draft, target)
+        finally:
+            self.fs.delete(draft, False)
+
+    def _numbered(self, draft, target) -> bool:
+        if self.fs.getUri().getScheme() != "file":
+            return bool(self.fs.rename(draft, target))
+        local = lambda path: self.jvm.java.io.File(path.toUri().getPath()).toPath()
+        try:
+            self.jvm.java.nio.file.Files.createLink(local(target), local(draft))
+            return True
+        except Exception:
+            if self.fs.exists(target):
+                return False
+            raise
 
 
 def acquire(versions: Versions, owner: str, now: datetime, minutes: int = 30) -> bool:

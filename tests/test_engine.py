@@ -245,9 +245,10 @@ def test_watchdog(spark):
 def test_lease_and_watermark_by_compare_and_set(spark, tmp_path):
     folder, now = f"file://{tmp_path}", datetime(2026, 8, 5, 12)
     with ThreadPoolExecutor(8) as pool:
-        won = list(pool.map(lambda k: state.acquire(state.Versions(spark, folder, "lease"), f"w{k}", now), range(8)))
-    assert sum(won) == 1
-    lease = state.Versions(spark, folder, "lease")
+        for n in range(20):  # once may go well by chance
+            won = list(pool.map(lambda k: state.acquire(state.Versions(spark, folder, f"lease{n}"), f"w{k}", now), range(8)))
+            assert sum(won) == 1
+    lease = state.Versions(spark, folder, "lease19")
     owner = f"w{won.index(True)}"
     assert not state.acquire(lease, "other", now + timedelta(minutes=30)) and not state.release(lease, "other")
     assert state.release(lease, owner) and state.acquire(lease, "other", now) and state.acquire(lease, "third", now + timedelta(hours=1))
