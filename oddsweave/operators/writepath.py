@@ -54,7 +54,9 @@ def _groups(prices: DataFrame, order: str | None = None, *more: Column) -> DataF
     complete = home & draw & away & ~F.col("odd")
     two_way = (F.col("pa_category") == "COM_PA") & home & away & ~draw & ~F.col("odd")
     out = got.select("*", complete.alias("complete"), two_way.alias("two_way"), probability.alias("probability"))
-    return out.withColumn("valid", (F.col("complete") & F.col("probability").between(LEAST_PROBABILITY, MOST_PROBABILITY)) | F.col("two_way"))
+    # 2, 5, 5 are 0.9 or a bit less as doubles, by the order of the sides: a sum that is a bound is within it whichever side is first.
+    bounded = F.round("probability", 12).between(LEAST_PROBABILITY, MOST_PROBABILITY)
+    return out.withColumn("valid", (F.col("complete") & bounded) | F.col("two_way"))
 
 
 def group_verdicts(prices: DataFrame) -> DataFrame:

@@ -386,3 +386,10 @@ def test_every_query_gives_the_rows_of_its_sql(spark):
             columns = [c[0] for c in other.description]
             assert sorted(columns) == sorted(got.columns), name
             assert mine == rows(columns, other.fetchall()), name
+
+
+@pytest.mark.parametrize("prices", [(2.0, 5.0, 5.0), (5.0, 2.0, 5.0), (5.0, 5.0, 2.0), (3.0, 6.0, 2.5), (2.5, 3.0, 6.0), (6.0, 2.5, 3.0)])
+def test_a_sum_on_the_bound_is_valid_in_any_order(spark, prices):
+    rows = [(1, 1, "1X2", "SEM_PA", s, p, k) for k, (s, p) in enumerate(zip(writepath.SIDES, prices))]
+    got = writepath.group_verdicts(spark.createDataFrame(rows, "fixture_id long, bookmaker long, market_code string, pa_category string, selection string, price double, source_odd_id long")).first()
+    assert got.complete and got.valid
