@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from oddsweave.functions import similarity
 from oddsweave.functions.text import matching_tokens, normalize_for_matching, normalize_name
+from oddsweave.sources.tables import spread as dealt_out
 
 FIXTURE = "struct<errors:string, response:array<struct<fixture:struct<id:bigint, date:string, status:struct<short:string>>, league:struct<id:bigint, name:string, country:string, season:int>, teams:struct<home:struct<id:bigint, name:string>, away:struct<id:bigint, name:string>>>>>"
 LEAGUE = "struct<errors:string, response:array<struct<league:struct<id:bigint, name:string>, country:struct<name:string>, seasons:array<struct<year:int, current:boolean>>>>>"
@@ -113,26 +114,33 @@ def weighted_tournaments(leagues: DataFrame, tournaments: DataFrame, countries:
     ``leagues``: league_id, league_name, country; ``tournaments``: tournament_id,
     tournament_name, season_name, path (an array of texts, the country among
     them); ``countries``: country and alias (a country without aliases is its
-    own).  Both are dimensions; every league is asked against all tournaments, in
-    blocks.  A league without a country scores half a country.
+    own).  Every league is asked against all names and paths of tournaments, once
+    each, in blocks.  A league without a country scores half a country.
     """
     alike = similarity.token_set_udf()
-    spread = F.pmod(F.xxhash64("tournament_id"), F.lit(blocks)).cast("int")
-    listed = tournaments.select("tournament_id", F.concat(F.array("tournament_name", "season_name"), F.array(F.array_join("path", " "))).alias("_names"), normalize_for_matching(F.array_join("path", " ")).alias("_path"), spread.alias("_block"))
+    keyed = tournaments.select("tournament_id", F.concat(F.array("tournament_name", "season_name"), F.array(F.array_join("path", " "))).alias("_names"), normalize_for_matching(F.array_join("path", " ")).alias("_path"))
+    keyed = dealt_out(keyed, "tournament_id").withColumn("_form", F.xxhash64("_names", "_path"))
+    # What tournaments share, names and path, is judged once; the tournaments come back behind the gates.
+    form = ["_form", "_names", "_path"]
+    written = F.filter("_names", lambda n: F.coalesce(n, F.lit("")) != "")
+    forms = keyed.select(*form).distinct().select(*form, written.alias("_written"), F.filter(F.transform(written, _compact), lambda n: n != "").alias("_short"), F.pmod("_form", F.lit(blocks)).cast("int").alias("_block"))
     aliases = countries.select(normalize_for_matching(F.col("country")).alias("_c"), normalize_for_matching(F.col("alias")).alias("_a")).distinct().groupBy("_c").agg(F.array_sort(F.collect_set("_a")).alias("_known"))
-    own = leagues.select("league_id", "league_name", normalize_for_matching(F.col("country")).alias("_c")).join(aliases, "_c", "left")
+    own = leagues.select("league_id", "league_name", _compact(F.col("league_name")).alias("_x"), normalize_for_matching(F.col("country")).alias("_c")).join(aliases, "_c", "left")
     own = own.withColumn("_known", F.when(F.col("_c") != "", F.coalesce("_known", F.array("_c")))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = own.join(listed, "_block").drop("_block", "_c")
-    x, names = _compact(F.col("league_name")), F.filter("_names", lambda n: F.coalesce(n, F.lit("")) != "")
-    within = F.exists(names, lambda n: (_compact(n) != "") & (x != "") & (F.contains(_compact(n), x) | F.contains(x, _compact(n))))
+    pairs = own.join(forms, "_block").drop("_block", "_c")
+    x = F.col("_x")
+    within = F.exists("_short", lambda n: (x != "") & (F.contains(n, x) | F.contains(x, n)))
     # Names and countries that letters settle aren't compared.
     known = F.exists(F.coalesce("_known", F.array().cast("array<string>")), lambda a: F.contains(F.col("_path"), a))
-    judged = pairs.select("league_id", "tournament_id", "league_name", "_path", "_known", names.alias("_names"), within.alias("_within"), known.alias("_there"))
+    judged = pairs.select("league_id", *form, "league_name", "_known", "_written", within.alias("_within"), known.alias("_there"))
     open_ = lambda when, c: F.explode_outer(F.when(when, F.col(c)))
-    named = judged.withColumn("_n", open_(~F.col("_within"), "_names")).withColumn("_s", F.when(F.col("_within"), 1.0).otherwise(F.coalesce(alike("league_name", "_n"), F.lit(0.0))))
-    name_score = named.groupBy("league_id", "tournament_id", "_path", "_known", "_there").agg(F.max("_s").alias("name_score")).filter(F.col("name_score") >= least_name)
+    named = judged.withColumn("_n", open_(~F.col("_within"), "_written")).withColumn("_s", F.when(F.col("_within"), 1.0).otherwise(F.coalesce(alike("league_name", "_n"), F.lit(0.0))))
+    name_score = named.groupBy("league_id", *form, "_known", "_there").agg(F.max("_s").alias("name_score")).filter(F.col("name_score") >= least_name)
     placed = name_score.withColumn("_a", open_(~F.col("_there"), "_known")).withColumn("_s", F.when(F.col("_known").isNull(), 0.5).when(F.col("_there"), 1.0).otherwise(F.coalesce(alike("_a", "_path"), F.lit(0.0))))
-    scored = placed.groupBy("league_id", "tournament_id", "name_score").agg(F.max("_s").alias("country_score")).filter(F.col("country_score") >= least_country)
+    passed = placed.groupBy("league_id", *form, "name_score").agg(F.max("_s").alias("country_score")).filter(F.col("country_score") >= least_country)
+    same = [F.col("p._form") == F.col("t._form"), F.col("p._names").eqNullSafe(F.col("t._names")), F.col("p._path").eqNullSafe(F.col("t._path"))]
+    named = passed.alias("p").join(keyed.alias("t"), same).groupBy("league_id", "tournament_id", "p._path").agg(F.max("name_score").alias("name_score"), F.max("country_score").alias("country_score"))
+    scored = named.groupBy("league_id", "tournament_id", "name_score").agg(F.max("country_score").alias("country_score"))
     score = F.col("name_score") * name_weight + F.col("country_score") * (1 - name_weight)
     by = Window.partitionBy("league_id").orderBy(F.col("score").desc(), "tournament_id")
     return scored.withColumn("score", score).withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
