@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsweave.plans.catalog import query
+from oddsweave.plans.payloads import parts
 from oddsweave.sources import feeds, pages
 from oddsweave.sources.tables import table
 
@@ -23,7 +24,7 @@ def _three(make) -> Column:
 
 
 def _read(spark, d, adapter: feeds.Adapter, payload: Column) -> DataFrame:
-    rows = table(spark, d, "part").select(F.to_json(payload).alias("value"))
+    rows = parts(spark, d).select(F.to_json(payload).alias("value"))
     return feeds.prices(rows, adapter).select("event_id", "selection", F.round("price", 6).alias("price"), "pa_category")
 
 
@@ -103,7 +104,7 @@ def s23_node_payload(spark, d):
     # Prices as fractions: a/10 is a/10 + 1.
     offer = lambda k, n: F.concat(F.lit(f"PA;NA={n};OD="), ((k - 1) * 10 + F.col("p_size")).cast("string"), F.lit("/10;"))
     body = F.concat_ws("|", F.lit("EV;NA=a v b;"), F.concat(F.lit("MG;NA="), _when("Resultado Final - Pagamento Antecipado", "Resultado Final"), F.lit(";")), offer(1, "one"), offer(2, "Draw"), offer(3, "two"))
-    got = pages.node_prices(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), body.alias("value")))
+    got = pages.node_prices(parts(spark, d).select(F.col("p_partkey").alias("page_id"), body.alias("value")))
     return got.select("page_id", "selection", F.round("price", 6).alias("price"), "pa_category")
 
 
@@ -112,5 +113,5 @@ def s26_result_block(spark, d):
     """Labels and prices on alternating lines."""
     shown = lambda k: F.format_string("%.2f", _price(k))
     body = F.concat_ws("\n", _when("Resultado Final - Pagamento Antecipado", "Resultado Final"), F.lit("1"), shown(1), F.lit("X"), shown(2), F.lit("2"), shown(3), F.lit("Total de gols"), F.lit("1"), F.lit("9.99"))
-    got = pages.result_blocks(table(spark, d, "part").filter("p_size > 0").select(F.col("p_partkey").alias("page_id"), body.alias("text")))
+    got = pages.result_blocks(parts(spark, d).filter("p_size > 0").select(F.col("p_partkey").alias("page_id"), body.alias("text")))
     return got.select("page_id", *(F.round(c, 6).alias(c) for c in ("home", "draw", "away")), "pa_category")

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from oddsweave.operators import snapshots
 from oddsweave.plans.catalog import query
-from oddsweave.plans.payloads import binary, message_of_part, payloads, rule_sql, slice_of_part
+from oddsweave.plans.payloads import binary, message_of_part, parts, payloads, rule_sql, slice_of_part
 from oddsweave.sources import feeds, wire
-from oddsweave.sources.tables import table
 
 # --- trees of any depth
 
@@ -27,10 +26,8 @@ def s11_group_tree(spark, d):
     step = lambda acc, i: F.concat(F.lit('{"id": '), i, F.lit(', "groups": ['), acc, F.lit(', {"id": 100'), i, F.lit("}]}"))
     levels = F.when(F.col("p_partkey") % 14 > 0, F.sequence(F.lit(1), (F.col("p_partkey") % 14).cast("int"))).otherwise(F.array().cast("array<int>"))
     body = F.concat(F.lit('{"data": ['), F.aggregate(F.transform(levels, lambda i: i.cast("string")), F.lit('{"id": 0}'), step), F.lit("]}"))
-    nodes = wire.tree_nodes(table(spark, d, "part").select(F.col("p_partkey").alias("path"), body.alias("value")), "groups", ("data",))
-    ids = nodes.select("source", "path", "parent", "depth", F.get_json_object("node", "$.id").alias("id"))
-    parents = ids.select("source", F.col("path").alias("parent"), F.col("id").alias("parent_id"))
-    return ids.join(parents, ["source", "parent"], "left").select("source", "depth", F.col("parent_id").alias("parent"), "id")
+    nodes = wire.tree_nodes(parts(spark, d).select(F.col("p_partkey").alias("path"), body.alias("value")), "groups", ("data",))
+    return nodes.select("source", "depth", F.get_json_object("parent_node", "$.id").alias("parent"), F.get_json_object("node", "$.id").alias("id"))
 
 
 S22 = [

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsweave.functions.rules import polynomial_id
+from oddsweave.sources.tables import spread
 
 DEPTH, CHILD_BYTES = 8, 250_000
 FIELDS = "source string, path string, field int, wire int, number double, text string"
@@ -221,7 +222,7 @@ def tree_leaves(rows: DataFrame, node: str, children: str) -> DataFrame:
         current, kind = current.select(F.explode(f"n.{children}").alias("n")), nested.dataType.elementType
 
 
-TREE = "source string, path string, parent string, depth int, node string"
+TREE = "source string, path string, parent string, depth int, node string, parent_node string"
 
 
 def _roots(value, keys: tuple[str, ...], path: str = ""):
@@ -236,19 +237,20 @@ def _roots(value, keys: tuple[str, ...], path: str = ""):
 
 
 def _nodes(value, roots: tuple[str, ...], children: str):
-    waiting = [(path, None, 1, node) for path, node in _roots(value, roots)]
+    waiting = [(path, None, 1, node, None) for path, node in _roots(value, roots)]
     while waiting:
-        path, parent, depth, node = waiting.pop()
+        path, parent, depth, node, above = waiting.pop()
         if not isinstance(node, dict):
             continue
         below = node.get(children)
-        yield path, parent, depth, json.dumps({k: v for k, v in node.items() if k != children}, ensure_ascii=False)
+        own = json.dumps({k: v for k, v in node.items() if k != children}, ensure_ascii=False)
+        yield path, parent, depth, own, above
         for n, child in enumerate(below if isinstance(below, list) else ()):
-            waiting.append((f"{path}/{children}/{n}", path, depth + 1, child))
+            waiting.append((f"{path}/{children}/{n}", path, depth + 1, child, own))
 
 
 def tree_nodes(df: DataFrame, children: str, roots: tuple[str, ...] = (), key: str = "path", column: str = "value") -> DataFrame:
-    """Every node of the trees in JSON payloads, however deep, with its path, its parent's path (null at a root), its depth and its JSON without children.
+    """Every node of the trees in JSON payloads, however deep, with its path, its parent's path (null at a root), its depth, its JSON and its parent's without children.
 
     ``roots``: keys that lead to the roots, through arrays.  A payload that is
     no JSON, or deeper than a JSON parser goes (some thousand levels), has none.
@@ -282,6 +284,11 @@ def _parent(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
+def _step(path: Column, part: int) -> Column:
+    """Of a path's last step its place (1) or its field (2)."""
+    return F.split_part(F.element_at(F.split(path, "/"), -1), F.lit(":"), F.lit(part)).try_cast("int")
+
+
 def message_events(fields: DataFrame) -> DataFrame:
     """Events with their odds, rebuilt from the flat fields of ``protobuf_fields``: one row each, ``e`` as ``feeds.GROUPED_ODDS`` reads it.
 
@@ -289,8 +296,8 @@ def message_events(fields: DataFrame) -> DataFrame:
     counts.  An event is a message whose first field 1 is a match (with id, time
     and two named teams) and whose fields 2 are odds; without odds it is none.
     """
-    place = F.split_part(F.element_at(F.split("path", "/"), -1), F.lit(":"), F.lit(1)).cast("int")
-    own = fields.filter(F.col("field").isin(1, 2, 3, 4, 5, 6, 7, 10, 13, 14, 16, 18)).select("source", "path", _parent(F.col("path")).alias("parent"), "field", "number", F.when(F.col("wire") == 2, F.col("text")).alias("text"), place.alias("place"))
+    own = fields.filter(F.col("field").isin(1, 2, 3, 4, 5, 6, 7, 10, 13, 14, 16, 18)).select("source", "path", _parent(F.col("path")).alias("parent"), "field", "number", F.when(F.col("wire") == 2, F.col("text")).alias("text"), _step(F.col("path"), 1).alias("place"))
+    own = spread(own, "source")  # all that follows is grouped by it, so nothing moves again
 
     def first(k: int, what: str) -> Column:
         return F.min_by(F.struct(what), F.when(F.col("field") == k, F.col("place")))[what]
@@ -302,17 +309,24 @@ def message_events(fields: DataFrame) -> DataFrame:
         first(13, "text").alias("t13"), first(14, "text").alias("t14"), first(18, "text").alias("t18"),
         first(1, "path").alias("p1"), first(3, "path").alias("p3"), first(16, "path").alias("p16"),
     )
-    name = messages.select("source", F.col("parent").alias("_team"), F.coalesce("t3", "t4").alias("_name")).filter("_name <> ''")
-    teams = messages.select("source", F.col("parent").alias("_teams"), F.col("p1").alias("_home"), F.col("p3").alias("_away"))
-    matches = messages.filter("n1 IS NOT NULL AND n1 <> 0 AND t13 <> '' AND p16 IS NOT NULL").select("source", F.col("parent").alias("_match"), F.col("n1").cast("bigint").alias("id"), F.col("t13").alias("startsAt"), F.col("p16").alias("_teams"))
-    for side, column in (("_home", "homeTeam"), ("_away", "awayTeam")):
-        teams = teams.join(name.select("source", F.col("_team").alias(side), F.col("_name").alias(column)), ["source", side])
-    matches = matches.join(teams.select("source", "_teams", "homeTeam", "awayTeam"), ["source", "_teams"])
-    groups = messages.select("source", F.col("parent").alias("_group"), F.col("p1").alias("_match"))
-    odds = messages.filter("t1 <> '' AND n2 IS NOT NULL AND n10 IS NOT NULL").join(own.filter("field = 2").select("source", F.col("path").alias("parent"), F.col("parent").alias("_group"), "place"), ["source", "parent"])
-    odd = F.struct(F.col("place").alias("place"), F.col("t1").alias("id"), F.col("t5").alias("name"), F.col("t6").alias("shortName"), F.col("n7").cast("int").alias("side"), F.col("n10").alias("price"), F.col("t14").alias("marketName"), F.col("t18").alias("groupName"))
-    collected = odds.groupBy("source", "_group").agg(F.array_sort(F.collect_list(odd)).alias("odds"))  # as many as one message holds
-    events = matches.join(groups, ["source", "_match"]).join(collected, ["source", "_group"])
+    odd = F.struct(_step(F.col("parent"), 1).alias("place"), F.col("t1").alias("id"), F.col("t5").alias("name"), F.col("t6").alias("shortName"), F.col("n7").cast("int").alias("side"), F.col("n10").alias("price"), F.col("t14").alias("marketName"), F.col("t18").alias("groupName"))
+    is_odd = F.expr("t1 <> '' AND n2 IS NOT NULL AND n10 IS NOT NULL") & (_step(F.col("parent"), 2) == 2)
+    match = F.struct(F.col("n1").cast("bigint").alias("id"), F.col("t13").alias("startsAt"), F.col("p16").alias("teams"))
+    gathered = lambda when, value: F.collect_list(F.when(when, F.struct(F.col("parent").alias("at"), value.alias("value"))))
+    # As many as one payload holds.
+    whole = messages.groupBy("source").agg(
+        F.map_from_entries(gathered(F.coalesce("t3", "t4") != "", F.coalesce("t3", "t4"))).alias("names"),
+        F.map_from_entries(gathered(F.expr("p1 IS NOT NULL AND p3 IS NOT NULL"), F.struct("p1", "p3"))).alias("teams"),
+        F.map_from_entries(gathered(F.expr("n1 IS NOT NULL AND n1 <> 0 AND t13 <> '' AND p16 IS NOT NULL"), match)).alias("matches"),
+        gathered(F.col("p1").isNotNull(), F.col("p1")).alias("groups"),
+        F.collect_list(F.when(is_odd, F.struct(_parent(F.col("parent")).alias("at"), odd.alias("value")))).alias("odds"),
+    )
+    found = F.filter("groups", lambda g: F.map_contains_key("matches", g["value"]))
+    events = whole.select("source", "names", "teams", "matches", "odds", F.explode(found).alias("_group"))
+    events = events.withColumn("_match", F.col("matches")[F.col("_group.value")]).withColumn("_teams", F.col("teams")[F.col("_match.teams")])
+    mine = F.transform(F.filter("odds", lambda o: o["at"] == F.col("_group.at")), lambda o: o["value"])
+    events = events.select("source", F.col("_match.id").alias("id"), F.col("_match.startsAt").alias("startsAt"), F.col("names")[F.col("_teams.p1")].alias("homeTeam"), F.col("names")[F.col("_teams.p3")].alias("awayTeam"), F.array_sort(mine).alias("odds"))
+    events = events.filter((F.size("odds") > 0) & F.col("homeTeam").isNotNull() & F.col("awayTeam").isNotNull())
     return events.select("source", F.struct("id", "startsAt", "homeTeam", "awayTeam", F.lit(None).cast("string").alias("tournamentName"), "odds").alias("e"))
 
 
@@ -326,7 +340,8 @@ def slice_events(cells: DataFrame, feed: str = "feed") -> DataFrame:
 
     ``cells`` (of ``columnar_tables``) with a column ``feed``: slices of one feed
     share their dictionary, odd map, keys and structure; of rows of one id the
-    last, by slice and row, counts.  Prices are thousandths by the odd map.
+    last, by slice and row, counts.  Prices are thousandths by the odd map.  Sides of joins all grow with
+    the slices, and a plan's size says little of what is decoded: none is broadcast.
     """
 
     def rows(name: str, *columns: str) -> DataFrame:
@@ -338,35 +353,40 @@ def slice_events(cells: DataFrame, feed: str = "feed") -> DataFrame:
         return last
 
     def named(df: DataFrame, key: str, value: str) -> DataFrame:
-        return df.join(lookup("DictionaryEntry", "id", "value", key, value), [feed, key], "left")
+        return df.join(lookup("DictionaryEntry", "id", "value", key, value).hint("merge"), [feed, key], "left")
 
     shown = lambda df: df.filter("is_active IN ('true', '1') AND is_displayed IN ('true', '1')")
     price = F.col("_dec").cast("double") / 1000
     results = rows("Result", "parent_node_id", "node_id", "dictionary_id", "odd_map_id").dropna(subset=["parent_node_id", "node_id", "dictionary_id", "odd_map_id"])
-    results = named(results, "dictionary_id", "_name").join(lookup("OddMap", "id", "dec", "odd_map_id", "_dec"), [feed, "odd_map_id"], "left")
+    results = named(results, "dictionary_id", "_name").join(lookup("OddMap", "id", "dec", "odd_map_id", "_dec").hint("merge"), [feed, "odd_map_id"], "left")
     result = F.struct("source", "row", F.col("node_id").cast("bigint").alias("id"), F.coalesce("_name", F.lit("")).alias("name"), price.alias("price"))
     bare = lambda c: F.transform(F.array_sort(c), lambda x: x.dropFields("source", "row"))
     by_market = results.groupBy(feed, F.col("parent_node_id").alias("node_id")).agg(bare(F.collect_list(result)).alias("results"))  # a market's results
     values = rows("AdditionalValue", "node_id", "key_id", "dictionary_id").dropna(subset=["node_id", "key_id", "dictionary_id"])
-    values = named(values, "dictionary_id", "_value").join(lookup("AdditionalValueKey", "key_id", "key", "key_id", "_key"), [feed, "key_id"], "left")
+    values = named(values, "dictionary_id", "_value").join(lookup("AdditionalValueKey", "key_id", "key", "key_id", "_key").hint("merge"), [feed, "key_id"], "left")
     value = F.struct("source", "row", F.coalesce("_key", "key_id").alias("key"), F.coalesce("_value", F.lit("")).alias("value"))
     by_node = values.groupBy(feed, "node_id").agg(bare(F.collect_list(value)).alias("additional"))
     markets = shown(rows("Market", "node_id", "parent_node_id", "market_type_id", "dictionary_id", "is_active", "is_displayed")).dropna(subset=["node_id", "market_type_id", "dictionary_id"])
-    markets = named(markets, "dictionary_id", "_name").join(by_market, [feed, "node_id"], "left").join(by_node, [feed, "node_id"], "left")
+    markets = named(markets, "dictionary_id", "_name").join(by_market.hint("merge"), [feed, "node_id"], "left").join(by_node.hint("merge"), [feed, "node_id"], "left")
     market = F.struct("source", "row", F.col("node_id").cast("bigint").alias("id"), F.coalesce("_name", F.lit("")).alias("name"), "additional", F.coalesce("results", F.array().cast("array<struct<id:bigint,name:string,price:double>>")).alias("results"))
     by_event = markets.groupBy(feed, F.col("parent_node_id").alias("node_id")).agg(bare(F.collect_list(market)).alias("markets"))
     events = shown(rows("Event", "node_id", "start_date", "is_active", "is_displayed", "participant_home_dictionary_id", "participant_away_dictionary_id", "parent_node_id")).dropna(subset=["node_id", "start_date"])
     events = named(named(events, "participant_home_dictionary_id", "homeTeam"), "participant_away_dictionary_id", "awayTeam").filter("homeTeam <> '' AND awayTeam <> ''")
     parents = named(lookup("Structure", "node_id", "dictionary_id", "parent_node_id", "dictionary_id"), "dictionary_id", "leagueName")
-    events = events.join(parents.drop("dictionary_id"), [feed, "parent_node_id"], "left").join(by_event, [feed, "node_id"])
+    events = events.join(parents.drop("dictionary_id").hint("merge"), [feed, "parent_node_id"], "left").join(by_event.hint("merge"), [feed, "node_id"])
     starts = F.date_format(F.timestamp_seconds(F.col("start_date").cast("bigint")), "yyyy-MM-dd'T'HH:mm:ssXXX")
     return events.select(feed, F.struct(F.col("node_id").cast("bigint").alias("id"), F.lit(None).cast("string").alias("name"), starts.alias("startsAt"), "leagueName", "homeTeam", "awayTeam", "markets").alias("e"))
 
 
+def _once(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often it stands there."""
+    return F.transform(F.array(value), then)[0]
+
+
 def opened(value: Column, depth: int = 3) -> Column:
     """A variant out of the JSON texts that it stands in, up to ``depth`` deep."""
     for _ in range(depth):
-        value = F.when(F.schema_of_variant(value) == "STRING", F.try_parse_json(F.try_variant_get(value, "$", "string"))).otherwise(value)
+        value = _once(value, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v))
     return value
 
 
@@ -383,7 +403,7 @@ def path_items(df: DataFrame, levels: list[tuple[str, dict[str, str]]], key: str
     carried: list[str] = []
     for name, fields in levels:
         below = opened(F.try_variant_get("_v", name, "variant"))
-        items = F.coalesce(F.try_variant_get(below, "$", "array<variant>"), F.map_values(F.try_variant_get(below, "$", "map<string,variant>")))
+        items = _once(below, lambda b: F.coalesce(F.try_variant_get(b, "$", "array<variant>"), F.map_values(F.try_variant_get(b, "$", "map<string,variant>"))))
         step = current.select("source", *carried, "order", F.posexplode(items).alias("_n", "_v"))
         new = [F.try_variant_get("_v", path, "string").alias(c) for c, path in fields.items()]
         current = step.select("source", *carried, F.concat("order", F.array("_n")).alias("order"), opened(F.col("_v")).alias("_v"), *new)

@@ -7,6 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from oddsweave.plans import payloads
 from oddsweave.sources import feeds, pages, wire
 
 WHEN = "2026-08-05T19:00:00Z"
@@ -164,3 +165,17 @@ def test_trees(spark):
     assert [(r.season_name, r.league_name) for r in got if r.season_id == 3] == [("p s3", "L")] and len(got) == 3
     asked = spark.range(1).select(wire.request_path(F.struct(F.struct(F.array(F.lit(5), F.lit(6)).alias("seasonIds")).alias("requestBody"))).alias("v")).first().v
     assert json.loads(base64.b64decode(asked)) == {"requestBody": {"seasonIds": [5, 6]}}
+
+
+def test_nodes_carry_their_parent(spark):
+    rows = spark.createDataFrame([("a", json.dumps({"data": [{"id": 1, "groups": [{"id": "x", "groups": [{"id": 3}]}]}]}))], "path string, value string")
+    got = wire.tree_nodes(rows, "groups", ("data",)).collect()
+    assert {r.node: r.parent_node for r in got} == {'{"id": 1}': None, '{"id": "x"}': '{"id": 1}', '{"id": 3}': '{"id": "x"}'}
+
+
+def test_small_files_are_dealt_out_and_what_is_decoded_is_not_broadcast(spark):
+    folder = "/root/testdata/sf0.001"
+    assert payloads.payloads(spark, folder, [{"id": "#K"}]).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    cells = wire.columnar_tables(payloads.binary(spark, folder, payloads.slice_of_part)).withColumn("feed", F.col("source"))
+    for df in (wire.message_events(wire.protobuf_fields(payloads.binary(spark, folder, payloads.message_of_part))), wire.slice_events(cells)):
+        assert "Broadcast" not in df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
