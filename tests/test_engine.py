@@ -393,3 +393,11 @@ def test_a_sum_on_the_bound_is_valid_in_any_order(spark, prices):
     rows = [(1, 1, "1X2", "SEM_PA", s, p, k) for k, (s, p) in enumerate(zip(writepath.SIDES, prices))]
     got = writepath.group_verdicts(spark.createDataFrame(rows, "fixture_id long, bookmaker long, market_code string, pa_category string, selection string, price double, source_odd_id long")).first()
     assert got.complete and got.valid
+
+
+def test_alias_tables_and_their_joins_are_not_broadcast(spark):
+    groups = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "d")], "group_id long, alias string")
+    known = matching.alias_table(groups)
+    named = matching.with_aliases(spark.createDataFrame([("C",), ("x",)], "name string"), known, ("name",))
+    assert {r.name: r.name_aliases for r in named.collect()} == {"C": ["a", "b", "c"], "x": None}
+    assert "Broadcast" not in named._jdf.queryExecution().sparkPlan().toString()
