@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsweave.functions.rules import polynomial_id
+from oddsweave.operators.components import checkpointed
 from oddsweave.sources.tables import spread
 
 DEPTH, CHILD_BYTES = 8, 250_000
@@ -335,6 +336,9 @@ def unpacked(data: bytes) -> bytes:
     return data if data[:1] == bytes(SLICE[:1]) else lzma.decompress(data)
 
 
+SLICE_COLUMNS = ("id", "value", "dec", "key_id", "key", "node_id", "parent_node_id", "dictionary_id", "odd_map_id", "market_type_id", "is_active", "is_displayed", "start_date", "participant_home_dictionary_id", "participant_away_dictionary_id")
+
+
 def slice_events(cells: DataFrame, feed: str = "feed") -> DataFrame:
     """Events with markets and results, joined from the tables of decoded slices: one row each, ``e`` as ``feeds.DECODED_RESULTS`` reads it.
 
@@ -344,9 +348,12 @@ def slice_events(cells: DataFrame, feed: str = "feed") -> DataFrame:
     the slices, and a plan's size says little of what is decoded: none is broadcast.
     """
 
+    # Decoded once: what follows reads the rows of one table or another a dozen times.
+    tables = cells.filter(F.col("name").isin(*SLICE_COLUMNS)).groupBy(feed, "source", "row", "table")
+    tables = checkpointed(tables.agg(*(F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in SLICE_COLUMNS)))
+
     def rows(name: str, *columns: str) -> DataFrame:
-        own = cells.filter(F.col("table") == name).groupBy(feed, "source", "row")
-        return own.agg(*(F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in columns))
+        return tables.filter(F.col("table") == name).select(feed, "source", "row", *columns)
 
     def lookup(name: str, key: str, value: str, as_key: str, as_value: str) -> DataFrame:
         last = rows(name, key, value).filter(F.col(key).isNotNull()).groupBy(feed, F.col(key).alias(as_key)).agg(F.max_by(F.struct(value), F.struct("source", "row"))[value].alias(as_value))
