@@ -13,9 +13,10 @@ Components come from alternating large and small stars over written tables.
 
 Texts that share 0.8 of their shingles lie up to a fifth of the bits apart.  At
 that radius every cell of the grid neighbours every other, so ``similar_groups``
-takes its cells from min-wise samples of the shingles instead.  Fingerprints of
-256 bits only sort out pairs that can't be that alike; a link is a pair whose
-sets of shingle hashes share that much.
+takes the cells of such pairs from min-wise samples of the shingles.  Fingerprints
+of 256 bits only sort out pairs that can't be that alike; a link is a pair whose
+sets of shingle hashes share that much.  With a ``distance``, what the grid links
+is linked too, and components are those of both.
 """
 
 from __future__ import annotations
@@ -286,14 +287,15 @@ def sketch_slab(data: np.ndarray, at: np.ndarray, rule: Similar) -> tuple[np.nda
 _SKETCH = [f"s{k}" for k in range(4)]
 
 
-def _sketches(rule: Similar):
+def _sketches(rule: Similar, grid: bool):
     def run(batches):
         for batch in batches:
             for lo, hi, data, at in slabs(batch):
                 name, sketch, cells = sketch_slab(data, at, rule)
+                prints = [pa.array(fingerprint_slab(data, at).view(np.int64))] if grid else []
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * rule.bands), pa.array(cells.view(np.int64).ravel()))
                 words = [pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(4)]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(name.view(np.int64)), *words, lists], names=["row_id", "fp", *_SKETCH, "cells"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(name.view(np.int64)), *words, lists, *prints], names=["row_id", "fp", *_SKETCH, "cells", *["print"] * grid])
 
     return run
 
@@ -504,19 +506,34 @@ def groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, se
     return _grouped(prints, distinct, near_links(distinct, distance))
 
 
-def similar_groups(docs: DataFrame, rule: Similar = Similar(), cell_rows: int = CELL_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _grid_links(prints: DataFrame, distance: int, cell_rows: int) -> DataFrame:
+    """Links (a, b) of sets of shingles (``fp``) whose texts' 64-bit fingerprints (``print``) are equal or, by the grid, differ in at most ``distance`` bits."""
+    both = stored(prints.select("print", "fp").distinct(), "prints")
+    heads = stored(both.groupBy("print").agg(F.min("fp").alias("head")), "heads")
+    equal = both.join(heads, "print").filter("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    near = near_links(heads.select(F.col("print").alias("fp")), distance, cell_rows)
+    ends = [heads.select(F.col("print").alias(c), F.col("head").alias(f"head_{c}")) for c in ("a", "b")]
+    return near.join(ends[0], "a").join(ends[1], "b").filter("head_a <> head_b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b")).unionByName(equal)
+
+
+def similar_groups(docs: DataFrame, rule: Similar = Similar(), cell_rows: int = CELL_ROWS, key: str = "doc_id", text: str = "text", distance: int | None = None) -> DataFrame:
     """One row per input row: row_id, fp (names the set of shingles) and component_id, the smallest key that similar texts reach.
 
     Words are lower-cased (A-Z).  Texts of fewer words than a shingle are one
     shingle; null texts and texts without words are alike; repeated rows give
-    repeated rows; null keys as in ``groups``; other columns are not read.
+    repeated rows; null keys as in ``groups``; other columns are not read.  With
+    ``distance``, texts that ``groups`` links at this distance are linked as well.
     """
+    grid = distance is not None
     rows = docs.select(row_key(docs, key).alias("row_id"), F.col(text).alias("text"))
-    schema = f"row_id long, fp long, {', '.join(f'{c} long' for c in _SKETCH)}, cells array<long>"
-    prints = stored(rows.mapInArrow(_sketches(rule), schema), "sketches")
+    schema = f"row_id long, fp long, {', '.join(f'{c} long' for c in _SKETCH)}, cells array<long>{', print long' * grid}"
+    prints = stored(rows.mapInArrow(_sketches(rule, grid), schema), "sketches")
     same = [F.first(c).alias(c) for c in (*_SKETCH, "cells")]  # equal sets have equal sketches
     distinct = stored(prints.groupBy("fp").agg(F.min("row_id").alias("least"), *same), "distinct")
-    return _grouped(prints.select("row_id", "fp"), distinct.select("fp", "least"), similar_links(rows, distinct, rule, cell_rows))
+    edges = similar_links(rows, distinct, rule, cell_rows)
+    if grid:
+        edges = edges.unionByName(_grid_links(prints, distance, cell_rows))
+    return _grouped(prints.select("row_id", "fp"), distinct.select("fp", "least"), edges)
 
 
 def _grouped(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
@@ -537,6 +554,6 @@ def keep(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id", text: s
     return _firsts(docs, groups(docs, distance, key=key, text=text), key)
 
 
-def keep_similar(docs: DataFrame, rule: Similar = Similar(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_similar(docs: DataFrame, rule: Similar = Similar(), key: str = "doc_id", text: str = "text", distance: int | None = None) -> DataFrame:
     """``keep`` for the groups of ``similar_groups``."""
-    return _firsts(docs, similar_groups(docs, rule, key=key, text=text), key)
+    return _firsts(docs, similar_groups(docs, rule, key=key, text=text, distance=distance), key)

@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage, on the smallest table."""
 
+import random
+
 import corpus_pipeline
 from oddsweave.llm import bin_completion, compression_bands, simhash_popcount, string_tiling
 from oddsweave.llm._shared import table
@@ -55,3 +57,32 @@ def test_stages_on_odd_rows(spark, tmp_path):
     # Of equal and near texts one row stays, whichever keys tie; a null and an empty text are copies.
     near = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, folder).collect()
     assert sum(r.text is not None and len(r.text) > 100 for r in near) == 1 and len(near) == 3
+
+
+def test_near_dedup_links_what_the_grid_links(spark):
+    """Texts whose frequent shingles agree have near fingerprints and unlike sets; edited copies the other way round: both are copies, also in chains."""
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    made = []
+    for repeats in (3, 5, 40):
+        often = [word() for _ in range(31)] * repeats
+        made += [" ".join(often + [word() for _ in range(24)]) for _ in range(8)]
+    for base in [made[2].split(), [word() for _ in range(120)]]:
+        edited = base.copy()
+        edited[40] = word()
+        made += [" ".join(base + ["end"]), " ".join(edited)]
+    made += [" ".join(word() for _ in range(60)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    by_grid = simhash_popcount.groups(docs).collect()
+    by_sets = simhash_popcount.similar_groups(docs).collect()
+    label = list(range(len(made)))
+    for r in by_grid + by_sets:
+        low, high = sorted((label[r.row_id], label[r.component_id]))
+        label = [low if x == high else x for x in label]
+    grid, sets = (dict((r.row_id, r.component_id) for r in rows) for rows in (by_grid, by_sets))
+    print_of = {r.row_id: r.fp for r in by_grid}
+    # Equal fingerprints and near ones, beyond what sets link, and sets beyond what fingerprints link.
+    apart = {print_of[i] == print_of[c] for i, c in grid.items() if i != c and sets[i] != sets[c]}
+    assert apart == {True, False} and any(c != i and grid[i] != grid[c] for i, c in sets.items())
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(label))
