@@ -36,37 +36,52 @@ def latest_links(links: DataFrame) -> DataFrame:
     return newest.select("fixture_id", "bookmaker", clean_source_url(F.col("bookmaker").cast("string"), F.col("source_url")).alias("source_url"))
 
 
-def _collected(rows: DataFrame, bookmakers: DataFrame, links: DataFrame, *more: Column) -> DataFrame:
-    """Per fixture all prices of known bookmakers as one JSON array in a fixed order, and what ``more`` gathers from all its rows."""
+#: Columns of a price in the order that rows of one bookmaker are sorted by.
+_PRICE = ("market_code", "pa_category", "selection", "source_odd_id", "market_name", "price", "confidence_score", "updated_at", "last_seen_at")
+
+
+def _collected(rows: DataFrame, bookmakers: DataFrame, links: DataFrame, market: str) -> DataFrame:
+    """Per fixture all prices of known bookmakers as one JSON array in a fixed order, and ``_priced``: whether any price at all is of ``market``.
+
+    Prices and links are shuffled once, by fixture; names and addresses come to
+    a bookmaker's prices of a fixture, not to each of them.
+    """
     known = bookmakers.withColumn("_known", F.lit(True))
-    rows = rows.join(known, "bookmaker", "left").join(latest_links(links), ["fixture_id", "bookmaker"], "left")
-    item = F.struct(
-        F.col("bookmaker").alias("bookmaker_slug"),
-        F.col("name").alias("bookmaker_name"),
-        F.coalesce("source_url", "home_url").alias("bookmaker_event_url"),
-        "market_code",
-        "market_name",
-        "selection",
-        "price",
-        "pa_category",
-        "confidence_score",
-        F.col("updated_at").alias("odd_updated_at"),
-        F.col("last_seen_at").alias("odd_last_seen_at"),
+    own = rows.select("fixture_id", "bookmaker", *_PRICE).repartition("fixture_id").groupBy("fixture_id", "bookmaker")
+    lists = own.agg(
+        F.max("updated_at").alias("_updated"),
+        F.max("last_seen_at").alias("_seen"),
+        F.bool_or(F.col("market_code") == market).alias("_priced"),
+        F.collect_list(F.struct(*_PRICE)).alias("_prices"),
     )
-    keyed = F.struct("bookmaker", "market_code", "pa_category", "selection", "source_odd_id", item.alias("item"))
+    named = lists.join(known, "bookmaker", "left")
+    group = F.struct("bookmaker", "name", "home_url", "_prices")
+    # Joined by fixture alone, as both sides are partitioned by it.
+    link = F.struct("bookmaker", "source_url")
+    addresses = latest_links(links.filter("bookmaker IS NOT NULL").repartition("fixture_id")).groupBy("fixture_id").agg(F.map_from_entries(F.collect_list(link)).alias("_addresses"))
     of_known = lambda c: F.when(F.col("_known"), c)
-    return (
-        rows.groupBy("fixture_id")
-        .agg(
-            F.max(of_known(F.col("updated_at"))).alias("latest_odd_updated_at"),
-            F.max(of_known(F.col("last_seen_at"))).alias("latest_odd_seen_at"),
-            F.to_json(F.transform(F.array_sort(F.collect_list(of_known(keyed))), lambda r: r["item"]), {"ignoreNullFields": "false"}).alias("prices"),
-            F.bool_or(F.coalesce("_known", F.lit(False))).alias("_any"),
-            *more,
+
+    def keyed(g: Column, p: Column) -> Column:
+        item = F.struct(
+            g["bookmaker"].alias("bookmaker_slug"),
+            g["name"].alias("bookmaker_name"),
+            F.coalesce(F.try_element_at("_addresses", g["bookmaker"]), g["home_url"]).alias("bookmaker_event_url"),
+            *(p[c].alias(c) for c in ("market_code", "market_name", "selection", "price", "pa_category", "confidence_score")),
+            p["updated_at"].alias("odd_updated_at"),
+            p["last_seen_at"].alias("odd_last_seen_at"),
         )
-        .filter("_any")
-        .drop("_any")
+        return F.struct(g["bookmaker"].alias("bookmaker"), *(p[c].alias(c) for c in _PRICE[:4]), item.alias("item"))
+
+    items = F.flatten(F.transform("_groups", lambda g: F.transform(g["_prices"], lambda p: keyed(g, p))))
+    out = named.groupBy("fixture_id").agg(
+        F.max(of_known(F.col("_updated"))).alias("latest_odd_updated_at"),
+        F.max(of_known(F.col("_seen"))).alias("latest_odd_seen_at"),
+        F.collect_list(of_known(group)).alias("_groups"),
+        F.bool_or("_priced").alias("_priced"),
     )
+    json = F.to_json(F.transform(F.array_sort(items), lambda r: r["item"]), {"ignoreNullFields": "false"})
+    out = out.filter(F.size("_groups") > 0).join(addresses, "fixture_id", "left")
+    return out.select("fixture_id", "latest_odd_updated_at", "latest_odd_seen_at", json.alias("prices"), "_priced")
 
 
 def snapshot(fixtures: DataFrame, leagues: DataFrame, prices: DataFrame, bookmakers: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
@@ -75,16 +90,15 @@ def snapshot(fixtures: DataFrame, leagues: DataFrame, prices: DataFrame, bookmak
     ``bookmakers``: bookmaker, name, home_url (used where no link is known).
     """
     games = upcoming(fixtures, leagues, as_of).select("fixture_id")
-    return _collected(prices.join(games, "fixture_id", "left_semi"), bookmakers, links)
+    return _collected(prices.join(games, "fixture_id", "left_semi"), bookmakers, links, "").drop("_priced")
 
 
 def feed(fixtures: DataFrame, leagues: DataFrame, prices: DataFrame, bookmakers: DataFrame, links: DataFrame, as_of: Column, market: str = "1X2") -> DataFrame:
-    """Upcoming fixtures that have a price of the market, with all their prices as in ``snapshot``; every table is read once."""
+    """Upcoming fixtures that have a price of the market, with all their prices as in ``snapshot``."""
     games = upcoming(fixtures, leagues, as_of)
     columns = [c for c in games.columns if c != "fixture_id"]
-    rows = prices.join(games.select("fixture_id", F.struct(*columns).alias("_game")), "fixture_id")
-    out = _collected(rows, bookmakers, links, F.any_value("_game").alias("_game"), F.bool_or(F.col("market_code") == market).alias("_priced"))
-    return out.filter("_priced").select("fixture_id", *(F.col(f"_game.{c}").alias(c) for c in columns), "prices")
+    out = _collected(prices.join(games.select("fixture_id"), "fixture_id", "left_semi"), bookmakers, links, market)
+    return games.join(out.filter("_priced"), "fixture_id").select("fixture_id", *columns, "prices")
 
 
 def public(rows: DataFrame, games: DataFrame, columns: list[str]) -> DataFrame:
