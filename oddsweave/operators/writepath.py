@@ -241,10 +241,13 @@ def save(current: DataFrame, incoming: DataFrame, links: DataFrame, blocks: Data
     conflict loses it.
     """
     key = ["fixture_id", "bookmaker"]
-    pairs = _batch_pairs(incoming, links, blocks)
-    clean = _unpacked(pairs.select(F.explode("_clean").alias("row")), incoming.columns)
-    clean_links = _unpacked(pairs.filter("_clean_links").select(F.explode("_open").alias("row")), links.columns)
-    touched = pairs.filter((F.size("_open") > 0) | (F.size("_clean") > 0)).select(*key)
+    stops = _stops(blocks)
+    linked = _batch_links(links, stops)
+    clean = _unpacked(_batch_prices(incoming, linked, stops).select(F.explode("_clean").alias("row")), incoming.columns)
+    clean_links = _unpacked(linked.filter("_clean_links").select(F.explode("_open").alias("row")), links.columns)
+    # The scope needs no prices, only of which categories a pair has any.
+    priced = _batch_prices(incoming.select(*key, "pa_category"), linked, stops, F.collect_set).filter(F.size("_clean") > 0)
+    touched = linked.filter(F.size("_open") > 0).select(*key).union(priced.select(*key))
     scope = touched.union(moved_links(stored_links, clean_links)).distinct()
     prices = replaced(current, valid_prices(clean).select(*current.columns), scope, key, markets)
     return Saved(prices, next_links(stored_links, clean_links, scope), scope)
@@ -254,27 +257,32 @@ def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
 
 
-def _batch_pairs(incoming: DataFrame, links: DataFrame, blocks: DataFrame) -> DataFrame:
-    """A batch by fixture and bookmaker: ``_open`` links, whether they are clean (of one event), and ``_clean`` prices.
+def _batch_links(links: DataFrame, stops: DataFrame) -> DataFrame:
+    """A batch's links by fixture and bookmaker: ``_open`` ones, whether they are clean (of one event), and whether the pair's prices are ``_stopped``.
 
-    Prices, links and blocks are partitioned once, by that pair; what a pair
-    holds is a bookmaker's prices of one fixture.  Rows without a fixture or a
-    bookmaker are a pair of their own that nothing blocks.
+    Links, prices and stops are partitioned by the pair, and every join of them
+    keeps that.  Rows without a fixture or a bookmaker are a pair of their own
+    that nothing blocks.
     """
-    key = ["fixture_id", "bookmaker"]
-    packed = lambda df, name: df.groupBy(*key).agg(F.collect_list(F.struct(*df.columns)).alias(name))
-    priced, linked, stops = packed(incoming, "_prices"), packed(links, "_links"), _stops(blocks)
-    # Null keys match nothing in a join, as before: they stay as they are on either side.
-    both = priced.join(linked, key, "full_outer").join(stops, key, "left")
-    exhausted = F.coalesce("_exhausted", F.lit(False))
+    pairs = _packed(links, "_links", F.collect_list).join(stops.drop("_parts"), ["fixture_id", "bookmaker"], "left")
     rejected = lambda link: F.coalesce(F.array_contains(F.col("_rejected"), link["external_event_id"].cast("string")), F.lit(False))
-    none = lambda name: F.array().cast(both.schema[name].dataType)
-    open_ = both.withColumn("_links", F.coalesce("_links", none("_links"))).withColumn("_open", F.filter("_links", lambda x: ~exhausted & ~rejected(x)))
+    open_ = pairs.withColumn("_open", F.filter("_links", lambda x: ~F.coalesce("_exhausted", F.lit(False)) & ~rejected(x)))
     events = F.array_compact(F.array_distinct(F.transform("_open", lambda x: x["external_event_id"])))
-    stopped = exhausted | (F.size("_open") < F.size("_links")) | (F.size(events) > 1)
+    stopped = (F.size("_open") < F.size("_links")) | (F.size(events) > 1)
+    return open_.select("fixture_id", "bookmaker", "_open", (F.size(events) <= 1).alias("_clean_links"), stopped.alias("_stopped"))
+
+
+def _batch_prices(incoming: DataFrame, linked: DataFrame, stops: DataFrame, gather=F.collect_list) -> DataFrame:
+    """A batch's prices by fixture and bookmaker that neither a block nor the pair's links stop, as ``_clean``: all that a bookmaker has for a fixture."""
+    key = ["fixture_id", "bookmaker"]
+    pairs = _packed(incoming, "_prices", gather).join(stops.drop("_rejected"), key, "left").join(linked.select(*key, "_stopped"), key, "left")
+    stopped = F.coalesce("_exhausted", F.lit(False)) | F.coalesce("_stopped", F.lit(False))
     parted = lambda price: F.coalesce(F.array_contains(F.col("_parts"), price["pa_category"]), F.lit(False))
-    left = F.filter(F.coalesce("_prices", none("_prices")), lambda x: ~parted(x))
-    return open_.select(*key, "_open", (F.size(events) <= 1).alias("_clean_links"), F.when(stopped, none("_prices")).otherwise(left).alias("_clean"))
+    return pairs.filter(~stopped).select(*key, F.filter("_prices", lambda x: ~parted(x)).alias("_clean"))
+
+
+def _packed(rows: DataFrame, name: str, gather) -> DataFrame:
+    return rows.groupBy("fixture_id", "bookmaker").agg(gather(F.struct(*rows.columns)).alias(name))
 
 
 def save_all(current: DataFrame, incoming: DataFrame, links: DataFrame, blocks: DataFrame, stored_links: DataFrame | None = None) -> DataFrame:
