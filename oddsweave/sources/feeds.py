@@ -88,7 +88,8 @@ def prices(payloads: DataFrame, adapter: Adapter, column: str = "value") -> Data
     e, m, s = F.col("e"), F.col("m"), F.col("s")
     given = [(F.coalesce(F.col(c), F.lit(False)) if c in payloads.columns else F.lit(False)).alias(c) for c in adapter.given]
     event = F.col(column) if isinstance(payloads.schema[column].dataType, StructType) else F.from_json(F.col(column), adapter.schema)
-    events = payloads.select(event.alias("e"), *given).filter("e IS NOT NULL")
+    # Parsed once: a condition on what a generator gives isn't put, with the parsing in it, before it.
+    events = payloads.select(F.explode(F.array(event)).alias("e"), *given).filter("e IS NOT NULL")
     for name, rule in adapter.prepared:
         events = events.withColumn(name, rule(e))
     open_ = events.select("e", *adapter.given, F.explode(adapter.markets(e)).alias("m")).filter(F.coalesce(adapter.market_ok(e, m), F.lit(False)))
