@@ -76,7 +76,7 @@ r AS (SELECT *, e->'$.odds.full_time'->side AS o FROM s)""",
 def s22_delta_market(spark, d):
     """Delta events as a market of three, ids by hashing texts."""
     shape = "_id string, home_team string, away_team string, start_date string, date string, market_config struct<has_early_payout:boolean>, odds struct<full_time:struct<home:struct<value:double, enable:boolean>, draw:struct<value:double, enable:boolean>, away:struct<value:double, enable:boolean>>>"
-    rows = payloads(spark, d, S22_DELTA).select(F.from_json("value", shape).alias("e")).select("e.*")
+    rows = payloads(spark, d, S22_DELTA).select(F.explode(F.array(F.from_json("value", shape))).alias("e")).select("e.*")
     return wire.delta_market(rows).select("event_id", "selection", F.round("price", 6).alias("price"), "pa_category", "source_odd_id")
 
 

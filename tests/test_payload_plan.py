@@ -9,7 +9,7 @@ def _plan(spark, name: str) -> str:
     return catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["a05_grouped_odds", "a07_live_runners", "a10_flat_odds", "a03_localised", "a20_decoded_results", "a18_exchange", "a19_side_labels"])
+@pytest.mark.parametrize("name", ["a05_grouped_odds", "a07_live_runners", "a10_flat_odds", "a03_localised", "a20_decoded_results", "a18_exchange", "a19_side_labels", "s22_delta_market"])
 def test_payloads_are_parsed_once_and_where_they_are_dealt_out(spark, name):
     """No condition is moved, with the parsing in it, into the task that reads the file."""
     plan = _plan(spark, name)
