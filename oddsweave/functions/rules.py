@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from oddsweave.functions.text import fold, normalize_name
+from oddsweave.functions.text import fold, normalize_name, once
 
 # Names of the full-time result market.
 MONEYLINE = (
@@ -69,11 +69,10 @@ def oriented(selection: Column, orientation: Column) -> Column:
 
 def decimal_price(text: Column) -> Column:
     """``a/b`` is a/b+1; a comma is a decimal point; what isn't a number is 0."""
-    plain = F.trim(F.regexp_replace(text, ",", "."))
     number = lambda c: F.when(F.trim(c).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), F.trim(c).cast("double"))
-    parts = F.split(plain, "/")
-    ratio = number(parts[0]) / F.nullif(number(parts[1]), F.lit(0.0)) + 1
-    return F.coalesce(F.when(F.size(parts) == 2, ratio).when(F.size(parts) == 1, number(plain)), F.lit(0.0))
+    ratio = lambda parts: number(parts[0]) / F.nullif(number(parts[1]), F.lit(0.0)) + 1
+    value = lambda parts: F.when(F.size(parts) == 2, ratio(parts)).when(F.size(parts) == 1, number(parts[0]))
+    return F.coalesce(once(F.split(F.trim(F.translate(text, ",", ".")), "/"), value), F.lit(0.0))
 
 
 def code_units(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsweave.functions.rules import decimal_price
-from oddsweave.functions.text import fold, normalize_for_matching, normalize_name, normalize_price_text
+from oddsweave.functions.text import fold, normalize_for_matching, normalize_name, normalize_price_text, once
 
 # Month names of two languages, and what ends a block of prices.
 MONTHS = {"jan": 1, "fev": 2, "feb": 2, "mar": 3, "abr": 4, "apr": 4, "mai": 5, "may": 5, "jun": 6, "jul": 7, "ago": 8, "aug": 8, "set": 9, "sep": 9, "out": 10, "oct": 10, "nov": 11, "dez": 12, "dec": 12}
@@ -104,19 +104,20 @@ def visible_markets(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 def nodes(payloads: DataFrame, column: str = "value", key: str = "page_id") -> DataFrame:
     """Nodes of ``TYPE;K=V;...|`` payloads: pos, type and attributes (without a value: ``true``)."""
-    parts = F.filter(F.transform(F.split(column, r"\|"), lambda b: F.trim(b)), lambda b: b != "")
-    rows = payloads.select(key, F.posexplode(parts).alias("pos", "block"))
-    fields = F.filter(F.split("block", ";"), lambda a: a != "")
+    blocks = F.filter(F.transform(F.split(column, r"\|"), lambda b: F.trim(b)), lambda b: b != "")
+    rows = payloads.select(key, F.posexplode(F.transform(blocks, lambda b: F.filter(F.split(b, ";"), lambda a: a != ""))).alias("pos", "fields"))
+    fields = F.col("fields")
     kind = F.upper(F.regexp_replace(F.get(fields, 0), "(?i)^[^A-Z0-9]+|[^A-Z0-9]+$", ""))
-    pair = lambda a: F.struct(F.trim(F.split_part(a, F.lit("="), F.lit(1))).alias("k"), F.when(F.contains(a, F.lit("=")), F.trim(F.regexp_replace(a, "^[^=]*=", ""))).otherwise("true").alias("v"))
+    pair = lambda a: F.struct(F.trim(F.split_part(a, F.lit("="), F.lit(1))).alias("k"), F.when(F.contains(a, F.lit("=")), F.trim(F.substr(a, F.instr(a, "=") + 1))).otherwise("true").alias("v"))
     pairs = F.filter(F.transform(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))), pair), lambda p: p["k"] != "")
     # Of a repeated key the last value counts.
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return rows.select(key, "pos", kind.alias("type"), F.map_from_entries(last).alias("attributes")).filter("type <> ''")
+    last = once(pairs, lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["k"] == p["k"])))
+    # Out of a generator, so that conditions on them don't work them out anew.
+    return rows.select(key, "pos", F.inline(F.array(F.struct(kind.alias("type"), F.map_from_entries(last).alias("attributes"))))).filter("type <> ''")
 
 
-def _side(label: Column, place: Column) -> Column:
-    return F.when(normalize_price_text(label).isin(*DRAW), "DRAW").otherwise(F.element_at(F.array(F.lit("HOME"), F.lit("DRAW"), F.lit("AWAY")), place + 1))
+def _side(plain: Column, place: Column) -> Column:
+    return F.when(plain.isin(*DRAW), "DRAW").otherwise(F.element_at(F.array(F.lit("HOME"), F.lit("DRAW"), F.lit("AWAY")), place + 1))
 
 
 def node_prices(payloads: DataFrame, column: str = "value", key: str = "page_id") -> DataFrame:
@@ -130,18 +131,19 @@ def node_prices(payloads: DataFrame, column: str = "value", key: str = "page_id"
     state = F.last(F.when(event, F.struct(F.lit("").alias("n"))).when(market, F.struct(a("NA").alias("n"))), ignorenulls=True).over(by)["n"]
     rows = rows.withColumn("event", F.coalesce(F.last(F.when(event, a("NA")), ignorenulls=True).over(by), F.lit(""))).withColumn("market", F.coalesce(state, F.lit("")))
     raw = F.coalesce(a("OD"), a("O"), a("PR"), a("SP"))
-    offers = rows.filter((F.col("type") == "PA") & a("NA").isNotNull() & raw.isNotNull()).withColumn("label", a("NA")).withColumn("price", decimal_price(raw))
-    name = normalize_price_text(F.col("market"))
-    result = (F.col("market") == "") | name.isin(*NODE_MARKETS) | name.rlike(NODE_MARKET_PARTS)
-    offers = offers.filter(result & F.col("price").between(1.01, 1000)).withColumn("_e", normalize_price_text(F.col("event"))).withColumn("_m", normalize_price_text(F.col("market"))).withColumn("_l", normalize_price_text(F.col("label")))
-    once = offers.groupBy(key, "_e", "_m", "_l", "price").agg(F.min("pos").alias("pos"), F.min_by("label", "pos").alias("label"), F.min_by("event", "pos").alias("event"), F.min_by("market", "pos").alias("market"))
-    grouped = once.groupBy(key, "_e", "_m").agg(F.min("pos").alias("first"), F.min_by("event", "pos").alias("event"), F.min_by("market", "pos").alias("market"), F.slice(F.array_sort(F.collect_list(F.struct("pos", "label", "price"))), 1, 3).alias("three")).filter(F.size("three") == 3)
-    is_draw = lambda k: normalize_price_text(F.col("three")[k]["label"]).isin(*DRAW)
+    offers = rows.filter((F.col("type") == "PA") & a("NA").isNotNull() & raw.isNotNull()).withColumn("label", a("NA"))
+    plain = [normalize_price_text(F.col(c)).alias(f"_{c[0]}") for c in ("event", "market", "label")]
+    offers = offers.select(key, "pos", "event", "market", "label", F.inline(F.array(F.struct(decimal_price(raw).alias("price"), *plain))))
+    result = (F.col("market") == "") | F.col("_m").isin(*NODE_MARKETS) | F.col("_m").rlike(NODE_MARKET_PARTS)
+    offers = offers.filter(result & F.col("price").between(1.01, 1000))
+    once_each = offers.groupBy(key, "_e", "_m", "_l", "price").agg(F.min("pos").alias("pos"), F.min_by("label", "pos").alias("label"), F.min_by("event", "pos").alias("event"), F.min_by("market", "pos").alias("market"))
+    grouped = once_each.groupBy(key, "_e", "_m").agg(F.min("pos").alias("first"), F.min_by("event", "pos").alias("event"), F.min_by("market", "pos").alias("market"), F.slice(F.array_sort(F.collect_list(F.struct("pos", "label", "price", "_l"))), 1, 3).alias("three")).filter(F.size("three") == 3)
+    is_draw = lambda k: F.col("three")[k]["_l"].isin(*DRAW)
     t = F.col("three")
     ordered = F.when(is_draw(2) & ~is_draw(0) & ~is_draw(1), F.array(t[0], t[2], t[1])).otherwise(t)
-    early = normalize_price_text(F.col("market")).rlike(NODE_EARLY)
+    early = F.col("_m").rlike(NODE_EARLY)
     category = F.when(early, "COM_PA").otherwise("SEM_PA")
     kept = grouped.withColumn("three", ordered).withColumn("pa_category", category).withColumn("confidence", F.when(early, 0.99).otherwise(0.96))
     kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy(key, "pa_category").orderBy("first"))).filter("_r = 1")
     flat = kept.select(key, "event", "market", "pa_category", "confidence", F.posexplode("three").alias("place", "o"))
-    return flat.select(key, "event", "market", "pa_category", "confidence", _side(F.col("o.label"), F.col("place")).alias("selection"), F.col("o.label").alias("label"), F.col("o.price").alias("price"))
+    return flat.select(key, "event", "market", "pa_category", "confidence", _side(F.col("o._l"), F.col("place")).alias("selection"), F.col("o.label").alias("label"), F.col("o.price").alias("price"))

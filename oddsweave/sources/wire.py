@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsweave.functions.rules import polynomial_id
+from oddsweave.functions.text import once
 from oddsweave.operators.components import checkpointed
 from oddsweave.sources.tables import spread
 
@@ -385,15 +386,10 @@ def slice_events(cells: DataFrame, feed: str = "feed") -> DataFrame:
     return events.select(feed, F.struct(F.col("node_id").cast("bigint").alias("id"), F.lit(None).cast("string").alias("name"), starts.alias("startsAt"), "leagueName", "homeTeam", "awayTeam", "markets").alias("e"))
 
 
-def _once(value: Column, then) -> Column:
-    """``then`` of a value that is worked out once, however often it stands there."""
-    return F.transform(F.array(value), then)[0]
-
-
 def opened(value: Column, depth: int = 3) -> Column:
     """A variant out of the JSON texts that it stands in, up to ``depth`` deep."""
     for _ in range(depth):
-        value = _once(value, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v))
+        value = once(value, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v))
     return value
 
 
@@ -410,7 +406,7 @@ def path_items(df: DataFrame, levels: list[tuple[str, dict[str, str]]], key: str
     carried: list[str] = []
     for name, fields in levels:
         below = opened(F.try_variant_get("_v", name, "variant"))
-        items = _once(below, lambda b: F.coalesce(F.try_variant_get(b, "$", "array<variant>"), F.map_values(F.try_variant_get(b, "$", "map<string,variant>"))))
+        items = once(below, lambda b: F.coalesce(F.try_variant_get(b, "$", "array<variant>"), F.map_values(F.try_variant_get(b, "$", "map<string,variant>"))))
         step = current.select("source", *carried, "order", F.posexplode(items).alias("_n", "_v"))
         new = [F.try_variant_get("_v", path, "string").alias(c) for c, path in fields.items()]
         current = step.select("source", *carried, F.concat("order", F.array("_n")).alias("order"), opened(F.col("_v")).alias("_v"), *new)

@@ -16,3 +16,10 @@ def test_payloads_are_parsed_once_and_where_they_are_dealt_out(spark, name):
     dealt, read = plan.split("REPARTITION_BY_NUM")
     assert "from_json" not in read and "- Filter" not in read
     assert dealt.count("from_json(") == 1
+
+
+def test_node_prices_are_worked_out_once(spark):
+    """The number of a price is looked at in four places of one expression, not again in each condition."""
+    dealt, read = _plan(spark, "s23_node_payload").split("REPARTITION_BY_NUM")
+    assert "- Filter" not in read
+    assert dealt.count("^[+-]?") == 4
