@@ -23,8 +23,8 @@ def _three(make) -> Column:
     return F.array(*(make(k, side) for k, side in ((1, "HOME"), (2, "DRAW"), (3, "AWAY"))))
 
 
-def _read(spark, d, adapter: feeds.Adapter, payload: Column) -> DataFrame:
-    rows = parts(spark, d).select(F.to_json(payload).alias("value"))
+def _read(spark, d, adapter: feeds.Adapter, payload: Column, *more: str) -> DataFrame:
+    rows = parts(spark, d, *more).select(F.to_json(payload).alias("value"))
     return feeds.prices(rows, adapter).select("event_id", "selection", F.round("price", 6).alias("price"), "pa_category")
 
 
@@ -42,7 +42,7 @@ def a01_offer_ids(spark, d):
     key = F.col("p_partkey")
     market = F.struct(F.lit("Resultado Final").alias("name"), _three(lambda k, _: F.array(F.lit(k).cast("bigint"))).alias("desktopOddIds"), _when('{"type": 0, "parameter": 2}', "").alias("offers"))
     odds = _three(lambda k, _: F.struct(F.lit(k).cast("bigint").alias("id"), _price(k).alias("price"), F.lit(k).alias("typeId"), F.lit(0).alias("oddStatus")))
-    return _read(spark, d, feeds.OFFER_IDS, F.struct(key.alias("id"), F.concat(_home(), F.lit(" vs. "), F.col("p_type")).alias("name"), F.lit("2026-08-05T19:00:00Z").alias("startDate"), F.array(market).alias("markets"), odds.alias("odds")))
+    return _read(spark, d, feeds.OFFER_IDS, F.struct(key.alias("id"), F.concat(_home(), F.lit(" vs. "), F.col("p_type")).alias("name"), F.lit("2026-08-05T19:00:00Z").alias("startDate"), F.array(market).alias("markets"), odds.alias("odds")), "p_type")
 
 
 @query(_ROWS)

@@ -23,3 +23,8 @@ def test_node_prices_are_worked_out_once(spark):
     dealt, read = _plan(spark, "s23_node_payload").split("REPARTITION_BY_NUM")
     assert "- Filter" not in read
     assert dealt.count("^[+-]?") == 4
+
+
+def test_offers_take_the_type_of_a_part(spark):
+    """A payload may need more of a part than most do."""
+    assert catalog.QUERIES["a01_offer_ids"](spark, "/root/testdata/sf0.001").count() > 0
