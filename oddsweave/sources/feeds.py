@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from oddsweave.functions import similarity
 from oddsweave.functions.rules import digits_id, is_moneyline, oriented, payout_category, selection_of_type, split_teams
 from oddsweave.functions.text import normalize_for_matching as norm
-from oddsweave.functions.text import normalize_name
+from oddsweave.functions.text import normalize_name, once
 
 Rule = Callable[..., Column]
 COLUMNS = ("event_id", "home_team", "away_team", "starts_at", "league_name", "bookmaker", "market_code", "market_name", "selection", "price", "pa_category", "confidence_score", "raw_market_name", "raw_label", "source_odd_id")
@@ -92,8 +92,14 @@ def prices(payloads: DataFrame, adapter: Adapter, column: str = "value") -> Data
     events = payloads.select(F.explode(F.array(event)).alias("e"), *given).filter("e IS NOT NULL")
     for name, rule in adapter.prepared:
         events = events.withColumn(name, rule(e))
-    open_ = events.select("e", *adapter.given, F.explode(adapter.markets(e)).alias("m")).filter(F.coalesce(adapter.market_ok(e, m), F.lit(False)))
-    rows = open_.select("e", *adapter.given, "m", F.explode(adapter.selections(e, m)).alias("s")).filter(F.coalesce(adapter.selection_ok(e, m, s), F.lit(False)))
+    kept = [*adapter.given, *(name for name, _ in adapter.prepared)]
+    open_ = events.select("e", *kept, F.explode(adapter.markets(e)).alias("m")).filter(F.coalesce(adapter.market_ok(e, m), F.lit(False)))
+    if not adapter.odd_pa:
+        open_, kept = open_.withColumn("_pa", adapter.pa(e, m)), [*kept, "_pa"]
+    rows = open_.select("e", *kept, "m", F.explode(adapter.selections(e, m)).alias("s")).filter(F.coalesce(adapter.selection_ok(e, m, s), F.lit(False)))
+    # Likewise: side and price are looked at in the last condition and given out.
+    known = F.struct(adapter.side(e, m, s).alias("selection"), number(adapter.price(e, m, s)).alias("price"))
+    rows = rows.select("e", *kept, "m", "s", F.inline(F.array(known)))
     named = {k: f(e) for k, f in adapter.event.items()}
     flat = rows.select(
         named["id"].cast("string").alias("event_id"),
@@ -104,9 +110,9 @@ def prices(payloads: DataFrame, adapter: Adapter, column: str = "value") -> Data
         (adapter.slug(e) if adapter.slug else F.lit(adapter.bookmaker)).alias("bookmaker"),
         F.lit("1X2").alias("market_code"),
         F.lit("MoneyLine").alias("market_name"),
-        adapter.side(e, m, s).alias("selection"),
-        number(adapter.price(e, m, s)).alias("price"),
-        (adapter.odd_pa(e, m, s) if adapter.odd_pa else adapter.pa(e, m)).alias("_pa"),
+        "selection",
+        "price",
+        (adapter.odd_pa(e, m, s) if adapter.odd_pa else F.col("_pa")).alias("_pa"),
         adapter.market_name(e, m).alias("raw_market_name"),
         adapter.label(e, m, s).alias("raw_label"),
         adapter.odd_id(e, m, s).cast("bigint").alias("source_odd_id"),
@@ -351,30 +357,34 @@ THREE_WAY = Adapter(
 )
 
 
-def _flat_kind(o: Column) -> Column:
+def _flat_kind(m: Column) -> Column:
     """Priority of a flat price's market: 100 early payout, 90 or 80 standard, null other."""
-    both = F.trim(text(normalize_name(o["market_name"]), normalize_name(o["market_code"])))
-    code, name = normalize_name(o["market_code"]), normalize_name(o["market_name"])
-    early = (o["market_id"] == 99979617) | both.rlike("pag antecipado|pagamento antecipado|full time result 2 up|2 up")
-    best = (o["market_id"] == 999133) | (code == "win draw win")
-    standard = best | name.isin("resultado partida", "resultado da partida", "resultado final") | ((o["market_id"] == 1) & (o["market_code"] == "1x2"))
-    return F.when(_flag(early), 100).when(_flag(best), 90).when(_flag(standard), 80)
+
+    def kind(words: Column) -> Column:
+        name, code = words["name"], words["code"]
+        early = (m["market_id"] == 99979617) | F.trim(text(name, code)).rlike("pag antecipado|pagamento antecipado|full time result 2 up|2 up")
+        best = (m["market_id"] == 999133) | (code == "win draw win")
+        standard = best | name.isin("resultado partida", "resultado da partida", "resultado final") | ((m["market_id"] == 1) & (m["market_code"] == "1x2"))
+        return F.when(_flag(early), 100).when(_flag(best), 90).when(_flag(standard), 80)
+
+    return once(F.struct(normalize_name(m["market_name"]).alias("name"), normalize_name(m["market_code"]).alias("code")), kind)
 
 
 def _flat_odds(e: Column) -> Column:
-    """The odds of open markets that have a side and a price, each with its priority, market and side."""
-    kinds = F.transform(e["odds"], lambda o: F.struct(_flat_kind(o).alias("priority"), F.struct(o["market_id"], o["market_name"], o["market_code"], o["selection_market_id"]).alias("market"), _flat_side(e, o).alias("side"), number(o["odd"]).alias("price"), o.alias("odd")))
-    shut = lambda o: _flag(o["odd"]["is_live"] == 1) | _flag(o["odd"]["market_status_id"] == 0)
-    return F.filter(kinds, lambda o: o["priority"].isNotNull() & o["side"].isNotNull() & _flag((o["price"] > 0) & (o["price"] < float("inf"))) & ~shut(o))
+    """The odds of open markets that have a side and a price, each with its market and side."""
+    shut = lambda o: _flag(o["is_live"] == 1) | _flag(o["market_status_id"] == 0)
+    told = lambda o, home, away: F.struct(F.struct(o["market_id"], o["market_name"], o["market_code"], o["selection_market_id"]).alias("market"), _flat_side(o, home, away).alias("side"), number(o["odd"]).alias("price"), o.alias("odd"))
+    teams = F.struct(normalize_name(e["home"]).alias("home"), normalize_name(e["away"]).alias("away"))
+    odds = once(teams, lambda t: F.transform(F.filter(e["odds"], lambda o: ~shut(o)), lambda o: told(o, t["home"], t["away"])))
+    return F.filter(odds, lambda o: o["side"].isNotNull() & _flag((o["price"] > 0) & (o["price"] < float("inf"))))
 
 
 def _flat_groups(e: Column) -> Column:
-    """Complete markets, each with its first odd of either side in order."""
+    """Complete markets of a priority, each with its first odd of either side in order; a market's names are read once."""
     odds = F.col("_odds")
-    keys = F.array_distinct(F.transform(odds, lambda o: F.struct(o["priority"].alias("priority"), o["market"].alias("market"))))
-    own = lambda k: F.filter(odds, lambda o: (o["market"] == k["market"]) & (o["priority"] == k["priority"]))
-    first = lambda rows: F.transform(F.array(*map(F.lit, ("HOME", "DRAW", "AWAY"))), lambda side: F.get(F.filter(rows, lambda o: o["side"] == side), 0))
-    groups = F.transform(keys, lambda k: F.struct(k["priority"].alias("priority"), first(own(k)).alias("odds")))
+    markets = F.transform(F.array_distinct(odds["market"]), lambda m: F.struct(_flat_kind(m).alias("priority"), m.alias("market")))
+    first = lambda k: F.transform(F.array(*map(F.lit, ("HOME", "DRAW", "AWAY"))), lambda side: F.get(F.filter(odds, lambda o: (o["side"] == side) & (o["market"] == k["market"])), 0))
+    groups = F.transform(F.filter(markets, lambda k: k["priority"].isNotNull()), lambda k: F.struct(k["priority"].alias("priority"), first(k).alias("odds")))
     return F.filter(groups, lambda g: F.forall(g["odds"], lambda o: o.isNotNull()))
 
 
@@ -403,10 +413,10 @@ FLAT_ODDS = Adapter(
 )
 
 
-def _flat_side(e: Column, o: Column) -> Column:
-    name = normalize_name(F.coalesce(o["outcome_name"], o["outcome_code"]))
+def _flat_side(o: Column, home: Column, away: Column) -> Column:
     coded = F.when((o["outcome_id"] == "1") | (o["outcome_code"] == "{$competitor1}"), "HOME").when((o["outcome_id"] == "2") | (o["outcome_code"] == "draw"), "DRAW").when((o["outcome_id"] == "3") | (o["outcome_code"] == "{$competitor2}"), "AWAY")
-    return F.coalesce(coded, F.when(name == "", None).when(name.isin("empate", "draw"), "DRAW").when(name == normalize_name(e["home"]), "HOME").when(name == normalize_name(e["away"]), "AWAY"))
+    named = lambda n: F.when(n == "", None).when(n.isin("empate", "draw"), "DRAW").when(n == home, "HOME").when(n == away, "AWAY")
+    return F.coalesce(coded, once(normalize_name(F.coalesce(o["outcome_name"], o["outcome_code"])), named))
 
 
 MARKET_TYPES = Adapter(

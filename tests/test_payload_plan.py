@@ -2,7 +2,7 @@
 
 import pytest
 
-from oddsweave.plans import catalog
+from oddsweave.plans import catalog, payloads
 
 
 def _plan(spark, name: str) -> str:
@@ -28,3 +28,21 @@ def test_node_prices_are_worked_out_once(spark):
 def test_offers_take_the_type_of_a_part(spark):
     """A payload may need more of a part than most do."""
     assert catalog.QUERIES["a01_offer_ids"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_payloads_are_filled_in_one_pass(spark, tmp_path):
+    """No pass over the whole text for each token; a part without a name has no payload, signs in names stay as they are."""
+    assert "replace(replace(" not in _plan(spark, "a10_flat_odds")
+    spark.createDataFrame([(1, "a@Ab% c", 7), (2, None, 7), (3, "a b", None), (4, "%1$s @K", 3)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    rows = payloads.payloads(spark, str(tmp_path), [{"k": "#K", "h": "@H", "a": "@A", "p": "50%", "o": "#1", "m": "#M2"}]).collect()
+    assert {r["key"]: r["value"] for r in rows} == {
+        1: '{"k": 1, "h": "acenseb%", "a": "cense", "p": "50%", "o": 1.7, "m": 2700}',
+        2: None,
+        3: None,
+        4: '{"k": 4, "h": "%1$s", "a": "@Kense", "p": "50%", "o": 1.3, "m": 2300}',
+    }
+
+
+def test_names_of_a_flat_market_are_worked_out_once(spark):
+    """Two teams once an event, two names once a market, a name once an odd; no more in conditions."""
+    assert _plan(spark, "a10_flat_odds").count("[^a-z0-9]+") == 5
