@@ -534,9 +534,20 @@ CODED_ODDS = Adapter(
     odd_id=lambda e, m, s: F.coalesce(_ids(s["uuid"]), s["outcomeId"]),
     pa=lambda e, m: payout(e["superAdvantage"] == "SA_PREMATCH", 0.98),
 )
+def _place(values: Column, value) -> Column:
+    """Where a value stands first, from 0; -1 where it doesn't."""
+    return (F.array_position(values, value) - 1).cast("int")
+
+
 def _back(runner: Column) -> Column:
     """The first price to back, else the first."""
-    return F.coalesce(F.get(F.filter(runner["prices"], lambda p: p["side"] == "back"), 0), F.get(runner["prices"], 0))
+    return F.get(runner["prices"], F.greatest(_place(runner["prices"]["side"], "back"), F.lit(0)))
+
+
+def _runner_side(runner: Column) -> Column:
+    """A side by the normal form of a runner's name, which is read once."""
+    names = F.array(F.lit("draw"), F.lit("empate"), F.col("_home"), F.col("_away"))
+    return F.get(F.array(*map(F.lit, ("DRAW", "DRAW", "HOME", "AWAY"))), _place(names, norm(runner["name"])))
 
 
 EXCHANGE = Adapter(
@@ -546,7 +557,8 @@ EXCHANGE = Adapter(
     markets=lambda e: e["markets"],
     market_ok=lambda e, m: (m["status"] == "open") & ~_flag(m["live"]) & (m["market-type"] == "one_x_two") & norm(text(m["name"], m["name-original"])).rlike("match odds|resultado da partida|moneyline|winner|1x2"),
     selections=lambda e, m: m["runners"],
-    side=lambda e, m, s: F.when(norm(s["name"]).isin("draw", "empate"), "DRAW").when(norm(s["name"]) == norm(F.get(e["event-participants"]["participant-name"], 0)), "HOME").when(norm(s["name"]) == norm(F.get(e["event-participants"]["participant-name"], 1)), "AWAY"),
+    prepared=(("_home", lambda e: norm(F.get(e["event-participants"]["participant-name"], 0))), ("_away", lambda e: norm(F.get(e["event-participants"]["participant-name"], 1)))),
+    side=lambda e, m, s: _runner_side(s),
     selection_ok=lambda e, m, s: (s["status"] == "open") & ~_flag(s["withdrawn"]),
     price=lambda e, m, s: F.coalesce(_back(s)["decimal-odds"], _back(s)["odds"]),
     odd_id=lambda e, m, s: _ids(s["id"], last=True),

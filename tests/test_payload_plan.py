@@ -1,8 +1,11 @@
 """Where payloads are parsed, and how often."""
 
+import json
+
 import pytest
 
 from oddsweave.plans import catalog, payloads
+from oddsweave.sources import feeds
 
 
 def _plan(spark, name: str) -> str:
@@ -46,3 +49,22 @@ def test_payloads_are_filled_in_one_pass(spark, tmp_path):
 def test_names_of_a_flat_market_are_worked_out_once(spark):
     """Two teams once an event, two names once a market, a name once an odd; no more in conditions."""
     assert _plan(spark, "a10_flat_odds").count("[^a-z0-9]+") == 5
+
+
+def test_names_of_an_exchange_are_worked_out_once(spark):
+    """Two teams once an event, a market's name in its condition and its category, a runner's name once."""
+    assert _plan(spark, "a18_exchange").count("[^a-z0-9]+") == 5
+
+
+def test_first_price_to_back_counts_and_without_one_the_first(spark):
+    runner = lambda k, name, prices: {"id": str(k), "name": name, "status": "open", "prices": prices}
+    runners = [
+        runner(1, "Ünião", [{"odds": 9, "side": "lay"}, None, {"decimal-odds": 2, "odds": 8, "side": "back"}, {"odds": 7, "side": "back"}]),
+        runner(2, "Empate", [{"odds": 3}, {"odds": 5, "side": "lay"}]),
+        runner(3, "b", []),
+        runner(4, "c", [{"odds": 4, "side": "back"}]),
+        runner(5, "b", [{"odds": 6, "side": "back"}]),
+    ]
+    event = {"id": "7", "event-participants": [{"participant-name": "Uniao"}, {"participant-name": "B"}], "markets": [{"name": "Match Odds", "status": "open", "market-type": "one_x_two", "runners": runners}]}
+    rows = feeds.prices(spark.createDataFrame([(json.dumps(event),)], "value string"), feeds.EXCHANGE).collect()
+    assert {(r["source_odd_id"], r["selection"], r["price"]) for r in rows} == {(1, "HOME", 2.0), (2, "DRAW", 3.0), (5, "AWAY", 6.0)}
