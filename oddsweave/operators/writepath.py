@@ -50,13 +50,13 @@ def _groups(prices: DataFrame, order: str | None = None, *more: Column) -> DataF
     grouped = (prices if more else moneyline(prices)).groupBy(*GROUP)
     got = grouped.agg(*sides, F.bool_or(~F.col("selection").isin(*SIDES)).alias("odd"), *rows, *more)
     home, draw, away = (F.col(s).isNotNull() for s in SIDES)
-    probability = sum((F.coalesce(1 / F.col(s), F.lit(0.0)) for s in SIDES), F.lit(0.0))
+    # Smallest probability first: 2, 5, 5 are 0.9 or a bit less as doubles by the order of the sides, so one order holds for all.
+    ordered = F.sort_array(F.array(*SIDES), asc=False)
+    probability = sum((F.coalesce(1 / ordered[k], F.lit(0.0)) for k in range(len(SIDES))), F.lit(0.0))
     complete = home & draw & away & ~F.col("odd")
     two_way = (F.col("pa_category") == "COM_PA") & home & away & ~draw & ~F.col("odd")
     out = got.select("*", complete.alias("complete"), two_way.alias("two_way"), probability.alias("probability"))
-    # 2, 5, 5 are 0.9 or a bit less as doubles, by the order of the sides: a sum that is a bound is within it whichever side is first.
-    bounded = F.round("probability", 12).between(LEAST_PROBABILITY, MOST_PROBABILITY)
-    return out.withColumn("valid", (F.col("complete") & bounded) | F.col("two_way"))
+    return out.withColumn("valid", (F.col("complete") & F.col("probability").between(LEAST_PROBABILITY, MOST_PROBABILITY)) | F.col("two_way"))
 
 
 def group_verdicts(prices: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Behaviour and boundaries of the price engine."""
 
+import itertools
 import json
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
@@ -142,6 +143,13 @@ def test_probability_bounds(spark, prices, valid):
     assert got.complete and got.valid == (0.9 <= total <= 1.35)
 
 
+def test_saved_prices_are_within_the_bounds_of_the_plain_sum(spark):
+    """Three prices of 10 / 3 add up to less than 0.9 in any order, whatever they round to; 2, 5, 5 reach it smallest probability first."""
+    groups = [(10 / 3,) * 3, *itertools.permutations((2.0, 5.0, 5.0))]
+    rows = [(k, "a", "1X2", "SEM_PA", s, p, i) for k, prices in enumerate(groups) for i, (s, p) in enumerate(zip(("HOME", "DRAW", "AWAY"), prices))]
+    assert {r.fixture_id for r in writepath.valid_prices(spark.createDataFrame(rows, PRICES)).collect()} == set(range(1, len(groups)))
+
+
 def test_two_way_groups_and_unknown_selections(spark):
     rows = [(1, "a", "COM_PA", "HOME", 1.1), (1, "a", "COM_PA", "AWAY", 1.1), (2, "a", "SEM_PA", "HOME", 1.9), (2, "a", "SEM_PA", "AWAY", 1.9), (3, "a", "COM_PA", "HOME", 2.0), (3, "a", "COM_PA", "AWAY", 2.0), (3, "a", "COM_PA", "OVER", 2.0)]
     assert {r.fixture_id: r.valid for r in writepath.group_verdicts(odds(spark, rows)).collect()} == {1: True, 2: False, 3: False}
