@@ -5,6 +5,7 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,3 +410,17 @@ def test_alias_tables_and_their_joins_are_not_broadcast(spark):
     named = matching.with_aliases(spark.createDataFrame([("C",), ("x",)], "name string"), known, ("name",))
     assert {r.name: r.name_aliases for r in named.collect()} == {"C": ["a", "b", "c"], "x": None}
     assert "Broadcast" not in named._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_names_are_compared_as_the_scalar_rule_says(spark):
+    """Array scores equal the letter by letter ones, for long texts and other letters too."""
+    texts = ["", "a", "ab", "ba", "abcabc", "no123", "no1234", "x" * 64, "x" * 65, "xy" * 40, "são", "a-b", "largering", "largerings"]
+    left, right = (x.reshape(-1) for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    got = similarity.Texts(texts).jaro_winkler(left, right)
+    assert got.tolist() == [similarity.jaro_winkler(texts[a], texts[b]) for a, b in zip(left, right)]
+
+
+def test_a_pair_of_events_goes_to_python_once(spark):
+    """Leagues and names are compared in one pass, a kickoff's rows together."""
+    plan = matching.match(pairs(spark, [("Celtic", "Aberdeen", "Celtic", "Aberdeen")], "Cup"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "starts_at" in plan[plan.index("Sort [") :]
