@@ -434,3 +434,20 @@ def test_pairs_are_shuffled_once_as_ids(spark):
     dealt = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in x]
     assert len(dealt) == 1 and "hashpartitioning(_at#" in dealt[0]
     assert [(r.event_id, r.fixture_id) for r in got.collect()] == [(9, 1)]
+
+
+def test_an_event_of_a_crowded_window_finds_its_known_fixture(spark):
+    """The cascade's last stage has no cap: of forty fixtures of the league the one by known names is found, straight before crossed."""
+    schema = "fixture_id long, starts_at timestamp, home_team string, away_team string, league_name string, league_id long"
+    fixtures = spark.createDataFrame([(k, START + timedelta(hours=k % 5), f"Home {k}", f"Away {k}", "Cup", 1) for k in range(40)], schema)
+    events = spark.createDataFrame([(90, START + timedelta(hours=2), "Foo", "Bar", "Cup", 1), (91, START + timedelta(hours=3), "Bar", "Foo", "Cup", 1)], "event_id long, b_starts_at timestamp, b_home_team string, b_away_team string, b_league_name string, league_id long")
+    known = spark.createDataFrame([("foo", "home 7", True), ("away 7", "bar", True), ("foo", "home 8", True), ("bar", "away 8", True), ("bar", "away 12", False)], "name_a string, name_b string, same_team boolean")
+    remembered = spark.createDataFrame([], "event_id long, fixture_id long, orientation string")
+    got = {r.event_id: (r.fixture_id, r.orientation, r.stage) for r in matching.cascade(fixtures, events, remembered, known=known).collect()}
+    assert got == {90: (7, "NORMAL", "alias"), 91: (8, "INVERTED", "alias")}
+    rows = matching.interval_join(events, fixtures, "b_starts_at", "starts_at", matching.TWO_DAYS, ("league_id",))
+    keys = ["event_id", "fixture_id", "orientation", "score"]
+    for most in (30, 40):
+        paired = matching.pair_alias_fallback(rows, known, most=most).select(keys).collect()
+        assert sorted(paired) == sorted(matching.pair_alias_matches(fixtures, events, known, matching.TWO_DAYS, ("league_id",), most=most).select(keys).collect())
+        assert bool(paired) == (most == 40)
