@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import lzma
 import struct
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,15 +66,20 @@ def _walk(data: bytes, path: str, depth: int):
             yield from _walk(part, here, depth + 1)
 
 
-def _each(df: DataFrame, key: str, column: str, decode, schema: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
+#: So many decoded rows are held at once.
+FRAME_ROWS = 1 << 16
+
 
-    def run(frames):
-        for f in frames:
-            rows = [(k, *r) for k, v in zip(f["source"], f["value"]) if v is not None for r in decode(v)]
-            yield pd.DataFrame(rows, columns=names)
+def _decoded(frames, decode, names: list[str]):
+    """Rows of payloads as frames; a payload may give any number of rows, so these are cut by rows, not by payloads."""
+    rows = ((k, *r) for f in frames for k, v in zip(f["source"], f["value"]) if v is not None for r in decode(v))
+    while some := list(islice(rows, FRAME_ROWS)):
+        yield pd.DataFrame(some, columns=names)
 
-    return df.select(F.col(key).cast("string").alias("source"), F.col(column).alias("value")).mapInPandas(run, schema)
+
+def _each(df: DataFrame, key: str, column: str, decode, schema: str) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return df.select(F.col(key).cast("string").alias("source"), F.col(column).alias("value")).mapInPandas(lambda frames: _decoded(frames, decode, names), schema)
 
 
 def protobuf_fields(df: DataFrame, key: str = "path", column: str = "content") -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import struct
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from oddsweave.plans import payloads
@@ -179,3 +180,20 @@ def test_small_files_are_dealt_out_and_what_is_decoded_is_not_broadcast(spark):
     cells = wire.columnar_tables(payloads.binary(spark, folder, payloads.slice_of_part)).withColumn("feed", F.col("source"))
     for df in (wire.message_events(wire.protobuf_fields(payloads.binary(spark, folder, payloads.message_of_part))), wire.slice_events(cells)):
         assert "Broadcast" not in df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_decoded_rows_are_held_a_frame_at_a_time():
+    """However many rows a batch of payloads gives, no more are read than a frame holds, and none is lost."""
+    read = []
+
+    def decode(v):
+        for n in range(v):
+            read.append(n)
+            yield (n,)
+
+    sizes = [wire.FRAME_ROWS * 2 + 5, 0, 7]
+    frames = wire._decoded(iter([pd.DataFrame({"source": ["a", "b", "c"], "value": sizes}), pd.DataFrame({"source": ["d"], "value": [None]})]), decode, ["source", "n"])
+    first = next(frames)
+    assert len(first) == len(read) == wire.FRAME_ROWS
+    rest = pd.concat(frames)
+    assert len(first) + len(rest) == sum(sizes) and rest["source"].value_counts().to_dict() == {"a": wire.FRAME_ROWS + 5, "c": 7}
